@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from featlake.functions.binding import let
 from featlake.operators import geometry as G
 
 CRS84 = "http://www.opengis.net/def/crs/OGC/1.3/CRS84"
@@ -92,21 +93,7 @@ class _ColumnMath:
     sinh, cosh, asinh, atanh = F.sinh, F.cosh, F.asinh, F.atanh
     exp, log, sqrt = F.exp, F.log, F.sqrt
 
-    @staticmethod
-    def bind(fn, *values):
-        names = [f"v{i}" for i in range(len(values))]
-        row = F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for v, n in zip(values, names)])
-        width = {}
-
-        def apply(r: Column) -> Column:
-            out = fn(*[r[n] for n in names])
-            if isinstance(out, tuple):
-                width["pair"] = True
-                return F.struct(*[c.alias(f"p{i}") for i, c in enumerate(out)])
-            return out
-
-        bound = F.get(F.transform(F.array(row), apply), F.lit(0))
-        return (bound["p0"], bound["p1"]) if width else bound
+    bind = staticmethod(let)
 
 
 _RAD = math.pi / 180.0

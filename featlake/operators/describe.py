@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featlake.functions.binding import let
 from featlake.functions.text import iso_text, json_text
 from featlake.operators import crs as C
 from featlake.operators import geometry as G
@@ -60,14 +61,16 @@ _STRING_NAMES = ("VARCHAR", "TEXT", "STRING", "CHAR", "BPCHAR")
 _BINARY_NAMES = ("BLOB", "BYTEA", "BINARY", "VARBINARY")
 
 
-def type_name_schema(type_name: Column, depth: int = 3) -> Column:
-    """SQL type names in a column to JSON-Schema text; lists and maps nest up to ``depth``."""
-    t = F.upper(F.trim(type_name))
-
-    def nested(prefix: str, inner: Column) -> Column:
-        return F.concat(F.lit(prefix), type_name_schema(inner, depth - 1), F.lit("}"))
-
-    scalar = (
+def _plain_type(t: Column) -> Column:
+    by_prefix = (
+        F.when(t.startswith("STRUCT(") | t.startswith("MAP("), '{"type":"object"}')
+        .when(t.startswith("DECIMAL") | t.startswith("NUMERIC"), '{"type":"number"}')
+        .when(t.startswith("VARCHAR(") | t.startswith("CHAR("), '{"type":"string"}')
+        .when(t.startswith("TIMESTAMP"), '{"type":"string","format":"date-time"}')
+        .when(t.startswith("TIME"), '{"type":"string","format":"time"}')
+        .otherwise("{}")
+    )
+    return (
         F.when(t.isin(*_INTEGER_NAMES), '{"type":"integer"}')
         .when(t.isin(*_FLOAT_NAMES), '{"type":"number"}')
         .when(t.isin(*_STRING_NAMES), '{"type":"string"}')
@@ -78,28 +81,32 @@ def type_name_schema(type_name: Column, depth: int = 3) -> Column:
         .when(t.isin(*_BINARY_NAMES), '{"type":"string","contentEncoding":"base64"}')
         .when(t == "JSON", "{}")
         .when(t == "GEOMETRY", '{"type":"object","format":"geometry"}')
+        .otherwise(by_prefix)
     )
-    by_prefix = (
-        F.when(t.startswith("STRUCT("), '{"type":"object"}')
-        .when(t.startswith("DECIMAL") | t.startswith("NUMERIC"), '{"type":"number"}')
-        .when(t.startswith("VARCHAR(") | t.startswith("CHAR("), '{"type":"string"}')
-        .when(t.startswith("TIMESTAMP"), '{"type":"string","format":"date-time"}')
-        .when(t.startswith("TIME"), '{"type":"string","format":"time"}')
-    )
-    plain = F.coalesce(scalar, by_prefix, F.lit("{}"))
-    if depth == 0:
-        return plain
-    element = F.regexp_extract(t, r"^(.*)\[\d*\]$", 1)
-    listed = F.regexp_extract(t, r"^LIST\((.*)\)$", 1)
-    mapped = F.regexp_extract(t, r"^MAP\([^,]*,(.*)\)$", 1)
-    return (
-        F.when(scalar.isNotNull(), scalar)
-        .when(t.rlike(r"\[\d*\]$"), nested('{"type":"array","items":', element))
-        .when(t.rlike(r"^LIST\(.*\)$"), nested('{"type":"array","items":', listed))
-        .when(t.rlike(r"^MAP\([^,]*,.*\)$"), nested('{"type":"object","additionalProperties":', mapped))
-        .when(t.startswith("MAP("), '{"type":"object"}')
-        .otherwise(plain)
-    )
+
+
+def type_name_schema(type_name: Column, depth: int = 3) -> Column:
+    """SQL type names in a column to JSON-Schema text; lists and maps nest up to ``depth``."""
+
+    def peel(t: Column, head: Column, tail: Column) -> tuple[Column, Column, Column]:
+        """Take one list or map wrapper off a type name."""
+        is_list = t.rlike(r"\[\d*\]$") | t.rlike(r"^LIST\(.*\)$")
+        is_map = ~is_list & t.rlike(r"^MAP\([^,]*,.*\)$")
+        inner = F.regexp_replace(t, r"^LIST\((.*)\)$|^MAP\([^,]*,(.*)\)$|\[\d*\]$", "$1$2")
+        opening = F.when(is_list, '{"type":"array","items":').when(
+            is_map, '{"type":"object","additionalProperties":'
+        )
+        wrapped = is_list | is_map
+        return (
+            F.when(wrapped, F.trim(inner)).otherwise(t),
+            F.concat(head, F.coalesce(opening, F.lit(""))),
+            F.concat(tail, F.when(wrapped, "}").otherwise("")),
+        )
+
+    state = (F.upper(F.trim(type_name)), F.lit(""), F.lit(""))
+    for _ in range(depth):
+        state = let(peel, *state)
+    return let(lambda t, head, tail: F.concat(head, _plain_type(t), tail), *state)
 
 
 # --- aggregates -----------------------------------------------------------------------------

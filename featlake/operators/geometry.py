@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featlake.functions.binding import let
+
 VERTEX = T.StructType(
     [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("z", T.DoubleType())]
 )
@@ -114,15 +116,25 @@ def _vertices(nested: Column, keep_z: Column | None = None) -> Column:
 
 def _parts_by_type(upper_type: Column, nested: Column) -> Column:
     """Turn parts > rings > vertices into typed parts, splitting multi points and multi lines."""
-    first = F.coalesce(F.get(nested, F.lit(0)), F.array().cast(T.ArrayType(T.ArrayType(VERTEX))))
-    first_ring = F.coalesce(F.get(first, F.lit(0)), F.array().cast(T.ArrayType(VERTEX)))
-    return (
-        F.when(upper_type == "POINT", F.transform(nested, lambda p: part(0, p)))
-        .when(upper_type == "LINESTRING", F.transform(nested, lambda p: part(1, p)))
-        .when(upper_type == "MULTIPOINT", F.transform(first_ring, lambda v: part(0, F.array(F.array(v)))))
-        .when(upper_type == "MULTILINESTRING", F.transform(first, lambda r: part(1, F.array(r))))
-        .when(upper_type.isin("POLYGON", "MULTIPOLYGON"), F.transform(nested, lambda p: part(2, p)))
-    )
+    no_rings = F.array().cast(T.ArrayType(T.ArrayType(VERTEX)))
+    no_vertices = F.array().cast(T.ArrayType(VERTEX))
+
+    def typed(kind: Column, parts: Column) -> Column:
+        rings = F.coalesce(F.get(parts, F.lit(0)), no_rings)
+        return (
+            F.when(kind == "POINT", F.transform(parts, lambda p: part(0, p)))
+            .when(kind == "LINESTRING", F.transform(parts, lambda p: part(1, p)))
+            .when(
+                kind == "MULTIPOINT",
+                F.transform(
+                    F.coalesce(F.get(rings, F.lit(0)), no_vertices), lambda v: part(0, F.array(F.array(v)))
+                ),
+            )
+            .when(kind == "MULTILINESTRING", F.transform(rings, lambda r: part(1, F.array(r))))
+            .when(kind.isin("POLYGON", "MULTIPOLYGON"), F.transform(parts, lambda p: part(2, p)))
+        )
+
+    return let(typed, upper_type, nested)
 
 
 def _deepen(upper_type: Column, text: Column) -> Column:
@@ -141,55 +153,75 @@ def _type_name(upper_type: Column) -> Column:
     return chain
 
 
-def _simple_wkt_parts(text: Column) -> Column:
-    kind = F.upper(F.regexp_extract(text, _HEADER, 1))
-    measured = F.upper(F.regexp_extract(text, _HEADER, 2)) == "M"
-    body = F.regexp_extract(text, _HEADER, 3)
+def _wkt_pieces(text: Column) -> tuple[Column, Column, Column]:
+    """Upper-case type, Z/M tag and body of well-known text, from one match."""
+    return let(
+        lambda found: (F.upper(F.get(found, F.lit(0))), F.upper(F.get(found, F.lit(1))), F.get(found, F.lit(2))),
+        F.split(F.regexp_replace(text, _HEADER, "$1\u0001$2\u0001$3"), "\u0001"),
+    )
+
+
+def _wkt_parts(kind: Column, tag: Column, body: Column) -> Column:
     # MULTIPOINT allows both (1 2, 3 4) and ((1 2), (3 4)).
-    body = F.when(
+    flat = F.when(
         kind == "MULTIPOINT", F.concat(F.lit("("), F.regexp_replace(body, "[()]", ""), F.lit(")"))
     ).otherwise(body)
-    tuples = F.translate(F.regexp_replace(body, _TUPLE, '["$1","$2","$3"]'), "()", "[]")
-    deep = _deepen(F.when(kind == "POINT", "LINESTRING").otherwise(kind), tuples)
-    empty = F.upper(body).contains("EMPTY")
-    nested = F.when(empty, F.array().cast(_DEEP_TEXT)).otherwise(F.from_json(deep, _DEEP_TEXT))
-    return _parts_by_type(kind, _vertices(nested, ~measured))
+    tuples = F.translate(F.regexp_replace(flat, _TUPLE, '["$1","$2","$3"]'), "()", "[]")
+    deep = let(_deepen, F.when(kind == "POINT", "LINESTRING").otherwise(kind), tuples)
+    nested = F.when(F.upper(body) == "EMPTY", F.array().cast(_DEEP_TEXT)).otherwise(
+        F.from_json(deep, _DEEP_TEXT)
+    )
+    return _parts_by_type(kind, _vertices(nested, tag != "M"))
+
+
+def _finished(kind: Column, parts: Column) -> Column:
+    """The geometry, or null if the text was malformed."""
+    return F.when(parts.isNotNull() & _all_finite(parts), geometry(_type_name(kind), parts))
 
 
 def from_wkt(text: Column) -> Column:
     """WKT (or EWKT) to a geometry; null for text that is not WKT."""
-    kind = F.upper(F.regexp_extract(text, _HEADER, 1))
-    body = F.regexp_extract(text, _HEADER, 3)
-    members = F.regexp_extract_all(body, F.lit(rf"([A-Za-z]+\s*(?:Z|M|ZM)?\s*(?:{_NESTED}|EMPTY))"), F.lit(1))
-    parts = F.when(
-        kind == "GEOMETRYCOLLECTION", F.flatten(F.transform(members, _simple_wkt_parts))
-    ).otherwise(_simple_wkt_parts(text))
-    parts = F.when(_all_finite(parts), parts)
-    return F.when(parts.isNotNull(), geometry(_type_name(kind), parts))
-
-
-def _simple_geojson_parts(text: Column) -> Column:
-    kind = F.upper(F.get_json_object(text, "$.type"))
-    coordinates = F.get_json_object(text, "$.coordinates")
+
+    def parse(kind: Column, tag: Column, body: Column) -> Column:
+        members = F.regexp_extract_all(
+            body, F.lit(rf"([A-Za-z]+\s*(?:Z|M|ZM)?\s*(?:{_NESTED}|EMPTY))"), F.lit(1)
+        )
+        parts = F.when(
+            kind == "GEOMETRYCOLLECTION",
+            F.flatten(F.transform(members, lambda m: let(_wkt_parts, *_wkt_pieces(m)))),
+        ).otherwise(_wkt_parts(kind, tag, body))
+        return let(_finished, kind, parts)
+
+    return let(parse, *_wkt_pieces(text))
+
+
+def _geojson_parts(kind: Column, coordinates: Column) -> Column:
     deep = F.when(kind == "POINT", F.concat(F.lit("[[["), coordinates, F.lit("]]]"))).otherwise(
         _deepen(kind, coordinates)
     )
-    nested = F.from_json(deep, _DEEP_TEXT)
-    # A point without coordinates, and any "coordinates": [], is an empty geometry.
+    # "coordinates": [] is an empty geometry.
     empty = F.regexp_replace(coordinates, r"\s", "") == "[]"
-    nested = F.when(empty, F.array().cast(_DEEP_TEXT)).otherwise(nested)
+    nested = F.when(empty, F.array().cast(_DEEP_TEXT)).otherwise(F.from_json(deep, _DEEP_TEXT))
     return _parts_by_type(kind, _vertices(nested))
 
 
 def from_geojson(text: Column) -> Column:
     """GeoJSON geometry text to a geometry; null for null, ``null`` and malformed text."""
-    kind = F.upper(F.get_json_object(text, "$.type"))
-    members = F.from_json(F.get_json_object(text, "$.geometries"), "array<string>")
-    parts = F.when(
-        kind == "GEOMETRYCOLLECTION", F.flatten(F.transform(members, _simple_geojson_parts))
-    ).otherwise(_simple_geojson_parts(text))
-    parts = F.when(_all_finite(parts), parts)
-    return F.when(parts.isNotNull(), geometry(_type_name(kind), parts))
+    shape = "type string, coordinates string, geometries array<struct<type string, coordinates string>>"
+
+    def parse(found: Column) -> Column:
+        return let(members, F.upper(found["type"]), found["coordinates"], found["geometries"])
+
+    def members(kind: Column, coordinates: Column, geometries: Column) -> Column:
+        parts = F.when(
+            kind == "GEOMETRYCOLLECTION",
+            F.flatten(
+                F.transform(geometries, lambda m: let(_geojson_parts, F.upper(m["type"]), m["coordinates"]))
+            ),
+        ).otherwise(let(_geojson_parts, kind, coordinates))
+        return let(_finished, kind, parts)
+
+    return let(parse, F.from_json(text, shape))
 
 
 def _all_finite(parts: Column) -> Column:
@@ -208,8 +240,7 @@ def number_text(value: Column, digits: int | None) -> Column:
     if digits is None:
         return F.regexp_replace(value.cast("string"), r"\.0$", "")
     fixed = value.cast(f"decimal(38,{digits})").cast("string")
-    trimmed = F.regexp_replace(fixed, r"\.?0+$", "") if digits else fixed
-    return F.when(trimmed.isin("-0", ""), "0").otherwise(trimmed)
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")) if digits else fixed
 
 
 def _ring_text(ring: Column, digits: int | None, joiner: str, opening: str, closing: str) -> Column:
@@ -227,6 +258,10 @@ def _ring_text(ring: Column, digits: int | None, joiner: str, opening: str, clos
 
 def to_wkt(geom: Column, digits: int | None = 6) -> Column:
     """Geometry to WKT, by default with six decimals and no trailing zeros."""
+    return let(lambda g: _wkt_of(g, digits), geom)
+
+
+def _wkt_of(geom: Column, digits: int | None) -> Column:
 
     def ring(r: Column) -> Column:
         return F.concat(F.lit("("), _ring_text(r, digits, " ", "", ""), F.lit(")"))
@@ -266,6 +301,10 @@ def to_ewkt(geom: Column, srid, digits: int | None = 6) -> Column:
 
 def to_geojson(geom: Column, digits: int | None = None) -> Column:
     """Geometry to GeoJSON text; null geometry gives null."""
+    return let(lambda g: _geojson_of(g, digits), geom)
+
+
+def _geojson_of(geom: Column, digits: int | None) -> Column:
 
     def ring(r: Column) -> Column:
         return _ring_text(r, digits, ",", "[", "]")
@@ -317,7 +356,10 @@ def vertices(geom: Column) -> Column:
 
 def map_vertices(geom: Column, fn: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     """Rebuild a geometry with every (x, y) replaced; null if any new coordinate is null."""
+    return let(lambda g: _mapped(g, fn), geom)
+
 
+def _mapped(geom: Column, fn: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
     def moved(v: Column) -> Column:
         x, y = fn(v["x"], v["y"])
         return F.struct(x.alias("x"), y.alias("y"), v["z"].alias("z"))
@@ -329,7 +371,7 @@ def map_vertices(geom: Column, fn: Callable[[Column, Column], tuple[Column, Colu
             F.transform(p["rings"], lambda r: F.transform(r, moved)).alias("rings"),
         ),
     )
-    return F.when(_all_finite(parts), geometry(geom["type"], parts))
+    return let(lambda ps: F.when(_all_finite(ps), geometry(geom["type"], ps)), parts)
 
 
 def bounds(geom: Column) -> dict[str, Column]:
@@ -466,4 +508,6 @@ def intersects(a: Column, b: Column) -> Column:
         pv, qv = first_vertex(p), first_vertex(q)
         return edges | _inside(q, pv["x"], pv["y"]) | _inside(p, qv["x"], qv["y"])
 
-    return F.exists(a["parts"], lambda p: F.exists(b["parts"], lambda q: parts_meet(p, q)))
+    return let(
+        lambda ps, qs: F.exists(ps, lambda p: F.exists(qs, lambda q: parts_meet(p, q))), a["parts"], b["parts"]
+    )

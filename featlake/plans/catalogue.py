@@ -6,7 +6,7 @@ import importlib
 
 from featlake.plans import registry
 
-_MODULES = ("features",)
+_MODULES = ("features", "shapes", "describing")
 
 
 def load():
