@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featlake.operators.slices import default_slices, with_slice
 from featlake.session import use_checkpoints
 
 PAGE_SIZE, PAGE_SIZE_MAX = 20, 100
@@ -52,11 +53,9 @@ def number_pages(df: DataFrame, key: str, size: int, slices: int | None = None)
     The key range is cut into slices of about equal size. Rows are ranked inside their slice and
     shifted by the number of rows in the slices before it, so no task sees the whole table.
     """
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    slices = slices or default_slices(df)
     if isinstance(df.schema[key].dataType, T.NumericType):
-        # The number of cuts below the key; the cuts are one small array per query.
-        below = F.size(F.filter("_cuts", lambda c: c < F.col(key)))
-        sliced = df.withColumn("_cuts", _cuts(df, key, slices)).withColumn("_slice", below).drop("_cuts")
+        sliced = with_slice(df, F.col(key), slices)
     else:
         use_checkpoints(df.sparkSession)
         # Text keys have no percentiles: fix a range partitioning in shared storage instead.
@@ -76,12 +75,6 @@ def number_pages(df: DataFrame, key: str, size: int, slices: int | None = None)
     )
 
 
-def _cuts(df: DataFrame, key: str, slices: int) -> Column:
-    """Keys that cut the table into slices of about equal size, as a scalar subquery."""
-    shares = [i / slices for i in range(1, slices)]
-    return df.agg(F.percentile_approx(key, shares, F.lit(10000)).alias("cuts")).scalar()
-
-
 def total_pages(total: Column, size: int) -> Column:
     return F.ceil(total / size).cast("bigint")
 

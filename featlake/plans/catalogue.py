@@ -6,7 +6,7 @@ import importlib
 
 from featlake.plans import registry
 
-_MODULES = ("features", "shapes", "describing")
+_MODULES = ("features", "shapes", "describing", "access")
 
 
 def load():
