@@ -6,7 +6,7 @@ import importlib
 
 from featlake.plans import registry
 
-_MODULES = ("features", "shapes", "describing", "access", "records", "events")
+_MODULES = ("features", "shapes", "describing", "access", "records", "events", "files")
 
 
 def load():
