@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from featlake.functions.binding import let
+from featlake.functions.binding import pipe
 from featlake.operators import geometry as G
 
 CRS84 = "http://www.opengis.net/def/crs/OGC/1.3/CRS84"
@@ -82,18 +82,21 @@ class _FloatMath:
     exp, log, sqrt = math.exp, math.log, math.sqrt
 
     @staticmethod
-    def bind(fn, *values):
-        return fn(*values)
+    def pipe(values, *steps):
+        for step in steps:
+            values = step(*values)
+            values = values if isinstance(values, tuple) else (values,)
+        return values if len(values) > 1 else values[0]
 
 
 class _ColumnMath:
-    """The same on columns. ``bind`` names intermediate values so that they are computed once."""
+    """The same on columns. ``pipe`` names intermediate values so that they are computed once."""
 
     sin, cos, tan, atan, atan2 = F.sin, F.cos, F.tan, F.atan, F.atan2
     sinh, cosh, asinh, atanh = F.sinh, F.cosh, F.asinh, F.atanh
     exp, log, sqrt = F.exp, F.log, F.sqrt
 
-    bind = staticmethod(let)
+    pipe = staticmethod(pipe)
 
 
 _RAD = math.pi / 180.0
@@ -149,7 +152,7 @@ def _to_utm(x, y, m, meridian, south, series: _Krueger):
             return t * m.sqrt(sigma * sigma + 1) - sigma * root
 
         root = m.sqrt(tan_lat * tan_lat + 1)
-        return m.bind(finish, tan_lat, root, m.sinh(m.atanh(tan_lat / root * e) * e))
+        return m.pipe((tan_lat, root, m.sinh(m.atanh(tan_lat / root * e) * e)), finish)
 
     def angles(tan_conf, dlon):
         cos_dlon = m.cos(dlon)
@@ -165,8 +168,10 @@ def _to_utm(x, y, m, meridian, south, series: _Krueger):
         scale = _UTM_SCALE * series.radius
         return east * scale + _FALSE_EASTING, north * scale
 
-    tan_conf = m.bind(conformal, m.tan(y * _RAD))
-    east, north = m.bind(plane, *m.bind(angles, tan_conf, (x - meridian) * _RAD))
+    def start(tan_lat, dlon):
+        return conformal(tan_lat), dlon
+
+    east, north = m.pipe((m.tan(y * _RAD), (x - meridian) * _RAD), start, angles, plane)
     return east, north + south
 
 
@@ -184,25 +189,22 @@ def _from_utm(x, y, m, meridian, south, series: _Krueger):
     def degrees(north, east):
         sinh_e, cos_n = m.sinh(east), m.cos(north)
         tan_conf = m.sin(north) / m.sqrt(sinh_e * sinh_e + cos_n * cos_n)
-        return m.atan2(sinh_e, cos_n) / _RAD, m.bind(latitude, tan_conf)
-
-    def latitude(tan_conf):
-        # Newton steps from the conformal to the geographic latitude reach double precision.
-        def step(tau, target):
-            def move(tau, target, root, sigma):
-                guess = tau * m.sqrt(sigma * sigma + 1) - sigma * root
-                slope = (tau * tau * (1 - e * e) + 1) / (root * (1 - e * e))
-                return tau + (target - guess) / m.sqrt(guess * guess + 1) * slope
-
-            root = m.sqrt(tau * tau + 1)
-            return m.bind(move, tau, target, root, m.sinh(m.atanh(tau / root * e) * e))
-
-        tau = tan_conf
-        for _ in range(3):
-            tau = m.bind(step, tau, tan_conf)
+        return m.atan2(sinh_e, cos_n) / _RAD, m.pipe((tan_conf, tan_conf), step, step, step, last)
+
+    # Three Newton steps from the conformal to the geographic latitude reach double precision.
+    def step(tau, target):
+        def move(tau, target, root, sigma):
+            guess = tau * m.sqrt(sigma * sigma + 1) - sigma * root
+            slope = (tau * tau * (1 - e * e) + 1) / (root * (1 - e * e))
+            return tau + (target - guess) / m.sqrt(guess * guess + 1) * slope
+
+        root = m.sqrt(tau * tau + 1)
+        return m.pipe((tau, target, root, m.sinh(m.atanh(tau / root * e) * e)), move), target
+
+    def last(tau, _):
         return m.atan(tau) / _RAD
 
-    lon, lat = m.bind(degrees, *m.bind(angles, (y - south) / scale, (x - _FALSE_EASTING) / scale))
+    lon, lat = m.pipe(((y - south) / scale, (x - _FALSE_EASTING) / scale), angles, degrees)
     return lon + meridian, lat
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featlake.functions.binding import let
+from featlake.functions.binding import pipe
 from featlake.functions.text import iso_text, json_text
 from featlake.operators import crs as C
 from featlake.operators import geometry as G
@@ -103,10 +103,10 @@ def type_name_schema(type_name: Column, depth: int = 3) -> Column:
             F.concat(tail, F.when(wrapped, "}").otherwise("")),
         )
 
-    state = (F.upper(F.trim(type_name)), F.lit(""), F.lit(""))
-    for _ in range(depth):
-        state = let(peel, *state)
-    return let(lambda t, head, tail: F.concat(head, _plain_type(t), tail), *state)
+    def close(t: Column, head: Column, tail: Column) -> Column:
+        return F.concat(head, _plain_type(t), tail)
+
+    return pipe((F.upper(F.trim(type_name)), F.lit(""), F.lit("")), *[peel] * depth, close)
 
 
 # --- aggregates -----------------------------------------------------------------------------

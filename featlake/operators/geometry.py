@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featlake.functions.binding import let
+from featlake.functions.binding import let, pipe
 
 VERTEX = T.StructType(
     [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("z", T.DoubleType())]
@@ -104,7 +104,9 @@ def _vertices(nested: Column, keep_z: Column | None = None) -> Column:
     """Text coordinates nested as parts > rings > tuples become parts > rings > vertices."""
 
     def to_vertex(c: Column) -> Column:
-        z = F.get(c, F.lit(2)).try_cast("double")
+        # An absent third number is empty text; casting that would cost an exception per vertex.
+        third = F.get(c, F.lit(2))
+        z = F.when(third != "", third.try_cast("double"))
         return F.struct(
             F.get(c, F.lit(0)).try_cast("double").alias("x"),
             F.get(c, F.lit(1)).try_cast("double").alias("y"),
@@ -153,12 +155,13 @@ def _type_name(upper_type: Column) -> Column:
     return chain
 
 
-def _wkt_pieces(text: Column) -> tuple[Column, Column, Column]:
+def _wkt_match(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, _HEADER, "$1\u0001$2\u0001$3"), "\u0001")
+
+
+def _wkt_pieces(found: Column) -> tuple[Column, Column, Column]:
     """Upper-case type, Z/M tag and body of well-known text, from one match."""
-    return let(
-        lambda found: (F.upper(F.get(found, F.lit(0))), F.upper(F.get(found, F.lit(1))), F.get(found, F.lit(2))),
-        F.split(F.regexp_replace(text, _HEADER, "$1\u0001$2\u0001$3"), "\u0001"),
-    )
+    return F.upper(F.get(found, F.lit(0))), F.upper(F.get(found, F.lit(1))), F.get(found, F.lit(2))
 
 
 def _wkt_parts(kind: Column, tag: Column, body: Column) -> Column:
@@ -188,11 +191,11 @@ def from_wkt(text: Column) -> Column:
         )
         parts = F.when(
             kind == "GEOMETRYCOLLECTION",
-            F.flatten(F.transform(members, lambda m: let(_wkt_parts, *_wkt_pieces(m)))),
+            F.flatten(F.transform(members, lambda m: pipe((_wkt_match(m),), _wkt_pieces, _wkt_parts))),
         ).otherwise(_wkt_parts(kind, tag, body))
         return let(_finished, kind, parts)
 
-    return let(parse, *_wkt_pieces(text))
+    return pipe((_wkt_match(text),), _wkt_pieces, parse)
 
 
 def _geojson_parts(kind: Column, coordinates: Column) -> Column:
@@ -472,6 +475,18 @@ def intersects_box(geom: Column, xmin, ymin, xmax, ymax) -> Column:
     )
 
 
+def meets_box(geom: Column, own: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Exact test for a geometry with known bounds: most rows are decided by comparisons alone."""
+    inside = (
+        (own["xmin"] >= b["xmin"])
+        & (own["xmax"] <= b["xmax"])
+        & (own["ymin"] >= b["ymin"])
+        & (own["ymax"] <= b["ymax"])
+    )
+    exact = intersects_box(geom, *[b[n] for n in BOUNDS])
+    return bounds_overlap(own, b) & (inside | (geom["type"] == "Point") | exact)
+
+
 def _edges_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
     def turn(p: Column, q: Column, r: Column) -> Column:
         return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])

@@ -1,9 +1,10 @@
 """Many boxes against one feature table: a grid join with exact tests, without a cross join.
 
-Every box lives on the coarsest-fitting of a few grid levels, where it covers few cells. A pair of
-boxes meets on the coarser of the two levels: there the larger one is listed with its own cells
-and the smaller one with the cells above it. The pair is kept only in the cell that holds the
-lower-left corner of their intersection, so it comes out exactly once and no distinct is needed.
+Every box lives on one of a few grid levels, the finest on which it spans at most two cell edges,
+so it covers at most nine cells there. A pair of boxes meets on the coarser of the two levels:
+there the larger box is listed with its own cells and the smaller one with the cells above it. The
+pair is kept only in the cell that holds the lower-left corner of the intersection, so it comes
+out exactly once and no distinct is needed.
 """
 
 from __future__ import annotations
@@ -13,55 +14,43 @@ from pyspark.sql import functions as F
 
 from featlake.operators import geometry as G
 
-_ORIGIN = (-180.0, -180.0)
-# Cell edges in degrees; a factor of eight keeps a box on its level below 100 cells.
-_DEGREE_LEVELS = (360.0, 45.0, 5.625, 0.703125, 0.087890625)
+_ORIGIN = -180.0
+# Cell edges in degrees, each a quarter of the one before.
+DEGREE_LEVELS = (360.0, 90.0, 22.5, 5.625, 1.40625, 0.3515625, 0.087890625)
+# Tag a: the request is on its own level, the feature on that level or a finer one.
+# Tag b: the feature is on its own level, the request on a strictly finer one.
+_TAGS = ("a", "b")
+_KEYS = ("_lvl", "_meets", "_cx", "_cy")
 
 
-def _cell(value: Column, edge: float, origin: float) -> Column:
-    return F.floor((value - origin) / edge).cast("bigint")
+def _cell(value: Column, edge: Column) -> Column:
+    return F.floor((value - _ORIGIN) / edge).cast("bigint")
 
 
-def _level_of(box: dict[str, Column], levels: tuple[float, ...]) -> Column:
-    """The finest level where the box spans at most eight cell edges."""
+def _level(box: dict[str, Column], levels: tuple[float, ...]) -> Column:
     extent = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
     level = F.lit(0)
     for i, edge in enumerate(levels):
         if i:
-            level = F.when(extent <= edge * 8, i).otherwise(level)
+            level = F.when(extent <= edge * 2, i).otherwise(level)
     return level
 
 
-def _cells(box: dict[str, Column], level: int, edge: float, meets: str) -> Column:
-    """The cells of one level covered by a box, as an array of join keys."""
-    xs = F.sequence(_cell(box["xmin"], edge, _ORIGIN[0]), _cell(box["xmax"], edge, _ORIGIN[0]))
-    ys = F.sequence(_cell(box["ymin"], edge, _ORIGIN[1]), _cell(box["ymax"], edge, _ORIGIN[1]))
-    return F.flatten(
-        F.transform(
-            xs,
-            lambda cx: F.transform(
-                ys,
-                lambda cy: F.struct(
-                    F.lit(level).alias("level"), cx.alias("cx"), cy.alias("cy"), F.lit(meets).alias("meets")
-                ),
-            ),
-        )
-    )
-
-
-def _keyed(df: DataFrame, prefix: str, own: str, above: str, levels: tuple[float, ...]) -> DataFrame:
-    """Repeat rows per cell: own cells under the tags in ``own``, cells above under ``above``."""
+def _keyed(df: DataFrame, prefix: str, levels: tuple[float, ...], wanted: Column) -> DataFrame:
+    """Repeat rows per (level, tag) that is wanted for them, and per cell covered on that level."""
     box = {b: F.col(f"{prefix}{b}") for b in G.BOUNDS}
-    df = df.withColumn("_level", _level_of(box, levels))
-    pieces = []
-    for i, edge in enumerate(levels):
-        for tag in own:
-            pieces.append(F.when(F.col("_level") == i, _cells(box, i, edge, tag)))
-        for tag in above:
-            pieces.append(F.when(F.col("_level") > i, _cells(box, i, edge, tag)))
-    none = F.array().cast("array<struct<level:int,cx:bigint,cy:bigint,meets:string>>")
-    keyed = df.withColumn("_key", F.explode(F.flatten(F.array(*[F.coalesce(p, none) for p in pieces]))))
-    return keyed.drop("_level")
+    entries = F.array(
+        *[
+            F.struct(F.lit(i).alias("_lvl"), F.lit(edge).alias("_edge"), F.lit(tag).alias("_meets"))
+            for i, edge in enumerate(levels)
+            for tag in _TAGS
+        ]
+    )
+    rows = df.withColumn("_own", _level(box, levels)).select("*", F.inline(entries)).where(wanted)
+    edge = F.col("_edge")
+    rows = rows.withColumn("_cx", F.explode(F.sequence(_cell(box["xmin"], edge), _cell(box["xmax"], edge))))
+    rows = rows.withColumn("_cy", F.explode(F.sequence(_cell(box["ymin"], edge), _cell(box["ymax"], edge))))
+    return rows.drop("_own")
 
 
 def join_boxes(
@@ -70,39 +59,37 @@ def join_boxes(
     exact: Column | None = None,
     salts: int = 1,
     salt_on: str = "id",
-    levels: tuple[float, ...] = _DEGREE_LEVELS,
+    levels: tuple[float, ...] = DEGREE_LEVELS,
 ) -> DataFrame:
     """Pairs of features and request boxes that intersect.
 
     ``features`` carries xmin..ymax, ``boxes`` carries q_xmin..q_ymax; no other names may be
     shared. ``exact`` refines the bounds test with columns of both. Rows without bounds never
-    match. ``salts`` spreads the features of a hot cell over that many keys (by a hash of
-    their id) and repeats the boxes; leave it at 1 where the boxes are small enough for Spark to broadcast.
+    match. Small boxes are broadcast by Spark's own size check; beyond it, ``salts`` spreads the
+    features of a hot cell over that many keys (by a hash of their id) and repeats the boxes.
     """
     f = features.where(F.col("xmin").isNotNull() & F.col("ymin").isNotNull())
     q = boxes.where(F.col("q_xmin").isNotNull() & (F.col("q_xmin") <= F.col("q_xmax")))
     q = q.where(F.col("q_ymin") <= F.col("q_ymax"))
-    # Tag a: the box is on its own level and the feature on that level or a finer one.
-    # Tag b: the feature is on its own level and the box on a strictly finer one.
-    f = _keyed(f, "", own="ab", above="a", levels=levels)
-    q = _keyed(q, "q_", own="a", above="b", levels=levels)
-    keys = ["_key"]
+    # The few levels the requests live on, so that features list no cells nobody asks for.
+    used = q.agg(F.collect_set(_level({b: F.col(f"q_{b}") for b in G.BOUNDS}, levels))).scalar()
+    lvl, own, is_a = F.col("_lvl"), F.col("_own"), F.col("_meets") == "a"
+    f = f.withColumn("_used", used)
+    asked_a, asked_b = F.array_contains("_used", lvl), F.array_max("_used") > lvl
+    f = _keyed(f, "", levels, (is_a & (lvl <= own) & asked_a) | (~is_a & (lvl == own) & asked_b)).drop("_used")
+    q = _keyed(q, "q_", levels, (is_a & (lvl == own)) | (~is_a & (lvl < own))).drop("_edge")
+    keys = list(_KEYS)
     if salts > 1:
         f = f.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
         q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keys.append("_salt")
     joined = f.join(q, keys)
-    edge = F.lit(levels[0])
-    for i, e in enumerate(levels):
-        edge = F.when(F.col("_key.level") == i, F.lit(e)).otherwise(edge)
-    corner_x, corner_y = F.greatest("xmin", "q_xmin"), F.greatest("ymin", "q_ymin")
-    once = (F.floor((corner_x - _ORIGIN[0]) / edge).cast("bigint") == F.col("_key.cx")) & (
-        F.floor((corner_y - _ORIGIN[1]) / edge).cast("bigint") == F.col("_key.cy")
-    )
-    overlap = G.bounds_overlap(
-        {b: F.col(b) for b in G.BOUNDS}, {b: F.col(f"q_{b}") for b in G.BOUNDS}
+    corner = {"_cx": F.greatest("xmin", "q_xmin"), "_cy": F.greatest("ymin", "q_ymin")}
+    once = (_cell(corner["_cx"], F.col("_edge")) == F.col("_cx")) & (
+        _cell(corner["_cy"], F.col("_edge")) == F.col("_cy")
     )
+    overlap = G.bounds_overlap({b: F.col(b) for b in G.BOUNDS}, {b: F.col(f"q_{b}") for b in G.BOUNDS})
     kept = joined.where(once & overlap)
     if exact is not None:
         kept = kept.where(exact)
-    return kept.drop("_key", "_salt")
+    return kept.drop(*keys, "_edge")

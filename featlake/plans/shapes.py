@@ -221,7 +221,8 @@ def batch_bbox(t: Tables) -> DataFrame:
 )
 def batch_bbox_shapes(t: Tables) -> DataFrame:
     """The same for shapes, tested exactly, with the rows of a crowded cell spread over salts."""
-    exact = G.intersects_box(parcel_geometry(), *[F.col(f"q_{b}") for b in G.BOUNDS])
+    own, asked = ({b: F.col(f"{p}{b}") for b in G.BOUNDS} for p in ("", "q_"))
+    exact = G.meets_box(parcel_geometry(), own, asked)
     rows = t.parcels.select("id", "geom_type", *G.BOUNDS)
     return S.join_boxes(rows, t.boxes, exact, salts=4).select("request_id", "id")
 

@@ -97,13 +97,14 @@ class FeatureTable:
 
     def _one_box(self, box: tuple[float, float, float, float], source: int) -> Column:
         native = C.transform_box(box, source, self.srid)
-        near = G.bounds_overlap(self.bounds, G.box_columns(*native))
+        own, asked = self.bounds, G.box_columns(*native)
+        near = G.bounds_overlap(own, asked)
         outline = C.box_outline(box, source, self.srid)
         if outline is not None:
             ring = F.array(*[G.vertex(x, y) for x, y in outline])
             return near & G.intersects(self.geometry, G.geometry("Polygon", F.array(G.part(2, F.array(ring)))))
         # The bounds of a point are the point, so the cheap test is already exact.
-        return near if self.geom is None else near & G.intersects_box(self.geometry, *native)
+        return near if self.geom is None else G.meets_box(self.geometry, own, asked)
 
     def predicate(self, f: Fl.FeatureFilter) -> Column | None:
         """The conjunction of everything a request asks for, or None for no condition."""
