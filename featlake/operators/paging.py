@@ -33,7 +33,10 @@ def clamp_limit_column(requested: Column, custom: Column, custom_max: Column) ->
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page of a total order: every task keeps offset + limit rows, nothing is fully sorted."""
-    return df.orderBy(*order).offset(max(offset, 0)).limit(limit)
+    rows = df.orderBy(*order).offset(max(offset, 0)).limit(limit)
+    # The optimizer moves later projections below a limit, where they would run on every row and
+    # turn the top-k into a full sort. It does not move them through this filter, which keeps all.
+    return rows.where(F.monotonically_increasing_id() >= 0)
 
 
 def page_number(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -44,7 +47,7 @@ def page_number(df: DataFrame, order: list[Column], number: int, size: int) -> D
 def page_after(df: DataFrame, key: str, last, limit: int) -> DataFrame:
     """The page behind the row with key ``last``: a filter the scan can use, however deep."""
     rows = df if last is None else df.where(F.col(key) > F.lit(last))
-    return rows.orderBy(F.asc(key)).limit(limit)
+    return page(rows, [F.asc(key)], limit)
 
 
 def number_pages(df: DataFrame, key: str, size: int, slices: int | None = None) -> DataFrame:

@@ -16,7 +16,9 @@ def with_slice(df: DataFrame, key: Column, slices: int, name: str = "_slice") ->
     The cuts are one small array, computed by a mergeable sketch and read as a scalar subquery.
     Equal keys always share a slice, and slices are ordered like the key.
     """
+    if slices < 2:
+        return df.withColumn(name, F.lit(0))
     shares = [i / slices for i in range(1, slices)]
     cuts = df.agg(F.percentile_approx(key, shares, F.lit(10000)).alias("cuts")).scalar()
-    below = F.size(F.filter("_cuts", lambda c: c < key))
+    below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < key)), F.lit(0))
     return df.withColumn("_cuts", cuts).withColumn(name, below).drop("_cuts")
