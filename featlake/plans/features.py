@@ -13,6 +13,7 @@ from featlake.operators import paging as P
 from featlake.operators import projections as Pr
 from featlake.operators.filters import FeatureFilter
 from featlake.plans.registry import Tables, query
+from featlake.session import spread
 from featlake.sources import geojson as J
 from featlake.table import FeatureTable
 
@@ -487,7 +488,7 @@ def _documents(t: Tables, rows: DataFrame, with_collection: bool) -> DataFrame:
 )
 def geojson_feature(t: Tables) -> DataFrame:
     """One GeoJSON document per feature, over the whole table."""
-    return _documents(t, t.obs, True).select("id", "document")
+    return _documents(t, spread(t.obs), True).select("id", "document")
 
 
 @query(

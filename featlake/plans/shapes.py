@@ -10,6 +10,7 @@ from featlake.operators import geometry as G
 from featlake.operators import spatial_join as S
 from featlake.operators.filters import FeatureFilter
 from featlake.plans.registry import Tables, query
+from featlake.session import spread
 from featlake.table import FeatureTable
 
 
@@ -95,7 +96,7 @@ _ROW_BOX = {
 def intersects_box(t: Tables) -> DataFrame:
     """Every feature against a box of its own."""
     b = {k: F.expr(v) for k, v in _ROW_BOX.items()}
-    return t.parcels.select("id", G.intersects_box(parcel_geometry(), **b).alias("hit"))
+    return spread(t.parcels).select("id", G.intersects_box(parcel_geometry(), **b).alias("hit"))
 
 
 # A concave shell with a hole, and the literal edges of both rings for the SQL.
@@ -223,7 +224,7 @@ def batch_bbox_shapes(t: Tables) -> DataFrame:
     """The same for shapes, tested exactly, with the rows of a crowded cell spread over salts."""
     own, asked = ({b: F.col(f"{p}{b}") for b in G.BOUNDS} for p in ("", "q_"))
     exact = G.meets_box(parcel_geometry(), own, asked)
-    rows = t.parcels.select("id", "geom_type", *G.BOUNDS)
+    rows = spread(t.parcels.select("id", "geom_type", *G.BOUNDS))
     return S.join_boxes(rows, t.boxes, exact, salts=4).select("request_id", "id")
 
 
@@ -293,14 +294,15 @@ def _summary(rows: DataFrame) -> DataFrame:
 @query("wkt_parse", _SIX_SQL, uses=("parcels",))
 def wkt_parse(t: Tables) -> DataFrame:
     """Load a table of well-known text: geometry plus the bounds columns to store with it."""
-    return _summary(t.parcels.select("id", G.from_wkt(_wkt_text()).alias("geom")))
+    return _summary(spread(t.parcels).select("id", G.from_wkt(_wkt_text()).alias("geom")))
 
 
 @query("geojson_parse", _SIX_SQL, uses=("parcels",))
 def geojson_parse(t: Tables) -> DataFrame:
     """Load a table of GeoJSON geometries."""
     text = G.to_geojson(G.from_wkt(_wkt_text()))
-    return _summary(t.parcels.select("id", text.alias("text")).select("id", G.from_geojson(F.col("text")).alias("geom")))
+    rows = spread(t.parcels).select("id", text.alias("text"))
+    return _summary(rows.select("id", G.from_geojson(F.col("text")).alias("geom")))
 
 
 def _number_sql(c: str, digits: int = 6) -> str:
@@ -330,7 +332,7 @@ def _joined_sql(opening: str, between: str, closing: str, *corners: tuple[str, s
     uses=("parcels",),
 )
 def wkt_write(t: Tables) -> DataFrame:
-    return t.parcels.select("id", G.to_ewkt(parcel_geometry(), 4326).alias("wkt"))
+    return spread(t.parcels).select("id", G.to_ewkt(parcel_geometry(), 4326).alias("wkt"))
 
 
 @query(
@@ -347,7 +349,7 @@ def wkt_write(t: Tables) -> DataFrame:
     uses=("parcels",),
 )
 def geojson_write(t: Tables) -> DataFrame:
-    return t.parcels.select("id", G.to_geojson(parcel_geometry(), digits=6).alias("geojson"))
+    return spread(t.parcels).select("id", G.to_geojson(parcel_geometry(), digits=6).alias("geojson"))
 
 
 @query("geom_bounds", "SELECT id, xmin, ymin, xmax, ymax FROM parcels", uses=("parcels",))
@@ -372,7 +374,7 @@ def geom_bounds(t: Tables) -> DataFrame:
 )
 def reproject(t: Tables) -> DataFrame:
     """Degrees to spherical Mercator and back; the poles have no image."""
-    moved = t.obs.select("id", C.reproject(G.point(F.col("x"), F.col("y")), 4326, 3857).alias("m"))
+    moved = spread(t.obs).select("id", C.reproject(G.point(F.col("x"), F.col("y")), 4326, 3857).alias("m"))
     both = moved.withColumn("back", C.reproject(F.col("m"), 3857, 4326))
     m, b = (F.col(c)["parts"][0]["rings"][0][0] for c in ("m", "back"))
     return both.select(
@@ -414,7 +416,7 @@ def _utm_sql() -> str:
 def reproject_utm(t: Tables) -> DataFrame:
     """Every point in the UTM zone it lies in."""
     utm = C.utm_of_own_zone(F.col("x"), F.col("y"))
-    return t.obs.select(
+    return spread(t.obs).select(
         "id", utm["srid"].alias("srid"),
         F.round(utm["easting"], 3).alias("easting"), F.round(utm["northing"], 3).alias("northing"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only, so they can be applied to a session someone else started.
 _SETTINGS = {
@@ -60,3 +60,12 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Point reliable checkpoints at the shared folder if the session has none yet."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on an input that arrives in fewer partitions than cores.
+
+    Large inputs have more partitions than that and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

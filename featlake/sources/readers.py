@@ -13,6 +13,7 @@ from featlake.functions.wkb import from_wkb
 from featlake.operators import crs as C
 from featlake.operators import geometry as G
 from featlake.operators.projections import with_file_row_id
+from featlake.session import spread
 from featlake.table import FeatureTable
 
 # Names of CSV separators.
@@ -160,7 +161,7 @@ def explode_features(
 ) -> DataFrame:
     """Feature texts to id, geometry and property columns; a null geometry stays null."""
     document = F.try_parse_json(F.col(text))
-    rows = features.select(
+    rows = spread(features).select(
         F.get_json_object(text, "$.id").alias("id"),
         G.from_geojson(F.get_json_object(text, "$.geometry")).alias("geom"),
         F.get_json_object(text, "$.properties").alias("_properties"),
@@ -215,7 +216,7 @@ def _leaves(value: Column, field: T.StructField, name: str, flatten: bool, separ
 
 def inline_wkt(rows: DataFrame, wkt: str = "geometry") -> DataFrame:
     """Rows with a WKT column to features with geometry and bounds."""
-    return G.with_bounds(rows.withColumn("geom", G.from_wkt(F.col(wkt))).drop(wkt))
+    return G.with_bounds(spread(rows).withColumn("geom", G.from_wkt(F.col(wkt))).drop(wkt))
 
 
 def inline_geojson(documents: DataFrame, text: str, properties: str) -> DataFrame:
@@ -227,7 +228,7 @@ def inline_geojson(documents: DataFrame, text: str, properties: str) -> DataFram
         "crs string, features array<struct<id:string, geometry:string, wkt:string,"
         f" properties:struct<{properties}>>>"
     )
-    parsed = documents.withColumn("_d", F.from_json(text, shape))
+    parsed = spread(documents).withColumn("_d", F.from_json(text, shape))
     each = parsed.select(
         *[c for c in documents.columns if c != text],
         F.coalesce(F.col("_d.crs"), F.lit(C.CRS84)).alias("crs"),
