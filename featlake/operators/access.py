@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featlake.operators.catalog import SCOPE_PATTERN
+from featlake.operators.skew import row_hash, salted_join
 
 EDITOR, VIEWER = "editor", "viewer"
 # Actions that are not tied to one resource, and who may perform them.
@@ -112,8 +113,8 @@ def visible_jobs(jobs: DataFrame, processes: DataFrame, users: DataFrame, user_i
 
 def _with_admin(questions: DataFrame, users: DataFrame) -> DataFrame:
     """Add ``_admin``. Anonymous questions match nobody; their empty key is spread over many."""
-    others = [c for c in questions.columns if c != "user_id"]
-    nobody = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*others), F.lit(4096)).cast("string"))
+    spread = F.pmod(row_hash(questions, leave_out=["user_id"]), F.lit(4096))
+    nobody = F.concat(F.lit("\u0000"), spread.cast("string"))
     flags = admins(users).select(F.col("user_id").alias("_asker"), F.lit(True).alias("_is_admin"))
     rows = questions.withColumn("_asker", F.coalesce("user_id", nobody)).join(flags, "_asker", "left")
     return rows.withColumn("_admin", F.col("_is_admin").isNotNull()).drop("_asker", "_is_admin")
@@ -123,7 +124,7 @@ def _with_role(questions: DataFrame, users: DataFrame, resource_type: str, colum
     held = roles(users, resource_type).select(
         "user_id", F.col("resource_id").alias(column), F.col("is_editor").alias(f"_{prefix}_editor")
     )
-    return questions.join(held, ["user_id", column], "left")
+    return salted_join(questions, held, ["user_id", column], "left")
 
 
 def decide(
@@ -165,7 +166,7 @@ def decide_jobs(questions: DataFrame, jobs: DataFrame, processes: DataFrame, use
         F.col("is_public").alias("_public"),
         F.col("process_identifier").alias("_process"),
     ).join(parents, "_process")
-    rows = _with_admin(questions.join(facts, "job", "left"), users)
+    rows = _with_admin(salted_join(questions, facts, ["job"], "left"), users)
     rows = _with_role(rows, users, "job", "job", "job")
     rows = _with_role(rows, users, "process", "_process", "process")
 
@@ -290,5 +291,5 @@ def job_audience(jobs: DataFrame, processes: DataFrame, users: DataFrame) -> Dat
     # Members of a process see its jobs whether or not the process is public.
     side = audience(processes.withColumn("is_public", F.lit(False)), users, "process")
     side = side.withColumnRenamed("identifier", "process_identifier")
-    inherited = private.join(side, "process_identifier").select("identifier", "user_id")
+    inherited = salted_join(private, side, ["process_identifier"]).select("identifier", "user_id")
     return direct.unionByName(inherited).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from featlake.operators import catalog as K
 from featlake.operators import geometry as G
 from featlake.operators import jobs as Jb
+from featlake.operators.skew import salted_join
 from featlake.plans.access import _GRANTS_SQL, users
 from featlake.plans.registry import Tables, query
 from featlake.sources import geojson as J
@@ -74,7 +75,7 @@ def with_owner(t: Tables) -> DataFrame:
     """Jobs with their owner, their process and the owner of the process."""
     owned = K.with_owner(t.processes.select("identifier", "owner_id"), users(t), prefix="process_owner")
     parents = owned.select(F.col("identifier").alias("process_identifier"), "process_owner_name")
-    rows = K.with_owner(t.jobs, users(t)).join(parents, "process_identifier", "left")
+    rows = salted_join(K.with_owner(t.jobs, users(t)), parents, ["process_identifier"], "left")
     return rows.select(
         "identifier", "owner_name", F.col("process_identifier").alias("process"), "process_owner_name"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from featlake.operators import jobs as Jb
 from featlake.streaming import events as E
 from featlake.streaming import runs as R
+from featlake.streaming.stateful import job_steps
 
 START = dt.datetime(2024, 1, 1)
 CHANGE = "job_identifier string, ts timestamp_ntz, seq bigint, to_status string, progress int"
@@ -74,6 +76,7 @@ def test_job_states_of_a_stream(spark, tmp_path):
     for i in range(0, 300, 100):
         part = spark.createDataFrame(rows[i : i + 100], CHANGE).coalesce(1)
         part.write.mode("append").parquet(str(source))
+        time.sleep(1.1)  # files are taken in order of their modification time
     schema = spark.createDataFrame([], CHANGE).schema
     # Micro-batches follow the files; within one, the fold orders the changes itself.
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
@@ -85,6 +88,19 @@ def test_job_states_of_a_stream(spark, tmp_path):
     assert len(taken) == sum(1 for _ in Jb.status_changes(states.at(last)).collect())
 
 
+def test_stateful_steps_over_micro_batches(spark, tmp_path):
+    rows = sorted(_log(random.Random(9), 240, [f"j{i}" for i in range(25)], STATUSES), key=lambda r: (r[1], r[2]))
+    for i in range(0, 240, 80):
+        part = spark.createDataFrame(rows[i : i + 80], CHANGE).withColumn("ts", F.col("ts").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        time.sleep(1.1)  # files are taken in order of their modification time
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "changes"))
+    steps = R.run_to_end(job_steps(stream), "test-steps").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    expected = Jb.status_changes(Jb.fold_job_changes(spark.createDataFrame(rows, CHANGE)))
+    columns = ["job_identifier", "ts", "seq", "status"]
+    assert sorted(map(tuple, steps.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+
+
 @pytest.mark.parametrize("slices", [1, 5])
 def test_deployments_equal_a_replay(spark, slices):
     rng = random.Random(6)
