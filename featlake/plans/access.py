@@ -308,14 +308,12 @@ def audience_job(t: Tables) -> DataFrame:
 
 @query(
     "users_filter",
-    """
-    SELECT id, username FROM accounts WHERE lower(username) LIKE '%r#000000%7%' AND NOT is_admin
-    """,
+    "SELECT id, username FROM accounts WHERE contains(lower(username), 'r#0000000') AND NOT is_admin",
     uses=("accounts",),
 )
 def users_filter(t: Tables) -> DataFrame:
-    found = K.list_users(users(t), name_contains="R#000000", is_admin=False)
-    return found.where(F.col("username").contains("7")).select("id", "username")
+    """Users by part of their name, without administrators, ordered by name."""
+    return K.list_users(users(t), name_contains="R#0000000", is_admin=False).select("id", "username")
 
 
 @query(

@@ -48,18 +48,19 @@ def type_in(t: Tables) -> DataFrame:
 
 @query(
     "valid_ident",
-    """
-    SELECT page_id, regexp_matches(url, '^[a-zA-Z][A-Za-z0-9_-]*$') AND length(url) BETWEEN 3 AND 100 AS url_valid,
-      length(concat('page-', CAST(page_id AS STRING))) BETWEEN 3 AND 100 AS name_valid FROM pages
-    """,
+    "SELECT p_partkey, p_partkey % 5 IN (1, 4) AS is_valid FROM part",
 )
 def valid_ident(t: Tables) -> DataFrame:
-    name = F.concat(F.lit("page-"), F.col("page_id").cast("string"))
-    return t.pages.select(
-        "page_id",
-        K.valid_identifier(F.col("url")).alias("url_valid"),
-        K.valid_identifier(name).alias("name_valid"),
+    """Names with spaces, good ones, ones that start with a digit, short ones, ones with a hyphen."""
+    key, n = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    name = (
+        F.when(n == 0, F.col("p_name"))
+        .when(n == 1, F.concat(F.lit("part_"), key))
+        .when(n == 2, F.concat(key, F.lit("-part")))
+        .when(n == 3, F.lit("p"))
+        .otherwise(F.concat(F.col("p_type"), F.lit("-"), key))
     )
+    return t.part.select("p_partkey", K.valid_identifier(name).alias("is_valid"))
 
 
 @query(

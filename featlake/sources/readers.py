@@ -13,6 +13,7 @@ from featlake.functions.wkb import from_wkb
 from featlake.operators import crs as C
 from featlake.operators import geometry as G
 from featlake.operators.projections import with_file_row_id
+from featlake.operators.skew import row_hash
 from featlake.session import spread
 from featlake.table import FeatureTable
 
@@ -43,12 +44,11 @@ def read_parquet(
 def write_feature_parquet(df: DataFrame, path: str, geom: str = "geom", cell: float = 1.0) -> None:
     """Store features with flat bounds, sorted by grid cell, so that footers prune box filters.
 
-    The range partitioning is by cell and a hash of the row, so one crowded cell spans many files.
+    Cells are numbered along a Z-shaped curve, which keeps neighbours in both directions close. The
+    range partitioning is by cell and a hash of the row, so one crowded cell spans many files.
     """
     bounded = df if set(G.BOUNDS) <= set(df.columns) else G.with_bounds(df, geom)
-    cx, cy = (F.floor(F.col(b) / cell).cast("int") for b in ("xmin", "ymin"))
-    spread = F.xxhash64(*G.BOUNDS)
-    placed = bounded.withColumns({"_cell": F.struct(cx.alias("x"), cy.alias("y")), "_spread": spread})
+    placed = bounded.withColumns({"_cell": _curve_position(cell), "_spread": row_hash(bounded)})
     (
         placed.repartitionByRange("_cell", "_spread")
         .sortWithinPartitions("_cell")
@@ -57,6 +57,19 @@ def write_feature_parquet(df: DataFrame, path: str, geom: str = "geom", cell: fl
     )
 
 
+def _curve_position(cell: float) -> Column:
+    """The bits of the column and row number of a feature's cell, interleaved."""
+
+    def spaced(value: Column) -> Column:
+        # Sixteen bits, each followed by a gap of one.
+        bits = (F.floor(value / cell).cast("bigint") + 32768).bitwiseAND(0xFFFF)
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(mask)
+        return bits
+
+    return spaced(F.col("xmin")).bitwiseOR(F.shiftleft(spaced(F.col("ymin")), 1))
+
+
 def extract(
     source: DataFrame, box: tuple[float, float, float, float], target: str, bbox: str = "bbox"
 ) -> tuple[DataFrame, int]:
@@ -130,6 +143,14 @@ def read_csv(
     return made if keep_source_columns else made.drop(*[c for c in (x, y, z) if c])
 
 
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """JSON rows, one per line, or whole documents; give a schema for large data."""
+    reader = spark.read.option("multiLine", multi_line)
+    return (reader if schema is None else reader.schema(schema)).json(path)
+
+
 # --- GeoJSON --------------------------------------------------------------------------------
 
 
@@ -281,11 +302,24 @@ def read_jdbc(
     return df if geometry is None else G.with_bounds(df.withColumn(geometry, from_wkb(F.col(geometry))), geometry)
 
 
+def attach(
+    spark: SparkSession, url: str, tables: Sequence[str], alias: str, **options: str
+) -> dict[str, DataFrame]:
+    """Make tables of another database readable as temporary views named ``alias_table``."""
+    views = {}
+    for table in tables:
+        df = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
+        views[table] = df
+        df.createOrReplaceTempView(f"{alias}_{table.replace('.', '_')}")
+    return views
+
+
 # --- named source types ---------------------------------------------------------------------
 
 _SOURCES: dict[str, Callable[..., DataFrame]] = {
     "parquet": read_parquet,
     "csv": read_csv,
+    "json": read_json,
     "geojson": read_geojson,
     "sql": read_sql,
     "jdbc": read_jdbc,

@@ -81,7 +81,7 @@ def test_parquet_with_binary_geometry(spark, tmp_path):
 
 
 def test_named_sources(spark, tmp_path):
-    with pytest.raises(S.SourceError, match="available: csv, geojson, jdbc, parquet, sql"):
+    with pytest.raises(S.SourceError, match="available: csv, geojson, jdbc, json, parquet, sql"):
         S.open_table(spark, "oracle", {}, id="id", x="x", y="y")
     S.register_source("grid", lambda s, n: s.range(n).selectExpr("id", "id * 1D AS x", "0D AS y"))
     assert S.open_table(spark, "grid", {"n": 7}, id="id", x="x", y="y").count_items().first().total == 7
@@ -90,6 +90,20 @@ def test_named_sources(spark, tmp_path):
     assert {r.id.split(":")[1] for r in table.list_features().collect()} == {"0", "1", "2"}
 
 
+def test_json_rows(spark, tmp_path):
+    path = _write(tmp_path, "a.json", '{"id": 1, "lon": 2.0, "lat": 3.0}\n{"id": 2, "lon": 9.0, "lat": 9.0}\n')
+    table = S.open_table(spark, "json", {"path": path, "schema": "id int, lon double, lat double"}, id="id", x="lon", y="lat")
+    assert [r.id for r in table.list_features(FeatureFilter(bbox=(0, 0, 5, 5))).collect()] == ["1"]
+
+
+def test_cells_are_numbered_along_a_curve(spark):
+    rows = [(float(x), float(y)) for x in range(4) for y in range(4)]
+    df = spark.createDataFrame(rows, "xmin double, ymin double")
+    position = {(r.xmin, r.ymin): r[2] for r in df.select("*", S._curve_position(1.0)).collect()}
+    base = position[0, 0]
+    assert [position[c] - base for c in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (3, 3))] == [0, 1, 2, 3, 4, 8, 15]
+
+
 def test_sql_sources(spark):
     spark.range(4).createOrReplaceTempView("four")
     for source in ("four", "SELECT * FROM four", "WITH a AS (SELECT * FROM four) SELECT * FROM a", " values (0), (1), (2), (3)"):
