@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from featlake.plans import derived
 from featlake.session import tune
@@ -15,6 +16,16 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_given(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is read from the footers once per process."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 class Tables:
     """The given tables of one folder and the tables derived from them, read on demand."""
 
@@ -26,7 +37,7 @@ class Tables:
             base, columns = derived.DERIVED[name]
             return getattr(self, base).selectExpr(*columns)
         if name in derived.GIVEN:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return read_given(self.spark, f"{self.folder}/{name}.parquet")
         raise AttributeError(name)
 
 

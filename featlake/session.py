@@ -21,7 +21,8 @@ _SETTINGS = {
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings (UTC, adaptive execution with skew splitting) to a session."""
     for key, value in _SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -33,6 +34,8 @@ def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Do not record a Python stack for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .getOrCreate()
     )
