@@ -11,6 +11,7 @@ from featlake.operators import describe as D
 from featlake.operators import geometry as G
 from featlake.plans.registry import Tables, query
 from featlake.plans.shapes import parcels
+from featlake.session import spread
 from featlake.table import FeatureTable
 
 _ISO = (
@@ -175,7 +176,7 @@ def infer_schema(t: Tables) -> DataFrame:
         F.lit(',"note":'), F.coalesce(note, F.lit("null")),
         F.lit(',"only_'), F.col("event_type"), F.lit('":"x"}'),
     )
-    return D.infer_properties(t.events.select("event_id", bag.alias("bag")), "bag", "event_id")
+    return D.infer_properties(spread(t.events.select("event_id", bag.alias("bag"))), "bag", "event_id")
 
 
 _SPELLED = """

@@ -68,7 +68,10 @@ def use_checkpoints(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly row work on an input that arrives in fewer partitions than cores.
 
-    Large inputs have more partitions than that and are left as they are, without a shuffle.
+    Large inputs have more partitions than that and are left as they are, without a shuffle. So
+    are streams and inputs behind a shuffle, whose partitions are not known before they run.
     """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
