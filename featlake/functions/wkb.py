@@ -7,15 +7,20 @@ JVM. A batch of plain points, the common case, is decoded as one numpy array.
 from __future__ import annotations
 
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from featlake.operators.geometry import GEOMETRY
 
+# The functions travel to the executors with the job, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Geometry type codes, and the dimension of the parts of each.
 _NAMES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon",
           7: "GeometryCollection"}

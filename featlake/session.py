@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -43,6 +44,11 @@ def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
     return tune(spark)
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="featlake-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
@@ -54,8 +60,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="featlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/featlake/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -8,16 +8,21 @@ can hold; :class:`featlake.streaming.runs.JobStates` has no such bound.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from featlake.operators.jobs import ACCEPTED, DISMISSED, FAILED, RUNNING, SUCCESSFUL
 
+# The operator travels to the executors with the job, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Which requested status may follow which; end states are followed by nothing.
 _NEXT = {
     None: (ACCEPTED,),
