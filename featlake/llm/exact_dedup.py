@@ -80,7 +80,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")
     ).agg(F.count("*").alias("_times"))
     sha = F.sha2(ascii_lower(whole_text(text_col)), 256)
-    stays = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")) & (sha == F.col("_sha")))
-    once = stays.where("_times = 1").drop("_keep", "_sha", "_times")
-    again = stays.where("_times > 1").dropDuplicates(["_keep", "_sha"]).drop("_keep", "_sha", "_times")
-    return once.unionByName(again)
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), sha.alias("_text_sha"))
+    stays = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text_sha") == F.col("_sha")))
+    again = stays.where("_times > 1").dropDuplicates(["_keep", "_sha"])
+    return stays.where("_times = 1").unionByName(again).select("_doc.*")

@@ -136,9 +136,9 @@ def _running_sums(values: Column) -> Column:
 
 
 def _with_spans(df: DataFrame, text: str, nth: int, kind: Kind) -> DataFrame:
-    """Add ``_kind{nth}``: the kind's spans that pass its check, with their scores."""
+    """Add ``_pii_kind{nth}``: the kind's spans that pass its check, with their scores."""
     near = rf"(?i)(?<!\p{{L}})(?:{kind.words})(?!\p{{L}})"
-    hit, pieces, ends, out = f"_hit{nth}", f"_pieces{nth}", f"_ends{nth}", f"_kind{nth}"
+    hit, pieces, ends, out = f"_pii_hit{nth}", f"_pii_pieces{nth}", f"_pii_ends{nth}", f"_pii_kind{nth}"
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     df = df.withColumn(hit, F.when(kind.hint(F.col(text)), matches))
     some = F.size(hit) > 0  # also false where there is no array
@@ -174,12 +174,12 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", kinds: tuple[Kin
     of a kind are leftmost and do not overlap; one that fails its check is dropped without another
     try. A null or empty text has no spans. A column of ``docs`` named ``spans`` is replaced.
     """
-    df = docs.withColumn("_text", whole_text(text_col))
+    df = docs.withColumn("_pii_text", whole_text(text_col))
     for nth, kind in enumerate(kinds):
-        df = _with_spans(df, "_text", nth, kind)
-    names = [f"_kind{nth}" for nth in range(len(kinds))]
+        df = _with_spans(df, "_pii_text", nth, kind)
+    names = [f"_pii_kind{nth}" for nth in range(len(kinds))]
     # Spans of two added kinds may be one thing; the base kinds never give way.
-    return df.withColumn("spans", F.array_sort(F.concat(*names))).drop("_text", *names)
+    return df.withColumn("spans", F.array_sort(F.concat(*names))).drop("_pii_text", *names)
 
 
 def spelled(spans: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
@@ -203,15 +203,15 @@ def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KI
     what it covers. A null text stays null.
     """
     names = F.array(*[F.lit(f"<{k.name}>") for k in kinds])
-    found = find_personal_data(docs.withColumn("_whole", F.col(text_col)), "_whole", kinds)
+    found = find_personal_data(docs.withColumn("_pii_whole", F.col(text_col)), "_pii_whole", kinds)
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         clear = s["start"] >= a["at"]
-        gap = F.col("_whole").substr(a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        gap = F.col("_pii_whole").substr(a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
         out = F.when(clear, F.concat(a["out"], gap, F.element_at(names, s["kind"] + 1))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
-    tail = lambda a: F.concat(a["out"], F.col("_whole").substr(a["at"] + 1, F.length("_whole")))
-    done = F.when(F.size("spans") == 0, F.col("_whole")).otherwise(F.aggregate("spans", empty, step, tail))
-    return found.withColumn(text_col, done).drop("_whole", "spans")
+    tail = lambda a: F.concat(a["out"], F.col("_pii_whole").substr(a["at"] + 1, F.length("_pii_whole")))
+    done = F.when(F.size("spans") == 0, F.col("_pii_whole")).otherwise(F.aggregate("spans", empty, step, tail))
+    return found.withColumn(text_col, done).drop("_pii_whole", "spans")

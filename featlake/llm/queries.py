@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm import exact_dedup, pii, sharding
+from featlake.llm import bpe, exact_dedup, language_id, mixing, pii, records, sharding
 from featlake.llm.common import read_documents
 
+#: Files of the public tokenizers.
+BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,11 +31,26 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as ids of a byte-level vocabulary, and back."""
+    return bpe.round_trip(read_documents(spark, folder), bpe.public_file(BYTE_VOCABULARY))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts, and the document of each that stays."""
     return exact_dedup.exact_duplicates(read_documents(spark, folder))
 
 
+def op6_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids written as records and read back."""
+    return records.digest(records.written_and_read(read_documents(spark, folder), bpe.public_file(WORD_VOCABULARY), 1))
+
+
+def op8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.taken_words(mixing.mix(read_documents(spark, folder)))
+
+
 def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
     """Forty shards of about equal bytes."""
     return sharding.shard_by_bytes(read_documents(spark, folder), 40).select(
@@ -41,7 +59,20 @@ def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op5_exact_dedup, op9_shard)}
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text, learned from two thirds of the labelled ones."""
+    docs = read_documents(spark, folder)
+    known = language_id.learn(docs, ~language_id.held_out())
+    found = language_id.identify(docs.select("doc_id", "text"), known)
+    return found.select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", language_id.score(F.col("margin")).alias("score")
+    )
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_pii, op3_byte_bpe, op5_exact_dedup, op6_token_records, op8_mix, op9_shard, op10_language)
+}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
