@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm import bpe, exact_dedup, language_id, mixing, pii, records, sharding
+from featlake.llm import bpe, exact_dedup, language_id, mixing, pii, records, sharding, suffix_tree
 from featlake.llm.common import read_documents
 
 #: Files of the public tokenizers.
@@ -31,6 +31,11 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every text by a suffix tree learned from four fifths of them."""
+    return suffix_tree.score_texts(read_documents(spark, folder), ~suffix_tree.held_out())
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text as ids of a byte-level vocabulary, and back."""
     return bpe.round_trip(read_documents(spark, folder), bpe.public_file(BYTE_VOCABULARY))
@@ -71,7 +76,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op3_byte_bpe, op5_exact_dedup, op6_token_records, op8_mix, op9_shard, op10_language)
+    for f in (op1_pii, op2_suffix_tree, op3_byte_bpe, op5_exact_dedup, op6_token_records, op8_mix, op9_shard, op10_language)
 }
 
 ORACLES: dict[str, str] = {
