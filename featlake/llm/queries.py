@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm import bpe, exact_dedup, language_id, mixing, pii, records, sharding, suffix_tree
+from featlake.llm import bpe, exact_dedup, imatch, language_id, mixing, pii, records, sharding, suffix_tree
 from featlake.llm.common import read_documents
 
 #: Files of the public tokenizers.
@@ -51,6 +51,11 @@ def op6_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.digest(records.written_and_read(read_documents(spark, folder), bpe.public_file(WORD_VOCABULARY), 1))
 
 
+def op7_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text, and how they compare with an edited text's and the next one's."""
+    return imatch.fingerprint_edits(read_documents(spark, folder))
+
+
 def op8_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.taken_words(mixing.mix(read_documents(spark, folder)))
@@ -76,7 +81,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_suffix_tree, op3_byte_bpe, op5_exact_dedup, op6_token_records, op8_mix, op9_shard, op10_language)
+    for f in (op1_pii, op2_suffix_tree, op3_byte_bpe, op5_exact_dedup, op6_token_records, op7_imatch, op8_mix, op9_shard, op10_language)
 }
 
 ORACLES: dict[str, str] = {
