@@ -4,14 +4,15 @@ A byte-level vocabulary spells every byte as one character. Encoding maps the by
 those characters, splits by the vocabulary's pattern and merges; decoding reverses the table. A
 token may end inside a character, so decoding works on bytes and joins split characters.
 
-Words repeat, so a text is first cut into pieces at places where the pattern always splits, each
-distinct piece is encoded once per task, and the pieces' ids are gathered with numpy.
+Words repeat, so texts are first cut into pieces at places where the pattern always splits, each
+distinct piece is encoded once per Python worker, and the pieces' ids are gathered with numpy.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,14 +22,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import whole_text
+from featlake.llm.common import kept_by_worker, whole_text
+from featlake.llm.words import Words, mixed
 
-#: Characters of text worked on at once in a task, and distinct pieces remembered.
-AT_ONCE, REMEMBERED = 1 << 20, 300_000
+#: Bytes of text worked on at once in a task, and distinct pieces remembered.
+AT_ONCE, REMEMBERED = 1 << 20, 1_500_000
+#: Pieces that are given to the tokenizer at once.
+TOGETHER = 512
 # Before a blank or line feed that a visible character follows the pattern always splits: what
 # stands before it in a run of white space is a match of its own there as well as at a text's end.
 _CUT = re.compile(r"(?=[ \n][!-~\u00a1-\u167f\u3001-\ud7ff])")
 
+_SPACES, _VISIBLE = np.zeros(256, bool), np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: First bytes of characters that are no white space of any kind.
+_VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE0)]] = True
+
 
 def public_file(name: str) -> str:
     import public_tokenizers
@@ -48,11 +57,11 @@ class Ragged:
 
     def __init__(self, flat: np.ndarray, lengths: np.ndarray):
         self.flat, self.lengths = flat, lengths
-        self.starts = np.cumsum(lengths) - lengths
+        self.starts = np.cumsum(lengths, dtype=np.int64) - lengths
 
     def pick(self, which: np.ndarray) -> np.ndarray:
         """The picked arrays, one after another."""
-        lengths = self.lengths[which]
+        lengths = self.lengths[which].astype(np.int64)
         ends = np.cumsum(lengths)
         shift = np.repeat(self.starts[which] - (ends - lengths), lengths)
         return self.flat[shift + np.arange(len(shift))]
@@ -69,53 +78,126 @@ def token_bytes(tokenizer_file: str) -> Ragged:
     return Ragged(np.frombuffer(b"".join(tokens), np.uint8), np.array(list(map(len, tokens)), np.int64))
 
 
+def ids_of_each(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces, and the number of ids of each."""
+    flat, counts = [np.empty(0, np.int64)], []
+    for i in range(0, len(pieces), TOGETHER):
+        found = [e.ids for e in tokenizer.encode_batch_fast(pieces[i : i + TOGETHER], add_special_tokens=False)]
+        flat.append(np.fromiter((x for ids in found for x in ids), np.int64))
+        counts.extend(map(len, found))
+    return np.concatenate(flat), np.array(counts, np.int64)
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece. ``cut`` may only cut where the tokenizer splits anyway."""
+    """Encodes each distinct piece once and remembers its ids by the piece's 64-bit hash.
+
+    ``encode_new`` gives the ids of new pieces and the number of ids of each.
+    """
 
-    def __init__(self, tokenizer, cut: Callable[[str], list[str]]):
-        self.tokenizer, self.cut = tokenizer, cut
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode_new = encode_new
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.lengths: list[np.ndarray] = []
-        self.table = None
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = list(set(pieces).difference(self.known))
-        if not new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        at = len(self.known)
-        self.known.update(zip(new, range(at, at + len(new))))
-        self.ids.append(np.fromiter((i for ids in found for i in ids), np.int64))
-        self.lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-        self.ids, self.lengths = [np.concatenate(self.ids)], [np.concatenate(self.lengths)]
-        self.table = Ragged(self.ids[0], self.lengths[0])
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and the number of ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        pieces = [self.cut(t) for t in texts]
-        flat = [p for ps in pieces for p in ps]
-        if not flat:
-            return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-        self._learn(flat)
-        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        upto = np.concatenate([[0], np.cumsum(self.table.lengths[which])])
-        ends = upto[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
-        return self.table.pick(which), np.diff(ends, prepend=0)
+        self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.table = Ragged(np.empty(0, np.int32), np.empty(0, np.int32))
 
+    def __call__(self, keys: np.ndarray, spell: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces with these keys, one after another, and the number of ids of each.
 
-def byte_level_encoder(tokenizer_file: str) -> PieceEncoder:
-    """Special tokens that are spelled out in a text are ordinary text."""
-    from tokenizers import Tokenizer
+        ``spell`` gives the bytes of the piece at a place in ``keys``.
+        """
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        if not known.all():
+            new = distinct[~known]
+            ids, counts = self.encode_new([spell(i).decode() for i in first[~known].tolist()])
+            number = (len(self.table.lengths) + np.arange(len(new))).astype(np.int32)
+            lengths = np.concatenate([self.table.lengths, counts.astype(np.int32)])
+            self.table = Ragged(np.concatenate([self.table.flat, ids.astype(np.int32)]), lengths)
+            places = np.searchsorted(self.keys, new)
+            self.keys, self.at = np.insert(self.keys, places, new), np.insert(self.at, places, number)
+            at = np.searchsorted(self.keys, distinct)
+        which = self.at[at][back]
+        return self.table.pick(which).astype(np.int64), self.table.lengths[which].astype(np.int64)
+
+
+class TextEncoder:
+    """Encodes texts with a byte-level vocabulary; special tokens spelled out in a text are ordinary text.
+
+    A text whose words are separated by single blanks or line feeds is cut before each of those:
+    there the pattern always splits, if a visible character follows. Marks at the ends of words are
+    pieces of their own. Texts with other white space are encoded whole, cut by ``_CUT``.
+    """
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True
-    return PieceEncoder(tokenizer, lambda text: [p for p in _CUT.split(text) if p])
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.encode_special_tokens = True
+        self.lengths = token_bytes(tokenizer_file).lengths
+        self.pieces = PieceEncoder(self._encode_new)
+
+    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Pieces that start with white space split from what stands before them: encoded in one text,
+        # their ids are told apart by bytes.
+        joined = [i for i, p in enumerate(pieces) if p[0] in " \n"]
+        alone = [i for i, p in enumerate(pieces) if p[0] not in " \n"]
+        flat, counts = [], np.zeros(len(pieces), np.int64)
+        for i in range(0, len(joined), TOGETHER):
+            some = [pieces[j] for j in joined[i : i + TOGETHER]]
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
+            counts[joined[i : i + TOGETHER]] = np.diff(ends, prepend=0)
+            flat.append(ids)
+        ids, counts[alone] = ids_of_each(self.tokenizer, [pieces[i] for i in alone])
+        both = Ragged(np.concatenate([*flat, ids]), counts[joined + alone])
+        order = np.empty(len(pieces), np.int64)
+        order[joined + alone] = np.arange(len(pieces))
+        return both.pick(order), counts
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the number of ids of each text."""
+        words = Words(texts, lower=False, marks=True)
+        data, start, end = words.data, words.start, words.end
+        # A mark that was cut off touches the word before it; other words follow one separator.
+        touching = np.concatenate([[False], (start[1:] == end[:-1]) & (words.doc[1:] == words.doc[:-1])]) if len(start) else np.empty(0, bool)
+        first = start == words.offsets[words.doc]
+        before = data[np.maximum(start - 1, 0)]
+        separated = ~touching & ~first
+        visible = _VISIBLE[data[start]]
+        single = np.zeros(len(start), bool)
+        single[1:] = (start[1:] == end[:-1] + 1) & (words.doc[1:] == words.doc[:-1])
+        fine = touching | first | (single & visible & ((before == 0x20) | (before == 0x0A)))
+        # Irregular texts: other separators, white space at the start or end, or nothing but that.
+        sizes = np.diff(words.offsets)
+        odd = np.bincount(words.doc, weights=~fine, minlength=words.n) > 0
+        last = words.offsets[1:]
+        odd |= (sizes > 0) & _SPACES[data[np.maximum(last - 1, 0)]] if len(data) else odd
+        use = ~odd[words.doc]
+        keys = words.hashes() + np.where(separated, before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        keys, lead = mixed(keys[use]), (start - separated)[use]
+        stop, raw = end[use], data.tobytes()
+        ids, n = self.pieces(keys, lambda i: raw[lead[i] : stop[i]])
+        counts = np.bincount(words.doc[use], weights=n, minlength=words.n).astype(np.int64)
+        if not odd.any():
+            return ids, counts
+        which = np.flatnonzero(odd).tolist()
+        cut = [[p for p in _CUT.split(texts[i].as_py()) if p] for i in which]
+        other, m = ids_of_each(self.tokenizer, [p for ps in cut for p in ps])
+        ends = np.cumsum([len(ps) for ps in cut])
+        own = np.diff(np.concatenate([[0], np.cumsum(m)])[ends], prepend=0)
+        both = Ragged(np.concatenate([ids, other]), np.concatenate([counts, own]))
+        order = np.arange(words.n)
+        order[which] = words.n + np.arange(len(which))
+        counts[which] = own
+        return both.pick(order), counts
 
 
 def in_parts(batches: Iterable[pa.RecordBatch], text: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -140,12 +222,11 @@ def character_offsets(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray
 
 
 def _encoded(batches, tokenizer_file: str):
-    """Per part of the batches, whose first column is text: the part, texts, flat ids, ids per text, token table."""
-    encode, table = byte_level_encoder(tokenizer_file), token_bytes(tokenizer_file)
+    """Per part of the batches, whose first column is text: the part, flat ids, ids per text, token table."""
+    encode = kept_by_worker(("byte", tokenizer_file), lambda: TextEncoder(tokenizer_file))
+    table = token_bytes(tokenizer_file)
     for part in in_parts(batches, 0):
-        texts = part.column(0).to_pylist()
-        ids, counts = encode(texts)
-        yield part, texts, ids, counts, table
+        yield part, *encode(part.column(0)), table
 
 
 def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -159,12 +240,12 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", offsets
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:]), *(f"{k} {v}" for k, v in new.items())])
 
     def work(batches):
-        for part, texts, ids, counts, table in _encoded(batches, tokenizer_file):
+        for part, ids, counts, table in _encoded(batches, tokenizer_file):
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             columns = [pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32)))]
             if offsets:
                 spans = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
-                for text, some in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+                for text, some in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1])):
                     data = np.frombuffer(text.encode(), np.uint8)
                     for out, found in zip(spans, character_offsets(data, table.lengths[some])):
                         out.append(found)
@@ -212,7 +293,7 @@ def round_trip(
     id_type = kept.schema["_id"].dataType.simpleString()
 
     def work(batches):
-        for part, _, ids, counts, table in _encoded(batches, tokenizer_file):
+        for part, ids, counts, table in _encoded(batches, tokenizer_file):
             data = table.pick(ids)
             id_ends = np.cumsum(counts)
             byte_ends = np.concatenate([[0], np.cumsum(table.lengths[ids])])[id_ends]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import types
+from collections.abc import Callable
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,3 +53,14 @@ def collected(df: DataFrame, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"{what}: more than {most} rows")
     return rows
+
+
+def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept by the Python worker for its later tasks.
+
+    Code that travels to workers has no module of its own there that would last from task to task.
+    """
+    store = sys.modules.setdefault("_featlake_worker", types.ModuleType("_featlake_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -8,7 +8,7 @@ separate table lists where each record starts, so readers can take records in an
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -18,13 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.llm.bpe import PieceEncoder, in_parts
-from featlake.llm.common import whole_text
+from featlake.llm.bpe import TOGETHER, PieceEncoder, Ragged, ids_of_each, in_parts
+from featlake.llm.common import kept_by_worker, whole_text
+from featlake.llm.words import Words
 from featlake.session import scratch_dir
 
 _POLYNOMIAL, _MASK = 0x82F63B78, 0xA282EAD8
-#: The four white space characters that texts are cut at; all tokenizers of words split there.
-_WORDS = re.compile(r"[^ \t\n\r]+")
 _INDEX = "file string, `offset` long, `length` long, n_tokens long, part int, nth long, before long"
 
 
@@ -120,14 +119,56 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
 
 
-def word_encoder(tokenizer_file: str) -> PieceEncoder:
-    from tokenizers import Tokenizer
-
-    return PieceEncoder(Tokenizer.from_file(tokenizer_file), _WORDS.findall)
+class WordEncoder:
+    """Encodes texts with a vocabulary of words whose last tokens are marked, word by word."""
+
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = PieceEncoder(self._encode_new)
+
+    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Words of letters are encoded in one text, and their last tokens tell them apart. If that
+        # does not give as many as there are words, each is encoded alone, like all other pieces.
+        joined, alone = [], []
+        for i, p in enumerate(pieces):
+            (joined if p.isalpha() else alone).append(i)
+        flat, counts, order = [], np.zeros(len(pieces), np.int64), []
+        for i in range(0, len(joined), TOGETHER):
+            some = joined[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(pieces[j] for j in some), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                flat.append(ids)
+                counts[some] = np.diff(ends, prepend=0)
+                order += some
+            else:
+                alone += some
+        ids, counts[alone] = ids_of_each(self.tokenizer, [pieces[i] for i in alone])
+        both, back = Ragged(np.concatenate([*flat, ids]), counts[order + alone]), np.empty(len(pieces), np.int64)
+        back[order + alone] = np.arange(len(pieces))
+        return both.pick(back), counts
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the number of ids of each text."""
+        words = Words(texts, lower=True, marks=True)
+        raw = words.data.tobytes()
+        if any(s in raw for s in self.special):  # in capitals they would not be special
+            words = Words(texts, lower=False, marks=True)
+            raw = words.data.tobytes()
+        start, end = words.start, words.end
+        ids, n = self.pieces(words.hashes(), lambda i: raw[start[i] : end[i]])
+        return ids, np.bincount(words.doc, weights=n, minlength=words.n).astype(np.int64)
 
 
 def write_records(
-    docs: DataFrame, target: str, encoder: Callable[[], PieceEncoder], end: int, dtype: str = "<u4",
+    docs: DataFrame, target: str, encoder: Callable[[], Callable], end: int, dtype: str = "<u4",
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Write the documents' ids below ``target`` in ascending order of their id; return the index.
@@ -153,7 +194,7 @@ def write_records(
                 store, path = open_store(file)
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 sink = store.open_output_stream(path)
-            ids, counts = encode(batch.column(0).to_pylist())
+            ids, counts = encode(batch.column(0))
             ends = np.cumsum(counts)
             whole = np.insert(ids, ends, end).astype(dtype)
             if len(whole) and int(max(ids.max(initial=0), end)) > np.iinfo(dtype).max:
@@ -225,7 +266,7 @@ def written_and_read(docs: DataFrame, tokenizer_file: str, end: int, id_col: str
     """Write all documents with a word tokenizer and read them back: ``id_col, start, n_tokens, ids``."""
     target = scratch_dir(docs.sparkSession, "records")
     dtype = "<u2"  # the vocabulary has fewer than 65536 ids; writing checks it
-    index = write_records(docs, target, lambda: word_encoder(tokenizer_file), end, dtype, id_col, text_col)
+    index = write_records(docs, target, lambda: kept_by_worker(("word", tokenizer_file), lambda: WordEncoder(tokenizer_file)), end, dtype, id_col, text_col)
     # Index rows are small, but what they point to is not: a task for each file.
     files = index.agg(F.max("part")).first()[0]
     ordered = with_starts(index).repartition((files or 0) + 1, "part").sortWithinPartitions("part", "nth")

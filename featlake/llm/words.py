@@ -31,19 +31,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,!?;:|")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
 class Words:
-    """The words of the texts of a column without nulls; A to Z count as lower case.
+    """The words of the texts of a column without nulls; A to Z count as lower case if ``lower``.
 
     ``doc`` is the number of a word's text, ``start`` and ``end`` its place in ``data``, ``count``
-    the number of words of each text.
+    the number of words of each text. With ``marks`` a single mark at the end of a word, after a
+    Latin letter, is a word of its own.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = True, marks: bool = False):
         kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
         offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         raw = texts.buffers()[2]
         whole = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
-        self.n, self.data = len(texts), _LOWER[whole[offsets[0] : offsets[-1]]]
+        self.n, self.data = len(texts), whole[offsets[0] : offsets[-1]]
+        if lower:
+            self.data = _LOWER[self.data]
         self.offsets = offsets - offsets[0]
         self.inside = ~_SPACE[self.data]
         # A word also ends where its text ends: edges[i] is true if a text starts at byte i.
@@ -54,9 +63,20 @@ class Words:
         self.starts = self.inside & (edges[:-1] | ~before)
         self.start = np.flatnonzero(self.starts)
         self.end = np.flatnonzero(self.inside & (edges[1:] | ~after)) + 1
+        if marks:
+            self._split_marks()
         self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
         self.count = np.bincount(self.doc, minlength=self.n)
 
+    def _split_marks(self) -> None:
+        long = np.flatnonzero(self.end - self.start >= 3)
+        last = self.end[long] - 1
+        a, b = self.data[last - 2], self.data[last - 1]
+        # A letter is one of A to Z, or of the two-byte letters from U+00C0 on but for two signs.
+        letter = _LETTER[b] | ((a == 0xC3) & (b != 0x97) & (b != 0xB7))
+        cut = last[_MARK[self.data[last]] & letter]
+        self.start, self.end = np.sort(np.concatenate([self.start, cut])), np.sort(np.concatenate([self.end, cut]))
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         up, down = _powers(len(self.data) + 1)

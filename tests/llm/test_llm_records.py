@@ -54,6 +54,7 @@ def test_hard_rows(hard):
 
 def test_white_space_of_all_kinds(spark):
     texts = [f"a{c}b {c} c" for c in map(chr, [*range(1, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x3000, 0xFEFF])]
+    texts += ["Don't, x', ,'s 's. İx, É, <|endoftext|> <|ENDOFTEXT|>, ABC á, 3's 12, é! ×, ÷. ñ|", "DON'T ABC", "I'LL, we'll. ǅ ΑΣ, ΑΣ"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = records.digest(records.written_and_read(docs, FILE, 1)).collect()
     assert sorted(map(tuple, got)) == expected_ids(list(enumerate(texts)))
@@ -61,7 +62,7 @@ def test_white_space_of_all_kinds(spark):
 
 def written(spark, tmp_path, n=300):
     docs = spark.createDataFrame([(i, "some words " * (i % 40)) for i in range(n)], "doc_id long, text string").repartition(4)
-    return records.write_records(docs, str(tmp_path / "out"), lambda: records.word_encoder(FILE), 1)
+    return records.write_records(docs, str(tmp_path / "out"), lambda: records.WordEncoder(FILE), 1)
 
 
 def test_files_hold_plain_frames_in_order(spark, tmp_path):
