@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm import bpe, exact_dedup, imatch, language_id, mixing, pii, records, sharding, suffix_tree
+from featlake.llm import bpe, exact_dedup, imatch, language_id, mixing, ngram_join, pii, records, sharding, suffix_tree
 from featlake.llm.common import read_documents
 
 #: Files of the public tokenizers.
@@ -41,6 +41,11 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(read_documents(spark, folder), bpe.public_file(BYTE_VOCABULARY))
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of texts that share three quarters of their runs of five words."""
+    return ngram_join.near_duplicates(read_documents(spark, folder))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts, and the document of each that stays."""
     return exact_dedup.exact_duplicates(read_documents(spark, folder))
@@ -81,7 +86,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_suffix_tree, op3_byte_bpe, op5_exact_dedup, op6_token_records, op7_imatch, op8_mix, op9_shard, op10_language)
+    for f in (op1_pii, op2_suffix_tree, op3_byte_bpe, op4_ngram_join, op5_exact_dedup, op6_token_records, op7_imatch, op8_mix, op9_shard, op10_language)
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +98,24 @@ ORACLES: dict[str, str] = {
           doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM norm WINDOW w AS (PARTITION BY t)
     """,
+    "op4_ngram_join": """
+        WITH RECURSIVE texts AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+          FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+          FROM texts),
+        one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+          FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs WHERE 100 * c >= 75 * (na + nb - c)),
+        ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.x, w.b FROM reach r JOIN ways w ON r.y = w.a)
+        SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(r.y) AS component_id
+        FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id
+    """,
 }
