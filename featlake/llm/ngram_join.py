@@ -488,7 +488,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows that stay, with all their columns: of each component those of its smallest id.
 
-    A row without an id stays only if its component has no id. Texts without words all stay.
+    Rows that repeat that id stay together. A row without an id stays only if its component has no
+    id. Texts without words all stay.
     """
     found = near_duplicates(docs, id_col, text_col, percent)
     keep = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_keep")).distinct()

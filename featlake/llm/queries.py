@@ -102,11 +102,11 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE texts AS (
           SELECT doc_id, list_filter(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+            '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
           FROM documents),
         sets AS (
           SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-            ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
           FROM texts),
         one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
         pairs AS (
