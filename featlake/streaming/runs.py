@@ -1,25 +1,25 @@
-"""Running streams: file sources, finite runs, and job states kept across micro-batches."""
+"""Running streams: file sources and finite runs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.operators import jobs as Jb
 from featlake.session import scratch_dir
 
 
-def read_table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The Parquet file of a given table as a stream; its time columns become UTC timestamps."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    rows = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}*.parquet")
-        .option("maxFilesPerTrigger", 64)
-        .parquet(folder)
-    )
+def read_table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 64) -> DataFrame:
+    """A given table, one file or a folder of files, as a stream; its time columns become UTC timestamps.
+
+    A table that is not there, or has no files, is an error.
+    """
+    path = f"{folder}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    # A stream reads folders; a table of one file is that file of its folder, and no other.
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    rows = reader.parquet(path) if whole else reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
     stamps = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     # Watermarks need timestamps with a zone; the session zone is UTC.
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in stamps})
@@ -39,52 +39,3 @@ def run_to_end(stream: DataFrame, purpose: str) -> DataFrame:
     )
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/rows")
-
-
-class JobStates:
-    """The steps of every job, kept as one Parquet version per micro-batch.
-
-    Each micro-batch is folded into the version before it by the same aggregates that the batch
-    form uses, so a job with most of the changes is reduced before its shuffle. A batch that is
-    run again after a failure overwrites its own version with the same rows. Changes must not
-    arrive later than in an earlier batch than their predecessors.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/version={version}"
-
-    def at(self, version: int) -> DataFrame | None:
-        return None if version < 0 else self.spark.read.parquet(self._path(version))
-
-    def fold(self, on_change: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-        """The function for ``foreachBatch``; ``on_change`` receives the newly taken steps."""
-
-        def apply(batch: DataFrame, version: int) -> None:
-            before = self.at(version - 1)
-            Jb.fold_job_changes(batch, before).write.mode("overwrite").parquet(self._path(version))
-            if on_change is not None:
-                steps = Jb.status_changes(self.at(version))
-                if before is not None:
-                    steps = steps.join(
-                        Jb.status_changes(before).select("job_identifier", "status"),
-                        ["job_identifier", "status"],
-                        "left_anti",
-                    )
-                on_change(steps, version)
-
-        return apply
-
-    def run(self, changes: DataFrame, on_change: Callable[[DataFrame, int], None] | None = None) -> int:
-        """Fold all available changes; returns the last version."""
-        running = (
-            changes.writeStream.foreachBatch(self.fold(on_change))
-            .option("checkpointLocation", f"{self.folder}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        running.awaitTermination()
-        progress = running.lastProgress
-        return progress["batchId"] if progress else -1

@@ -1,9 +1,8 @@
 """Job life cycles as a stateful stream operator, one state per job.
 
-For states too many to rewrite per micro-batch: only the jobs with changes are touched, and a job
-that has ended keeps one small row. The changes of one job within a micro-batch are ordered in one
-task, so bound the micro-batch (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) to what a task
-can hold; :class:`featlake.streaming.runs.JobStates` has no such bound.
+Only the jobs with changes are touched, and a job that has ended keeps one small row. The changes
+of one job within a micro-batch are ordered in one task, so bound the micro-batch
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) to what a task can hold.
 """
 
 from __future__ import annotations

@@ -70,24 +70,6 @@ def test_job_changes_in_pieces_equal_one_fold(spark):
     assert _got_jobs(state) == _replay_jobs(rows)
 
 
-def test_job_states_of_a_stream(spark, tmp_path):
-    rows = sorted(_log(random.Random(5), 300, [f"j{i}" for i in range(30)], STATUSES), key=lambda r: (r[1], r[2]))
-    source, taken = tmp_path / "changes", []
-    for i in range(0, 300, 100):
-        part = spark.createDataFrame(rows[i : i + 100], CHANGE).coalesce(1)
-        part.write.mode("append").parquet(str(source))
-        time.sleep(1.1)  # files are taken in order of their modification time
-    schema = spark.createDataFrame([], CHANGE).schema
-    # Micro-batches follow the files; within one, the fold orders the changes itself.
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    states = R.JobStates(spark, str(tmp_path / "states"))
-    last = states.run(stream, lambda steps, _: taken.extend(steps.collect()))
-    expected = _replay_jobs(rows)
-    assert _got_jobs(states.at(last)) == expected
-    assert len(taken) == len({(r.job_identifier, r.status) for r in taken})
-    assert len(taken) == sum(1 for _ in Jb.status_changes(states.at(last)).collect())
-
-
 def test_stateful_steps_over_micro_batches(spark, tmp_path):
     rows = sorted(_log(random.Random(9), 240, [f"j{i}" for i in range(25)], STATUSES), key=lambda r: (r[1], r[2]))
     for i in range(0, 240, 80):
@@ -206,9 +188,23 @@ def test_fan_out_of_a_stream_equals_the_batch(spark, tmp_path):
     assert {tuple(r) for r in R.run_to_end(sent, "test-fan-out").collect()} == expected
 
 
-def test_repeats_are_dropped(spark, tmp_path):
-    rows = [(f"e{i % 20}", START + dt.timedelta(minutes=i % 20)) for i in range(60)]
-    df = spark.createDataFrame(rows, "event_key string, ts timestamp")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    assert R.run_to_end(E.drop_repeats(stream, "event_key", "ts"), "test-repeats").count() == 20
+def test_repeats_are_dropped_and_first_deliveries_never(spark, tmp_path):
+    # Four files, the newest events first, one file per micro-batch.
+    rows = [(f"e{i % 40}", START - dt.timedelta(days=i % 40)) for i in range(160)]
+    for i in range(4):
+        df = spark.createDataFrame(rows[i * 40 : i * 40 + 40] + rows[:3], "event_key string, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late = spark.createDataFrame([("old", START - dt.timedelta(days=9000))], df.schema)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert R.run_to_end(E.drop_repeats(stream, "event_key"), "test-repeats").count() == 41
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "events_old.parquet"))
+    got = R.run_to_end(R.read_table_stream(spark, str(tmp_path), "events", 1), "test-table")
+    assert got.count() == events.count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        R.read_table_stream(spark, str(tmp_path), "missing")
