@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featlake.functions.binding import pipe
 from featlake.functions.text import iso_text, json_text
 from featlake.operators import crs as C
 from featlake.operators import geometry as G
@@ -85,11 +84,12 @@ def _plain_type(t: Column) -> Column:
     )
 
 
-def type_name_schema(type_name: Column, depth: int = 3) -> Column:
-    """SQL type names in a column to JSON-Schema text; lists and maps nest up to ``depth``."""
+def type_name_schema(type_name: Column) -> Column:
+    """SQL type names in a column to JSON-Schema text; lists and maps nest to any depth."""
 
-    def peel(t: Column, head: Column, tail: Column) -> tuple[Column, Column, Column]:
+    def peel(state: Column, _: Column) -> Column:
         """Take one list or map wrapper off a type name."""
+        t, head, tail = state["t"], state["head"], state["tail"]
         is_list = t.rlike(r"\[\d*\]$") | t.rlike(r"^LIST\(.*\)$")
         is_map = ~is_list & t.rlike(r"^MAP\([^,]*,.*\)$")
         inner = F.regexp_replace(t, r"^LIST\((.*)\)$|^MAP\([^,]*,(.*)\)$|\[\d*\]$", "$1$2")
@@ -97,16 +97,17 @@ def type_name_schema(type_name: Column, depth: int = 3) -> Column:
             is_map, '{"type":"object","additionalProperties":'
         )
         wrapped = is_list | is_map
-        return (
-            F.when(wrapped, F.trim(inner)).otherwise(t),
-            F.concat(head, F.coalesce(opening, F.lit(""))),
-            F.concat(tail, F.when(wrapped, "}").otherwise("")),
+        return F.struct(
+            F.when(wrapped, F.trim(inner)).otherwise(t).alias("t"),
+            F.concat(head, F.coalesce(opening, F.lit(""))).alias("head"),
+            F.concat(tail, F.when(wrapped, "}").otherwise("")).alias("tail"),
         )
 
-    def close(t: Column, head: Column, tail: Column) -> Column:
-        return F.concat(head, _plain_type(t), tail)
-
-    return pipe((F.upper(F.trim(type_name)), F.lit(""), F.lit("")), *[peel] * depth, close)
+    name = F.upper(F.trim(type_name))
+    start = F.struct(name.alias("t"), F.lit("").alias("head"), F.lit("").alias("tail"))
+    # Every wrapper has a bracket of its own, so there are no more steps than brackets.
+    steps = F.sequence(F.lit(0), F.regexp_count(name, F.lit(r"[\[(]")))
+    return F.aggregate(steps, start, peel, lambda s: F.concat(s["head"], _plain_type(s["t"]), s["tail"]))
 
 
 # --- aggregates -----------------------------------------------------------------------------

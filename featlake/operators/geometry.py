@@ -95,8 +95,10 @@ def box(xmin, ymin, xmax, ymax) -> Column:
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _TUPLE = rf"({_NUMBER})\s+({_NUMBER})(?:\s+({_NUMBER}))?(?:\s+{_NUMBER})?"
-_NESTED = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
-_HEADER = r"^\s*(?:SRID=\d+;)?\s*([A-Za-z]+?)\s*(?:\b(Z|M|ZM)\b)?\s*(\(.*\)|EMPTY)\s*$"
+# Possessive: a repeated choice that may be undone needs a deeper stack for each repetition.
+_NESTED = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_MEMBER = rf"(?i)((?:MULTI)?(?:POINT|LINESTRING|POLYGON)\s*(?:ZM|Z|M)?\s*(?:{_NESTED}|EMPTY))"
+_HEADER = r"(?s)^\s*(?:SRID=\d+;)?\s*([A-Za-z]+?)\s*(?:\b(Z|M|ZM)\b)?\s*(\(.*\)|EMPTY)\s*$"
 _DEEP_TEXT = "array<array<array<array<string>>>>"
 
 
@@ -186,9 +188,8 @@ def from_wkt(text: Column) -> Column:
     """WKT (or EWKT) to a geometry; null for text that is not WKT."""
 
     def parse(kind: Column, tag: Column, body: Column) -> Column:
-        members = F.regexp_extract_all(
-            body, F.lit(rf"([A-Za-z]+\s*(?:Z|M|ZM)?\s*(?:{_NESTED}|EMPTY))"), F.lit(1)
-        )
+        # The single geometries of a collection, and of the collections in it.
+        members = F.regexp_extract_all(body, F.lit(_MEMBER), F.lit(1))
         parts = F.when(
             kind == "GEOMETRYCOLLECTION",
             F.flatten(F.transform(members, lambda m: pipe((_wkt_match(m),), _wkt_pieces, _wkt_parts))),
@@ -210,10 +211,27 @@ def _geojson_parts(kind: Column, coordinates: Column) -> Column:
 
 def from_geojson(text: Column) -> Column:
     """GeoJSON geometry text to a geometry; null for null, ``null`` and malformed text."""
-    shape = "type string, coordinates string, geometries array<struct<type string, coordinates string>>"
+    shape = "type string, coordinates string, geometries array<string>"
+    collection = "GEOMETRYCOLLECTION"
+
+    def opened(texts: Column, _: Column) -> Column:
+        """Collections in an array of geometry texts replaced by what they hold."""
+
+        def one(t: Column) -> Column:
+            found = F.from_json(t, shape)
+            inner = F.coalesce(found["geometries"], F.array().cast("array<string>"))
+            return F.when(F.upper(found["type"]) == collection, inner).otherwise(F.array(t))
+
+        return F.flatten(F.transform(texts, one))
 
     def parse(found: Column) -> Column:
-        return let(members, F.upper(found["type"]), found["coordinates"], found["geometries"])
+        # A text has no more collections in each other than it names.
+        steps = F.sequence(F.lit(0), F.regexp_count(text, F.lit("(?i)GeometryCollection")))
+        single = F.when(
+            F.upper(found["type"]) == collection, F.aggregate(steps, found["geometries"], opened)
+        )
+        each = F.transform(single, lambda t: F.from_json(t, shape))
+        return let(members, F.upper(found["type"]), found["coordinates"], each)
 
     def members(kind: Column, coordinates: Column, geometries: Column) -> Column:
         parts = F.when(

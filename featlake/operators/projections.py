@@ -23,15 +23,17 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
-def with_file_row_id(df: DataFrame, name: str = "id") -> DataFrame:
-    """An id for file rows without one: file name and position in it (Parquet only)."""
-    return df.withColumn(
-        name,
-        F.concat(F.col("_metadata.file_name"), F.lit(":"), F.col("_metadata.row_index").cast("string")),
-    )
-
-
-def with_content_id(df: DataFrame, name: str = "id") -> DataFrame:
-    """An id from the row's content, for sources without stable positions; equal rows share it."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in df.columns]
-    return df.withColumn(name, F.sha2(F.concat_ws("\u001f", *parts), 256))
+def with_file_row_id(df: DataFrame, name: str = "id", root: str | None = None) -> DataFrame:
+    """An id for file rows without one: the file's path and the position in it (Parquet only).
+
+    The path is that below ``root``, the table's folder, or the file's name if the table is one file;
+    without ``root``, or if it is spelled in another way, the whole path. Names alone would repeat:
+    a task writes files of one name into every partition folder.
+    """
+    path = F.col("_metadata.file_path")
+    if root is not None:
+        below = F.lit("/" + root.split(":", 1)[-1].strip("/"))
+        at = F.instr(path, below)
+        rest = F.ltrim(F.substring(path, at + F.length(below), F.length(path)), F.lit("/"))
+        path = F.when(at == 0, path).when(rest == "", F.col("_metadata.file_name")).otherwise(rest)
+    return df.withColumn(name, F.concat(path, F.lit(":"), F.col("_metadata.row_index").cast("string")))

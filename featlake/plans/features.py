@@ -13,7 +13,6 @@ from featlake.operators import paging as P
 from featlake.operators import projections as Pr
 from featlake.operators.filters import FeatureFilter
 from featlake.plans.registry import Tables, query
-from featlake.session import spread
 from featlake.sources import geojson as J
 from featlake.table import FeatureTable
 
@@ -281,8 +280,8 @@ def nan_to_null(t: Tables) -> DataFrame:
     "SELECT concat('events.parquet:', CAST(event_id AS STRING)) AS id, event_type, value FROM events",
 )
 def surrogate_id(t: Tables) -> DataFrame:
-    """An id for files without one: file name and row position, stable and without a shuffle."""
-    return Pr.with_file_row_id(t.events).select("id", "event_type", "value")
+    """An id for files without one: path in the table and row position, stable and without a shuffle."""
+    return Pr.with_file_row_id(t.events, root=f"{t.folder}/events.parquet").select("id", "event_type", "value")
 
 
 # --- counts and paging ----------------------------------------------------------------------
@@ -488,7 +487,7 @@ def _documents(t: Tables, rows: DataFrame, with_collection: bool) -> DataFrame:
 )
 def geojson_feature(t: Tables) -> DataFrame:
     """One GeoJSON document per feature, over the whole table."""
-    return _documents(t, spread(t.obs), True).select("id", "document")
+    return _documents(t, t.obs, True).select("id", "document")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,6 @@ from featlake.operators import crs as C
 from featlake.operators import geometry as G
 from featlake.operators.projections import with_file_row_id
 from featlake.operators.skew import row_hash
-from featlake.session import spread
 from featlake.table import FeatureTable
 
 # Names of CSV separators.
@@ -92,8 +92,18 @@ def extract(
 # --- CSV ------------------------------------------------------------------------------------
 
 
+# Whole words that a pattern for a coordinate stands for.
+_SPELLED_OUT = {"lon": ("lon", "long", "lng", "longitude"), "lat": ("lat", "latitude")}
+
+
 def _matching(columns: Sequence[str], patterns: Sequence[str] | None) -> str | None:
+    """The column that fits the first pattern that any fits: by its whole name before others."""
     for pattern in patterns or ():
+        stem = pattern.lower().rstrip("*")
+        for exact in _SPELLED_OUT.get(stem, (stem,)):
+            for c in columns:
+                if c.lower() == exact:
+                    return c
         for c in columns:
             if fnmatch.fnmatchcase(c.lower(), pattern.lower()):
                 return c
@@ -135,11 +145,14 @@ def read_csv(
     if text is not None:
         made = df.withColumn("geom", G.from_wkt(F.col(text)))
         return made if keep_geom_columns else made.drop(text)
-    x, y, z = (_matching(df.columns, names) for names in (x_names, y_names, z_names))
+    # Coordinates are numbers; where types are not known, any text may be one.
+    typed = schema is not None or autodetect_type
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) or not typed]
+    x, y, z = (_matching(numbers, names) for names in (x_names, y_names, z_names))
     if x is None or y is None:
         return df
-    lon, lat = F.col(x).cast("double"), F.col(y).cast("double")
-    made = df.withColumn("geom", G.point(lon, lat, F.col(z).cast("double") if z else None))
+    lon, lat, height = (F.col(c).try_cast("double") if c else None for c in (x, y, z))
+    made = df.withColumn("geom", G.point(lon, lat, height))
     return made if keep_source_columns else made.drop(*[c for c in (x, y, z) if c])
 
 
@@ -182,7 +195,7 @@ def explode_features(
 ) -> DataFrame:
     """Feature texts to id, geometry and property columns; a null geometry stays null."""
     document = F.try_parse_json(F.col(text))
-    rows = spread(features).select(
+    rows = features.select(
         F.get_json_object(text, "$.id").alias("id"),
         G.from_geojson(F.get_json_object(text, "$.geometry")).alias("geom"),
         F.get_json_object(text, "$.properties").alias("_properties"),
@@ -205,13 +218,18 @@ def explode_features(
     return rows.select("id", "geom", *columns)
 
 
+_TYPE_WORD = re.compile(r"(^|: |ARRAY<)(OBJECT|VOID|VARIANT)(?:(?=(<))|(?=[,>]|$))")
+
+
 def _struct_of(variant_type: str | None) -> T.StructType:
     """The text form of a merged variant type as a struct type."""
     text = variant_type or ""
     if not text.startswith("OBJECT<"):
         return T.StructType([])
-    ddl = text.replace("OBJECT<", "STRUCT<").replace("OBJECT", "STRING").replace("VOID", "STRING").replace("VARIANT", "STRING")
-    return T._parse_datatype_string(ddl)
+    # Types follow a colon or open an array; names, also those in backquotes, stay as they are.
+    parts = re.split(r"(`(?:[^`]|``)*`)", text)
+    parts[::2] = [_TYPE_WORD.sub(lambda m: m[1] + ("STRUCT" if m[3] else "STRING"), p) for p in parts[::2]]
+    return T._parse_datatype_string("".join(parts))
 
 
 def _foreign_names(members: T.StructType, mode: str) -> list[str]:
@@ -237,7 +255,7 @@ def _leaves(value: Column, field: T.StructField, name: str, flatten: bool, separ
 
 def inline_wkt(rows: DataFrame, wkt: str = "geometry") -> DataFrame:
     """Rows with a WKT column to features with geometry and bounds."""
-    return G.with_bounds(spread(rows).withColumn("geom", G.from_wkt(F.col(wkt))).drop(wkt))
+    return G.with_bounds(rows.withColumn("geom", G.from_wkt(F.col(wkt))).drop(wkt))
 
 
 def inline_geojson(documents: DataFrame, text: str, properties: str) -> DataFrame:
@@ -249,7 +267,7 @@ def inline_geojson(documents: DataFrame, text: str, properties: str) -> DataFram
         "crs string, features array<struct<id:string, geometry:string, wkt:string,"
         f" properties:struct<{properties}>>>"
     )
-    parsed = spread(documents).withColumn("_d", F.from_json(text, shape))
+    parsed = documents.withColumn("_d", F.from_json(text, shape))
     each = parsed.select(
         *[c for c in documents.columns if c != text],
         F.coalesce(F.col("_d.crs"), F.lit(C.CRS84)).alias("crs"),
@@ -340,5 +358,5 @@ def open_table(spark: SparkSession, kind: str, options: dict, **roles) -> Featur
         raise SourceError(f"unknown source type {kind!r}; available: {', '.join(sorted(_SOURCES))}")
     df = _SOURCES[kind](spark, **options)
     if "id" not in roles:
-        df, roles = with_file_row_id(df, "row_id"), {**roles, "id": "row_id"}
+        df, roles = with_file_row_id(df, "row_id", options.get("path")), {**roles, "id": "row_id"}
     return FeatureTable(df, **roles)
