@@ -211,10 +211,22 @@ def merge_unit(unit: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
 
 
+# What stands between separators of JSON text, strings whole, and the separator.
+_UNTIL_SEPARATOR = r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])'
+
+
+def canonical_json(fragment: Column) -> Column:
+    """A JSON fragment with the keys of all its objects sorted; text that is not JSON stays as it is."""
+    compact = F.to_json(F.try_parse_json(fragment))
+    return F.coalesce(F.regexp_replace(compact, _UNTIL_SEPARATOR, "$1$2 "), fragment)
+
+
 def sorted_json(entries: Column) -> Column:
-    """A map of JSON fragments as JSON text with sorted keys."""
+    """A map of JSON fragments as JSON text with sorted keys, also inside the fragments."""
     pairs = F.array_sort(F.map_entries(entries))
-    texts = F.transform(pairs, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"]))
+    texts = F.transform(
+        pairs, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), canonical_json(e["value"]))
+    )
     return F.concat(F.lit("{"), F.array_join(texts, ", "), F.lit("}"))
 
 

@@ -216,3 +216,16 @@ def test_first_value_decides_the_type(spark):
     df = spark.createDataFrame(bags, "seq int, bag string")
     got = {r.property: json.loads(r.schema)["type"] for r in D.infer_properties(df, "bag", "seq").collect()}
     assert got == {"a": "string", "b": "integer", "c": "boolean"}
+
+
+def test_definition_hash_ignores_the_order_of_nested_keys(spark):
+    from featlake.operators import catalog as K
+
+    a = ['{"b": {"y": [1, {"q": 1, "p": "x,\\"y: z"}], "x": null}, "a": 1}', '{"in": {"k": 1}}', "[]"]
+    b = ['{"a":1,"b":{"x":null,"y":[1,{"p":"x,\\"y: z","q":1}]}}', '{"in":{"k":1}}', "[ ]"]
+    c = [a[0].replace('"a": 1', '"a": 2'), a[1], a[2]]
+    rows = spark.createDataFrame([tuple(a), tuple(b), tuple(c)], "u string, i string, o string")
+    x, y, z = [r.h for r in rows.select(K.definition_hash(rows.u, rows.i, rows.o).alias("h")).collect()]
+    assert x == y != z
+    text = rows.select(K.canonical_json(rows.u).alias("t")).first().t
+    assert text == '{"a": 1, "b": {"x": null, "y": [1, {"p": "x,\\"y: z", "q": 1}]}}'
