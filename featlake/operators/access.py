@@ -7,6 +7,8 @@ from a user without grants.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,17 +130,20 @@ def _with_role(questions: DataFrame, users: DataFrame, resource_type: str, colum
 
 
 def decide(
-    questions: DataFrame, resources: DataFrame, users: DataFrame, resource_type: str, column: str
-) -> DataFrame:
+    questions: DataFrame, resources: DataFrame, users: DataFrame, resource_type: str, column: str,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Add ``is_known, can_view, can_edit, can_change_owner`` to questions (user_id, column).
 
-    Every question is joined on unique keys, so the result has the rows of the questions.
+    Every question is joined on unique keys, so the result has the rows of the questions. Columns
+    of the resource in ``carry`` come along as ``_carried_<name>``.
     """
     facts = resources.select(
         F.col("identifier").alias(column),
         F.col("owner_id").alias("_owner"),
         F.col("is_public").alias("_public"),
         F.lit(True).alias("_known"),
+        *[F.col(c).alias(f"_carried_{c}") for c in carry],
     )
     rows = _with_role(_with_admin(questions.join(facts, column, "left"), users), users, resource_type, column, "own")
     known, someone = F.col("_known").isNotNull(), F.col("user_id").isNotNull()

@@ -24,23 +24,18 @@ def admit(requests: DataFrame, processes: DataFrame, users: DataFrame) -> DataFr
     A process must exist, be visible to the user and be deployed. Anonymous requests belong to
     the owner of the process and are public, so that their author can see them.
     """
-    facts = processes.select(
-        F.col("identifier").alias("process"),
-        F.col("owner_id").alias("_process_owner"),
-        F.coalesce("deployment", F.lit(FAILED)).alias("_deployment"),
-    )
-    rows = A.decide(requests, processes, users, "process", "process").join(facts, "process", "left")
+    rows = A.decide(requests, processes, users, "process", "process", carry=("owner_id", "deployment"))
     reason = (
         F.when(~F.col("is_known"), "not found")
         .when(~F.col("can_view"), "not permitted")
-        .when(F.col("_deployment") != DEPLOYED, "not deployed")
+        .when(F.coalesce("_carried_deployment", F.lit(FAILED)) != DEPLOYED, "not deployed")
     )
     accepted = reason.isNull()
     return rows.withColumns(
         {
             "reason": reason,
             "status": F.when(accepted, ACCEPTED),
-            "owner_id": F.when(accepted, F.coalesce("user_id", "_process_owner")),
+            "owner_id": F.when(accepted, F.coalesce("user_id", "_carried_owner_id")),
             "is_public": F.when(accepted, F.col("user_id").isNull()),
         }
     ).select(*requests.columns, "reason", "status", "owner_id", "is_public")
@@ -184,29 +179,28 @@ def fold_deployments(changes: DataFrame, processes: DataFrame, slices: int | Non
         F.coalesce("deployment", F.lit(FAILED)).alias("_start"),
         F.col("definition_hash").alias("_hash"),
     )
-    rows = changes.join(start, "process_identifier")
+    sliced = with_slice(changes, F.unix_micros(F.col("ts").cast("timestamp")), slices or default_slices(changes))
+    rows = sliced.join(start, "process_identifier")
     is_outcome = F.col("to_value").isin(DEPLOYED, FAILED)
     stale = is_outcome & ~F.col("definition_hash").eqNullSafe(F.col("_hash"))
-    rows = rows.withColumn("_stale", stale)
-    live = with_slice(
-        rows.where(~F.col("_stale")), F.unix_micros(F.col("ts").cast("timestamp")), slices or default_slices(changes)
-    )
     order = F.struct("ts", "seq")
-    tails = live.groupBy("process_identifier", "_slice").agg(F.max_by("to_value", order).alias("_tail"))
-    before = Window.partitionBy("process_identifier").orderBy("_slice")
-    tails = tails.select("process_identifier", "_slice", F.lag("_tail").over(before).alias("_carried"))
-    inside = Window.partitionBy("process_identifier", "_slice").orderBy("ts", "seq")
-    live = live.withColumn("_within", F.lag("to_value").over(inside)).join(tails, ["process_identifier", "_slice"])
+    rows = rows.withColumn("_stale", stale).withColumn("_live", F.when(~F.col("_stale"), F.col("to_value")))
+    tails = rows.groupBy("process_identifier", "_slice").agg(
+        F.max_by("to_value", F.when(~F.col("_stale"), order)).alias("_tail")
+    )
+    before = Window.partitionBy("process_identifier").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last("_tail", ignorenulls=True).over(before)
+    tails = tails.select("process_identifier", "_slice", carried.alias("_carried"))
+    inside = Window.partitionBy("process_identifier", "_slice").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", F.last("_live", ignorenulls=True).over(inside))
+    rows = rows.join(tails, ["process_identifier", "_slice"])
     previous = F.coalesce("_within", "_carried", "_start")
     counts = F.when(F.col("to_value") == IN_PROGRESS, previous != IN_PROGRESS).otherwise(previous == IN_PROGRESS)
-    applied = live.withColumn("_applied", counts).groupBy("process_identifier").agg(
+    joined = rows.withColumn("_applied", ~F.col("_stale") & counts).groupBy("process_identifier").agg(
         F.max_by(F.struct("to_value", "ts"), F.when(F.col("_applied"), order)).alias("_last"),
-        F.count_if("_applied").alias("n_applied"),
-    )
-    seen = rows.groupBy("process_identifier").agg(
-        F.count("*").alias("n_changes"), F.count_if("_stale").alias("n_stale"), F.max("_start").alias("_start")
-    )
-    joined = seen.join(applied, "process_identifier", "left")
+        F.count_if("_applied").alias("n_applied"), F.count_if("_stale").alias("n_stale"),
+        F.count("*").alias("n_changes"), F.max("_start").alias("_start"),
+    )
     return joined.select(
         "process_identifier",
         F.coalesce(F.col("_last")["to_value"], F.col("_start")).alias("value"),
