@@ -289,28 +289,30 @@ _NO_PROVIDERS = T.ArrayType(PROVIDER)
 
 
 def _crs_of_providers(providers: Column) -> Column:
-    """Supported systems, storage system and epoch, read until both storage values are known."""
-    start = F.struct(
-        F.array(F.lit(C.CRS84)).alias("crs"),
-        F.lit(None).cast("string").alias("storage_crs"),
-        F.lit(None).cast("double").alias("epoch"),
-        F.lit(False).alias("done"),
-    )
+    """Supported systems, storage system and epoch of the providers up to the first where both are known.
 
-    def step(acc: Column, p: Column) -> Column:
-        storage = F.coalesce(p["storage_crs"], acc["storage_crs"])
-        epoch = F.coalesce(p["storage_crs_coordinate_epoch"], acc["epoch"])
-        listed = F.coalesce(p["crs"], F.array().cast("array<string>"))
-        return F.when(acc["done"], acc).otherwise(
-            F.struct(
-                F.array_union(acc["crs"], listed).alias("crs"),
-                storage.alias("storage_crs"),
-                epoch.alias("epoch"),
-                ((F.coalesce(storage, F.lit("")) != "") & (F.coalesce(epoch, F.lit(0.0)) != 0)).alias("done"),
-            )
-        )
+    Of several values the last one that is given counts.
+    """
 
-    return F.aggregate(providers, start, step)
+    def given(name: str, upto: Column) -> Column:
+        values = F.transform(F.slice(providers, F.lit(1), upto), lambda p: p[name])
+        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+    def known(upto: Column) -> Column:
+        storage, epoch = given("storage_crs", upto), given("storage_crs_coordinate_epoch", upto)
+        return (F.coalesce(storage, F.lit("")) != "") & (F.coalesce(epoch, F.lit(0.0)) != 0)
+
+    count = F.size(providers)
+    places = F.when(count > 0, F.sequence(F.lit(1), count))
+    upto = F.coalesce(F.try_element_at(F.filter(places, known), F.lit(1)), count)
+    none = F.array().cast("array<string>")
+    listed = F.transform(F.slice(providers, F.lit(1), upto), lambda p: F.coalesce(p["crs"], none))
+    found = F.struct(
+        F.array_union(F.array(F.lit(C.CRS84)), F.flatten(listed)).alias("crs"),
+        given("storage_crs", upto).alias("storage_crs"),
+        given("storage_crs_coordinate_epoch", upto).alias("epoch"),
+    )
+    return F.when(providers.isNotNull(), found)
 
 
 def import_resources(

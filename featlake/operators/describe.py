@@ -22,7 +22,8 @@ def type_schema(data_type: T.DataType, metadata: dict | None = None) -> dict:
         return {"type": "boolean"}
     if isinstance(data_type, T.IntegralType):
         return {"type": "integer"}
-    if isinstance(data_type, T.DecimalType) and data_type.scale == 0:
+    # Of the decimals only the one that holds 128-bit integers is one.
+    if isinstance(data_type, T.DecimalType) and (data_type.precision, data_type.scale) == (38, 0):
         return {"type": "integer"}
     if isinstance(data_type, T.NumericType):
         return {"type": "number"}
@@ -50,38 +51,36 @@ def type_schema(data_type: T.DataType, metadata: dict | None = None) -> dict:
     return {}
 
 
-# SQL type names grouped by the JSON-Schema fragment they stand for.
-_INTEGER_NAMES = (
-    "TINYINT", "INT1", "SMALLINT", "INT2", "SHORT", "INTEGER", "INT4", "INT", "SIGNED", "BIGINT",
-    "INT8", "LONG", "HUGEINT", "UHUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT",
-)
-_FLOAT_NAMES = ("FLOAT", "FLOAT4", "REAL", "DOUBLE", "FLOAT8", "DOUBLE PRECISION")
-_STRING_NAMES = ("VARCHAR", "TEXT", "STRING", "CHAR", "BPCHAR")
-_BINARY_NAMES = ("BLOB", "BYTEA", "BINARY", "VARBINARY")
+# SQL type names, and beginnings of type names, by the JSON-Schema fragment they stand for.
+_NAMES = {
+    '{"type":"integer"}': (
+        "TINYINT", "INT1", "SMALLINT", "INT2", "SHORT", "INTEGER", "INT4", "INT", "SIGNED", "BIGINT",
+        "INT8", "LONG", "HUGEINT", "UHUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT",
+    ),
+    '{"type":"number"}': ("FLOAT", "FLOAT4", "REAL", "DOUBLE", "FLOAT8", "DOUBLE PRECISION"),
+    '{"type":"string"}': ("VARCHAR", "TEXT", "STRING", "CHAR", "BPCHAR", "INTERVAL"),
+    '{"type":"boolean"}': ("BOOLEAN", "BOOL", "LOGICAL"),
+    '{"type":"string","format":"uuid"}': ("UUID",),
+    '{"type":"string","format":"date"}': ("DATE",),
+    '{"type":"string","contentEncoding":"base64"}': ("BLOB", "BYTEA", "BINARY", "VARBINARY"),
+}
+_BEGINNINGS = (
+    ("STRUCT(", '{"type":"object"}'),
+    ("MAP(", '{"type":"object"}'),
+    ("DECIMAL", '{"type":"number"}'),
+    ("NUMERIC", '{"type":"number"}'),
+    ("VARCHAR(", '{"type":"string"}'),
+    ("CHAR(", '{"type":"string"}'),
+    ("TIMESTAMP", '{"type":"string","format":"date-time"}'),
+    ("TIME", '{"type":"string","format":"time"}'),
+)
 
 
 def _plain_type(t: Column) -> Column:
-    by_prefix = (
-        F.when(t.startswith("STRUCT(") | t.startswith("MAP("), '{"type":"object"}')
-        .when(t.startswith("DECIMAL") | t.startswith("NUMERIC"), '{"type":"number"}')
-        .when(t.startswith("VARCHAR(") | t.startswith("CHAR("), '{"type":"string"}')
-        .when(t.startswith("TIMESTAMP"), '{"type":"string","format":"date-time"}')
-        .when(t.startswith("TIME"), '{"type":"string","format":"time"}')
-        .otherwise("{}")
-    )
-    return (
-        F.when(t.isin(*_INTEGER_NAMES), '{"type":"integer"}')
-        .when(t.isin(*_FLOAT_NAMES), '{"type":"number"}')
-        .when(t.isin(*_STRING_NAMES), '{"type":"string"}')
-        .when(t.isin("BOOLEAN", "BOOL", "LOGICAL"), '{"type":"boolean"}')
-        .when(t == "UUID", '{"type":"string","format":"uuid"}')
-        .when(t == "DATE", '{"type":"string","format":"date"}')
-        .when(t == "INTERVAL", '{"type":"string"}')
-        .when(t.isin(*_BINARY_NAMES), '{"type":"string","contentEncoding":"base64"}')
-        .when(t == "JSON", "{}")
-        .when(t == "GEOMETRY", '{"type":"object","format":"geometry"}')
-        .otherwise(by_prefix)
-    )
+    """The fragment of a type that wraps no other; of several beginnings the first in the list counts."""
+    by_name = [F.when(t.isin(*names), fragment) for fragment, names in _NAMES.items()]
+    by_beginning = [F.when(t.startswith(text), fragment) for text, fragment in _BEGINNINGS]
+    return F.coalesce(*by_name, *by_beginning, F.lit("{}"))
 
 
 def type_name_schema(type_name: Column) -> Column:
