@@ -2,7 +2,8 @@
 
 Sets that are equal are one node. Nodes can be similar only if they share a token among the first of
 each, in any order of all tokens; the order used puts tokens that many documents have last. So each
-token is a block of the nodes that have it there, and blocks cover all links.
+token is a block of the nodes that have it there, and blocks cover all links. Blocks with the same
+first node are put together: copies share many tokens, and meet once.
 
 Inside a block the nodes are the leaves of a signature tree: a tree node holds the OR-combined
 bitmaps and the size range of what is below it. Two tree nodes are traversed together, from the
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlake.llm.bpe import in_parts
-from featlake.llm.common import whole_text, written
+from featlake.llm.common import bounded_broadcast, whole_text, written
 from featlake.llm.components import connected
 from featlake.llm.words import Words, mixed
 
 WORDS, PERCENT = 5, 75
 #: Bits of a set's signature, leaves of a tree node, children of a tree node.
-BITS, LEAF, FAN = 1024, 32, 8
+BITS, LEAF, FAN = 2048, 32, 8
 #: Cells that tell frequent tokens, a fixed size: errors change the order of tokens, never the result.
 CELLS = 1 << 22
 #: Members of a block that one task takes; a larger block is dealt out in parts.
@@ -329,7 +330,7 @@ class Tree:
 def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of a block's members that may be similar and are in different components: ``a, b``.
 
-    ``members``: ``token, i, j, side, node, n, comp, bits``, where a block is ``token, i, j``. Blocks
+    ``members``: ``head, i, j, side, node, n, comp, bits``, where a block is ``head, i, j``. Blocks
     of two parts (``i < j``) look for pairs across their sides only.
     """
 
@@ -350,8 +351,8 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             yield from blocks(rest, last=True)
 
     def keys_of(t: pa.Table) -> np.ndarray:
-        token, i, j = (t.column(c).to_numpy() for c in ("token", "i", "j"))
-        return _runs(token) if not len(token) else np.unique(np.concatenate([_runs(token), _runs(i), _runs(j)]))
+        head, i, j = (t.column(c).to_numpy() for c in ("head", "i", "j"))
+        return np.unique(np.concatenate([_runs(head), _runs(i), _runs(j)]))
 
     def cut_at(t: pa.Table) -> int:
         return int(keys_of(t)[-2]) if t.num_rows else 0
@@ -382,7 +383,7 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    ordered = members.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "node")
+    ordered = members.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "node")
     return ordered.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -419,11 +420,14 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
     classes = spark.sparkContext.broadcast(frequency_classes(surveyed))
     nodes = nodes_of(rows, classes, percent)
     shape = nodes.select("node", "n", "bits")
-    stars = written(first_of_blocks(members_of(nodes, classes)), "stars")
-    # The first members of a token's parts are a block again.
-    parts = members_of(nodes, classes, parted_only=True).groupBy("token", "part").agg(F.min("node").alias("node"))
-    across = written(first_of_blocks(parts.select("token", F.lit(0).alias("part"), "node")), "stars")
-    stars = stars.unionByName(across)
+    stars = first_of_blocks(members_of(nodes, classes)).select("a", "b").distinct()
+    # The parts of a frequent token become one block again, under the first of their first members.
+    parted = members_of(nodes, classes, parted_only=True)
+    heads = parted.groupBy("token", "part").agg(F.min("node").alias("node")).select("token", F.lit(0).alias("part"), "node")
+    tops = first_of_blocks(heads)
+    under = first_of_blocks(parted).join(tops.select("token", F.col("a").alias("top"), F.col("b").alias("a")), ["token", "a"])
+    stars = stars.unionByName(tops.select("a", "b")).unionByName(under.select(F.col("top").alias("a"), "b"))
+    stars = written(stars.where("a <> b").distinct(), "stars")
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and signatures do not rule out."""
@@ -442,22 +446,24 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
 
         return pairs.join(x, "a").join(y, "b").mapInArrow(work, "a long, b long")
 
-    near = written(close(stars.select("a", "b").distinct()), "pairs")
+    near = written(close(stars), "pairs")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     first = written(verified(near, sets_of(rows, nodes, ends), percent), "links")
     labels = connected(first)
 
-    # Blocks of one component are done; in the others, trees look for links between components.
-    members = stars.select("token", F.col("a").alias("node")).union(stars.select("token", "b")).distinct()
-    comp = members.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("comp"))
+    # Blocks with the same first member are one: what shares a token is there together, and once.
+    # Those of one component are done; in the others, trees look for links between components.
+    members = stars.select(F.col("a").alias("head"), F.col("b").alias("node")).union(stars.select("a", "a").distinct())
+    comp = members.join(labels, "node", "left").select("head", "node", F.coalesce("label", "node").alias("comp"))
     comp = written(comp, "members")
-    blocks = comp.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    open_blocks = blocks.where("low < high").select("token", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
-    open_members = comp.join(open_blocks, "token").join(shape, "node")
+    blocks = comp.groupBy("head").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    open_blocks = blocks.where("low < high AND size > 2").select("head", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    # The first member has met all others already.
+    open_members = comp.where("head <> node").join(open_blocks, "head").join(shape, "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = open_members.withColumn("p", part).withColumn("q", other).select(
-        "token", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"),
+        "head", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"),
         "node", "n", "comp", "bits",
     )
     again = written(tree_pairs(dealt, percent), "pairs")
@@ -493,5 +499,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = near_duplicates(docs, id_col, text_col, percent)
     keep = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_keep")).distinct()
+    # Ids are small: while they are few enough, no text is shuffled.
+    keep = bounded_broadcast(written(keep, "kept"))
     rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"))
     return rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").select("_doc.*")
