@@ -55,6 +55,11 @@ def collected(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def bounded_broadcast(table: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A stored table, marked for broadcast if it has no more rows than that; else joins shuffle as usual."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
     """What ``make`` returns, kept by the Python worker for its later tasks.
 

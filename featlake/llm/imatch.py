@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.llm.common import whole_text, written
+from featlake.llm.common import bounded_broadcast, whole_text, written
 from featlake.operators.slices import with_slice
 
 #: The band, as shares of all documents.
@@ -26,8 +26,6 @@ SUBSETS, RATES = 24, 4
 SLOTS = SUBSETS * RATES
 #: Subsets with a term of either document from which on a rate is used.
 ENOUGH = 6
-#: A larger lexicon is not broadcast.
-MOST_BROADCAST = 2_000_000
 #: Rows of a bucket in the order of ids, and the most buckets; beyond, buckets grow and windows spill.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
 _NONE = "...."
@@ -57,15 +55,12 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     )
 
 
-def bounded_broadcast(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """The table, marked for broadcast if it is as small as its bound promises."""
-    return F.broadcast(table) if table.count() <= most else table
+def fingerprints(
+    rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``keys``, ``carry`` and a fingerprint per text column: ``texts`` maps names of fingerprints to columns.
 
-
-def fingerprints(rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame) -> DataFrame:
-    """``keys`` and a fingerprint per text column: ``texts`` maps names of fingerprints to columns.
-
-    ``keys`` identify a row. If ``rows`` are partitioned by some of them, nothing is shuffled. A
+    ``keys`` identify a row, and columns in ``carry`` come along, so the texts are read once. If ``rows`` are partitioned by some of them, nothing is shuffled. A
     fingerprint is the hash of all sorted terms in 16 digits, a colon, and for each subset four
     digits, or four dots where the text has no term of the subset. Null counts as empty.
     """
@@ -73,20 +68,27 @@ def fingerprints(rows: DataFrame, texts: dict[str, str], keys: list[str], words:
     versions = F.array(*[
         F.struct(F.lit(i).alias("v"), terms_of(whole_text(c)).alias("terms")) for i, c in enumerate(texts.values())
     ])
-    split = rows.select(*keys, F.explode(versions).alias("x")).select(
-        *keys, "x.v", "x.terms", F.xxhash64(F.array_sort("x.terms")).alias("whole")
+    facts = F.struct(F.lit(0), *carry).alias("facts")
+    split = rows.select(*keys, facts, F.explode(versions).alias("x")).select(
+        *keys, "facts", "x.v", "x.terms", F.xxhash64(F.array_sort("x.terms")).alias("whole")
     )
     # The empty term stands for the row itself, so texts without terms keep a row, too.
     listed = split.select(
-        *keys, "v", "whole", F.explode(F.array_append("terms", "")).alias("t")
-    ).select(*keys, "v", "whole", F.xxhash64("t").alias("term"), (F.col("t") == "").alias("own"))
+        *keys, "facts", "v", "whole", F.explode(F.array_append("terms", "")).alias("t")
+    ).select(
+        *keys, "v", "whole", F.xxhash64("t").alias("term"), (F.col("t") == "").alias("own"),
+        F.when(F.col("t") == "", F.col("facts")).alias("facts"),
+    )
     drawn = listed.join(words, "term", "left").where(F.col("own") | F.col("subsets").isNotNull())
-    spread = drawn.select(*keys, "v", "whole", "term", F.explode_outer("subsets").alias("subset"))
-    lists = spread.groupBy(*keys, "v", "whole").agg(
-        F.collect_list(F.when(F.col("subset").isNotNull(), F.concat(F.lpad(F.hex("subset"), 2, "0"), F.hex("term"), F.lit(";")))).alias("l")
+    spread = drawn.select(*keys, "v", "whole", "facts", "term", F.explode_outer("subsets").alias("subset"))
+    # A subset's number and 56 bits of a term's hash in one number: lists of numbers are small.
+    packed = F.shiftleft(F.col("subset").cast("long"), 56) + F.shiftrightunsigned("term", 8)
+    lists = spread.select(*keys, "v", "whole", "facts", packed.alias("x")).groupBy(*keys, "v", "whole").agg(
+        F.first("facts", ignorenulls=True).alias("facts"),
+        F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(F.lpad(F.hex(x), 16, "0"), F.lit(";"))).alias("l")
     )
     # Sorted, the terms of a subset follow each other: each such run is hashed.
-    joined = F.array_join(F.array_sort("l"), "")
+    joined = F.array_join("l", "")
     runs = F.regexp_extract_all(joined, F.lit(r"([0-9A-F]{2})[0-9A-F]+;(?:\1[0-9A-F]+;)*+"), F.lit(0))
     hashed = F.transform(runs, lambda r: F.concat(F.left(r, F.lit(2)), F.left(F.md5(r.cast("binary")), F.lit(4))))
     # Every subset once more, empty; of two entries of a subset the one with digits comes second.
@@ -94,29 +96,38 @@ def fingerprints(rows: DataFrame, texts: dict[str, str], keys: list[str], words:
     full = F.array_sort(F.concat(hashed, empty))
     text = F.regexp_replace(F.array_join(full, ";"), r"([0-9A-F]{2})\.\.\.\.;\1(?=[0-9a-f]{4})", "$1")
     digits = F.regexp_replace(text, r"(?:^|;)[0-9A-F]{2}", "")
-    prints = lists.select(*keys, "v", F.concat(F.lower(F.lpad(F.hex("whole"), 16, "0")), F.lit(":"), digits).alias("p"))
-    return prints.groupBy(*keys).agg(*[F.max(F.when(F.col("v") == i, F.col("p"))).alias(n) for i, n in enumerate(names)])
+    prints = lists.select(*keys, "v", "facts", F.concat(F.lower(F.lpad(F.hex("whole"), 16, "0")), F.lit(":"), digits).alias("p"))
+    one = prints.groupBy(*keys).agg(
+        F.first("facts").alias("facts"), *[F.max(F.when(F.col("v") == i, F.col("p"))).alias(n) for i, n in enumerate(names)]
+    )
+    return one.select(*keys, *[F.col("facts")[c].alias(c) for c in carry], *names)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of equal subsets, from 0 to 1, at the lowest rate with enough subsets; 1 for equal terms.
+def with_likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """Add ``name``: the likeness of two fingerprints, from 0 to 1.
 
+    It is the share of equal subsets at the lowest rate with enough subsets, and 1 for equal terms.
     If no rate has ``ENOUGH`` subsets with a term of either text, the first rate counts with what it
     has; if it has none, texts with different terms are not alike.
     """
-    def slot(p: Column, i: Column) -> Column:
-        return p.substr(i * 4 + 18, F.lit(4))
+
+    def slots(p: str) -> Column:
+        return F.regexp_extract_all(F.substring(p, 18, 4 * SLOTS), F.lit(".{4}"), F.lit(0))
+
+    def mark(x: Column, y: Column) -> Column:
+        return F.when(x != y, 1).when(x != _NONE, 2).otherwise(0)
 
     def count(rate: int) -> Column:
-        numbers = F.array(*[F.lit(rate * SUBSETS + s) for s in range(SUBSETS)])
-        used = F.filter(numbers, lambda i: (slot(a, i) != _NONE) | (slot(b, i) != _NONE))
-        same = F.filter(used, lambda i: slot(a, i) == slot(b, i))
-        return F.struct(F.size(used).alias("used"), F.size(same).alias("same"))
+        some = F.slice("_marks", rate * SUBSETS + 1, SUBSETS)
+        return F.struct(F.size(F.filter(some, lambda m: m > 0)).alias("used"), F.size(F.filter(some, lambda m: m > 1)).alias("same"))
 
     rates = F.array(*[count(r) for r in reversed(range(RATES))])
-    chosen = F.coalesce(F.try_element_at(F.filter(rates, lambda r: r["used"] >= ENOUGH), F.lit(1)), F.element_at(rates, -1))
-    share = F.when(chosen["used"] > 0, chosen["same"] / chosen["used"]).otherwise(0.0)
-    return F.when(F.left(a, F.lit(16)) == F.left(b, F.lit(16)), 1.0).otherwise(share)
+    enough = F.try_element_at(F.filter("_rates", lambda r: r["used"] >= ENOUGH), F.lit(1))
+    same = F.left(F.col(a), F.lit(16)) == F.left(F.col(b), F.lit(16))
+    share = F.when(F.col("_rate.used") > 0, F.col("_rate.same") / F.col("_rate.used")).otherwise(0.0)
+    df = df.withColumn("_marks", F.zip_with(slots(a), slots(b), mark)).withColumn("_rates", rates)
+    df = df.withColumn("_rate", F.coalesce(enough, F.element_at("_rates", -1)))
+    return df.withColumn(name, F.when(same, 1.0).otherwise(share)).drop("_marks", "_rates", "_rate")
 
 
 def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,6 +154,8 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col("_host").alias("_bucket"), F.lit(True).alias("_guest"), "_id", "_text", "_tie"
     )
     everyone = rows.select("_bucket", F.lit(False).alias("_guest"), "_id", "_text", "_tie").unionByName(guests)
+    # A partition for each bucket, so no task holds much more than one.
+    everyone = everyone.repartition(buckets, "_bucket")
     order = Window.partitionBy("_bucket").orderBy("_guest", F.col("_id").desc_nulls_last(), F.col("_tie").desc())
     return everyone.select(
         "_bucket", "_guest", "_id", "_text", F.row_number().over(order).alias("_nth"), F.lead("_text").over(order).alias("_next")
@@ -165,16 +178,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     words = bounded_broadcast(written(lexicon(docs, text_col), "lexicon"))
     rows = in_id_order(docs, id_col, text_col).withColumn("_edited", edited(F.col("_text"), F.coalesce("_next", F.lit(""))))
-    keys = ["_bucket", "_nth"]
-    prints = fingerprints(rows, {"fingerprint": "_text", "edited_fingerprint": "_edited"}, keys, words)
-    facts = rows.select(
-        *keys, "_guest", F.col("_id").alias(id_col), F.length("_text").cast("long").alias("n_chars"),
-        F.sha2("_edited", 256).alias("edited_sha256"),
-    )
+    rows = rows.withColumns({"n_chars": F.length("_text").cast("long"), "edited_sha256": F.sha2("_edited", 256)})
+    texts = {"fingerprint": "_text", "edited_fingerprint": "_edited"}
+    prints = fingerprints(rows, texts, ["_bucket", "_nth"], words, ("_guest", "_id", "n_chars", "edited_sha256"))
     order = Window.partitionBy("_bucket").orderBy("_nth")
-    both = facts.join(prints, keys).withColumn("_next_print", F.lead("fingerprint").over(order)).where(~F.col("_guest"))
+    both = prints.withColumn("_next_print", F.lead("fingerprint").over(order)).where(~F.col("_guest"))
+    both = both.withColumnRenamed("_id", id_col)
+    both = with_likeness(both, "near_edited", "fingerprint", "edited_fingerprint")
+    both = with_likeness(both, "near_next", "fingerprint", "_next_print")
     return both.select(
-        id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("_next_print")).alias("near_next"),
-    )
+        id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
