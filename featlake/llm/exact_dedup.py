@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import ascii_lower, whole_text, written
+from featlake.llm.common import ascii_lower, bounded_broadcast, whole_text, written
 
 LEAST, MOST = 512, 4096
 _CHUNK = rf"(?s).{{{LEAST},{MOST - 1}}}?[.!?\n]|.{{1,{MOST}}}"
@@ -79,6 +79,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keep = exact_duplicates(docs, id_col, text_col).where("kept").groupBy(
         F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")
     ).agg(F.count("*").alias("_times"))
+    # While the names of what stays are few enough, no text is shuffled.
+    keep = bounded_broadcast(written(keep, "kept"), 500_000)
     sha = F.sha2(ascii_lower(whole_text(text_col)), 256)
     rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), sha.alias("_text_sha"))
     stays = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text_sha") == F.col("_sha")))

@@ -91,6 +91,25 @@ def signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def wide_signature(tokens: np.ndarray) -> bytes:
+    """A larger bitmap for a set that would fill one of ``BITS``, of a power of two times its size."""
+    if len(tokens) <= BITS // 3:
+        return b""
+    width = BITS << int(np.ceil(np.log2(3 * len(tokens) / BITS)))
+    bits = np.zeros(width, bool)
+    bits[(tokens >> np.uint64(20)) % np.uint64(width)] = True
+    return np.packbits(bits).tobytes()
+
+
+def wide_overlap(a: bytes, b: bytes, n: int, m: int) -> int:
+    """The largest common part of two sets by their wide signatures, compared at the smaller width."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    width = min(len(x), len(y))
+    # Widths divide each other, so a wider bitmap folds onto a narrower one.
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, width), axis=0) for v in (x, y))
+    return int(ones(x & y)) + min(n - int(ones(x)), m - int(ones(y)))
+
+
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -155,7 +174,7 @@ def frequency_classes(surveyed: DataFrame) -> np.ndarray:
 
 
 def nodes_of(rows: DataFrame, classes, percent: int) -> DataFrame:
-    """One row per distinct set: ``node, n, f1, f2, rep`` (smallest id) ``, prefix, bits``.
+    """One row per distinct set: ``node, n, f1, f2, rep`` (smallest id) ``, prefix, bits, wide``.
 
     ``prefix`` are its first tokens in the order of frequency class and hash.
     """
@@ -174,13 +193,16 @@ def nodes_of(rows: DataFrame, classes, percent: int) -> DataFrame:
             some = tokens[order][place < lengths[doc]].view(np.int64)
             at = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
             bits = pa.array([b.tobytes() for b in signatures(tokens, counts)], pa.binary())
-            made = [part.column(1), *map(pa.array, (counts, f1, f2)), pa.ListArray.from_arrays(at, pa.array(some)), bits]
-            batch = pa.RecordBatch.from_arrays(made, names=["_id", "n", "f1", "f2", "prefix", "bits"])
+            wide = [wide_signature(x) for x in np.split(tokens, np.cumsum(counts)[:-1])]
+            lists = [pa.ListArray.from_arrays(at, pa.array(some)), bits, pa.array(wide, pa.binary())]
+            made = [part.column(1), *map(pa.array, (counts, f1, f2)), *lists]
+            batch = pa.RecordBatch.from_arrays(made, names=["_id", "n", "f1", "f2", "prefix", "bits", "wide"])
             yield batch.filter(pa.array(counts > 0))
 
-    made = rows.select("_text", "_id").mapInArrow(work, f"_id {id_type}, n long, f1 long, f2 long, prefix array<long>, bits binary")
+    made = rows.select("_text", "_id").mapInArrow(work, f"_id {id_type}, n long, f1 long, f2 long, prefix array<long>, bits binary, wide binary")
     one = made.groupBy("n", "f1", "f2").agg(
-        F.min("_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")
+        F.min("_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"),
+        F.any_value("wide").alias("wide"),
     )
     return written(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -419,7 +441,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
     surveyed = written(survey(rows), "survey")
     classes = spark.sparkContext.broadcast(frequency_classes(surveyed))
     nodes = nodes_of(rows, classes, percent)
-    shape = nodes.select("node", "n", "bits")
+    shape = nodes.select("node", "n", "bits", "wide")
     stars = first_of_blocks(members_of(nodes, classes)).select("a", "b").distinct()
     # The parts of a frequent token become one block again, under the first of their first members.
     parted = members_of(nodes, classes, parted_only=True)
@@ -431,8 +453,8 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and signatures do not rule out."""
-        x = shape.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
-        y = shape.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+        x = shape.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1"), F.col("wide").alias("w1"))
+        y = shape.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"), F.col("wide").alias("w2"))
 
         def work(batches: Iterable[pa.RecordBatch]):
             for batch in batches:
@@ -442,7 +464,13 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
                 n1, n2 = (batch.column(c).to_numpy() for c in ("n1", "n2"))
                 most = ones(b1 & b2) + np.minimum(n1 - ones(b1), n2 - ones(b2))
                 most = np.minimum(most, np.minimum(n1, n2))
-                yield batch.select(["a", "b"]).filter(pa.array(most >= least_overlap(n1, n2, percent)))
+                good = most >= least_overlap(n1, n2, percent)
+                w1, w2 = batch.column("w1"), batch.column("w2")
+                for i in np.flatnonzero(good).tolist():
+                    x, y = w1[i].as_py(), w2[i].as_py()
+                    if x and y:
+                        good[i] = wide_overlap(x, y, int(n1[i]), int(n2[i])) >= least_overlap(int(n1[i]), int(n2[i]), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
         return pairs.join(x, "a").join(y, "b").mapInArrow(work, "a long, b long")
 
@@ -459,14 +487,14 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
     blocks = comp.groupBy("head").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
     open_blocks = blocks.where("low < high AND size > 2").select("head", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     # The first member has met all others already.
-    open_members = comp.where("head <> node").join(open_blocks, "head").join(shape, "node")
+    open_members = comp.where("head <> node").join(open_blocks, "head").join(shape.drop("wide"), "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = open_members.withColumn("p", part).withColumn("q", other).select(
         "head", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"),
         "node", "n", "comp", "bits",
     )
-    again = written(tree_pairs(dealt, percent), "pairs")
+    again = written(close(tree_pairs(dealt, percent)), "pairs")
     ends = again.select(F.col("a").alias("node")).union(again.select("b")).distinct()
     second = verified(again, sets_of(rows, nodes, ends), percent)
     return surveyed.where("cell IS NULL").select("_id", "n", "f1", "f2"), nodes, first.unionByName(second)

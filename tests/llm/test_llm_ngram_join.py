@@ -124,6 +124,24 @@ def test_tree_pairs_are_all_that_the_bounds_allow(monkeypatch):
     assert len(found) < 400
 
 
+def test_wide_signatures_bound_the_common_part():
+    rng = np.random.default_rng(7)
+    for n, m, common in ((900, 1000, 700), (5000, 4000, 30), (700, 9000, 650), (3000, 3000, 3000)):
+        a = rng.choice(2**60, n + m, replace=False).astype(np.uint64)
+        x, y = a[:n], np.concatenate([a[:common], a[n : n + m - common]])
+        bound = ngram_join.wide_overlap(ngram_join.wide_signature(x), ngram_join.wide_signature(y), n, m)
+        assert common <= bound <= common + 0.45 * min(n, m)
+    assert ngram_join.wide_signature(a[:5]) == b""
+
+
+def test_long_sets(spark):
+    words = [f"w{i}" for i in range(3000)]
+    changed = [w if i % 70 else f"x{i}" for i, w in enumerate(words)]
+    other = [w if i % 9 else f"y{i}" for i, w in enumerate(words)]
+    texts = [words, changed, other, words[:2500], words[:1500], [f"z{i}" for i in range(2900)] + words[:100]]
+    check(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 30)] + [(300, 301), (301, 300), (7, 7)]
     got = connected(spark.createDataFrame(chain, "a long, b long")).collect()
