@@ -210,7 +210,8 @@ def taken_blocks(made: Mix) -> DataFrame:
 
 def taken_words(made: Mix, id_col: str = "doc_id") -> DataFrame:
     """Per row: ``id_col, size, source_size, target, taken``."""
-    shares = pieces(made).join(taken_blocks(made), ["_source_no", "block"]).select(
+    # Listed slots look small to the planner, which does not see how long the lists are: no broadcast.
+    shares = pieces(made).join(taken_blocks(made).hint("merge"), ["_source_no", "block"]).select(
         "_source_no", "_start", (F.col("words") * F.col("times")).alias("taken")
     )
     # A start in its source names a document that has words.
@@ -239,7 +240,7 @@ def mixed_documents(
     other columns of one of them.
     """
     rounds = made.slots.select(F.col("source_no").alias("_source_no"), "block", "round")
-    parts = pieces(made).join(rounds, ["_source_no", "block"]).groupBy("_source_no", "_start", "_id", "_t", "round").agg(
+    parts = pieces(made).join(rounds.hint("merge"), ["_source_no", "block"]).groupBy("_source_no", "_start", "_id", "_t", "round").agg(
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_parts"),
         (F.sum("words") == F.max("_size")).alias("_all"),
     )
@@ -251,7 +252,7 @@ def mixed_documents(
     once = docs.select(F.struct("*").alias("_doc"), *keys, text.alias("_text")).dropDuplicates(["_id2", "_t2", "_name2"])
     same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_t") == F.col("_t2")) & F.col("_name").eqNullSafe(F.col("_name2"))
     tokens = F.regexp_extract_all("_text", F.lit(f"{WORD}(?:{SPACE})?"), F.lit(0))
-    joined = once.join(parts, same).withColumn("_tokens", F.when(~F.col("_all"), tokens))
+    joined = once.join(parts.hint("merge"), same).withColumn("_tokens", F.when(~F.col("_all"), tokens))
     taken = F.transform("_parts", lambda p: F.array_join(F.slice("_tokens", p["first"] + 1, p["words"]), ""))
     joined = joined.withColumn("_taken", F.when(F.col("_all"), F.col("_text")).otherwise(F.array_join(taken, "")))
     new = {text_col: F.col("_taken")}

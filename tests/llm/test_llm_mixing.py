@@ -106,6 +106,13 @@ def test_a_long_text_keeps_its_order(spark):
         assert numbers == sorted(numbers)
 
 
+def test_blocks_are_never_broadcast(hard):
+    made = mixing.mix(hard)
+    for df in (mixing.taken_words(made), mixing.mixed_documents(hard, made)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and all("block" not in x.split("Inner")[0] for x in plan.split("BroadcastHashJoin")[1:])
+
+
 def test_empty_tables(empty, spark):
     assert mixing.taken_words(mixing.mix(empty)).count() == 0
     assert mixing.mixed_documents(empty, mixing.mix(empty)).count() == 0
