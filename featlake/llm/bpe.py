@@ -26,7 +26,7 @@ from featlake.llm.common import kept_by_worker, whole_text
 from featlake.llm.words import Words, mixed
 
 #: Bytes of text worked on at once in a task, and distinct pieces remembered.
-AT_ONCE, REMEMBERED = 1 << 20, 1_500_000
+AT_ONCE, REMEMBERED = 1 << 20, 600_000
 #: Pieces that are given to the tokenizer at once.
 TOGETHER = 512
 # Before a blank or line feed that a visible character follows the pattern always splits: what

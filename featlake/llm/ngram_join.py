@@ -37,7 +37,7 @@ BITS, LEAF, FAN = 2048, 32, 8
 CELLS = 1 << 22
 #: Members of a block that one task takes; a larger block is dealt out in parts.
 PART = 4096
-_HELD = 1 << 20
+_HELD = 1 << 20  # tokens of a lot
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 def survey(rows: DataFrame) -> DataFrame:
     """One pass over all texts: per row ``_id, n, f1, f2``; and cells of frequent tokens: ``cell, hits``.
 
-    Tokens are counted in lots of some million, and those that a lot has more than once are reported.
+    Tokens are counted in lots of about a million, and those that a lot has more than once are reported.
     A token in more documents than there are lots is reported by some.
     """
     id_type = rows.schema["_id"].dataType.simpleString()
@@ -156,7 +156,7 @@ def survey(rows: DataFrame) -> DataFrame:
                 [part.column(1), *map(pa.array, (counts, f1, f2)), *nothing], names=["_id", "n", "f1", "f2", "cell", "hits"]
             )
             held.append(tokens)
-            if sum(map(len, held)) > 4 * _HELD:
+            if sum(map(len, held)) > _HELD:
                 yield from passed_on()
         if held:
             yield from passed_on()
