@@ -1,24 +1,27 @@
 """Language-model scores from a probabilistic suffix tree.
 
 Symbols are the bytes of the lower-cased words of a text, with one blank between words and one end.
-The tree's nodes are contexts of up to ``DEPTH`` symbols. A context is a candidate if it makes up at
-least ``RAREST`` of the corpus, and it is retained, with its suffixes, if its next symbols diverge
-enough from those of the context one symbol shorter. A symbol is scored in the state of the longest
-retained suffix of what stands before it; the distribution of a state is smoothed with that of the
-next shorter one, down to the uniform distribution.
-
-Counting covers all training texts: tasks count grams, and the counts are summed by a shuffle that
-grows with the corpus. The tree itself has at most ``1 + DEPTH / RAREST`` nodes whatever the size
-of the corpus, so it is broadcast.
+The tree's nodes are contexts of up to ``DEPTH`` symbols. A context is retained, with its suffixes,
+if its next symbols diverge enough from those of the context one symbol shorter; every context that
+occurs is tested. A symbol is scored in the state of the longest retained suffix of what stands
+before it; the distribution of a state is smoothed with that of the next shorter one, down to the
+uniform distribution.
+
+Tasks count grams, and the counts are summed by a shuffle. Contexts that share their last ``SHORT +
+1`` symbols are in one place, so the tree grows there level by level and never leaves the tasks;
+its size has no bound but the corpus. A gram's probability is ``a + b * p``, where ``p`` is that of
+the levels up to ``SHORT``, the only ones that are broadcast. Texts meet the scores of their grams
+by a join, except for grams that are frequent in the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +30,14 @@ from featlake.llm.bpe import in_parts
 from featlake.llm.common import crc32_of, whole_text, written
 from featlake.llm.words import Words
 
-DEPTH = 5
-#: The smallest share of the corpus of a candidate, the least divergence (in nats, summed over its
-#: occurrences), and the share of the corpus from which a word's count is broadcast: 1 / FREQUENT words at most.
-RAREST, DIVERGENCE, FREQUENT = 1e-6, 5.0, 1e-6
+#: The longest context, so that a gram fits in one number, and the longest one that is broadcast.
+DEPTH, SHORT = 7, 2
+#: The smallest share of the corpus of a candidate (none), the least divergence (in nats, summed over its
+#: occurrences), and the share of the corpus from which a word is broadcast, and a tenth of it for a gram: so many of each at most.
+RAREST, DIVERGENCE, FREQUENT = 0.0, 5.0, 1e-6
 BLANK, END, SYMBOLS = 32, 10, 257
-#: Distinct counts that a task holds before it passes them on.
-HELD = 2_000_000
+#: Distinct counts that a task holds before it passes them on, and grams that it takes at once.
+HELD, TAKEN = 6_000_000, 1_000_000
 _END_WORD = -1  # the key of the end in word counts; a word whose hash that is counts as an end
 
 
@@ -88,117 +92,204 @@ def _key(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
-def count_corpus(texts: DataFrame) -> DataFrame:
-    """Counts of grams (kind 0) and words (kind 1) of the column ``_text``: ``kind, key, n``."""
+def _counted(rows: DataFrame, lists: Callable[[Words], dict[int, np.ndarray]], others: bool) -> DataFrame:
+    """Sums by task of the lists of keys that ``lists`` makes of words: ``kind, key, n``.
+
+    Only rows with ``_train`` are counted; if ``others``, keys of the other rows are listed with 0.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]):
-        counters = (Counter(), Counter())
+        counters: dict[tuple[int, bool], Counter] = {}
 
         def passed_on():
-            for kind, counter in enumerate(counters):
-                if len(counter.keys):
-                    yield pa.RecordBatch.from_pydict(
-                        {"kind": np.full(len(counter.keys), kind, np.int32), "key": counter.keys, "n": counter.counts}
-                    )
-                counter.__init__()
+            for (kind, train), c in counters.items():
+                n = c.counts if train else np.zeros(len(c.keys), np.int64)
+                yield pa.RecordBatch.from_pydict({"kind": np.full(len(n), kind, np.int32), "key": c.keys, "n": n})
+            counters.clear()
 
         for part in in_parts(batches, 0):
-            words = Words(part.column(0))
-            counters[0].add(grams(*symbol_stream(words))[0])
-            counters[1].add(np.concatenate([_key(words.hashes()), np.full(words.n, _END_WORD)]))
-            if sum(len(c.keys) for c in counters) > HELD:
+            for train in (True, False)[: 1 + others]:
+                own = part.column(1) if train else pc.invert(part.column(1))
+                for kind, keys in lists(Words(part.column(0).filter(own))).items():
+                    counters.setdefault((kind, train), Counter()).add(keys)
+            if sum(len(c.keys) for c in counters.values()) > HELD:
                 yield from passed_on()
         yield from passed_on()
 
-    counted = texts.select("_text").mapInArrow(work, "kind int, key long, n long")
-    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return rows.select("_text", "_train").mapInArrow(work, "kind int, key long, n long")
 
 
-def _mask(k: int) -> int:
-    return (1 << (8 * k)) - 1
+def count_corpus(rows: DataFrame) -> DataFrame:
+    """Counts of grams of ``SHORT + 1`` symbols (kind 0) and of words (kind 1): ``kind, key, n``."""
 
+    def lists(words: Words) -> dict[int, np.ndarray]:
+        low = grams(*symbol_stream(words))[0] & _mask(SHORT + 1)
+        return {0: low, 1: np.concatenate([_key(words.hashes()), np.full(words.n, _END_WORD)])}
 
-def retained(counts: DataFrame) -> DataFrame:
-    """The tree's distributions: ``k, gram, n, total, kinds`` for each context and symbol after it.
+    return _counted(rows, lists, False).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
-    ``gram`` holds the ``k`` symbols of the context and then the symbol; ``total`` is the context's
-    count and ``kinds`` the number of different symbols after it.
-    """
-    full = counts.where("kind = 0").select("key", "n")
-    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_mask(k + 1)).alias("mask")) for k in range(DEPTH + 1)])
-    pairs = full.withColumn("level", F.explode(levels)).groupBy(
-        F.col("level.k").alias("k"), F.col("key").bitwiseAND(F.col("level.mask")).alias("gram")
-    ).agg(F.sum("n").alias("n"))
-    pairs = pairs.withColumn("ctx", F.shiftright("gram", 8))
-    size = full.agg(F.sum("n").alias("size")).scalar()
-    contexts = pairs.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    contexts = contexts.where((F.col("k") == 0) | (F.col("total") >= F.lit(RAREST) * size))
-    candidates = written(pairs.join(contexts, ["k", "ctx"]), "suffix-tree")
-
-    parents = candidates.select(
-        (F.col("k") + 1).alias("k"), F.col("gram").alias("short"), F.col("n").alias("_n"), F.col("total").alias("_total")
-    )
-    below = candidates.where("k > 0").withColumn("short", F.expr("gram & (shiftleft(1L, 8 * k) - 1)"))
-    apart = below.join(parents, ["k", "short"]).groupBy("k", "ctx").agg(
-        F.sum(F.col("n") * F.log(F.col("n") * F.col("_total") / (F.col("total") * F.col("_n")))).alias("divergence")
-    ).where(F.col("divergence") >= DIVERGENCE)
-    # With a context come its suffixes, to the empty one.
-    suffixes = F.expr("transform(sequence(0, k), j -> struct(j AS k, ctx & (shiftleft(1L, 8 * j) - 1) AS ctx))")
-    kept = apart.select(F.explode(suffixes).alias("s")).select("s.*").union(
-        candidates.where("k = 0").select("k", "ctx")
-    ).distinct()
-    return candidates.join(kept, ["k", "ctx"], "left_semi").select("k", "gram", "n", "total", "kinds")
+
+def _mask(k: int) -> np.uint64:
+    return np.uint64((1 << (8 * k)) - 1)
+
+
+def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of keys in a sorted array that is not empty, and whether they are there."""
+    i = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return i, sorted_keys[i] == keys
 
 
 @dataclass
-class Tree:
-    """Per length of context: contexts with totals and kinds, and grams with counts, all sorted."""
+class Level:
+    """Contexts of one length with totals, kinds of next symbols and whether retained; grams with counts. Sorted."""
 
-    contexts: list[np.ndarray]
-    totals: list[np.ndarray]
-    kinds: list[np.ndarray]
-    grams: list[np.ndarray]
-    counts: list[np.ndarray]
+    contexts: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
+    kept: np.ndarray
+    grams: np.ndarray
+    counts: np.ndarray
 
     @staticmethod
-    def of(table: pa.Table) -> "Tree":
-        k, gram, n, total, kinds = (table.column(c).to_numpy() for c in ("k", "gram", "n", "total", "kinds"))
-        made = Tree([], [], [], [], [])
-        for level in range(DEPTH + 1):
-            rows = np.flatnonzero(k == level)
-            rows = rows[np.argsort(gram[rows])]
-            made.grams.append(gram[rows])
-            made.counts.append(n[rows])
-            ctx, first = np.unique(gram[rows] >> 8, return_index=True)
-            made.contexts.append(ctx)
-            made.totals.append(total[rows][first])
-            made.kinds.append(kinds[rows][first])
-        return made
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """The log10 probability of the last symbol of each gram after the symbols before it.
-
-        A state gives a symbol its count, and the next shorter state's probability as often as it
-        has seen a new symbol.
-        """
-        p, active = np.full(len(codes), 1.0 / SYMBOLS), np.arange(len(codes))
-        for k in range(DEPTH + 1):
-            ctx, gram = self.contexts[k], self.grams[k]
-            if not len(ctx) or not len(active):
-                break
-            here = codes[active] & _mask(k + 1)
-            i = np.minimum(np.searchsorted(ctx, here >> 8), len(ctx) - 1)
-            found = ctx[i] == here >> 8
-            active, here, i = active[found], here[found], i[found]
-            j = np.minimum(np.searchsorted(gram, here), len(gram) - 1)
-            n = np.where(gram[j] == here, self.counts[k][j], 0)
-            p[active] = (n + self.kinds[k][i] * p[active]) / (self.totals[k][i] + self.kinds[k][i])
-        return np.log10(p)
-
-
-def tree_of(counts: DataFrame) -> Tree:
-    """The tree on the driver; its size is bounded by RAREST."""
-    return Tree.of(retained(counts).toArrow())
+    def of(grams: np.ndarray, counts: np.ndarray) -> "Level":
+        heads = lambda x: np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+        order = np.argsort(grams, kind="stable")
+        grams, counts = grams[order], counts[order]
+        at = heads(grams)
+        grams, counts = grams[at], np.add.reduceat(counts, at) if len(at) else counts
+        ctx = grams >> np.uint64(8)
+        at = heads(ctx)
+        totals = np.add.reduceat(counts, at) if len(at) else counts
+        return Level(ctx[at], totals, np.diff(np.append(at, len(ctx))), np.zeros(len(at), bool), grams, counts)
+
+    def test(self, k: int, shorter: "Level", least: float) -> None:
+        """Retain the contexts of ``k`` symbols that diverge from those one symbol shorter."""
+        if not len(self.grams):
+            return
+        j = np.searchsorted(shorter.grams, self.grams & _mask(k))
+        i = np.searchsorted(shorter.contexts, shorter.grams[j] >> np.uint64(8))
+        own = np.repeat(self.totals, self.kinds)
+        gain = self.counts * np.log(self.counts / own * (shorter.totals[i] / shorter.counts[j]))
+        apart = np.add.reduceat(gain, np.cumsum(self.kinds) - self.kinds)
+        self.kept |= (apart >= DIVERGENCE) & (self.totals >= least)
+
+    def keep(self, contexts: np.ndarray) -> None:
+        """Retain these contexts, all of which occur."""
+        self.kept[np.searchsorted(self.contexts, contexts)] = True
+
+
+def levels_of(grams: np.ndarray, counts: np.ndarray, first: int, last: int) -> list[Level]:
+    """The levels from ``first`` to ``last`` of grams of at least ``last + 1`` symbols."""
+    out = []
+    for k in range(last, first - 1, -1):
+        out.append(Level.of(grams & _mask(k + 1), counts))
+        grams, counts = out[-1].grams, out[-1].counts
+    return out[::-1]
+
+
+def retain(levels: list[Level], first: int, shorter: Level | None, least: float) -> None:
+    """Test the contexts of all levels; with a context come its suffixes in them."""
+    for k, level in enumerate(levels, first):
+        if k:
+            level.test(k, levels[k - first - 1] if k > first else shorter, least)
+        else:
+            level.kept[:] = True
+    for k in range(first + len(levels) - 1, first, -1):
+        longer = levels[k - first]
+        levels[k - first - 1].keep(longer.contexts[longer.kept] & _mask(k - 1))
+
+
+def through(levels: list[Level], first: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a`` and ``b``: the last symbol of a gram has the probability ``a + b * p``, given ``p`` by the levels before.
+
+    A state gives a symbol its count, and the next shorter state's probability as often as it has
+    seen a new symbol.
+    """
+    a, b, active = np.zeros(len(codes)), np.ones(len(codes)), np.arange(len(codes))
+    for k, level in enumerate(levels, first):
+        if not len(level.contexts) or not len(active):
+            break
+        here = codes[active] & _mask(k + 1)
+        i, found = _at(level.contexts, here >> np.uint64(8))
+        found &= level.kept[i]
+        active, here, i = active[found], here[found], i[found]
+        j, seen = _at(level.grams, here)
+        whole, kinds = level.totals[i] + level.kinds[i], level.kinds[i]
+        a[active] = (np.where(seen, level.counts[j], 0) + kinds * a[active]) / whole
+        b[active] *= kinds / whole
+    return a, b
+
+
+def gram_scores(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
+    """``key, n, score`` of every gram: the log10 probability of its last symbol; and the sum of all counts."""
+    spark = counts.sparkSession
+    low = counts.where("kind = 0").select(F.col("key").alias("gram"), "n").toArrow()
+    short = levels_of(low.column("gram").to_numpy().astype(np.uint64), low.column("n").to_numpy(), 0, SHORT)
+    size = int(short[0].counts.sum())
+    least = RAREST * size
+    retain(short, 0, None, least)
+    shared = spark.sparkContext.broadcast(short[SHORT])
+    held = TAKEN
+
+    def grow(batches: Iterable[pa.RecordBatch]):
+        def done(rows: list[pa.RecordBatch]):
+            key, n = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in (1, 2))
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, n = key[heads], np.add.reduceat(n, heads)
+            codes, train = key.view(np.uint64), n > 0
+            levels = levels_of(codes[train], n[train], SHORT + 1, DEPTH)
+            retain(levels, SHORT + 1, shared.value, least)
+            a, b = through(levels, SHORT + 1, codes)
+            return pa.RecordBatch.from_pydict({"key": key, "n": n, "a": a, "b": b})
+
+        rows, many = [], 0
+        for batch in batches:
+            rows.append(batch)
+            many += batch.num_rows
+            if many < held:
+                continue
+            # The last place may go on in the next batch; it stays.
+            place = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(place, place[-1]))
+            before = [r for r in rows[:-1] if r.num_rows]
+            if cut:
+                yield done([*before, batch.slice(0, cut)])
+                rows, many = [batch.slice(cut)], batch.num_rows - cut
+            elif before and before[-1].column(0)[-1].as_py() != place[-1]:
+                yield done(before)
+                rows, many = [batch], batch.num_rows
+        if rows:
+            yield done(rows)
+
+    place = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(int(_mask(SHORT + 1)))).alias("place")
+    listed = _counted(rows, lambda words: {0: grams(*symbol_stream(words))[0]}, True).select(place, "key", "n")
+    placed = listed.repartition("place").sortWithinPartitions("place")
+    grown = written(placed.mapInArrow(grow, "key long, n long, a double, b double"), "suffix-tree")
+    # With the longer contexts come their suffixes in the short levels.
+    last = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(int(_mask(SHORT)))).alias("c")
+    below = grown.where("b < 1").select(last).distinct().toArrow()
+    short[SHORT].keep(below.column("c").to_numpy().astype(np.uint64))
+    for k in range(SHORT, 0, -1):
+        short[k - 1].keep(short[k].contexts[short[k].kept] & _mask(k - 1))
+    tree = spark.sparkContext.broadcast(short)
+
+    def finish(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            key, n, a, b = (batch.column(c).to_numpy() for c in range(4))
+            p, q = through(tree.value, 0, key.view(np.uint64))
+            yield pa.RecordBatch.from_pydict({"key": key, "n": n, "score": np.log10(a + b * (p + q / SYMBOLS))})
+
+    return grown.mapInArrow(finish, "key long, n long, score double"), size
+
+
+def _once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each text, their texts, and how often."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])[: len(key)])
+    return key[heads], doc[heads], np.diff(np.append(heads, len(key)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -216,8 +307,12 @@ def score_texts(
     word and the end have the probability one in ``base_score``, and symbols are equally likely.
     """
     rows = docs.select(whole_text(text_col).alias("_text"), F.col(id_col).alias("_id"), train.alias("_train"))
-    counts = written(count_corpus(rows.where("_train")), "corpus-counts")
-    tree = tree_of(counts)
+    counts = written(count_corpus(rows), "corpus-counts")
+    symbols, size = gram_scores(rows, counts)
+    often = (F.col("n") > 0) & (F.col("n") >= FREQUENT / 10 * size)
+    common = symbols.where(often).select("key", "score").toArrow()
+    order = np.argsort(codes := common.column("key").to_numpy())
+    common = codes[order], common.column("score").to_numpy()[order]
     words = counts.where("kind = 1")
     n_all, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rest = n_all + 0.5 * (vocabulary + 1)
@@ -226,26 +321,24 @@ def score_texts(
     known = words.where(frequent).select("key", "n").toArrow()
     order = np.argsort(keys := known.column("key").to_numpy())
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tree, keys[order], known.column("n").to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((common, keys[order], known.column("n").to_numpy()[order]))
     id_type = rows.schema["_id"].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]):
-        tree, keys, counts = shared.value
+        (usual, logs), keys, counts = shared.value
         row = TaskContext.get().partitionId() << 33
         for part in in_parts(batches, 0):
             words = Words(part.column(0))
             codes, own = grams(*symbol_stream(words))
-            distinct, back = np.unique(codes.astype(np.int64), return_inverse=True)
-            ends = np.cumsum(own)
-            score = np.add.reduceat(tree.log10(distinct)[back], ends - own)
+            codes, of = codes.view(np.int64), np.repeat(np.arange(words.n), own)
+            i, found = _at(usual, codes) if len(usual) else (codes, np.zeros(len(codes), bool))
+            score = np.bincount(of[found], weights=logs[i[found]], minlength=words.n).astype(float)  # empty sums are integers
+            rare, rare_of, rare_times = _once(codes[~found], of[~found])
+            rare_at = np.concatenate([[0], np.cumsum(np.bincount(rare_of, minlength=words.n))]).astype(np.int32)
             # The words of each text, with the end, and how often.
             key = np.concatenate([_key(words.hashes()), np.full(words.n, _END_WORD)])
             doc = np.concatenate([words.doc, np.arange(words.n)])
-            order = np.lexsort((key, doc))
-            key, doc = key[order], doc[order]
-            heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
-            times = np.diff(np.append(heads, len(key)))
-            key, doc = key[heads], doc[heads]
+            key, doc, times = _once(key, doc)
             i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             hit = keys[i] == key if len(keys) else np.zeros(len(key), bool)
             share = np.log10((counts[i] + 0.5) / rest) * times if len(keys) else np.zeros(len(key))
@@ -256,23 +349,33 @@ def score_texts(
                 "_row": row + np.arange(words.n), "_id": part.column(1), "_train": part.column(2), "n_tokens": words.count + 1,
                 "_seen": seen, "_sum": sums, "score": score,
                 "_keys": pa.ListArray.from_arrays(at, pa.array(key[~hit])), "_times": pa.ListArray.from_arrays(at, pa.array(times[~hit])),
+                "_grams": pa.ListArray.from_arrays(rare_at, pa.array(rare)), "_gram_times": pa.ListArray.from_arrays(rare_at, pa.array(rare_times)),
             })
             row += words.n
 
     scored = written(rows.mapInArrow(
         work, f"_row long, _id {id_type}, _train boolean, n_tokens long, _seen long, _sum double, score double, "
-        "_keys array<long>, _times array<long>",
+        "_keys array<long>, _times array<long>, _grams array<long>, _gram_times array<long>",
     ), "scored")
-    # What is left are rare words: their counts come by a join, without hot keys.
-    rare = scored.select("_row", F.explode(F.arrays_zip("_keys", "_times")).alias("w")).select("_row", F.col("w._keys").alias("key"), F.col("w._times").alias("times"))
-    found = rare.join(words.where(~frequent).select("key", "n"), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = found.groupBy("_row").agg(
-        F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(rest))).alias("_rare"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("_rare_seen"),
+    # What is left are rare words and grams: their counts and scores come by joins, without hot keys.
+    def listed(keys: str, times: str) -> DataFrame:
+        pairs = scored.select("_row", F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(times).alias("t"))).alias("w"))
+        return pairs.select("_row", F.col("w.k").alias("key"), F.col("w.t").alias("times"))
+
+    found = listed("_keys", "_times").join(words.where(~frequent).select("key", "n"), "key", "left")
+    found = found.withColumn("n", F.coalesce("n", F.lit(0))).select(
+        "_row", (F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(rest))).alias("_base"),
+        F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("_known"), F.lit(0.0).alias("_score"),
+    )
+    priced = listed("_grams", "_gram_times").join(symbols.where(~often).select("key", F.col("score").alias("_log")), "key")
+    priced = priced.select("_row", F.lit(0.0).alias("_base"), F.lit(0).cast("long").alias("_known"), (F.col("times") * F.col("_log")).alias("_score"))
+    sums = found.unionByName(priced).groupBy("_row").agg(
+        F.sum("_base").alias("_rare"), F.sum("_known").alias("_rare_seen"), F.sum("_score").alias("_rare_score")
     )
     zero = F.lit(0)
     return scored.join(sums, "_row", "left").select(
         F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), "n_tokens",
         (F.col("_seen") + F.coalesce("_rare_seen", zero)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("_sum") + F.coalesce("_rare", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("_sum") + F.coalesce("_rare", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("_rare_score", F.lit(0.0))).alias("score"),
     )

@@ -107,3 +107,20 @@ def test_empty_tables(empty, hard):
     assert suffix_tree.score_texts(empty, ~suffix_tree.held_out()).count() == 0
     untrained = suffix_tree.score_texts(hard.where("doc_id < 5"), F.lit(False)).collect()
     assert {(r.base_score, r.n_known, r.train_tokens) for r in untrained} == {(0.0, 0, 0)}
+
+
+def test_rare_and_long_contexts_are_retained(spark, monkeypatch):
+    # The passage occurs once in over a million symbols; the digits follow from the sixth symbol before them.
+    monkeypatch.setattr(suffix_tree, "TAKEN", 50)
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 0.01)
+    passage, pairs = "xaбвгдеq", "paaaaa1 qaaaaa2 " * 20
+    texts = [passage, pairs] + ["the quick brown fox jumps over the dog " * 4000] * 8
+    train = list(zip([i for i in range(200) if train_id(i)], texts))
+    held = list(zip([i for i in range(200) if not train_id(i)], [passage, pairs, "юю zz"]))
+    docs = spark.createDataFrame(train + held, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(docs, ~suffix_tree.held_out()).collect()}
+    tree = plain_tree(texts)
+    size = sum(tree[b""].values())
+    assert any(sum(n.values()) < 1e-6 * size for n in tree.values()) and b"paaaaa" in tree
+    for i, text in held:
+        assert got[i] == pytest.approx(plain_score(tree, text), rel=1e-9)
