@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from featlake.operators import jobs as Jb
 from featlake.streaming import events as E
 from featlake.streaming import runs as R
-from featlake.streaming.stateful import job_steps
+from featlake.streaming.stateful import job_steps, last_revisions
 
 START = dt.datetime(2024, 1, 1)
 CHANGE = "job_identifier string, ts timestamp_ntz, seq bigint, to_status string, progress int"
@@ -83,6 +83,29 @@ def test_stateful_steps_over_micro_batches(spark, tmp_path):
     assert sorted(map(tuple, steps.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
 
 
+@pytest.mark.parametrize("seed", [9, 10])
+def test_stateful_steps_of_files_out_of_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = sorted(_log(rng, 300, [f"j{i}" for i in range(40)], STATUSES), key=lambda r: (r[1], r[2]))
+    rows = [(*r[:4], None if r[2] % 7 == 0 else r[4]) for r in rows]
+    pieces = [rows[i : i + 60] for i in range(0, 300, 60)]
+    # The newest file first, and one whose rows are from all times.
+    mixed = [r for p in pieces for r in p[::9]]
+    for piece in [[r for r in p if r not in mixed] for p in reversed(pieces)] + [mixed]:
+        part = spark.createDataFrame(piece, CHANGE).withColumn("ts", F.col("ts").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "changes"))
+    given = R.run_to_end(job_steps(stream), "test-steps").withColumn("ts", F.col("ts").cast("timestamp_ntz")).cache()
+    assert given.where("revision > 1").count() > 0
+    expected = Jb.fold_job_changes(spark.createDataFrame(rows, CHANGE))
+    expected = expected.select("job_identifier", F.inline(F.array("accepted", "running", "ended"))).where("status IS NOT NULL")
+    expected = expected.withColumn("progress", Jb.clamp_progress(F.col("progress")))
+    order = lambda r: tuple(map(str, r))
+    columns = ["job_identifier", "ts", "seq", "status", "progress"]
+    assert sorted(map(tuple, last_revisions(given).select(columns).collect()), key=order) == sorted(map(tuple, expected.select(columns).collect()), key=order)
+
+
 @pytest.mark.parametrize("slices", [1, 5])
 def test_deployments_equal_a_replay(spark, slices):
     rng = random.Random(6)
