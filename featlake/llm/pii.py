@@ -77,6 +77,27 @@ class Kind:
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 
+#: The characters of an account number by country.
+_ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account_numbers() -> str:
+    """Account numbers in groups of four. A known country fixes the end, whatever words or numbers follow."""
+    ways, known = [], []
+    for length, countries in _ACCOUNT_LENGTHS.items():
+        known += countries.split()
+        groups, rest = divmod(length - 4, 4)
+        tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+        ways.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    ways.append(rf"(?!{'|'.join(known)})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?+")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(ways)})(?![A-Za-z0-9])"
+
+
 #: The quantifiers are possessive and the starts are fixed where that cannot change a match, so
 #: time stays in proportion to the text and no pattern needs a deep stack.
 KINDS = (
@@ -98,17 +119,20 @@ KINDS = (
         "phone|tel|call|mobile|fax|telefon|llame|appel", True, lambda t: F.contains(t, F.lit("+")),
     ),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
-        0.8, mod97, "iban|account|bank|konto|cuenta|compte", False, lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
+        "iban", _account_numbers(), 0.8, mod97, "iban|account|bank|konto|cuenta|compte", False,
+        lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
     ),
     # A social security number is nine digits in three groups; only its context tells it apart.
     Kind(
         "ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, None,
         "ssn|social security|sozialversicherung|seguridad social", False, lambda t: t.rlike("[0-9]-[0-9]"),
     ),
-    # A number without the plus sign is a telephone number only beside a word that says so.
+    # A number without the plus sign is a telephone number only beside a word that says so. It is not the
+    # end of a longer number with dots or dashes, nor of one with a plus sign.
     Kind(
-        "phone_local", r"(?<![0-9+()\x20.-])\x20?(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])", 0.4,
+        "phone_local",
+        r"(?=[(0-9])(?<![0-9+])(?<![0-9][.-])(?<!\+[0-9\x20().-]{1,20})"
+        r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])", 0.4,
         None, "phone|tel|call|mobile|fax|telefon|llame|appel", False, lambda t: t.rlike("[0-9][.-][0-9]"),
     ),
 )
@@ -150,12 +174,10 @@ def _with_spans(df: DataFrame, text: str, nth: int, kind: Kind) -> DataFrame:
         before, after = F.element_at(pieces, i + 1), F.element_at(pieces, i + 2)
         context = F.right(before, F.lit(CONTEXT)).rlike(near) | F.left(after, F.lit(CONTEXT)).rlike(near)
         score = F.lit(kind.score) + F.when(context, BOOST).otherwise(0.0)
-        # A leading blank is part of a pattern only to look behind it.
-        skip = F.length(m) - F.length(F.ltrim(m)) if kind.name == "phone_local" else F.lit(0)
         end = F.element_at(ends, i + 1)
         return F.struct(
-            (end - F.length(m) + skip).alias("start"), end.alias("end"), F.lit(nth).alias("kind"),
-            score.alias("score"), F.ltrim(m).alias("text"),
+            (end - F.length(m)).alias("start"), end.alias("end"), F.lit(nth).alias("kind"),
+            score.alias("score"), m.alias("text"),
         )
 
     spans = F.transform(hit, span)

@@ -64,6 +64,27 @@ def test_added_kinds_need_checksum_or_context(spark):
         assert [s.text and ORDER[s.kind] for s in r.spans] == cases[r.doc_id][1], r.text
 
 
+def test_numbers_end_where_their_country_says(spark):
+    numbers = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874",
+               "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    after = [" Please", " PAID", " 2024", " 12 EUR", ".", ""]
+    cases = [f"é to {f(n)}{a}" for n in numbers for a in after for f in (str, lambda x: x.replace(" ", ""))]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in spans_of(pii.find_personal_data(df)):
+        number = numbers[r.doc_id // (2 * len(after))]
+        assert [s.text for s in r.spans if ORDER[s.kind] == "iban"] == [number.replace(" ", "") if r.doc_id % 2 else number], r.text
+
+
+def test_local_numbers_after_marks(spark):
+    before = ["Please call. ", "phone - ", "phone (", "phone  ", "phone: ", "Call us. (", "call ext. 5 "]
+    cases = [b + n for b in before for n in ("555-123-4567", "(555) 123-4567")]
+    others = ["call +1 555-123-4567", "call 1-555-123-4567", "call 12.555.123.4567", "call +1  (555) 123-4567", "call 5555-123-4567"]
+    df = spark.createDataFrame(list(enumerate(cases + others)), "doc_id long, text string")
+    for r in spans_of(pii.find_personal_data(df)):
+        expected = [cases[r.doc_id][-12 if r.doc_id % 2 == 0 else -14 :]] if r.doc_id < len(cases) else []
+        assert [s.text for s in r.spans if ORDER[s.kind] == "phone_local"] == expected, r.text
+
+
 def test_context_raises_the_score(spark):
     df = spark.createDataFrame([(1, "card: 4539148803436467"), (2, "thing 4539148803436467")], "doc_id long, text string")
     a, b = [r.spans[0].score for r in sorted(spans_of(pii.find_personal_data(df)))]
