@@ -6,6 +6,10 @@ distinct terms in it are sorted and hashed; the hashes are the fingerprint. Docu
 lengths have about one term per subset at different rates, so two fingerprints are compared at the
 lowest rate at which enough subsets hold a term of either document.
 
+Frequencies are counted over distinct sets of terms, so copies of a text count once. A text with few
+terms of the band, as a member of a large group of near copies or a short text of rare words, is
+drawn from its terms that are nearest to the band as well.
+
 Everything is column expressions and joins. The band bounds the lexicon: a term of the band is in at
 least ``LOW`` of the documents, so there are at most (mean distinct terms per document) / ``LOW``
 terms, whatever the number of documents.
@@ -26,6 +30,8 @@ SUBSETS, RATES = 24, 4
 SLOTS = SUBSETS * RATES
 #: Subsets with a term of either document from which on a rate is used.
 ENOUGH = 6
+#: Terms that a text with fewer than ``ENOUGH`` of the band is drawn from, if it has as many.
+FILL = SUBSETS
 #: Rows of a bucket in the order of ids, and the most buckets; beyond, buckets grow and windows spill.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
 _NONE = "...."
@@ -45,33 +51,80 @@ def _subsets(term: Column) -> Column:
     return F.filter(F.array(*drawn), lambda s: s.isNotNull())
 
 
+def counted_terms(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
+    """``term`` (as a hash) and ``df``, the number of distinct sets of terms with it; and the number of sets."""
+    terms = docs.select(terms_of(whole_text(text_col)).alias("t"))
+    # The empty term stands for the set itself.
+    hashed = F.transform(F.array_append("t", ""), lambda t: F.xxhash64(t))
+    sets = terms.select(F.xxhash64(F.array_sort("t")).alias("whole"), hashed.alias("t")).dropDuplicates(["whole"])
+    counts = written(sets.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "term-counts")
+    own = F.col("term") == F.xxhash64(F.lit(""))
+    return counts.where(~own), counts.where(own).agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
+
+
+def _far(n: int, low: float = LOW, high: float = HIGH) -> Column:
+    """How far a term is from the band, as a ratio; 0 in it. A term of no document is the farthest of the rare ones."""
+    df = F.coalesce(F.col("df").cast("double"), F.lit(0.5))
+    return F.when(df > n * high, df / (n * high)).when(df < n * low, n * low / df).otherwise(0.0)
+
+
+def _band(counts: DataFrame, n: int, low: float = LOW, high: float = HIGH) -> DataFrame:
+    return counts.where(_far(n, low, high) == 0).select("term", _subsets(F.col("term")).alias("subsets"))
+
+
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """``term`` (as a hash) and ``subsets`` of the terms in the band; counts cover all documents."""
-    terms = docs.select(F.explode(terms_of(whole_text(text_col))).alias("t")).select(F.xxhash64("t").alias("term"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n")).scalar()
-    return counts.where((F.col("df") >= n * F.lit(low)) & (F.col("df") <= n * F.lit(high))).select(
-        "term", _subsets(F.col("term")).alias("subsets")
+    return _band(*counted_terms(docs, text_col), low, high)
+
+
+def _versions(rows: DataFrame, texts: dict[str, str], keys: list[str], facts: Column) -> DataFrame:
+    """``keys, facts, v, terms, whole``: a row for each text column with its number, terms and their hash."""
+    versions = F.array(*[
+        F.struct(F.lit(i).alias("v"), terms_of(whole_text(c)).alias("terms")) for i, c in enumerate(texts.values())
+    ])
+    return rows.select(*keys, facts.alias("facts"), F.explode(versions).alias("x")).select(
+        *keys, "facts", "x.v", "x.terms", F.xxhash64(F.array_sort("x.terms")).alias("whole")
     )
 
 
+def _packed(subset: Column, term: Column) -> Column:
+    """A subset's number and 56 bits of a term's hash in one number: lists of numbers are small."""
+    return F.shiftleft(subset.cast("long"), 56) + F.shiftrightunsigned(term, 8)
+
+
+def beyond_band(
+    rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame, counts: DataFrame, n: int
+) -> DataFrame:
+    """``whole, more``: what sets with few terms of the band are drawn from besides, a list of numbers."""
+    split = _versions(rows, texts, keys, F.lit(None))
+    listed = split.select(*keys, "v", "whole", F.explode_outer("terms").alias("t")).withColumn("term", F.xxhash64("t"))
+    banded = listed.join(words, "term", "left").groupBy(*keys, "v", "whole").agg(F.count("subsets").alias("band"))
+    few = bounded_broadcast(written(banded.where(F.col("band") < ENOUGH).select("whole").distinct(), "few-terms"))
+    # Each set once; frequent terms, which are a bounded number, by broadcast, so no key of the join is hot.
+    pairs = split.join(few, "whole", "left_semi").select("whole", F.explode("terms").alias("t"))
+    pairs = written(pairs.select("whole", F.xxhash64("t").alias("term")).distinct(), "terms-of-few")
+    often = bounded_broadcast(written(counts.where(F.col("df") > n * LOW), "often"))
+    known = pairs.join(often, "term")
+    rare = pairs.join(often, "term", "left_anti").join(counts.where(F.col("df") <= n * LOW), "term", "left")
+    nearest = Window.partitionBy("whole").orderBy("far", "term")
+    near = known.unionByName(rare).select("whole", "term", _far(n).alias("far")).withColumn("nth", F.row_number().over(nearest))
+    chosen = near.where((F.col("nth") <= FILL) & (F.col("far") > 0)).select("whole", "term", F.explode(_subsets(F.col("term"))).alias("subset"))
+    return chosen.groupBy("whole").agg(F.collect_list(_packed(F.col("subset"), F.col("term"))).alias("more"))
+
+
 def fingerprints(
-    rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame, carry: tuple[str, ...] = ()
+    rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame, carry: tuple[str, ...] = (),
+    beyond: DataFrame | None = None,
 ) -> DataFrame:
     """``keys``, ``carry`` and a fingerprint per text column: ``texts`` maps names of fingerprints to columns.
 
     ``keys`` identify a row, and columns in ``carry`` come along, so the texts are read once. If ``rows`` are partitioned by some of them, nothing is shuffled. A
     fingerprint is the hash of all sorted terms in 16 digits, a colon, and for each subset four
-    digits, or four dots where the text has no term of the subset. Null counts as empty.
+    digits, or four dots where the text has no term of the subset. Null counts as empty. ``beyond``
+    has further terms of some sets, see ``beyond_band``.
     """
     names = list(texts)
-    versions = F.array(*[
-        F.struct(F.lit(i).alias("v"), terms_of(whole_text(c)).alias("terms")) for i, c in enumerate(texts.values())
-    ])
-    facts = F.struct(F.lit(0), *carry).alias("facts")
-    split = rows.select(*keys, facts, F.explode(versions).alias("x")).select(
-        *keys, "facts", "x.v", "x.terms", F.xxhash64(F.array_sort("x.terms")).alias("whole")
-    )
+    split = _versions(rows, texts, keys, F.struct(F.lit(0), *carry))
     # The empty term stands for the row itself, so texts without terms keep a row, too.
     listed = split.select(
         *keys, "facts", "v", "whole", F.explode(F.array_append("terms", "")).alias("t")
@@ -81,12 +134,13 @@ def fingerprints(
     )
     drawn = listed.join(words, "term", "left").where(F.col("own") | F.col("subsets").isNotNull())
     spread = drawn.select(*keys, "v", "whole", "facts", "term", F.explode_outer("subsets").alias("subset"))
-    # A subset's number and 56 bits of a term's hash in one number: lists of numbers are small.
-    packed = F.shiftleft(F.col("subset").cast("long"), 56) + F.shiftrightunsigned("term", 8)
+    packed = _packed(F.col("subset"), F.col("term"))
     lists = spread.select(*keys, "v", "whole", "facts", packed.alias("x")).groupBy(*keys, "v", "whole").agg(
-        F.first("facts", ignorenulls=True).alias("facts"),
-        F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(F.lpad(F.hex(x), 16, "0"), F.lit(";"))).alias("l")
+        F.first("facts", ignorenulls=True).alias("facts"), F.collect_list("x").alias("l")
     )
+    if beyond is not None:
+        lists = lists.join(beyond, "whole", "left").withColumn("l", F.concat("l", F.coalesce("more", F.array().cast("array<long>"))))
+    lists = lists.withColumn("l", F.transform(F.array_sort("l"), lambda x: F.concat(F.lpad(F.hex(x), 16, "0"), F.lit(";"))))
     # Sorted, the terms of a subset follow each other: each such run is hashed.
     joined = F.array_join("l", "")
     runs = F.regexp_extract_all(joined, F.lit(r"([0-9A-F]{2})[0-9A-F]+;(?:\1[0-9A-F]+;)*+"), F.lit(0))
@@ -176,11 +230,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     terms have equal fingerprints. Rows that repeat are rows of their own. An empty table gives an
     empty result.
     """
-    words = bounded_broadcast(written(lexicon(docs, text_col), "lexicon"))
+    counts, n = counted_terms(docs, text_col)
+    words = bounded_broadcast(written(_band(counts, n), "lexicon"))
     rows = in_id_order(docs, id_col, text_col).withColumn("_edited", edited(F.col("_text"), F.coalesce("_next", F.lit(""))))
     rows = rows.withColumns({"n_chars": F.length("_text").cast("long"), "edited_sha256": F.sha2("_edited", 256)})
     texts = {"fingerprint": "_text", "edited_fingerprint": "_edited"}
-    prints = fingerprints(rows, texts, ["_bucket", "_nth"], words, ("_guest", "_id", "n_chars", "edited_sha256"))
+    keys = ["_bucket", "_nth"]
+    beyond = bounded_broadcast(written(beyond_band(rows, texts, keys, words, counts, n), "beyond-band"))
+    prints = fingerprints(rows, texts, keys, words, ("_guest", "_id", "n_chars", "edited_sha256"), beyond)
     order = Window.partitionBy("_bucket").orderBy("_nth")
     both = prints.withColumn("_next_print", F.lead("fingerprint").over(order)).where(~F.col("_guest"))
     both = both.withColumnRenamed("_id", id_col)

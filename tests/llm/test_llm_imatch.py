@@ -101,6 +101,24 @@ def test_likeness(spark):
         assert r.got == pytest.approx(r.expected)
 
 
+def test_large_groups_of_copies_keep_their_fingerprints(spark):
+    """A third near copies, a third exact copies, short texts of rare words, and others."""
+    shared, exact = " ".join(f"near{i}" for i in range(40)), " ".join(f"same{i}" for i in range(30))
+    texts = [f"{shared} only{i}" for i in range(700)] + [exact] * 700 + [f"{exact} more"] + ["pqr stu vwx yza bcd efg hij klm"]
+    texts += ["pqr stu vwx yza bcd efg hij"] + [" ".join(f"w{(7 * i + j * j) % 900}" for j in range(20)) for i in range(698)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r.doc_id: r.fingerprint for r in imatch.fingerprint_edits(docs).collect()}
+    pairs = [(i, i + 1) for i in range(0, 600, 50)] + [(700, 1400), (1401, 1402), (0, 700), (0, 1401)]
+    df = spark.createDataFrame([(i, j, prints[i], prints[j]) for i, j in pairs], "i int, j int, a string, b string")
+    got = {(r.i, r.j): r.got for r in imatch.with_likeness(df, "got", "a", "b").collect()}
+    assert got.pop((0, 700)) == got.pop((0, 1401)) == 0.0
+    assert min(got.values()) >= 0.5, got
+    counts, n = imatch.counted_terms(docs)
+    df = {r.term: r.df for r in counts.collect()}
+    same = spark.range(1).select(F.xxhash64(F.lit("same1")), F.xxhash64(F.lit("near1"))).first()
+    assert [df[same[0]], df[same[1]], n] == [2, 700, 700 + 2 + 2 + len(set(frozenset(t.split()) for t in texts[1403:]))]
+
+
 def test_empty_table_and_plan(empty, spark):
     assert imatch.fingerprint_edits(empty).count() == 0
     df = imatch.fingerprint_edits(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
