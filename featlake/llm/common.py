@@ -40,10 +40,13 @@ def crc32_of(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a table in the shared scratch folder: computed once, whatever reads them later."""
+def written(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
+    """The rows as a table in the shared scratch folder: computed once, whatever reads them later.
+
+    With ``by``, rows of each value of that column are files of their own.
+    """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm import bpe, exact_dedup, imatch, language_id, mixing, ngram_join, pii, records, sharding, suffix_tree
+from featlake.llm import (
+    bpe, exact_dedup, imatch, language_id, mixing, ngram_join, pii, ranked_search, records, sharding, simhash, suffix_tree, whitening,
+)
 from featlake.llm.common import read_documents
+from featlake.session import tune
 
 #: Files of the public tokenizers.
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -84,10 +87,32 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    items = tune(spark).read.parquet(f"{folder}/benchmark.parquet")
+    return ranked_search.search(read_documents(spark, folder), items)
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of texts whose fingerprints differ in four bits at most."""
+    return simhash.near_duplicates(read_documents(spark, folder))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened components of all embeddings. A deviation beyond 64 bits is null, and whole in ``deviation_exact``."""
+    found = whitening.whiten(tune(spark).read.parquet(f"{folder}/embeddings.parquet"))
+    exact = F.col("deviation").alias("deviation_exact")
+    deviation = F.expr("try_cast(deviation AS bigint)").alias("deviation")
+    return found.select("vec_id", "component", "n", deviation, "whitened", "explained", "identity_error", exact)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_pii, op2_suffix_tree, op3_byte_bpe, op4_ngram_join, op5_exact_dedup, op6_token_records, op7_imatch, op8_mix, op9_shard, op10_language)
-}
+    for f in (
+        op1_pii, op2_suffix_tree, op3_byte_bpe, op4_ngram_join, op5_exact_dedup, op6_token_records, op7_imatch, op8_mix, op9_shard,
+        op10_language, op11_ranked_search, op12_simhash, op13_whitening,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": """
@@ -118,4 +143,28 @@ ORACLES: dict[str, str] = {
         SELECT s.doc_id, any_value(len(s.s)) AS n_shingles, min(r.y) AS component_id
         FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id
     """,
+    "op11_ranked_search": """
+        WITH docs AS (
+          SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+          FROM documents),
+        items AS (
+          SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t
+          FROM benchmark),
+        whole AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS l FROM docs WHERE len(w) > 0),
+        tfs AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) GROUP BY r, t),
+        dfs AS (SELECT t, count(*) AS df FROM tfs GROUP BY t),
+        sums AS (
+          SELECT item_id, d.doc_id, d.r, sum(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+            * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * len(w) * n_docs) // l)))))::BIGINT AS score
+          FROM items JOIN dfs USING (t) JOIN tfs USING (t) JOIN docs d ON d.r = tfs.r CROSS JOIN whole
+          GROUP BY item_id, d.doc_id, d.r),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+          FROM sums WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
