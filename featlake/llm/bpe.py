@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlake.llm.common import kept_by_worker, whole_text
-from featlake.llm.words import Words, mixed
+from featlake.llm.words import Words, mixed, same_pieces
 
 #: Bytes of text worked on at once in a task, and distinct pieces remembered.
 AT_ONCE, REMEMBERED = 1 << 20, 600_000
@@ -59,6 +59,10 @@ class Ragged:
         self.flat, self.lengths = flat, lengths
         self.starts = np.cumsum(lengths, dtype=np.int64) - lengths
 
+    def extended(self, flat: np.ndarray, lengths: np.ndarray) -> Ragged:
+        """With further arrays."""
+        return Ragged(np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths]))
+
     def pick(self, which: np.ndarray) -> np.ndarray:
         """The picked arrays, one after another."""
         lengths = self.lengths[which].astype(np.int64)
@@ -89,9 +93,10 @@ def ids_of_each(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceEncoder:
-    """Encodes each distinct piece once and remembers its ids by the piece's 64-bit hash.
+    """Encodes each distinct piece once and remembers its ids and bytes by the piece's 64-bit hash.
 
-    ``encode_new`` gives the ids of new pieces and the number of ids of each.
+    ``encode_new`` gives the ids of new pieces and the number of ids of each. A piece is taken for
+    another only if their bytes are equal; pieces that merely share a hash are encoded each.
     """
 
     def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
@@ -101,30 +106,41 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.table = Ragged(np.empty(0, np.int32), np.empty(0, np.int32))
+        self.spelled = Ragged(np.empty(0, np.uint8), np.empty(0, np.int32))
 
-    def __call__(self, keys: np.ndarray, spell: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the pieces with these keys, one after another, and the number of ids of each.
-
-        ``spell`` gives the bytes of the piece at a place in ``keys``.
-        """
+    def __call__(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of ``data``, one after another, and the number of ids of each."""
         if len(self.keys) > REMEMBERED:
             self._forget()
+        raw, sizes = data.tobytes(), stop - start
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == distinct[inside]
+        # The first piece of each hash stands for the others, and what is remembered for it.
+        own = first[back]
+        odd = ~same_pieces(data, start, sizes, data, start[own], sizes[own])
+        seen, held = first[known], self.at[at[known]]
+        unlike = np.zeros(len(distinct), bool)
+        unlike[known] = ~same_pieces(data, start[seen], sizes[seen], self.spelled.flat, self.spelled.starts[held], self.spelled.lengths[held])
+        odd |= unlike[back]
         if not known.all():
-            new = distinct[~known]
-            ids, counts = self.encode_new([spell(i).decode() for i in first[~known].tolist()])
+            new, pieces = distinct[~known], first[~known].tolist()
+            ids, counts = self.encode_new([raw[start[i] : stop[i]].decode() for i in pieces])
             number = (len(self.table.lengths) + np.arange(len(new))).astype(np.int32)
-            lengths = np.concatenate([self.table.lengths, counts.astype(np.int32)])
-            self.table = Ragged(np.concatenate([self.table.flat, ids.astype(np.int32)]), lengths)
+            self.table = self.table.extended(ids.astype(np.int32), counts.astype(np.int32))
+            spelled = np.frombuffer(b"".join(raw[start[i] : stop[i]] for i in pieces), np.uint8)
+            self.spelled = self.spelled.extended(spelled, sizes[pieces].astype(np.int32))
             places = np.searchsorted(self.keys, new)
             self.keys, self.at = np.insert(self.keys, places, new), np.insert(self.at, places, number)
             at = np.searchsorted(self.keys, distinct)
-        which = self.at[at][back]
-        return self.table.pick(which).astype(np.int64), self.table.lengths[which].astype(np.int64)
+        which, table = self.at[at][back], self.table
+        if odd.any():
+            ids, counts = self.encode_new([raw[start[i] : stop[i]].decode() for i in np.flatnonzero(odd).tolist()])
+            which[odd] = len(table.lengths) + np.arange(len(counts))
+            table = table.extended(ids.astype(np.int32), counts.astype(np.int32))
+        return table.pick(which).astype(np.int64), table.lengths[which].astype(np.int64)
 
 
 class TextEncoder:
@@ -183,8 +199,7 @@ class TextEncoder:
         use = ~odd[words.doc]
         keys = words.hashes() + np.where(separated, before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
         keys, lead = mixed(keys[use]), (start - separated)[use]
-        stop, raw = end[use], data.tobytes()
-        ids, n = self.pieces(keys, lambda i: raw[lead[i] : stop[i]])
+        ids, n = self.pieces(keys, data, lead, end[use])
         counts = np.bincount(words.doc[use], weights=n, minlength=words.n).astype(np.int64)
         if not odd.any():
             return ids, counts

@@ -520,14 +520,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows that stay, with all their columns: of each component those of its smallest id.
+    """The rows that stay, with all their columns: of each component one with its smallest id.
 
-    Rows that repeat that id stay together. A row without an id stays only if its component has no
-    id. Texts without words all stay.
+    A row without an id stays only if its component has no id; of several rows with the smallest id
+    the one whose text has the smallest hash stays, of equal texts any. Texts without words all stay.
+    An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, percent)
-    keep = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_keep")).distinct()
-    # Ids are small: while they are few enough, no text is shuffled.
-    keep = bounded_broadcast(written(keep, "kept"))
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"))
-    return rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").select("_doc.*")
+    sha = F.sha2(whole_text(text_col), 256)
+    key = F.struct(F.col(id_col).isNull().alias("gone"), F.col(id_col).alias("id"), sha.alias("sha"))
+    found = near_duplicates(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), "_key", "_text", percent)
+    stays = found.where((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("_key")))
+    single = (F.max("n_shingles") > 0) & (F.count("*") > 1)
+    keep = stays.groupBy("_key").agg(single.alias("_single")).select("_key.id", "_key.sha", "_single")
+    # Names are small: while they are few enough, no text is shuffled.
+    keep = bounded_broadcast(written(keep.toDF("_keep", "_sha", "_single"), "kept"), 500_000)
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), sha.alias("_text_sha"))
+    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text_sha") == F.col("_sha")))
+    again = kept.where("_single").dropDuplicates(["_keep", "_sha"])
+    return kept.where("NOT _single").unionByName(again).select("_doc.*")

@@ -244,8 +244,9 @@ def search(
         for at, score in zip(docs, scores):
             t = pa.table({"score": score, "id": ids.take(pa.array(at))})
             picked.append(t.take(pc.sort_indices(t, [("score", "descending"), ("id", "ascending")])[:top]))
-        each = pa.array(np.repeat(np.arange(len(picked)), [t.num_rows for t in picked]))
-        both = pa.concat_tables(picked)
+        each = pa.array(np.repeat(np.arange(len(picked)), np.array([t.num_rows for t in picked], int)))
+        none = pa.table({"score": pa.array([], pa.int64()), "id": ids.slice(0, 0)})
+        both = pa.concat_tables([none, *picked])
         columns = [bundles.column("item").take(each), bundles.column("item_id").take(each), both.column("id"), both.column("score")]
         return pa.table(columns, names=["item", "item_id", "_id", "score"])
 

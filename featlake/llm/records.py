@@ -161,9 +161,7 @@ class WordEncoder:
         raw = words.data.tobytes()
         if any(s in raw for s in self.special):  # in capitals they would not be special
             words = Words(texts, lower=False, marks=True)
-            raw = words.data.tobytes()
-        start, end = words.start, words.end
-        ids, n = self.pieces(words.hashes(), lambda i: raw[start[i] : end[i]])
+        ids, n = self.pieces(words.hashes(), words.data, words.start, words.end)
         return ids, np.bincount(words.doc, weights=n, minlength=words.n).astype(np.int64)
 
 

@@ -9,8 +9,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+#: The lowest 0 to 8 bytes of a 64-bit number.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -20,15 +20,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+def eights(data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of ``data`` from ``start`` on as numbers of eight bytes, the last filled up with zeros.
+
+    Returns the numbers, piece after piece, the number of each in its piece, and where pieces begin.
+    """
+    whole = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray((len(data) + 1,), "<u8", whole, strides=(1,))
+    n = (sizes + 7) // 8
+    first = np.cumsum(n) - n
+    nth = np.arange(int(n.sum())) - np.repeat(first, n)
+    left = np.repeat(sizes, n) - 8 * nth
+    return at_byte[np.repeat(start, n) + 8 * nth] & _LOWEST[np.minimum(left, 8)], nth, first
+
+
+def same_pieces(data, start, sizes, other, other_start, other_sizes) -> np.ndarray:
+    """Which pieces of ``data`` are byte by byte those of ``other``."""
+    same = sizes == other_sizes
+    some = np.flatnonzero(same & (sizes > 0))
+    if len(some):
+        x, _, first = eights(data, start[some], sizes[some])
+        y, _, _ = eights(other, other_start[some], sizes[some])
+        same[some] = np.logical_and.reduceat(x == y, first)
+    return same
 
 
 _MARK = np.zeros(256, bool)
@@ -78,8 +92,14 @@ class Words:
         self.start, self.end = np.sort(np.concatenate([self.start, cut])), np.sort(np.concatenate([self.end, cut]))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        up, down = _powers(len(self.data) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], dtype=np.uint64)])
-        value = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mixed(value + mixed((self.end - self.start).astype(np.uint64)))
+        """A 64-bit hash of each word.
+
+        Eight bytes at a time are mixed with their place before they are added up. (A polynomial
+        modulo 2**64 is the same for a Thue-Morse word and its complement, whatever the base.)
+        """
+        if not len(self.start):
+            return np.empty(0, np.uint64)
+        sizes = self.end - self.start
+        value, nth, first = eights(self.data, self.start, sizes)
+        sums = np.add.reduceat(mixed(value ^ mixed((nth + 1).astype(np.uint64))), first)
+        return mixed(sums + mixed(sizes.astype(np.uint64)))

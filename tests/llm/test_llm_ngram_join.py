@@ -167,6 +167,20 @@ def test_dropping_keeps_the_smallest_of_each_component(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(expected)
 
 
+def test_dropping_rows_without_ids(spark):
+    """One row of each component stays, whatever its ids: none, repeated, or one with several texts."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(words[::-1])
+    rows = [(None, near), (None, near + " more"), (None, other), (None, None), (None, " "), (5, "five words are in this"), (5, "five words are in this")]
+    third = " ".join(f"v{i}" for i in range(40))
+    rows += [(6, third), (6, third + " now"), (None, third), (8, third), (7, ""), (7, "")]
+    kept = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = Counter((r.doc_id, r.text) for r in kept)
+    assert sum(texts[None, t] for t in (near, near + " more")) == 1 and texts[None, other] == 1
+    assert texts[5, "five words are in this"] == 1 and texts[None, None] == texts[None, " "] == 1 and texts[7, ""] == 2
+    assert [i for (i, t), n in texts.items() for _ in range(n) if t and t.startswith("v0")] == [6]
+
+
 def test_empty_table(empty, spark):
     assert ngram_join.near_duplicates(empty).count() == 0
     assert ngram_join.drop_near_duplicates(empty).count() == 0
