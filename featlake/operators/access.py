@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featlake.operators.catalog import SCOPE_PATTERN
-from featlake.operators.skew import row_hash, salted_join
+from featlake.operators.skew import row_hash, split_join
 
 EDITOR, VIEWER = "editor", "viewer"
 # Actions that are not tied to one resource, and who may perform them.
@@ -126,7 +126,7 @@ def _with_role(questions: DataFrame, users: DataFrame, resource_type: str, colum
     held = roles(users, resource_type).select(
         "user_id", F.col("resource_id").alias(column), F.col("is_editor").alias(f"_{prefix}_editor")
     )
-    return salted_join(questions, held, ["user_id", column], "left")
+    return split_join(questions, held, ["user_id", column], "left")
 
 
 def decide(
@@ -171,7 +171,7 @@ def decide_jobs(questions: DataFrame, jobs: DataFrame, processes: DataFrame, use
         F.col("is_public").alias("_public"),
         F.col("process_identifier").alias("_process"),
     ).join(parents, "_process")
-    rows = _with_admin(salted_join(questions, facts, ["job"], "left"), users)
+    rows = _with_admin(split_join(questions, facts, ["job"], "left"), users)
     rows = _with_role(rows, users, "job", "job", "job")
     rows = _with_role(rows, users, "process", "_process", "process")
 
@@ -296,5 +296,5 @@ def job_audience(jobs: DataFrame, processes: DataFrame, users: DataFrame) -> Dat
     # Members of a process see its jobs whether or not the process is public.
     side = audience(processes.withColumn("is_public", F.lit(False)), users, "process")
     side = side.withColumnRenamed("identifier", "process_identifier")
-    inherited = salted_join(private, side, ["process_identifier"]).select("identifier", "user_id")
+    inherited = split_join(private, side, ["process_identifier"]).select("identifier", "user_id")
     return direct.unionByName(inherited).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from featlake.functions.text import contains_ci
 from featlake.operators import crs as C
 from featlake.operators import geometry as G
-from featlake.operators.skew import salted_join
+from featlake.operators.skew import split_join
 
 # Provider data types that decide the type of a collection.
 COLLECTION_TYPES = {"feature": "feature", "record": "record", "coverage": "coverage", "map": "coverage"}
@@ -118,7 +118,7 @@ def orphans(df: DataFrame, users: DataFrame, owner: str = "owner_id") -> DataFra
 
 def cascade(df: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows whose parent still exists; deleting a parent deletes the rows below it."""
-    return salted_join(df, parents.select(F.col(parent_key).alias(child_key)), [child_key], "left_semi")
+    return split_join(df, parents.select(F.col(parent_key).alias(child_key)), [child_key], "left_semi")
 
 
 def keep_last(df: DataFrame, key: str, sequence: str) -> DataFrame:
@@ -160,9 +160,9 @@ def apply_changes(
         .withColumn("_present", F.col("_known").isNotNull() & F.col("_deleted").isNull())
         .drop("_known")
     )
-    live = salted_join(changes, start, [key]).where(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
+    live = split_join(changes, start, [key]).where(F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted")))
     created = live.where(is_create & ~F.col("_present")).groupBy(key).agg(F.min("seq").alias("_created"))
-    effective = salted_join(live, created, [key], "left").where(
+    effective = split_join(live, created, [key], "left").where(
         (F.col("_present") & ~is_create)
         | (F.col("seq") == F.col("_created"))
         | (~is_create & (F.col("seq") > F.col("_created")))

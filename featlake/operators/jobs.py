@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featlake.operators import access as A
-from featlake.operators.skew import salted_join
+from featlake.operators.skew import split_join
 from featlake.operators.slices import default_slices, with_slice
 
 # Job and deployment statuses.
@@ -99,7 +99,7 @@ def fold_job_changes(changes: DataFrame, state: DataFrame | None = None) -> Data
 
     # Changes of jobs that are created and not ended, behind the creation.
     open_jobs = counted.where(F.col("accepted").isNotNull() & F.col("_ended").isNull())
-    live = salted_join(moves, open_jobs.select("job_identifier", "accepted", "_running"), ["job_identifier"])
+    live = split_join(moves, open_jobs.select("job_identifier", "accepted", "_running"), ["job_identifier"])
     live = live.where(_later(F.col("step"), F.col("accepted")))
     second = live.groupBy("job_identifier").agg(
         F.coalesce(F.first("_running", ignorenulls=True), first(RUNNING)).alias("running"),
@@ -113,7 +113,7 @@ def fold_job_changes(changes: DataFrame, state: DataFrame | None = None) -> Data
     running = second.where(F.col("running").isNotNull()).select("job_identifier", "running")
     ended = moves.where(F.col("step")["status"].isin(SUCCESSFUL, FAILED))
     outcomes = (
-        salted_join(ended, running, ["job_identifier"])
+        split_join(ended, running, ["job_identifier"])
         .where(_later(F.col("step"), F.col("running")))
         .groupBy("job_identifier")
         .agg(F.min("step").alias("outcome"))

@@ -1,7 +1,9 @@
-"""Joins that split hot keys where adaptive execution cannot.
+"""Joins whose hot keys adaptive execution splits, also where it would leave them alone.
 
-Adaptive execution splits a hot key by itself when both sides of a join are plain shuffles. It
-leaves joins alone whose other side is an aggregate or a join result; those use salts here.
+Adaptive execution measures the partitions of a shuffle and deals an oversized one out to several
+tasks by its map outputs, whatever its rows hold, equal rows included. It does so for joins of two
+plain shuffles. An aggregate or a join is partitioned by its keys already and takes part as it
+lies, so a hot key on the other side stays in one task.
 """
 
 from __future__ import annotations
@@ -12,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SALTS = 8
-
 
 def row_hash(df: DataFrame, leave_out: Sequence[str] = ()) -> Column:
     """A stable hash of a row, the same when a lost task runs again."""
@@ -25,14 +25,14 @@ def row_hash(df: DataFrame, leave_out: Sequence[str] = ()) -> Column:
     return F.xxhash64(*plain) if plain else F.lit(0)
 
 
-def salted_join(
-    many: DataFrame, few: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS
-) -> DataFrame:
+def split_join(many: DataFrame, few: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a table that may have hot keys with a derived table of few rows per key.
 
-    The rows of a key in ``many`` go to ``salts`` tasks by a hash of the row, and the rows of
-    ``few`` to each of them; the result is that of the plain join.
+    A hash of the keys is joined on as well. It is equal wherever the keys are, so the result is that
+    of the plain join; but no earlier partitioning is one by keys and hash, so Spark shuffles both
+    sides for this join, and adaptive execution splits the partitions of hot keys by their measured
+    sizes. ``few`` is small, and nothing is copied but what meets a split partition.
     """
-    left = many.withColumn("_salt", F.pmod(row_hash(many), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    own = F.xxhash64(*on).alias("_own")
+    joined = many.select("*", own).join(few.select("*", own), [*on, "_own"], how)
+    return joined.drop("_own")

@@ -8,8 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a slice, and slices that a row is compared with at most: a stored index has no such bound.
+ROWS, MOST = 500_000, 4096
+
+
+def rows_of(df: DataFrame) -> int:
+    """The number of rows, by a scan that reads no column."""
+    return df.agg(F.count(F.lit(1))).first()[0]
+
+
 def default_slices(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    """Slices in proportion to the rows of a table."""
+    return min(MOST, math.ceil(rows_of(df) / ROWS)) or 1
 
 
 def with_slice(df: DataFrame, key: Column, slices: int, name: str = "_slice") -> DataFrame:

@@ -9,14 +9,16 @@ out exactly once and no distinct is needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featlake.operators import geometry as G
 
 _ORIGIN = -180.0
-# Cell edges in degrees, each a quarter of the one before.
-DEGREE_LEVELS = (360.0, 90.0, 22.5, 5.625, 1.40625, 0.3515625, 0.087890625)
+# Cell edges in degrees, each a quarter of the one before: from the whole circle to less than a metre.
+DEGREE_LEVELS = tuple(360.0 / 4**k for k in range(14))
 # Tag a: the request is on its own level, the feature on that level or a finer one.
 # Tag b: the feature is on its own level, the request on a strictly finer one.
 _TAGS = ("a", "b")
@@ -36,8 +38,11 @@ def _level(box: dict[str, Column], levels: tuple[float, ...]) -> Column:
     return level
 
 
-def _keyed(df: DataFrame, prefix: str, levels: tuple[float, ...], wanted: Column) -> DataFrame:
-    """Repeat rows per (level, tag) that is wanted for them, and per cell covered on that level."""
+def _keyed(df: DataFrame, prefix: str, levels: tuple[float, ...], wanted: Callable[[Column, Column], Column]) -> DataFrame:
+    """Repeat rows per (level, tag) that is wanted for them, and per cell covered on that level.
+
+    ``wanted`` says of a level and whether the tag is a if a row, which has its ``_own`` level, needs it.
+    """
     box = {b: F.col(f"{prefix}{b}") for b in G.BOUNDS}
     entries = F.array(
         *[
@@ -46,7 +51,9 @@ def _keyed(df: DataFrame, prefix: str, levels: tuple[float, ...], wanted: Column
             for tag in _TAGS
         ]
     )
-    rows = df.withColumn("_own", _level(box, levels)).select("*", F.inline(entries)).where(wanted)
+    rows = df.withColumn("_own", _level(box, levels))
+    needed = F.filter(entries, lambda e: wanted(e["_lvl"], e["_meets"] == "a"))
+    rows = rows.select("*", F.inline(needed))
     edge = F.col("_edge")
     rows = rows.withColumn("_cx", F.explode(F.sequence(_cell(box["xmin"], edge), _cell(box["xmax"], edge))))
     rows = rows.withColumn("_cy", F.explode(F.sequence(_cell(box["ymin"], edge), _cell(box["ymax"], edge))))
@@ -57,32 +64,30 @@ def join_boxes(
     features: DataFrame,
     boxes: DataFrame,
     exact: Column | None = None,
-    salts: int = 1,
-    salt_on: str = "id",
     levels: tuple[float, ...] = DEGREE_LEVELS,
 ) -> DataFrame:
     """Pairs of features and request boxes that intersect.
 
     ``features`` carries xmin..ymax, ``boxes`` carries q_xmin..q_ymax; no other names may be
     shared. ``exact`` refines the bounds test with columns of both. Rows without bounds never
-    match. Small boxes are broadcast by Spark's own size check; beyond it, ``salts`` spreads the
-    features of a hot cell over that many keys (by a hash of their id) and repeats the boxes.
+    match. Small boxes are broadcast by Spark's own size check; beyond it, both sides are plain
+    shuffles, and adaptive execution splits a crowded cell by its measured size. A small box lies on
+    a level of small cells, so it meets no more of a crowded place than about its own surroundings.
     """
     f = features.where(F.col("xmin").isNotNull() & F.col("ymin").isNotNull())
     q = boxes.where(F.col("q_xmin").isNotNull() & (F.col("q_xmin") <= F.col("q_xmax")))
     q = q.where(F.col("q_ymin") <= F.col("q_ymax"))
     # The few levels the requests live on, so that features list no cells nobody asks for.
     used = q.agg(F.collect_set(_level({b: F.col(f"q_{b}") for b in G.BOUNDS}, levels))).scalar()
-    lvl, own, is_a = F.col("_lvl"), F.col("_own"), F.col("_meets") == "a"
-    f = f.withColumn("_used", used)
-    asked_a, asked_b = F.array_contains("_used", lvl), F.array_max("_used") > lvl
-    f = _keyed(f, "", levels, (is_a & (lvl <= own) & asked_a) | (~is_a & (lvl == own) & asked_b)).drop("_used")
-    q = _keyed(q, "q_", levels, (is_a & (lvl == own)) | (~is_a & (lvl < own))).drop("_edge")
+    own = F.col("_own")
+
+    def of_feature(level: Column, is_a: Column) -> Column:
+        asked_a, asked_b = F.array_contains("_used", level), F.array_max("_used") > level
+        return (is_a & (level <= own) & asked_a) | (~is_a & (level == own) & asked_b)
+
+    f = _keyed(f.withColumn("_used", used), "", levels, of_feature).drop("_used")
+    q = _keyed(q, "q_", levels, lambda level, is_a: (is_a & (level == own)) | (~is_a & (level < own))).drop("_edge")
     keys = list(_KEYS)
-    if salts > 1:
-        f = f.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
-        q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys.append("_salt")
     joined = f.join(q, keys)
     corner = {"_cx": F.greatest("xmin", "q_xmin"), "_cy": F.greatest("ymin", "q_ymin")}
     once = (_cell(corner["_cx"], F.col("_edge")) == F.col("_cx")) & (

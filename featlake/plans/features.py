@@ -12,7 +12,9 @@ from featlake.operators import filters as Fl
 from featlake.operators import paging as P
 from featlake.operators import projections as Pr
 from featlake.operators.filters import FeatureFilter
+from featlake.operators.positions import write_positions
 from featlake.plans.registry import Tables, query
+from featlake.session import scratch_dir
 from featlake.sources import geojson as J
 from featlake.table import FeatureTable
 
@@ -339,6 +341,34 @@ def page_all(t: Tables) -> DataFrame:
     return P.number_pages(t.orders.select("o_orderkey"), "o_orderkey", 20)
 
 
+@query(
+    "page_deep",
+    """
+    WITH numbered AS (SELECT *, row_number() OVER (ORDER BY observed_at NULLS FIRST, seq) - 1 AS position, count(*) OVER () AS n FROM obs)
+    SELECT id, event_type, observed_at, position FROM numbered WHERE position >= n * 9 // 10 AND position < n * 9 // 10 + 50
+    """,
+    uses=("obs",),
+)
+def page_deep(t: Tables) -> DataFrame:
+    """A page near the end of a listing by time: its offset is looked up, and the slices it lies in are read."""
+    stored = write_positions(t.obs.drop("props"), ["observed_at", "seq"], scratch_dir(t.spark, "positions"))
+    total = stored.total().first()["total"]
+    return stored.page(total * 9 // 10, 50).select("id", "event_type", "observed_at", "position")
+
+
+@query(
+    "page_all_text",
+    """
+    SELECT id, row_number() OVER (ORDER BY id) - 1 AS position, (row_number() OVER (ORDER BY id) - 1) // 20 + 1 AS page_number
+    FROM obs
+    """,
+    uses=("obs",),
+)
+def page_all_text(t: Tables) -> DataFrame:
+    """The page of every row in the order of its id as text."""
+    return write_positions(t.obs.select("id"), ["id"], scratch_dir(t.spark, "positions")).numbered(20)
+
+
 @query(
     "page_clamp",
     """

@@ -89,6 +89,35 @@ def src_parquet_stored(t: Tables) -> DataFrame:
     return stored.select(FeatureFilter(bbox=(-20, -10, 20, 10))).select("id", "geom_type")
 
 
+@query(
+    "src_geoparquet",
+    """
+    SELECT id, geom_type, 'ok' AS state, xmin AS west, CASE geom_type WHEN 'Point' THEN ymin ELSE ymax END AS north FROM parcels
+    WHERE xmin <= 20 AND xmax >= -20 AND ymin <= 10 AND ymax >= -10 AND (geom_type <> 'LineString'
+      OR (least((xmax - xmin) * (-10 - ymin) - (ymax - ymin) * (-20 - xmin), (xmax - xmin) * (10 - ymin) - (ymax - ymin) * (-20 - xmin),
+                (xmax - xmin) * (-10 - ymin) - (ymax - ymin) * (20 - xmin), (xmax - xmin) * (10 - ymin) - (ymax - ymin) * (20 - xmin)) <= 0
+      AND greatest((xmax - xmin) * (-10 - ymin) - (ymax - ymin) * (-20 - xmin), (xmax - xmin) * (10 - ymin) - (ymax - ymin) * (-20 - xmin),
+                (xmax - xmin) * (-10 - ymin) - (ymax - ymin) * (20 - xmin), (xmax - xmin) * (10 - ymin) - (ymax - ymin) * (20 - xmin)) >= 0))
+    UNION ALL SELECT -id, geom_type, 'truncated', NULL, NULL FROM parcels WHERE id % 97 = 0
+    """,
+    uses=("parcels",),
+)
+def src_geoparquet(t: Tables) -> DataFrame:
+    """Binary geometries with covering boxes: those in a box, decoded after the filter; and blobs that are cut off."""
+    target, cut = scratch_dir(t.spark, "geoparquet"), scratch_dir(t.spark, "cut")
+    S.write_geoparquet(t.parcels.withColumn("geom", parcel_geometry()), target)
+    stored = S.read_geoparquet(t.spark, target, "id")
+    found = stored.select(FeatureFilter(bbox=(-20, -10, 20, 10)))
+    blobs = t.spark.read.parquet(target).where("id % 97 = 0")
+    shorter = F.substring("geometry", 1, F.octet_length("geometry") - 3)
+    blobs.select((-F.col("id")).alias("id"), "geom_type", shorter.alias("geometry")).write.parquet(cut)
+    bad = S.read_geoparquet(t.spark, cut, "id").df
+    box = G.bounds(F.col("geometry"))
+    state = F.coalesce("geometry_error", F.lit("ok")).alias("state")
+    columns = ["id", "geom_type", state, box["xmin"].alias("west"), box["ymax"].alias("north")]
+    return found.select(*columns).unionByName(bad.select(*columns))
+
+
 @query("src_csv", "SELECT id, event_type, value FROM obs", uses=("obs",))
 def src_csv(t: Tables) -> DataFrame:
     target = scratch_dir(t.spark, "csv")

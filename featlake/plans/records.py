@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from featlake.operators import catalog as K
 from featlake.operators import geometry as G
 from featlake.operators import jobs as Jb
-from featlake.operators.skew import salted_join
+from featlake.operators.skew import split_join
 from featlake.plans.access import _GRANTS_SQL, users
 from featlake.plans.registry import Tables, query
 from featlake.sources import geojson as J
+from featlake.streaming import runs as R
+from featlake.streaming.deployments import deployment_verdicts, last_verdicts
 
 _CRS84 = "http://www.opengis.net/def/crs/OGC/1.3/CRS84"
 
@@ -76,7 +78,7 @@ def with_owner(t: Tables) -> DataFrame:
     """Jobs with their owner, their process and the owner of the process."""
     owned = K.with_owner(t.processes.select("identifier", "owner_id"), users(t), prefix="process_owner")
     parents = owned.select(F.col("identifier").alias("process_identifier"), "process_owner_name")
-    rows = salted_join(K.with_owner(t.jobs, users(t)), parents, ["process_identifier"], "left")
+    rows = split_join(K.with_owner(t.jobs, users(t)), parents, ["process_identifier"], "left")
     return rows.select(
         "identifier", "owner_name", F.col("process_identifier").alias("process"), "process_owner_name"
     )
@@ -542,25 +544,33 @@ _DEPLOY_LOG = """
 """
 
 
-@query(
-    "deploy_transitions",
-    f"""
-    WITH RECURSIVE log AS ({_DEPLOY_LOG}),
+_DEPLOY_RUN_SQL = f"""
+WITH RECURSIVE log AS ({_DEPLOY_LOG}),
     ordered AS (SELECT l.*, coalesce(p.deployment, 'failed') AS start,
         concat('h', substr(l.process_identifier, 6)) AS hash,
         row_number() OVER (PARTITION BY l.process_identifier ORDER BY ts, seq) AS n
       FROM log l JOIN processes p ON p.identifier = l.process_identifier),
     run AS (
       SELECT process_identifier, CAST(0 AS BIGINT) AS n, start AS value, CAST(NULL AS TIMESTAMP) AS changed_at,
-        CAST(0 AS BIGINT) AS n_applied, CAST(0 AS BIGINT) AS n_stale FROM ordered WHERE n = 1
+        CAST(0 AS BIGINT) AS n_applied, CAST(0 AS BIGINT) AS n_stale,
+        CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS STRING) AS to_value, CAST(NULL AS STRING) AS verdict FROM ordered WHERE n = 1
       UNION ALL
       SELECT process_identifier, n, CASE WHEN ok THEN to_value ELSE value END, CASE WHEN ok THEN ts ELSE changed_at END,
-        n_applied + CASE WHEN ok THEN 1 ELSE 0 END, n_stale + CASE WHEN stale THEN 1 ELSE 0 END
-      FROM (SELECT r.process_identifier, o.n, o.to_value, o.ts, r.value, r.changed_at, r.n_applied, r.n_stale,
+        n_applied + CASE WHEN ok THEN 1 ELSE 0 END, n_stale + CASE WHEN stale THEN 1 ELSE 0 END,
+        seq, ts, to_value, CASE WHEN ok THEN 'applied' WHEN stale THEN 'stale outcome' WHEN to_value = 'in-progress'
+          THEN 'already in progress' ELSE 'not in progress' END
+      FROM (SELECT r.process_identifier, o.n, o.seq, o.to_value, o.ts, r.value, r.changed_at, r.n_applied, r.n_stale,
           o.to_value <> 'in-progress' AND o.definition_hash <> o.hash AS stale,
           CASE WHEN o.to_value = 'in-progress' THEN r.value <> 'in-progress'
             ELSE r.value = 'in-progress' AND o.definition_hash = o.hash END AS ok
         FROM run r JOIN ordered o ON o.process_identifier = r.process_identifier AND o.n = r.n + 1))
+"""
+
+
+@query(
+    "deploy_transitions",
+    _DEPLOY_RUN_SQL
+    + """
     SELECT process_identifier, value, changed_at, n_applied, n_stale, n AS n_changes FROM run
     QUALIFY row_number() OVER (PARTITION BY process_identifier ORDER BY n DESC) = 1
     """,
@@ -568,13 +578,36 @@ _DEPLOY_LOG = """
 )
 def deploy_transitions(t: Tables) -> DataFrame:
     """Claims and outcomes of deployments; the SQL replays them one by one."""
-    log = t.events.selectExpr(
+    return Jb.fold_deployments(_deploy_log(t.events), _deployed_processes(t))
+
+
+def _deploy_log(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "concat('proc-', CAST(user_id AS STRING)) AS process_identifier", "event_id AS seq", "ts",
         "CASE event_type WHEN 'view' THEN 'deployed' WHEN 'purchase' THEN 'failed' ELSE 'in-progress' END AS to_value",
         "concat('h', CAST(CASE WHEN event_id % 9 = 0 THEN user_id + 1 ELSE user_id END AS STRING)) AS definition_hash",
     )
-    current = t.processes.withColumn("definition_hash", F.concat(F.lit("h"), F.substring("identifier", 6, 20)))
-    return Jb.fold_deployments(log, current)
+
+
+def _deployed_processes(t: Tables) -> DataFrame:
+    return t.processes.withColumn("definition_hash", F.concat(F.lit("h"), F.substring("identifier", 6, 20)))
+
+
+@query(
+    "deploy_steps_streamed",
+    _DEPLOY_RUN_SQL
+    + """
+    SELECT process_identifier, ts, seq, to_value, verdict FROM run WHERE n > 0
+    UNION ALL SELECT process_identifier, ts, seq, to_value, 'unknown process' FROM log
+    WHERE process_identifier NOT IN (SELECT identifier FROM processes)
+    """,
+    uses=("processes",),
+)
+def deploy_steps_streamed(t: Tables) -> DataFrame:
+    """The verdict on every claim and outcome, from a stateful stream operator; the SQL replays them one by one."""
+    changes = _deploy_log(R.read_table_stream(t.spark, t.folder, "events"))
+    given = R.run_to_end(deployment_verdicts(changes, _deployed_processes(t)), "deploy-verdicts")
+    return last_verdicts(given).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(

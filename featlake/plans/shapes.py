@@ -220,11 +220,11 @@ def batch_bbox(t: Tables) -> DataFrame:
     uses=("parcels", "boxes"),
 )
 def batch_bbox_shapes(t: Tables) -> DataFrame:
-    """The same for shapes, tested exactly, with the rows of a crowded cell spread over salts."""
+    """The same for shapes, tested exactly."""
     own, asked = ({b: F.col(f"{p}{b}") for b in G.BOUNDS} for p in ("", "q_"))
     exact = G.meets_box(parcel_geometry(), own, asked)
     rows = t.parcels.select("id", "geom_type", *G.BOUNDS)
-    return S.join_boxes(rows, t.boxes, exact, salts=4).select("request_id", "id")
+    return S.join_boxes(rows, t.boxes, exact).select("request_id", "id")
 
 
 @query(
@@ -239,7 +239,7 @@ def batch_bbox_shapes(t: Tables) -> DataFrame:
 def extent_intersects_batch(t: Tables) -> DataFrame:
     """Collections by query area. An unbounded collection meets every area: it is listed once,
     without a request, instead of once per request."""
-    bounded = S.join_boxes(t.collections.select("identifier", *G.BOUNDS), t.boxes, salt_on="identifier")
+    bounded = S.join_boxes(t.collections.select("identifier", *G.BOUNDS), t.boxes)
     unbounded = t.collections.where(F.col("xmin").isNull()).select(
         F.lit(None).cast("bigint").alias("request_id"), "identifier"
     )

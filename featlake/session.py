@@ -16,6 +16,8 @@ _SETTINGS = {
     # Split hot join keys even where that costs one more exchange downstream.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A Python worker holds several copies of a batch; long texts would make batches of 64 MB.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 
@@ -27,6 +29,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_disk_state(spark: SparkSession) -> None:
+    """Keep the state of streams in RocksDB, where it may outgrow memory, unless the session names another store."""
+    if "HDFSBackedStateStoreProvider" in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+
+
 def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
     """A local session for tests and the benchmark."""
     spark = (

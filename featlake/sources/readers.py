@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featlake.functions.wkb import from_wkb
+from featlake.functions.wkb import decode_wkb, from_wkb, to_wkb, wkb_bounds
 from featlake.operators import crs as C
 from featlake.operators import geometry as G
 from featlake.operators.projections import with_file_row_id
@@ -41,6 +41,50 @@ def read_parquet(
     return df if wkb is None else G.with_bounds(df.withColumn(wkb, from_wkb(F.col(wkb))), wkb)
 
 
+def read_geoparquet(
+    spark: SparkSession, path: str | Sequence[str], id: str, geometry: str = "geometry", bbox: str = "bbox",
+    error: str = "geometry_error", base_path: str | None = None, **roles,
+) -> FeatureTable:
+    """Parquet files with binary geometries as a table whose box filters come before decoding.
+
+    Where files carry a ``bbox`` struct, its fields are the bounds: a filter by box is pushed to the
+    scan, prunes by footers, and only the blobs of the rows that are left are decoded. Covering boxes
+    are often rounded outwards, so they only rule rows out. Without the struct, bounds are read from
+    the blobs first, which is cheaper than making geometries. A blob that is no geometry gives a null
+    geometry and a reason in the column ``error``. ``roles`` are further columns of the table.
+    """
+    reader = spark.read if base_path is None else spark.read.option("basePath", base_path)
+    df = reader.parquet(*([path] if isinstance(path, str) else path))
+    if id not in df.columns or geometry not in df.columns:
+        raise SourceError(f"columns {id!r} and {geometry!r} are needed; available: {', '.join(df.columns)}")
+    covering = bbox in df.columns and isinstance(df.schema[bbox].dataType, T.StructType)
+    covering = covering and set(G.BOUNDS) <= set(df.schema[bbox].dataType.names)
+    box = F.col(bbox) if covering else wkb_bounds(F.col(geometry))
+    rest = [c for c in df.columns if c not in (geometry, error, *G.BOUNDS) and not (covering and c == bbox)]
+    found = decode_wkb(F.col(geometry))
+    rows = df.select(
+        *rest, *[box[b].cast("double").alias(b) for b in G.BOUNDS], found["geometry"].alias(geometry), found["error"].alias(error)
+    )
+    return FeatureTable(rows, id=id, geom=geometry, loose_bounds=covering, **roles)
+
+
+def write_geoparquet(df: DataFrame, path: str, geom: str = "geom", geometry: str = "geometry", bbox: str = "bbox", cell: float = 1.0) -> None:
+    """Store features with binary geometries and a ``bbox`` struct, in the order of a curve of grid cells.
+
+    The box is that of the geometry, so a reader prunes by it. Key-value metadata of Parquet footers,
+    which names the columns to other readers, is beyond Spark's writer.
+    """
+    bounded = df if set(G.BOUNDS) <= set(df.columns) else G.with_bounds(df, geom)
+    placed = _along_curve(bounded, cell)
+    kept = [c for c in df.columns if c not in (geom, geometry, bbox, *G.BOUNDS)]
+    placed.select(*kept, to_wkb(F.col(geom)).alias(geometry), F.struct(*G.BOUNDS).alias(bbox)).write.parquet(path)
+
+
+def _along_curve(bounded: DataFrame, cell: float) -> DataFrame:
+    placed = bounded.withColumns({"_cell": _curve_position(cell), "_spread": row_hash(bounded)})
+    return placed.repartitionByRange("_cell", "_spread").sortWithinPartitions("_cell").drop("_cell", "_spread")
+
+
 def write_feature_parquet(df: DataFrame, path: str, geom: str = "geom", cell: float = 1.0) -> None:
     """Store features with flat bounds, sorted by grid cell, so that footers prune box filters.
 
@@ -48,13 +92,7 @@ def write_feature_parquet(df: DataFrame, path: str, geom: str = "geom", cell: fl
     range partitioning is by cell and a hash of the row, so one crowded cell spans many files.
     """
     bounded = df if set(G.BOUNDS) <= set(df.columns) else G.with_bounds(df, geom)
-    placed = bounded.withColumns({"_cell": _curve_position(cell), "_spread": row_hash(bounded)})
-    (
-        placed.repartitionByRange("_cell", "_spread")
-        .sortWithinPartitions("_cell")
-        .drop("_cell", "_spread")
-        .write.parquet(path)
-    )
+    _along_curve(bounded, cell).write.parquet(path)
 
 
 def _curve_position(cell: float) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from featlake.operators.jobs import ACCEPTED, DISMISSED, FAILED, RUNNING, SUCCESSFUL
+from featlake.session import use_disk_state
 
 # The operator travels to the executors with the job, which need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,7 +33,6 @@ _NEXT = {
 _CHANGE = "at bigint, seq bigint, to_status string, progress int"
 _STEPS = "job_identifier string, ts timestamp, seq bigint, status string, progress int, nth int, revision bigint"
 _LAST = 2**63 - 1
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _needed(changes: pd.DataFrame) -> pd.DataFrame:
@@ -122,8 +122,7 @@ def job_steps(changes: DataFrame) -> DataFrame:
     if changes come in order. Otherwise a later ``revision`` of a job's ``nth`` step replaces the
     earlier ones, and one without a status takes it back; see ``last_revisions``.
     """
-    spark = changes.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    use_disk_state(changes.sparkSession)
     rows = changes.select("job_identifier", "ts", F.col("seq").cast("bigint"), "to_status", F.col("progress").cast("int"))
     return rows.groupBy("job_identifier").transformWithStateInPandas(
         statefulProcessor=_JobSteps(), outputStructType=_STEPS, outputMode="Append", timeMode="None"

@@ -42,6 +42,7 @@ class FeatureTable:
     title: str = ""
     page_size: int | None = None
     page_size_max: int | None = None
+    loose_bounds: bool = False
 
     def __post_init__(self):
         wanted = [c for c in (self.id, self.geom, self.x, self.y, self.time, self.time_end) if c]
@@ -103,6 +104,8 @@ class FeatureTable:
         if outline is not None:
             ring = F.array(*[G.vertex(x, y) for x, y in outline])
             return near & G.intersects(self.geometry, G.geometry("Polygon", F.array(G.part(2, F.array(ring)))))
+        if self.loose_bounds:
+            return near & G.intersects_box(self.geometry, *native)
         # The bounds of a point are the point, so the cheap test is already exact.
         return near if self.geom is None else G.meets_box(self.geometry, own, asked)
 
@@ -220,7 +223,8 @@ class FeatureTable:
     def get_spatial_extent(self) -> DataFrame:
         """Native box and CRS84 box, one row; nulls when there are no geometries."""
         separable = self.srid in (4326, 4258, 3857)
-        native = self.df.agg(*D.extent(self.bounds), *([] if separable else self._degree_extent()))
+        own = G.bounds(self.geometry) if self.loose_bounds else self.bounds
+        native = self.df.agg(*D.extent(own), *([] if separable else self._degree_extent()))
         return D.extent_in_crs84(native, self.srid) if separable else native
 
     def _degree_extent(self) -> list[Column]:

@@ -19,7 +19,8 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("key", QUERIES)
+# Queries that SQL cannot state are held against plain Python in tests of their own.
+@pytest.mark.parametrize("key", [k for k in QUERIES if k in ORACLES])
 def test_query_equals_its_sql(spark, duck, key):
     text, _ = compare(spark, duck, FOLDER, key, QUERIES[key], ORACLES.get(key))
     assert text.startswith("ok"), text
