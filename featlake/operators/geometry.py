@@ -187,16 +187,20 @@ def _finished(kind: Column, parts: Column) -> Column:
 def from_wkt(text: Column) -> Column:
     """WKT (or EWKT) to a geometry; null for text that is not WKT."""
 
-    def parse(kind: Column, tag: Column, body: Column) -> Column:
-        # The single geometries of a collection, and of the collections in it.
-        members = F.regexp_extract_all(body, F.lit(_MEMBER), F.lit(1))
-        parts = F.when(
-            kind == "GEOMETRYCOLLECTION",
-            F.flatten(F.transform(members, lambda m: pipe((_wkt_match(m),), _wkt_pieces, _wkt_parts))),
-        ).otherwise(_wkt_parts(kind, tag, body))
+    def piece(kind: Column, tag: Column, body: Column) -> Column:
+        return F.struct(kind.alias("kind"), tag.alias("tag"), body.alias("body"))
+
+    def members(kind: Column, tag: Column, body: Column) -> tuple[Column, Column]:
+        # The single geometries of a collection, and of the collections in it; or the one there is.
+        texts = F.regexp_extract_all(body, F.lit(_MEMBER), F.lit(1))
+        each = F.transform(texts, lambda m: piece(*pipe((_wkt_match(m),), _wkt_pieces)))
+        return kind, F.when(kind == "GEOMETRYCOLLECTION", each).otherwise(F.array(piece(kind, tag, body)))
+
+    def parse(kind: Column, pieces: Column) -> Column:
+        parts = F.flatten(F.transform(pieces, lambda p: _wkt_parts(p["kind"], p["tag"], p["body"])))
         return let(_finished, kind, parts)
 
-    return pipe((_wkt_match(text),), _wkt_pieces, parse)
+    return pipe((_wkt_match(text),), _wkt_pieces, members, parse)
 
 
 def _geojson_parts(kind: Column, coordinates: Column) -> Column:

@@ -9,8 +9,10 @@ from featlake.functions import text as X
 from featlake.operators import crs as C
 from featlake.operators import describe as D
 from featlake.operators import geometry as G
+from featlake.operators.zonemaps import ZoneMap
 from featlake.plans.registry import Tables, query
 from featlake.plans.shapes import parcels
+from featlake.session import scratch_dir
 from featlake.table import FeatureTable
 
 _ISO = (
@@ -113,6 +115,19 @@ def described(t: Tables) -> DataFrame:
     return D.describe(rows, "collection", box, F.col("observed_at"), F.when(F.col("x").isNotNull(), "Point"))
 
 
+@query("describe_stored", _DESCRIBE_SQL, uses=("obs",))
+def describe_stored(t: Tables) -> DataFrame:
+    """The same from a map of the table's files, brought up to date when half of them are added."""
+    target, at = scratch_dir(t.spark, "observations"), scratch_dir(t.spark, "zones")
+    box = {"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")}
+    by = F.concat(F.lit("col-"), F.col("stn_id").cast("string"))
+    zones = ZoneMap(t.spark, target, at, by, box, F.col("observed_at"), F.when(F.col("x").isNotNull(), "Point"))
+    for half in (0, 1):
+        t.obs.where(F.col("seq") % 2 == half).write.mode("append").parquet(target)
+        zones.refresh()
+    return zones.describe()
+
+
 @query("describe_all", _DESCRIBE_SQL, uses=("obs",))
 def describe_all(t: Tables) -> DataFrame:
     """Count, extents and geometry type of every collection in one pass."""

@@ -160,6 +160,32 @@ def src_geojson(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "src_geojson_document",
+    "SELECT id, event_type, stn_id AS station, x AS gx, y AS gy FROM obs",
+    uses=("obs",),
+)
+def src_geojson_document(t: Tables) -> DataFrame:
+    """One document with all features, read in byte ranges; other lists of objects are passed over."""
+    target = scratch_dir(t.spark, "document")
+    from featlake.sources import geojson as J
+
+    note = F.when(F.col("seq") % 3 == 0, 'a "} , {\\" [').otherwise("plain")
+    feature = J.feature_json(
+        F.col("id"), points(t).geometry, F.struct("event_type", F.col("stn_id").alias("station"), note.alias("note")),
+        F.lit("https://example.org/obs"),
+    )
+    last = t.obs.agg(F.max("seq")).scalar()
+    lines = t.obs.select((F.col("seq") + 1).alias("at"), F.concat(feature, F.when(F.col("seq") < last, ",").otherwise("")).alias("value"))
+    head, tail = '{"type":"FeatureCollection","links":[{"href":"x","features":[{}]}],"features":[', '],"note":"}]","features_of":[{"a":1}]}'
+    frame = t.spark.createDataFrame([(-1, head), (2**62, tail)], "at long, value string")
+    # A document is one file, and its lines are in order, with blanks for line feeds.
+    whole = lines.unionByName(frame).coalesce(1).sortWithinPartitions("at").select("value")
+    whole.write.option("lineSep", " ").text(target)
+    read = S.read_geojson(t.spark, target, lines=False)
+    return _xy(read).select("id", "event_type", F.col("station").cast("bigint").alias("station"), "gx", "gy")
+
+
 @query(
     "src_sql",
     "SELECT id, x, y, value * 2 AS doubled FROM obs WHERE event_type = 'signup' AND x BETWEEN 0 AND 90 AND y BETWEEN 0 AND 45",

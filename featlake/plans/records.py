@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from featlake.operators import catalog as K
 from featlake.operators import geometry as G
 from featlake.operators import jobs as Jb
+from featlake.operators import snapshots as Sn
 from featlake.operators.skew import split_join
 from featlake.plans.access import _GRANTS_SQL, users
 from featlake.plans.registry import Tables, query
+from featlake.session import scratch_dir
 from featlake.sources import geojson as J
 from featlake.streaming import runs as R
 from featlake.streaming.deployments import deployment_verdicts, last_verdicts
@@ -211,9 +213,7 @@ _LOG = """
 """
 
 
-@query(
-    "apply_changes",
-    f"""
+_APPLIED_SQL = f"""
     WITH log AS ({_LOG}),
     span AS (SELECT *, max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY identifier) AS deleted FROM log),
     live AS (SELECT s.*, c.identifier IS NOT NULL AND deleted IS NULL AS present
@@ -232,13 +232,21 @@ _LOG = """
       CASE WHEN crs_at IS NULL THEN o.storage_crs
         ELSE coalesce((SELECT storage_crs FROM log WHERE seq = crs_at), '{_CRS84}') END AS storage_crs
     FROM old o FULL JOIN new n ON n.identifier = o.identifier WHERE o.identifier IS NOT NULL OR created IS NOT NULL
-    """,
-    uses=("collections",),
-)
+"""
+
+
+@query("apply_changes", _APPLIED_SQL, uses=("collections",))
 def apply_changes(t: Tables) -> DataFrame:
     """A log of creates, partial updates and deletes put over the catalogue."""
+    return K.apply_changes(t.collections, _change_log(t), _CHANGED, defaults={"storage_crs": F.lit(_CRS84)})
+
+
+_CHANGED = ["title", "type", "storage_crs"]
+
+
+def _change_log(t: Tables) -> DataFrame:
     rows = t.orders.selectExpr("*", "o_orderkey % 4 AS mask")
-    log = rows.select(
+    return rows.select(
         F.col("o_orderkey").alias("seq"),
         F.concat(F.lit("col-"), F.floor(F.col("o_custkey") / 14).cast("string")).alias("identifier"),
         F.when(F.col("o_orderkey") % 97 == 5, "delete").when(F.col("o_orderkey") % 13 == 4, "create")
@@ -253,8 +261,14 @@ def apply_changes(t: Tables) -> DataFrame:
         F.when(F.col("o_orderkey") % 5 != 0, F.concat(
             F.lit("http://www.opengis.net/def/crs/EPSG/0/"), F.col("o_orderkey").cast("string"))).alias("storage_crs"),
     )
-    fields = ["title", "type", "storage_crs"]
-    return K.apply_changes(t.collections, log, fields, defaults={"storage_crs": F.lit(_CRS84)})
+
+
+@query("apply_changes_stored", _APPLIED_SQL, uses=("collections",))
+def apply_changes_stored(t: Tables) -> DataFrame:
+    """The same over a stored catalogue: the buckets that the log touches are rewritten, the others stay."""
+    target = scratch_dir(t.spark, "snapshot")
+    stored = Sn.store(t.collections.select("identifier", *_CHANGED), "identifier", target)
+    return stored.apply(_change_log(t), {"storage_crs": F.lit(_CRS84)}).read()
 
 
 @query(

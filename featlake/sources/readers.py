@@ -15,6 +15,7 @@ from featlake.operators import crs as C
 from featlake.operators import geometry as G
 from featlake.operators.projections import with_file_row_id
 from featlake.operators.skew import row_hash
+from featlake.sources.documents import split_features
 from featlake.table import FeatureTable
 
 # Names of CSV separators.
@@ -215,16 +216,14 @@ def read_geojson(
 ) -> DataFrame:
     """GeoJSON files to id, geometry and typed property columns.
 
-    One feature per line splits over tasks; a feature collection document is read by one task per
-    file. Property types are found by a mergeable aggregate over all features.
+    One feature per line splits over tasks, and so does a feature collection document, however
+    large. Property types are found by a mergeable aggregate over all features.
     """
     if lines:
         features = spark.read.text(path).select(F.col("value").alias("feature"))
         features = features.where(F.length(F.trim("feature")) > 0)
     else:
-        documents = spark.read.text(path, wholetext=True)
-        listed = F.from_json("value", "features array<string>")["features"]
-        features = documents.select(F.explode(listed).alias("feature"))
+        features = split_features(spark, path)
     return explode_features(features, "feature", flatten, separator, foreign_members)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from featlake.operators import geometry as G
 from featlake.operators import paging as P
 from featlake.operators import spatial_join as S
+from featlake.operators.positions import write_positions
 
 
 def _boxes(rng, n, sizes):
@@ -20,16 +21,16 @@ def _boxes(rng, n, sizes):
     return rows
 
 
-@pytest.mark.parametrize("salts", [1, 3])
-def test_grid_join_equals_all_pairs(spark, salts):
+@pytest.mark.parametrize("levels", [7, 14])
+def test_grid_join_equals_all_pairs(spark, levels):
     rng = random.Random(5)
-    features = _boxes(rng, 400, [0, 0, 0.01, 1, 5, 45, 200])
+    features = _boxes(rng, 400, [0, 0, 1e-7, 1e-5, 0.01, 1, 5, 45, 200])
     # A third of all features share one cell.
     features += [(1000 + i, 10.0, 10.0, 10.0, 10.0) for i in range(200)]
-    boxes = _boxes(rng, 80, [0, 0.05, 2, 8, 90, 180]) + [(900, -180.0, -90.0, 180.0, 90.0), (901, 10.0, 10.0, 10.0, 10.0)]
+    boxes = _boxes(rng, 80, [0, 1e-6, 1e-3, 0.05, 2, 8, 90, 180]) + [(900, -180.0, -90.0, 180.0, 90.0), (901, 10.0, 10.0, 10.0, 10.0)]
     f = spark.createDataFrame(features, "id int, xmin double, ymin double, xmax double, ymax double")
     q = spark.createDataFrame(boxes, "request_id int, q_xmin double, q_ymin double, q_xmax double, q_ymax double")
-    got = [(r.request_id, r.id) for r in S.join_boxes(f, q, salts=salts).collect()]
+    got = [(r.request_id, r.id) for r in S.join_boxes(f, q, levels=S.DEGREE_LEVELS[:levels]).collect()]
     expected = [
         (b[0], a[0])
         for a in features
@@ -84,3 +85,57 @@ def test_links(spark):
     links = P.link_columns(F.col("m"), F.col("o"), F.col("l"), F.lit("u"))
     got = [tuple(r) for r in rows.select(links["prev_href"], links["next_href"]).collect()]
     assert got == [(None, "u?offset=20"), ("u?offset=0", "u?offset=30"), ("u?offset=60", None), (None, None)]
+
+
+# --- stored positions -----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    rows = [(None if i % 9 == 0 else f"k{i * 7919 % 1000:04}", i % 5, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "name string, group int, n int").repartition(5)
+    found = write_positions(df, ["name", "n"], str(tmp_path_factory.mktemp("positions") / "t"), rows=90)
+    return found, sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[2]))
+
+
+@pytest.mark.parametrize(("offset", "limit"), [(0, 10), (85, 20), (500, 300), (990, 50), (1000, 5), (5000, 5), (3, 1)])
+def test_page_at_any_offset(stored, offset, limit):
+    positions, ordered = stored
+    got = [(r.name, r.group, r.n, r.position) for r in positions.page(offset, limit).collect()]
+    assert got == [(*r, offset + k) for k, r in enumerate(ordered[offset : offset + limit])]
+
+
+def test_a_page_reads_its_slice_alone(stored):
+    positions, _ = stored
+    assert positions.index.count() == 12
+    assert len(positions.page(500, 10).inputFiles()) <= 2
+    plan = positions.page(500, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_slice" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(_rank" in plan.split("PushedFilters:")[1] or "_rank" in plan.split("PushedFilters:")[1]
+
+
+def test_pages_behind_a_key(stored):
+    positions, ordered = stored
+    known = [r for r in ordered if r[0] is not None]
+    last, pages = ordered[0], 0
+    for start in range(1, len(ordered), 150):
+        got = [(r.name, r.group, r.n) for r in positions.after([last[0], last[2]], 150).collect()]
+        assert got == ordered[start : start + 150]
+        last, pages = got[-1], pages + 1
+    assert pages == 7 and positions.after([known[-1][0], known[-1][2]], 5).count() == 0
+
+
+def test_positions_of_all_rows(stored, spark, tmp_path):
+    positions, ordered = stored
+    got = sorted((r.position, r.page_number, r.n) for r in positions.numbered(20).collect())
+    assert got == [(k, k // 20 + 1, r[2]) for k, r in enumerate(ordered)]
+    assert positions.total().first().total == 1000
+    nothing = write_positions(spark.range(0), ["id"], str(tmp_path / "none"))
+    assert nothing.page(0, 5).count() == nothing.numbered(5).count() == nothing.total().first().total == 0
+
+
+def test_slices_follow_the_size(spark, monkeypatch):
+    from featlake.operators import slices
+
+    monkeypatch.setattr(slices, "ROWS", 100)
+    assert [slices.default_slices(spark.range(n)) for n in (0, 1, 100, 950)] == [1, 1, 1, 10]

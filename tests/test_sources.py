@@ -80,6 +80,72 @@ def test_parquet_with_binary_geometry(spark, tmp_path):
     assert [r.id for r in table.list_features(FeatureFilter(bbox=(1, -3, 3, 0))).collect()] == ["1", "2", "3"]
 
 
+def _shapes(spark):
+    """Points, lines, polygons with holes, collections, empty and missing geometries."""
+    texts = ["POINT (1 2)", "POINT Z (3 4 5)", "LINESTRING (0 0, 8 8)", "POLYGON ((0 0, 9 0, 9 9, 0 0), (5 1, 6 1, 6 2, 5 1))", None,
+             "MULTIPOINT ((1 1), (2 2))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))", "POINT EMPTY", "POLYGON EMPTY",
+             "GEOMETRYCOLLECTION (POINT (1 1), LINESTRING (2 2, 3 3))", "MULTILINESTRING ((0 0, 1 1), (2 2, 3 4, 5 5))"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts * 20)], "id int, wkt string, kind string")
+    return df.withColumn("geom", G.from_wkt(F.col("wkt")))
+
+
+def test_geoparquet_round_trip(spark, tmp_path):
+    df = _shapes(spark)
+    S.write_geoparquet(df, str(tmp_path / "g"), cell=4.0)
+    stored = spark.read.parquet(str(tmp_path / "g"))
+    assert stored.schema["geometry"].dataType.typeName() == "binary" and stored.schema["bbox"].dataType.names == list(G.BOUNDS)
+    table = S.read_geoparquet(spark, str(tmp_path / "g"), "id")
+    assert table.df.where("geometry_error IS NOT NULL").count() == 0
+    got = {r.id: (r.w, r.xmin) for r in table.df.select("id", G.to_wkt(F.col("geometry")).alias("w"), "xmin").collect()}
+    expected = {r.id: r.w for r in df.select("id", G.to_wkt(F.col("geom")).alias("w")).collect()}
+    assert {i: w for i, (w, _) in got.items()} == expected
+    assert got[2][1] == 0.0 and got[7][1] is None
+
+
+def test_boxes_come_before_decoding(spark, tmp_path):
+    S.write_geoparquet(_shapes(spark), str(tmp_path / "g"))
+    rows = S.read_geoparquet(spark, str(tmp_path / "g"), "id").select(FeatureFilter(bbox=(4, 0.5, 5.5, 1.2)))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    for text in ("LessThanOrEqual(bbox.xmin,5.5)", "GreaterThanOrEqual(bbox.xmax,4.0)", "GreaterThanOrEqual(bbox.ymax,0.5)"):
+        assert text in plan.split("PushedFilters:")[1]
+    decoding = plan.index("ArrowEvalPython")
+    assert "bbox" in plan[decoding:].split("Filter")[1]
+    # The box lies in the polygon, beside its hole, and off the line.
+    assert {r.id % 11 for r in rows.collect()} == {3}
+
+
+def test_loose_and_missing_covers(spark, tmp_path):
+    """A cover that is rounded outwards only rules out; without one, boxes are read from the blobs."""
+    S.write_geoparquet(_shapes(spark), str(tmp_path / "g"))
+    stored = spark.read.parquet(str(tmp_path / "g"))
+    loose = F.struct(*[(F.col(f"bbox.{b}") + (-2.0 if b.endswith("min") else 2.0)).cast("float").alias(b) for b in G.BOUNDS])
+    stored.withColumn("bbox", loose).write.parquet(str(tmp_path / "loose"))
+    stored.drop("bbox").write.parquet(str(tmp_path / "bare"))
+    f = FeatureFilter(bbox=(1.5, 2.5, 2.5, 3.5))
+    tables = [S.read_geoparquet(spark, str(tmp_path / n), "id") for n in ("g", "loose", "bare")]
+    found = [sorted(r.id for r in t.select(f).collect()) for t in tables]
+    assert found[0] == found[1] == found[2] and {i % 11 for i in found[0]} == {2}
+    extents = [t.get_spatial_extent().first() for t in tables]
+    assert extents[0] == extents[1] == extents[2]
+
+
+def test_bad_blobs_are_flagged(spark, tmp_path):
+    good = b"\x01\x01\x00\x00\x00" + struct.pack("<2d", 1, 2)
+    bad = {1: b"", 2: good[:-1], 3: good + b"x", 4: b"\x07" + good[1:], 5: b"\x01\x63\x00\x00\x00" + good[5:], 6: b"\x01\x02\x00\x00\x00\xff\xff\xff\xff"}
+    deep = b"".join(b"\x01\x07\x00\x00\x00\x01\x00\x00\x00" for _ in range(100)) + good
+    rows = [(0, good), *bad.items(), (7, deep), (8, None), (9, good)]
+    spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in rows], "id int, geometry binary").write.parquet(str(tmp_path / "b"))
+    table = S.read_geoparquet(spark, str(tmp_path / "b"), "id")
+    got = {r.id: (r.geometry is None, r.geometry_error) for r in table.df.collect()}
+    assert got == {
+        0: (False, None), 1: (True, "truncated"), 2: (True, "truncated"), 3: (True, "bytes left over"), 4: (True, "unknown byte order"),
+        5: (True, "unknown geometry type"), 6: (True, "truncated"), 7: (True, "nested too deep"), 8: (True, None), 9: (False, None),
+    }
+    assert sorted(r.id for r in table.select(FeatureFilter(bbox=(0, 0, 3, 3))).collect()) == [0, 9]
+    with pytest.raises(S.SourceError, match="available: id, geometry"):
+        S.read_geoparquet(spark, str(tmp_path / "b"), "name")
+
+
 def test_named_sources(spark, tmp_path):
     with pytest.raises(S.SourceError, match="available: csv, geojson, jdbc, json, parquet, sql"):
         S.open_table(spark, "oracle", {}, id="id", x="x", y="y")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from featlake.operators import jobs as Jb
 from featlake.streaming import events as E
 from featlake.streaming import runs as R
+from featlake.streaming.deployments import deployment_verdicts, last_verdicts
 from featlake.streaming.stateful import job_steps, last_revisions
 
 START = dt.datetime(2024, 1, 1)
@@ -130,6 +131,86 @@ def test_deployments_equal_a_replay(spark, slices):
     assert got == state
 
 
+DEPLOYMENT = "process_identifier string, ts timestamp_ntz, seq bigint, to_value string, definition_hash string"
+
+
+def _replay_deployments(rows, start):
+    """The verdict on every change, one after another."""
+    state, verdicts = dict(start), {}
+    for key, ts, seq, to, digest in sorted(rows, key=lambda r: (r[1], r[2])):
+        if key not in state:
+            verdicts[seq] = "unknown process"
+            continue
+        busy = (state[key] or "failed") == "in-progress"
+        if to != "in-progress" and digest != "h":
+            verdicts[seq] = "stale outcome"
+        elif busy == (to == "in-progress"):
+            verdicts[seq] = "already in progress" if busy else "not in progress"
+        else:
+            verdicts[seq], state[key] = "applied", to
+    return verdicts
+
+
+def _deployments(rng, n):
+    keys = [f"p{i}" for i in range(12)] + ["gone"]
+    start = {k: rng.choice([None, "queued", "deployed", "in-progress"]) for k in keys[:-1]}
+    rows = [(k, ts, s, to, rng.choice(["h", "h", "h", "old", None]))
+            for k, ts, s, to, _ in _log(rng, n, keys, ["in-progress", "in-progress", "deployed", "failed"])]
+    return rows, start
+
+
+def _deployed(spark, start):
+    return spark.createDataFrame([(k, v, "h") for k, v in start.items()], "identifier string, deployment string, definition_hash string")
+
+
+def _as_files(spark, pieces, path):
+    for piece in pieces:
+        part = spark.createDataFrame(piece, DEPLOYMENT).withColumn("ts", F.col("ts").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(str(path))
+        time.sleep(1.1)  # files are taken in order of their modification time
+    return spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_deployment_verdicts_of_files_in_any_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows, start = _deployments(rng, 300)
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    mixed = ordered[::7]
+    rest = [r for r in ordered if r not in mixed]
+    pieces = [rest[i : i + 65] for i in range(0, len(rest), 65)]
+    rng.shuffle(pieces)
+    stream = _as_files(spark, [*reversed(pieces), mixed], tmp_path / "changes")
+    given = R.run_to_end(deployment_verdicts(stream, _deployed(spark, start)), "test-verdicts").cache()
+    assert given.where("revision > 1").count() > 0
+    got = {r.seq: r.verdict for r in last_verdicts(given).collect()}
+    expected = _replay_deployments(rows, start)
+    assert got == expected and set(expected.values()) >= {"applied", "stale outcome", "unknown process"}
+    # The same outcome as that of the whole table at once.
+    log = spark.createDataFrame(rows, DEPLOYMENT)
+    applied = {r.process_identifier: r.n_applied for r in Jb.fold_deployments(log, _deployed(spark, start)).collect()}
+    counts = {}
+    for key, _, seq, *_ in rows:
+        counts[key] = counts.get(key, 0) + (got[seq] == "applied")
+    assert applied == {k: v for k, v in counts.items() if k in start}
+
+
+def test_deployments_with_a_horizon_settle(spark, tmp_path):
+    """In order, a horizon changes nothing; what comes later than it is dropped, and silent processes are settled."""
+    rng = random.Random(23)
+    rows, start = _deployments(rng, 240)
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    pieces = [ordered[i : i + 60] for i in range(0, 240, 60)]
+    late = (ordered[0][0], ordered[0][1] - dt.timedelta(days=3), 9999, "in-progress", "h")
+    far = ("gone", START + dt.timedelta(days=9), 8888, "in-progress", "h")
+    last = ("gone", START + dt.timedelta(days=9), 7777, "in-progress", "h")
+    stream = _as_files(spark, [*pieces, [far], [last], [late]], tmp_path / "changes")
+    given = R.run_to_end(deployment_verdicts(stream, _deployed(spark, start), "1 minute"), "test-verdicts").cache()
+    got = {r.seq: r.verdict for r in last_verdicts(given).collect()}
+    assert 9999 not in got and got.pop(8888) == got.pop(7777) == "unknown process"
+    assert got == _replay_deployments(rows, start)
+
+
 def test_admission(spark):
     users = spark.createDataFrame([("ann", ["process-p2:viewer"]), ("bob", [])], "id string, scopes array<string>")
     processes = spark.createDataFrame(
