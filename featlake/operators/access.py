@@ -240,7 +240,7 @@ def may_set_scopes(requests: DataFrame, collections: DataFrame, users: DataFrame
     can = editable(collections, users).select(
         "user_id", F.col("identifier").alias("resource_id"), F.lit(True).alias("_editable")
     )
-    checked = wished.join(can, ["user_id", "resource_id"], "left")
+    checked = split_join(wished, can, ["user_id", "resource_id"], "left")
     fine = F.col("scope").isNull() | ((F.col("resource_type") == "collection") & F.col("_editable").isNotNull())
     verdicts = checked.groupBy("request_id").agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("_fine"))
     rows = _with_admin(requests, users).join(verdicts, "request_id", "left")
@@ -298,3 +298,26 @@ def job_audience(jobs: DataFrame, processes: DataFrame, users: DataFrame) -> Dat
     side = side.withColumnRenamed("identifier", "process_identifier")
     inherited = split_join(private, side, ["process_identifier"]).select("identifier", "user_id")
     return direct.unionByName(inherited).distinct()
+
+
+def job_event_audience(events: DataFrame, jobs: DataFrame, processes: DataFrame, users: DataFrame) -> DataFrame:
+    """Each event on a job with ``user_id``: a row per recipient, one with null for everyone.
+
+    ``events`` has job_identifier, event_type and audience. A deletion tells the audience it carries,
+    since the job is gone. Other events tell everyone of a public job, and the sides of a private
+    one; who is on them is found for jobs with events only. Events on unknown jobs are dropped.
+    """
+    columns = events.columns
+    facts = jobs.select(F.col("identifier").alias("job_identifier"), F.col("is_public").alias("_public"))
+    known = split_join(events, facts, ["job_identifier"], "left")
+    deleted = F.col("event_type") == "deleted"
+    everyone = F.array(F.lit(None).cast("string"))
+    carried = F.when(F.col("audience.is_public"), everyone).otherwise(F.col("audience.user_ids"))
+    of_deleted = known.where(deleted).select(*columns, F.explode(carried).alias("user_id"))
+    of_public = known.where(~deleted & F.col("_public")).select(*columns, F.lit(None).cast("string").alias("user_id"))
+    private = known.where(~deleted & ~F.col("_public")).select(*columns)
+    asked = private.select(F.col("job_identifier").alias("identifier")).distinct()
+    told = job_audience(jobs.join(asked, "identifier", "left_semi"), processes, users)
+    told = told.withColumnRenamed("identifier", "job_identifier")
+    of_private = split_join(private, told, ["job_identifier"]).select(*columns, "user_id")
+    return of_deleted.unionByName(of_public).unionByName(of_private)

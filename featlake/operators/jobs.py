@@ -41,15 +41,70 @@ def admit(requests: DataFrame, processes: DataFrame, users: DataFrame) -> DataFr
     ).select(*requests.columns, "reason", "status", "owner_id", "is_public")
 
 
+# What a request may ask for, its defaults, and the kind of entity that jobs are.
+RESPONSES, TRANSMISSIONS, ENTITY = ("raw", "document"), ("value", "reference"), "ogc-api-processes"
+_REQUEST = """
+    outputs map<string, struct<format: string, format_: string, transmissionMode: string, transmission_mode: string>>, response string,
+    subscriber struct<successUri: string, success_uri: string, inProgressUri: string, in_progress_uri: string, failedUri: string, failed_uri: string>
+"""
+
+
+def read_execute_requests(requests: DataFrame, body: str = "body") -> DataFrame:
+    """Execute requests given as JSON text to ``inputs, outputs, response_type, callback_uris`` and ``problem``.
+
+    ``inputs`` stays JSON text, since its values may be anything. An output is delivered by value and
+    in any format unless it says otherwise; a response is raw. A missing body asks for nothing. Both
+    spellings of names are read. ``problem`` is null for a request that can be carried out.
+    """
+    text, r = F.col(body), F.col("_request")
+    whole = F.get_json_object(text, "$")
+    outputs = F.coalesce(r["outputs"], F.create_map().cast("map<string,struct<format:string,format_:string,transmissionMode:string,transmission_mode:string>>"))
+    mode = lambda o: F.coalesce(o["transmissionMode"], o["transmission_mode"], F.lit(TRANSMISSIONS[0]))
+    described = F.transform_values(
+        outputs, lambda _, o: F.struct(F.coalesce(o["format"], o["format_"]).alias("format"), mode(o).alias("transmission_mode"))
+    )
+    uri = lambda camel, snake: F.coalesce(r["subscriber"][camel], r["subscriber"][snake])
+    uris = F.struct(
+        uri("successUri", "success_uri").alias("success_uri"), uri("inProgressUri", "in_progress_uri").alias("in_progress_uri"),
+        uri("failedUri", "failed_uri").alias("failed_uri"),
+    )
+    subscribed = F.get_json_object(text, "$.subscriber").isNotNull()
+    response = F.coalesce(r["response"], F.lit(RESPONSES[0]))
+    problem = (
+        F.when(text.isNull(), None)
+        .when(whole.isNull() | ~F.startswith(whole, F.lit("{")), "not a request")
+        .when(~response.isin(*RESPONSES), "unknown response")
+        .when(F.exists(F.map_values(outputs), lambda o: ~mode(o).isin(*TRANSMISSIONS)), "unknown transmission mode")
+        .when(subscribed & uris["success_uri"].isNull(), "subscriber without success uri")
+    )
+    parsed = requests.withColumn("_request", F.from_json(text, _REQUEST))
+    return parsed.withColumns(
+        {
+            "inputs": F.coalesce(F.get_json_object(text, "$.inputs"), F.lit("{}")),
+            "outputs": described,
+            "response_type": response,
+            "callback_uris": F.when(subscribed, uris),
+            "problem": problem,
+        }
+    ).drop("_request")
+
+
+def job_rows(requests: DataFrame, processes: DataFrame, users: DataFrame, body: str = "body") -> DataFrame:
+    """Execute requests (user_id, process and a body) to whole job rows, or the reason why there is none."""
+    read = read_execute_requests(requests, body)
+    rows = admit(read.drop(body), processes, users).withColumn("reason", F.coalesce("problem", "reason")).drop("problem")
+    made = F.col("reason").isNull()
+    given = ("status", "owner_id", "is_public", "inputs", "outputs", "response_type", "callback_uris")
+    kept = {c: F.when(made, F.col(c)) for c in given} | {"processing_entity_type": F.when(made, ENTITY)}
+    return rows.withColumns(kept)
+
+
 def clamp_progress(progress: Column) -> Column:
     return F.when(progress.isNotNull(), F.greatest(F.least(progress, F.lit(100)), F.lit(0)))
 
 
 # --- job life cycle -------------------------------------------------------------------------
 
-_STEP = "struct<ts:timestamp_ntz,seq:bigint,status:string,progress:int>"
-
-
 def fold_job_changes(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The steps each job has taken, given requested changes and optionally earlier steps.
 
@@ -58,6 +113,8 @@ def fold_job_changes(changes: DataFrame, state: DataFrame | None = None) -> Data
     two; end states stay. So each step is the earliest fitting change after the step before it:
     three small aggregates, each reduced before its shuffle.
 
+    Steps carry the change's ``message`` and ``exception`` where ``changes`` has those columns.
+
     Returns job_identifier, ``accepted``, ``running`` and ``ended`` steps (null if not taken) and
     ``n_changes`` seen so far.
     """
@@ -66,6 +123,7 @@ def fold_job_changes(changes: DataFrame, state: DataFrame | None = None) -> Data
         F.col("seq").cast("bigint").alias("seq"),
         F.col("to_status").alias("status"),
         F.col("progress").cast("int").alias("progress"),
+        *[F.col(c) for c in ("message", "exception") if c in changes.columns],
     )
     moves = changes.select("job_identifier", step.alias("step"))
 
@@ -94,7 +152,7 @@ def fold_job_changes(changes: DataFrame, state: DataFrame | None = None) -> Data
             (F.coalesce("_n", F.lit(0)) + F.coalesce("n_changes", F.lit(0))).alias("n_changes"),
         )
     else:
-        none = F.lit(None).cast(_STEP)
+        none = F.lit(None).cast(moves.schema["step"].dataType)
         counted = counted.withColumns({"_running": none, "_ended": none})
 
     # Changes of jobs that are created and not ended, behind the creation.
@@ -139,7 +197,10 @@ def _earlier(a: str, b: str) -> Column:
 
 
 def job_status(steps: DataFrame) -> DataFrame:
-    """Steps to the current row of each job; jobs never created have no status."""
+    """Steps to the current row of each job; jobs never created have no status.
+
+    A message and an exception stay until a later step brings others.
+    """
     a, r, e = F.col("accepted"), F.col("running"), F.col("ended")
     taken = sum((c.isNotNull().cast("bigint") for c in (a, r, e)), F.lit(0))
     return steps.select(
@@ -150,13 +211,14 @@ def job_status(steps: DataFrame) -> DataFrame:
         e["ts"].alias("finished_at"),
         clamp_progress(F.coalesce(e["progress"], r["progress"], a["progress"])).alias("progress"),
         (F.col("n_changes") - taken).alias("n_rejected"),
+        *[F.coalesce(e[c], r[c], a[c]).alias(c) for c in steps.schema["accepted"].dataType.names if c in ("message", "exception")],
     )
 
 
 def status_changes(steps: DataFrame) -> DataFrame:
     """One event per status a job really took, so repeats and refused changes are silent."""
     taken = F.filter(F.array("accepted", "running", "ended"), lambda s: s.isNotNull())
-    return steps.select("job_identifier", F.inline(taken)).drop("progress")
+    return steps.select("job_identifier", F.inline(taken)).drop("progress", "message", "exception")
 
 
 # --- deployments ----------------------------------------------------------------------------

@@ -9,11 +9,13 @@ footers prune by.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featlake.operators.slices import rows_of
 
@@ -42,6 +44,9 @@ def write_positions(df: DataFrame, order: Sequence[str], path: str, rows: int =
     before = Window.partitionBy(F.lit(0)).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     index = found.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     index.coalesce(1).write.parquet(f"{path}/index")
+    # Tables without rows have no files that tell their columns.
+    kinds = [(placed.schema.json(), index.schema.json())]
+    df.sparkSession.createDataFrame(kinds, "rows string, index string").write.json(f"{path}/schema")
     return PositionIndex(df.sparkSession, path)
 
 
@@ -50,14 +55,16 @@ class PositionIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.index = spark.read.parquet(f"{path}/index")
-        self.order = self.index.schema["last"].dataType.names
+        kinds = spark.read.schema("rows string, index string").json(f"{path}/schema").first()
+        self.schema, of_index = (T.StructType.fromJson(json.loads(k)) for k in kinds)
+        self.index = spark.read.schema(of_index).parquet(f"{path}/index")
+        self.order = of_index["last"].dataType.names
 
     def _read(self, slices: Sequence[int] | None = None) -> DataFrame:
         """The stored rows, or only the folders of some slices."""
         base = f"{self.path}/rows"
         paths = [base] if slices is None else [f"{base}/{_SLICE}={s}" for s in slices]
-        return self.spark.read.option("basePath", base).parquet(*paths)
+        return self.spark.read.schema(self.schema).option("basePath", base).parquet(*paths)
 
     def _nothing(self) -> DataFrame:
         return self._read().where("false")

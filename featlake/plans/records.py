@@ -10,6 +10,7 @@ from featlake.operators import geometry as G
 from featlake.operators import jobs as Jb
 from featlake.operators import snapshots as Sn
 from featlake.operators.skew import split_join
+from featlake.plans import derived
 from featlake.plans.access import _GRANTS_SQL, users
 from featlake.plans.registry import Tables, query
 from featlake.session import scratch_dir
@@ -540,6 +541,77 @@ def job_transitions(t: Tables) -> DataFrame:
     return Jb.job_status(Jb.fold_job_changes(t.transitions))
 
 
+_MESSAGED = {
+    "message": "CASE event_id % 3 WHEN 0 THEN NULL ELSE concat('change ', CAST(event_id AS STRING)) END",
+    "exception": "CASE WHEN event_type = 'purchase' THEN concat('{\"type\":\"error\",\"status\":', CAST(event_id AS STRING), '}') END",
+}
+
+
+@query(
+    "job_messages",
+    _RUN_SQL
+    + f"""
+, said AS (SELECT event_id, {", ".join(f"{text} AS {name}" for name, text in _MESSAGED.items())} FROM events)
+SELECT r.job_identifier, arg_max(r.status, r.n) AS status, arg_max(message, r.n) FILTER (message IS NOT NULL) AS message,
+  arg_max(exception, r.n) FILTER (exception IS NOT NULL) AS exception
+FROM run r JOIN said ON said.event_id = r.seq WHERE r.moved GROUP BY r.job_identifier
+""",
+    uses=("transitions",),
+)
+def job_messages(t: Tables) -> DataFrame:
+    """The message and the exception that jobs have after their steps; refused changes leave none."""
+    columns = derived.DERIVED["transitions"][1]
+    log = t.events.selectExpr(*columns, *[f"{text} AS {name}" for name, text in _MESSAGED.items()])
+    found = Jb.job_status(Jb.fold_job_changes(log)).where("status IS NOT NULL")
+    return found.select("job_identifier", "status", "message", "exception")
+
+
+_N = "(l_orderkey * 7 + l_linenumber)"
+_BODY = f"""CASE {_N} % 7 WHEN 0 THEN NULL
+  WHEN 1 THEN concat('{{"inputs":{{"a":', CAST({_N} AS STRING), ',"b":"x"}},"outputs":{{"out":{{"transmissionMode":"reference"}}}},"response":"document"}}')
+  WHEN 2 THEN concat('{{"outputs":{{"out":{{"format":"text/csv"}},"log":{{}}}},"subscriber":{{"successUri":"https://e.org/', CAST({_N} AS STRING), '","failedUri":"https://e.org/f"}}}}')
+  WHEN 3 THEN '{{"response":"html"}}' WHEN 4 THEN '{{"subscriber":{{"failedUri":"x"}}}}'
+  WHEN 5 THEN '{{"outputs":{{"out":{{"transmissionMode":"pigeon"}}}}}}' ELSE 'no json' END"""
+
+
+@query(
+    "job_rows",
+    f"""
+    WITH {_GRANTS_SQL},
+    checked AS (SELECT l_orderkey, l_linenumber, q.user_id, q.process, p.owner_id AS process_owner, {_N} % 7 AS k, {_N} AS n,
+        CASE {_N} % 7 WHEN 3 THEN 'unknown response' WHEN 4 THEN 'subscriber without success uri' WHEN 5 THEN 'unknown transmission mode'
+          WHEN 6 THEN 'not a request' ELSE CASE WHEN p.identifier IS NULL THEN 'not found'
+          WHEN NOT coalesce(p.is_public OR a.user_id IS NOT NULL OR p.owner_id = q.user_id OR EXISTS (
+            SELECT 1 FROM held h WHERE h.user_id = q.user_id AND h.resource_type = 'process'
+              AND h.resource_id = q.process), FALSE) THEN 'not permitted'
+          WHEN coalesce(p.deployment, 'failed') <> 'deployed' THEN 'not deployed' END END AS reason
+      FROM questions q LEFT JOIN processes p ON p.identifier = q.process LEFT JOIN admins a ON a.user_id = q.user_id)
+    SELECT l_orderkey, l_linenumber, process, reason, CASE WHEN reason IS NULL THEN 'accepted' END AS status,
+      CASE WHEN reason IS NULL THEN coalesce(user_id, process_owner) END AS owner_id,
+      CASE WHEN reason IS NULL THEN 'ogc-api-processes' END AS processing_entity_type,
+      CASE WHEN reason IS NULL THEN CASE k WHEN 1 THEN 'document' ELSE 'raw' END END AS response_type,
+      CASE WHEN reason IS NULL THEN CASE k WHEN 1 THEN concat('{{"a":', CAST(n AS STRING), ',"b":"x"}}') ELSE '{{}}' END END AS inputs,
+      CASE WHEN reason IS NULL THEN CASE k WHEN 1 THEN 'out:any:reference' WHEN 2 THEN 'log:any:value out:text/csv:value' ELSE '' END END AS outputs,
+      CASE WHEN reason IS NULL AND k = 2 THEN concat('https://e.org/', CAST(n AS STRING)) END AS success_uri,
+      CASE WHEN reason IS NULL AND k = 2 THEN 'https://e.org/f' END AS failed_uri
+    FROM checked
+    """,
+    uses=("questions", "processes", "accounts"),
+)
+def job_rows(t: Tables) -> DataFrame:
+    """Execute requests with bodies: whole job rows with inputs, outputs and callbacks, or why there is none."""
+    rows = Jb.job_rows(t.questions.withColumn("body", F.expr(_BODY)), t.processes, users(t))
+    one = F.transform(
+        F.array_sort(F.map_entries("outputs")),
+        lambda e: F.concat_ws(":", e["key"], F.coalesce(e["value"]["format"], F.lit("any")), e["value"]["transmission_mode"]),
+    )
+    return rows.select(
+        "l_orderkey", "l_linenumber", "process", "reason", "status", "owner_id", "processing_entity_type", "response_type", "inputs",
+        F.array_join(one, " ").alias("outputs"), F.col("callback_uris.success_uri").alias("success_uri"),
+        F.col("callback_uris.failed_uri").alias("failed_uri"),
+    )
+
+
 @query(
     "job_status_changed",
     _RUN_SQL + "SELECT job_identifier, ts, seq, status FROM run WHERE moved",
