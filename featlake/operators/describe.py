@@ -185,11 +185,16 @@ _INFERRED = {
 
 
 def infer_properties(df: DataFrame, bag: str, sequence: str) -> DataFrame:
-    """Property types of a JSON property bag: the first non-null value of each name decides."""
+    """Property types of a property bag: the first non-null value of each name decides.
+
+    A bag is JSON text, which has no times, or a variant, whose values may be dates and times.
+    """
     spark = df.sparkSession
+    typed = isinstance(df.schema[bag].dataType, T.VariantType)
+    whole = f"b.`{bag}`" if typed else f"try_parse_json(b.`{bag}`)"
     entries = spark.sql(
         f"SELECT b.`{sequence}` AS seq, e.key AS property, schema_of_variant(e.value) AS kind"
-        f" FROM {{bags}} b, LATERAL variant_explode(try_parse_json(b.`{bag}`)) e",
+        f" FROM {{bags}} b, LATERAL variant_explode({whole}) e",
         bags=df,
     )
     fragment = F.when(F.col("kind").startswith("DECIMAL"), '{"type":"number"}')

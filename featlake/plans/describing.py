@@ -193,6 +193,34 @@ def infer_schema(t: Tables) -> DataFrame:
     return D.infer_properties(t.events.select("event_id", bag.alias("bag")), "bag", "event_id")
 
 
+@query(
+    "infer_schema_typed",
+    """
+    SELECT DISTINCT property, schema FROM (
+      SELECT 'ts' AS property, '{"type":"string","format":"date-time"}' AS schema FROM events
+      UNION ALL SELECT 'day', '{"type":"string","format":"date"}' FROM events
+      UNION ALL SELECT 'value', '{"type":"number"}' FROM events UNION ALL SELECT 'late', '{"type":"boolean"}' FROM events
+      UNION ALL SELECT 'user_id', '{"type":"integer"}' FROM events UNION ALL SELECT 'event_type', '{"type":"string"}' FROM events
+      UNION ALL SELECT 'seen', CASE WHEN (SELECT arg_min(event_id % 2, event_id) FROM events WHERE event_id % 3 <> 0) = 0
+        THEN '{"type":"string","format":"date-time"}' ELSE '{"type":"string"}' END FROM events)
+    """,
+)
+def infer_schema_typed(t: Tables) -> DataFrame:
+    """Property types of typed bags, with dates and times; one property is a time or a text, whichever comes first."""
+    n = F.col("event_id")
+
+    def bag(seen: Column) -> Column:
+        return F.to_variant_object(F.struct(
+            "ts", F.to_date("ts").alias("day"), F.col("value").cast("decimal(18,2)").alias("value"), (F.col("value") > 100).alias("late"), "user_id",
+            "event_type", seen.alias("seen"),
+        ))
+
+    none = F.lit(None).cast("string")
+    rows = t.events.where(n % 2 == 0).select("event_id", bag(F.when(n % 3 != 0, F.col("ts"))).alias("bag"))
+    rows = rows.unionByName(t.events.where(n % 2 == 1).select("event_id", bag(F.when(n % 3 != 0, "then").otherwise(none)).alias("bag")))
+    return D.infer_properties(rows, "bag", "event_id")
+
+
 _SPELLED = """
   CASE p_partkey % 16 WHEN 0 THEN 'integer' WHEN 1 THEN 'HUGEINT' WHEN 2 THEN 'Double'
     WHEN 3 THEN concat('DECIMAL(18,', CAST(p_size % 10 AS STRING), ')')

@@ -118,6 +118,20 @@ def src_geoparquet(t: Tables) -> DataFrame:
     return found.select(*columns).unionByName(bad.select(*columns))
 
 
+@query(
+    "src_registered",
+    "SELECT id, event_type, x, y FROM obs WHERE x BETWEEN -35 AND 50 AND y BETWEEN -10 AND 40",
+    uses=("obs",),
+)
+def src_registered(t: Tables) -> DataFrame:
+    """A source of another kind, opened by its name: the box reaches it, and it reads the tiles that meet it."""
+    target = scratch_dir(t.spark, "tiles")
+    grid = {"tile_x": F.floor(F.col("x") / 30), "tile_y": F.floor(F.col("y") / 30)}
+    t.obs.drop("props", "observed_at").withColumns(grid).repartition("tile_x", "tile_y").write.partitionBy("tile_x", "tile_y").parquet(target)
+    table = S.open_table(t.spark, "tiles", {"path": target, "size": "30"}, id="seq", x="x", y="y")
+    return table.select(FeatureFilter(bbox=(-35, -10, 50, 40))).select("id", "event_type", "x", "y")
+
+
 @query("src_csv", "SELECT id, event_type, value FROM obs", uses=("obs",))
 def src_csv(t: Tables) -> DataFrame:
     target = scratch_dir(t.spark, "csv")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featlake.operators import catalog as K
+from featlake.operators import configuration as Cf
 from featlake.operators import geometry as G
 from featlake.operators import jobs as Jb
 from featlake.operators import snapshots as Sn
@@ -722,3 +723,83 @@ def reconcile(t: Tables) -> DataFrame:
         "event_key", F.concat(F.lit("proc-"), F.col("event_id").cast("string")).alias("process_identifier")
     )
     return Jb.reconcile(events, current)
+
+
+# --- configuration entries ------------------------------------------------------------------
+
+# Every ninth collection has an entry before the one that counts; others are wrong in one way each.
+_ODD = "CAST(substr(identifier, 5) AS INT) % 9"
+
+
+@query(
+    "config_collections",
+    f"""
+    WITH odd AS (SELECT *, {_ODD} AS k FROM collections)
+    SELECT identifier, CASE k WHEN 1 THEN 'picture' ELSE type END AS type, title, CASE k WHEN 2 THEN 'nobody' ELSE owner_id END AS owner_id,
+      is_public, CASE WHEN k <> 3 THEN xmin END AS xmin, CASE WHEN k <> 3 THEN ymax END AS ymax, coalesce(storage_crs, '{_CRS84}') AS storage_crs,
+      custom_page_size, CASE k WHEN 4 THEN 'film' WHEN 5 THEN 'tile' ELSE 'feature' END AS provider,
+      CASE k WHEN 5 THEN NULL ELSE concat('{{"path":"', identifier, '"}}') END AS config,
+      CASE k WHEN 1 THEN 'unknown type' WHEN 2 THEN 'unknown owner' WHEN 3 THEN CASE WHEN xmin IS NOT NULL THEN 'extent is not well-known text' END
+        WHEN 4 THEN 'unknown kind of provider' WHEN 5 THEN 'incomplete provider' END AS problem
+    FROM odd
+    """,
+    uses=("collections", "accounts"),
+)
+def config_collections(t: Tables) -> DataFrame:
+    """Collections from configuration entries, or why an entry cannot be loaded."""
+    k = F.expr(_ODD)
+    ring = F.array_join(F.array(*[F.concat_ws(" ", x, y) for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))]), ",")
+    extent = F.when(F.col("xmin").isNotNull(), F.concat(F.lit("POLYGON(("), ring, F.lit("))")))
+    extent = F.when(F.col("xmin").isNotNull() & (k == 3), "a box").otherwise(extent)
+    config = F.struct(F.col("identifier").alias("path"))
+    provider = F.struct(F.lit("files").alias("provider_name"), F.when(k != 5, config).alias("config"))
+    kind = F.when(k == 4, "film").when(k == 5, "tile").otherwise("feature")
+    entry = F.struct(
+        "identifier", "title", F.when(k == 2, "nobody").otherwise(F.col("owner_id")).alias("owner_id"), "is_public",
+        F.when(k == 1, "picture").otherwise(F.col("type")).alias("type_"), extent.alias("spatial_extent"), "storage_crs", "custom_page_size",
+        F.create_map(kind, provider).alias("providers"),
+    )
+    n = F.substring("identifier", 5, 20).cast("int")
+    last = t.collections.select((n * 2).alias("position"), F.to_json(entry).alias("entry"))
+    first = t.collections.where(k == 0).select((n * 2 - 1).alias("position"), F.to_json(F.struct("identifier", F.lit("old").alias("title"))).alias("entry"))
+    rows = Cf.load_collections(last.unionByName(first), users(t))
+    one = F.get(F.map_entries("providers"), F.lit(0))
+    return rows.select(
+        "identifier", "type", "title", "owner_id", "is_public", "xmin", "ymax", "storage_crs", "custom_page_size", one["key"].alias("provider"),
+        one["value"]["config"].alias("config"), "problem",
+    )
+
+
+@query(
+    "config_processes",
+    """
+    WITH odd AS (SELECT *, CAST(substr(identifier, 6) AS INT) % 7 AS k FROM processes)
+    SELECT identifier, title, owner_id, CASE k WHEN 1 THEN 'cwl' WHEN 2 THEN 'shell' WHEN 3 THEN NULL ELSE 'oci' END AS unit_type,
+      CASE WHEN k IN (0, 5, 6) THEN image END AS image, CASE WHEN k IN (1, 2) THEN definition END AS definition,
+      CASE WHEN k IN (1, 2, 3) THEN NULL WHEN k = 6 THEN 0 ELSE 1 END AS n_bindings, 2 AS n_inputs,
+      CASE k WHEN 5 THEN 'asleep' ELSE coalesce(deployment, 'failed') END AS deployment,
+      CASE k WHEN 4 THEN 'container without an image' WHEN 5 THEN 'unknown deployment status' END AS problem
+    FROM odd
+    """,
+    uses=("processes", "accounts"),
+)
+def config_processes(t: Tables) -> DataFrame:
+    """Processes from configuration entries: three kinds of execution units, deployments that count as failed."""
+    k = F.substring("identifier", 6, 20).cast("int") % 7
+    binding = F.when(k != 6, F.create_map(F.lit("a"), F.struct(F.lit("--a").alias("prefix"))))
+    unit = F.when(k != 3, F.struct(
+        F.when(k == 1, "cwl").when(k == 2, "shell").otherwise("oci").alias("type_"), F.when(k.isin(0, 5, 6), F.col("image")).alias("image"),
+        F.when(k.isin(1, 2), F.col("definition")).alias("definition"), binding.alias("bindings_inputs"),
+    ))
+    status = F.when(k == 5, "asleep").otherwise(F.col("deployment"))
+    described = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("a", "b")])
+    entry = F.struct(
+        "identifier", "title", "owner_id", "is_public", described.alias("inputs"), unit.alias("execution_unit"),
+        F.when(status.isNotNull(), F.struct(status.alias("value"))).alias("deployment_status"),
+    )
+    entries = t.processes.select(F.substring("identifier", 6, 20).cast("int").alias("position"), F.to_json(entry).alias("entry"))
+    rows = Cf.load_processes(entries, users(t))
+    return rows.select(
+        "identifier", "title", "owner_id", "unit_type", "image", "definition", F.size("bindings_inputs").alias("n_bindings"),
+        F.size("inputs").alias("n_inputs"), "deployment", "problem",
+    )

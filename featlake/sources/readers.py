@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource
 
 from featlake.functions.wkb import decode_wkb, from_wkb, to_wkb, wkb_bounds
 from featlake.operators import crs as C
@@ -16,6 +17,7 @@ from featlake.operators import geometry as G
 from featlake.operators.projections import with_file_row_id
 from featlake.operators.skew import row_hash
 from featlake.sources.documents import split_features
+from featlake.sources.extension import TileFolder
 from featlake.table import FeatureTable
 
 # Names of CSV separators.
@@ -381,11 +383,26 @@ _SOURCES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def register_source(name: str, read: Callable[..., DataFrame]) -> None:
-    """Make a source type available by name."""
+def register_source(name: str, read: Callable[..., DataFrame] | type[DataSource]) -> None:
+    """Make a source type available by name: a function of a session and options, or a Spark data source.
+
+    A data source that is a :class:`featlake.sources.extension.FeatureSource` sees the box and time of
+    requests before it reads.
+    """
+    if isinstance(read, type) and issubclass(read, DataSource):
+        kind = read
+
+        def read(spark: SparkSession, **options: str) -> DataFrame:
+            spark.dataSource.register(kind)
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+            return spark.read.format(kind.name()).options(**options).load()
+
     _SOURCES[name] = read
 
 
+register_source("tiles", TileFolder)
+
+
 def open_table(spark: SparkSession, kind: str, options: dict, **roles) -> FeatureTable:
     """A feature table over a named source type; ``roles`` are those of :class:`FeatureTable`.
 

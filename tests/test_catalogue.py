@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from featlake.operators import access as A
 from featlake.operators import catalog as K
+from featlake.operators import configuration as Cf
 from featlake.operators import describe as D
 
 USERS = [
@@ -229,3 +230,47 @@ def test_definition_hash_ignores_the_order_of_nested_keys(spark):
     assert x == y != z
     text = rows.select(K.canonical_json(rows.u).alias("t")).first().t
     assert text == '{"a": 1, "b": {"x": null, "y": [1, {"p": "x,\\"y: z", "q": 1}]}}'
+
+
+# --- configuration entries ------------------------------------------------------------------
+
+
+def _entries(spark, *rows):
+    texts = [r if isinstance(r, str) or r is None else json.dumps(r) for r in rows]
+    return spark.createDataFrame(list(enumerate(texts)), "position int, entry string")
+
+
+def test_collections_from_entries(spark, users):
+    whole = {"identifier": "a", "title": "A", "owner_id": "alice", "is_public": True, "type_": "feature"}
+    rows = [
+        whole, whole | {"title": "again", "spatial_extent": "POLYGON ((1 2, 3 2, 3 4, 1 2))", "temporal_extent_begin": "2024-01-01T00:00:00Z"},
+        whole | {"identifier": "b", "owner_id": "nobody"}, whole | {"identifier": "c", "type_": "picture"}, whole | {"identifier": "d", "spatial_extent": "POINT 1"},
+        whole | {"identifier": "e", "providers": {"film": {"provider_name": "x", "config": {}}}}, whole | {"identifier": "f", "providers": {"tile": {"config": {}}}},
+        {"identifier": "g", "title": "G"}, "[]", "no json", None, {},
+        whole | {"identifier": "h", "providers": {"feature": {"provider_name": "x", "config": {"a": [1, {"b": 2}]}}}, "crs": ["u"], "storage_crs": "u"},
+    ]
+    got = {r.position: r for r in Cf.load_collections(_entries(spark, *rows), users).collect()}
+    assert 0 not in got and got[1].title == "again" and (got[1].xmin, got[1].ymax) == (1.0, 4.0) and str(got[1].temporal_begin) == "2024-01-01 00:00:00"
+    assert [got[i].problem for i in range(1, 13)] == [
+        None, "unknown owner", "unknown type", "extent is not well-known text", "unknown kind of provider", "incomplete provider",
+        "a required member is missing", "a required member is missing", "not an entry", "not an entry", "a required member is missing", None,
+    ]
+    assert got[1].storage_crs.endswith("CRS84") and got[12].storage_crs == "u" and got[12].crs == ["u"]
+    assert json.loads(got[12].providers["feature"].config) == {"a": [1, {"b": 2}]} and got[1].providers is None
+
+
+def test_processes_from_entries(spark, users):
+    whole = {"identifier": "a", "title": "A", "owner_id": "alice", "is_public": True}
+    rows = [
+        whole, whole | {"identifier": "b", "execution_unit": {"type_": "oci", "image": "i", "bindings_inputs": {"x": {"position": 1, "shell_quote": False}}}},
+        whole | {"identifier": "c", "execution_unit": {"type_": "cwl", "definition": "d"}, "deployment_status": {"value": "deployed", "definition_hash": "h"}},
+        whole | {"identifier": "d", "execution_unit": {"type_": "oci"}}, whole | {"identifier": "e", "deployment_status": {"value": "odd"}},
+        whole | {"identifier": "f", "execution_unit": {"image": "i"}}, whole | {"identifier": "g", "inputs": [{"name": "x", "schema": {"type": "string"}}]},
+    ]
+    got = {r.identifier: r for r in Cf.load_processes(_entries(spark, *rows), users).collect()}
+    assert {k: r.problem for k, r in got.items() if r.problem} == {
+        "d": "container without an image", "e": "unknown deployment status", "f": "execution unit without a type",
+    }
+    assert got["a"].deployment == "failed" and (got["c"].deployment, got["c"].definition_hash) == ("deployed", "h")
+    assert json.loads(got["b"].bindings_inputs["x"]) == {"position": 1, "shell_quote": False} and got["b"].bindings_outputs == {}
+    assert got["c"].bindings_inputs is None and json.loads(got["g"].inputs[0])["schema"] == {"type": "string"} and got["a"].inputs == []

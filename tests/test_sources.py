@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from featlake.operators import geometry as G
 from featlake.operators.filters import FeatureFilter
 from featlake.sources import geojson as J
+from featlake.sources import extension as X
 from featlake.sources import readers as S
 from featlake.table import FeatureTable
 
@@ -150,7 +151,7 @@ def test_bad_blobs_are_flagged(spark, tmp_path):
 
 
 def test_named_sources(spark, tmp_path):
-    with pytest.raises(S.SourceError, match="available: csv, geojson, jdbc, json, parquet, sql"):
+    with pytest.raises(S.SourceError, match="available: csv, geojson, jdbc, json, parquet, sql, tiles"):
         S.open_table(spark, "oracle", {}, id="id", x="x", y="y")
     S.register_source("grid", lambda s, n: s.range(n).selectExpr("id", "id * 1D AS x", "0D AS y"))
     assert S.open_table(spark, "grid", {"n": 7}, id="id", x="x", y="y").count_items().first().total == 7
@@ -159,6 +160,32 @@ def test_named_sources(spark, tmp_path):
     assert {r.id.split(":")[1] for r in table.list_features().collect()} == {"0", "1", "2"}
 
 
+def test_registered_sources_see_boxes(spark, tmp_path):
+    points = spark.range(400).selectExpr("id", "CAST(id % 20 AS DOUBLE) + 0.5 AS x", "CAST(id DIV 20 AS DOUBLE) + 0.5 AS y")
+    points = points.selectExpr("*", "CAST(floor(x / 5) AS INT) AS tile_x", "CAST(floor(y / 5) AS INT) AS tile_y")
+    points.unionByName(points.where("id = 0").selectExpr("-1L AS id", "NULL AS x", "NULL AS y", "NULL AS tile_x", "NULL AS tile_y")).repartition(
+        "tile_x", "tile_y").write.partitionBy("tile_x", "tile_y").parquet(str(tmp_path / "t"))
+    table = S.open_table(spark, "tiles", {"path": str(tmp_path / "t"), "size": "5"}, id="id", x="x", y="y")
+    assert table.df.count() == 401 and table.df.rdd.getNumPartitions() == 17
+    few = table.select(FeatureFilter(bbox=(6, 6, 11, 9)))
+    assert sorted(r.id for r in few.collect()) == sorted(r.id for r in points.where("x BETWEEN 6 AND 11 AND y BETWEEN 6 AND 9").collect())
+    # Two tiles meet the box; the one of points without coordinates has no bounds to rule it out.
+    assert few.rdd.getNumPartitions() <= 3
+    with pytest.raises(Exception, match="no tiles"):
+        (tmp_path / "none").mkdir()
+        S.open_table(spark, "tiles", {"path": str(tmp_path / "none")}, id="id", x="x", y="y")
+
+
+def test_ranges_of_filters():
+    from pyspark.sql import datasource as Ds
+
+    filters = [Ds.GreaterThan(("x",), 3), Ds.LessThanOrEqual(("x",), 9), Ds.GreaterThanOrEqual(("x",), 5), Ds.EqualTo(("k",), "a"), Ds.IsNotNull(("x",)), Ds.LessThan(("a", "b"), 1)]
+    assert X.ranges_of(filters) == {"x": (5, 9), "k": ("a", "a")}
+    tile = X.Tile("t", {"x": (9, 12), "y": (None, 4)})
+    assert tile.may_hold({"x": (5, 9)}) and not tile.may_hold({"x": (5, 8)}) and tile.may_hold({"y": (None, None), "z": (1, 2)})
+    assert not tile.may_hold({"y": (4.5, None)})
+
+
 def test_json_rows(spark, tmp_path):
     path = _write(tmp_path, "a.json", '{"id": 1, "lon": 2.0, "lat": 3.0}\n{"id": 2, "lon": 9.0, "lat": 9.0}\n')
     table = S.open_table(spark, "json", {"path": path, "schema": "id int, lon double, lat double"}, id="id", x="lon", y="lat")

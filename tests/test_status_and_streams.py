@@ -228,9 +228,74 @@ def test_admission(spark):
     }
 
 
+def test_execute_requests(spark):
+    bodies = [
+        None, "{}", '{"inputs": {"a": [1, {"b": null}], "c": "x"}, "response": "document"}',
+        '{"outputs": {"o": {}, "p": {"format": "text/csv", "transmissionMode": "reference"}, "q": {"format_": "f", "transmission_mode": "value"}}}',
+        '{"subscriber": {"successUri": "s", "failedUri": "f"}}', '{"subscriber": {"success_uri": "s", "in_progress_uri": "i"}}',
+        '{"response": "html"}', '{"outputs": {"o": {"transmissionMode": "mail"}}}', '{"subscriber": {"failedUri": "f"}}', "[1]", "nonsense", '{"subscriber": null}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    got = {r.id: r for r in Jb.read_execute_requests(rows).collect()}
+    assert [got[i].problem for i in range(12)] == [None] * 6 + [
+        "unknown response", "unknown transmission mode", "subscriber without success uri", "not a request", "not a request", None,
+    ]
+    assert [got[i].inputs for i in (0, 1, 2)] == ["{}", "{}", '{"a":[1,{"b":null}],"c":"x"}']
+    assert [got[i].response_type for i in (0, 2)] == ["raw", "document"]
+    assert {k: tuple(v) for k, v in got[3].outputs.items()} == {"o": (None, "value"), "p": ("text/csv", "reference"), "q": ("f", "value")}
+    assert tuple(got[4].callback_uris) == ("s", None, "f") and tuple(got[5].callback_uris) == ("s", "i", None)
+    assert got[0].outputs == {} and got[0].callback_uris is None and got[11].callback_uris is None
+
+
+def test_job_rows_are_whole_or_refused(spark):
+    users = spark.createDataFrame([("ann", [])], "id string, scopes array<string>")
+    processes = spark.createDataFrame([("p1", "bob", True, "deployed"), ("p2", "bob", True, None)],
+                                      "identifier string, owner_id string, is_public boolean, deployment string")
+    asked = [("ann", "p1", '{"inputs": {"a": 1}}'), (None, "p1", None), ("ann", "p2", "{}"), ("ann", "p1", "oops"), ("ann", "p9", "{}")]
+    rows = Jb.job_rows(spark.createDataFrame(asked, "user_id string, process string, body string"), processes, users).collect()
+    got = {(r.user_id, r.process, r.reason): (r.status, r.owner_id, r.inputs, r.response_type, r.processing_entity_type) for r in rows}
+    none = (None,) * 5
+    assert got == {
+        ("ann", "p1", None): ("accepted", "ann", '{"a":1}', "raw", "ogc-api-processes"),
+        (None, "p1", None): ("accepted", "bob", "{}", "raw", "ogc-api-processes"),
+        ("ann", "p2", "not deployed"): none, ("ann", "p1", "not a request"): none, ("ann", "p9", "not found"): none,
+    }
+
+
+def test_messages_and_exceptions_of_steps(spark):
+    t = lambda n: START + dt.timedelta(seconds=n)
+    rows = [
+        ("a", t(1), 1, "accepted", 0, "hello", None), ("a", t(2), 2, "running", 5, None, None), ("a", t(3), 3, "accepted", 9, "refused", "{}"),
+        ("a", t(4), 4, "failed", 50, "it broke", '{"type":"x"}'), ("b", t(1), 5, "accepted", 0, "only", None), ("b", t(2), 6, "running", 1, None, None),
+        ("c", t(1), 7, "running", 1, "never", "never"),
+    ]
+    log = spark.createDataFrame(rows, CHANGE + ", message string, exception string")
+    got = {r.job_identifier: (r.status, r.message, r.exception) for r in Jb.job_status(Jb.fold_job_changes(log)).collect()}
+    assert got == {"a": ("failed", "it broke", '{"type":"x"}'), "b": ("running", "only", None), "c": (None, None, None)}
+    assert "message" not in Jb.status_changes(Jb.fold_job_changes(log)).columns
+
+
 # --- events ---------------------------------------------------------------------------------
 
 
+def test_recipients_of_job_events(spark):
+    from featlake.operators import access as A
+
+    users = spark.createDataFrame(
+        [("ann", True, ["job-j1:viewer"]), ("bob", True, []), ("cat", True, ["process-p1:editor"]), ("dan", False, ["job-j1:viewer"])],
+        "id string, is_active boolean, scopes array<string>",
+    )
+    processes = spark.createDataFrame([("p1", "bob", True)], "identifier string, owner_id string, is_public boolean")
+    jobs = spark.createDataFrame([("j1", "p1", "ann", False), ("j2", "p1", "ann", True), ("j3", "p1", "ann", False)],
+                                 "identifier string, process_identifier string, owner_id string, is_public boolean")
+    rows = [("e1", "j1", "created", None), ("e2", "j2", "status_changed", None), ("e3", "gone", "created", None),
+            ("e4", "gone", "deleted", (False, ["x", "y"])), ("e5", "gone", "deleted", (True, None)), ("e6", "j1", "created", None)]
+    events = spark.createDataFrame(rows, "key string, job_identifier string, event_type string, audience struct<is_public:boolean,user_ids:array<string>>")
+    got = sorted(((r.key, r.user_id) for r in A.job_event_audience(events, jobs, processes, users).collect()), key=str)
+    expected = [(e, u) for e in ("e1", "e6") for u in ("ann", "bob", "cat")] + [("e2", None), ("e4", "x"), ("e4", "y"), ("e5", None)]
+    assert got == sorted(expected, key=str)
+
+
 def _event(**kw):
     base = {"event_type": "created", "process_identifier": "p1", "initiated_by": "u", "timestamp": "2024-01-01T00:00:00Z",
             "correlation_id": "c"}
