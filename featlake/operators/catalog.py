@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from featlake.functions.binding import let
 from featlake.functions.text import contains_ci
 from featlake.operators import crs as C
 from featlake.operators import geometry as G
@@ -211,6 +212,23 @@ def merge_unit(unit: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
 
 
+def merge_documents(document: Column, update: Column) -> Column:
+    """A JSON object with the members of an update put over its own; their values may be nested in any way.
+
+    A member that the update names is replaced as a whole, also by null. Text that is no object counts
+    as an empty one. Nested objects have their keys sorted.
+    """
+    kind = "map<string,variant>"
+
+    def members(text: Column) -> Column:
+        return F.coalesce(F.from_json(text, kind), F.create_map().cast(kind))
+
+    def merged(base: Column, over: Column) -> Column:
+        return F.to_json(F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over))
+
+    return let(merged, members(document), members(update))
+
+
 # What stands between separators of JSON text, strings whole, and the separator.
 _UNTIL_SEPARATOR = r'\G((?:"(?:[^"\\]|\\.)*+"|[^",:])*+)([,:])'
 

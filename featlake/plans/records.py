@@ -303,6 +303,38 @@ def unit_merge(t: Tables) -> DataFrame:
     return merged.select("identifier", *[F.coalesce(F.col("unit")[e], F.lit("")).alias(e) for e in entries])
 
 
+@query(
+    "unit_merge_nested",
+    """
+    SELECT identifier, CASE WHEN size % 3 = 0 THEN concat(image, ':new') ELSE image END AS image,
+      CASE size % 4 WHEN 0 THEN concat('{"y":{"position":', CAST(size AS STRING), ',"prefix":"--', identifier, '"}}')
+        WHEN 1 THEN NULL ELSE '{"x":{"position":1,"shell_quote":true}}' END AS inputs,
+      CASE size % 4 WHEN 1 THEN TRUE ELSE FALSE END AS unbound,
+      CASE WHEN size % 5 = 0 THEN concat('[', CAST(size AS STRING), ',{"at":"}"}]') END AS volumes
+    FROM processes
+    """,
+    uses=("processes",),
+)
+def unit_merge_nested(t: Tables) -> DataFrame:
+    """Execution units with nested bindings: what an update names is replaced as a whole, also by null."""
+    size, flag = F.col("size"), F.lit(True)
+    binding = F.struct(F.lit(1).alias("position"), flag.alias("shell_quote"))
+    unit = F.to_json(F.struct(F.lit("oci").alias("type_"), "image", F.struct(binding.alias("x")).alias("bindings_inputs")))
+    other = F.struct(F.struct(F.concat(F.lit("--"), "identifier").alias("prefix"), size.alias("position")).alias("y"))
+    parts = [
+        F.when(size % 3 == 0, F.concat(F.lit('"image":"'), "image", F.lit(':new"'))),
+        F.when(size % 4 == 0, F.concat(F.lit('"bindings_inputs":'), F.to_json(other))).when(size % 4 == 1, F.lit('"bindings_inputs":null')),
+        F.when(size % 5 == 0, F.concat(F.lit('"volumes":['), size.cast("string"), F.lit(',{"at":"}"}]'))),
+    ]
+    update = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    merged = t.processes.select("identifier", K.merge_documents(unit, update).alias("unit"))
+    at = lambda name: F.get_json_object("unit", f"$.{name}")
+    return merged.select(
+        "identifier", at("image").alias("image"), at("bindings_inputs").alias("inputs"), F.contains("unit", F.lit('"bindings_inputs":null')).alias("unbound"),
+        at("volumes").alias("volumes"),
+    )
+
+
 def _unit_json() -> Column:
     return F.concat(F.lit('{"image": "'), F.col("image"), F.lit('", "type_": "oci"}'))
 
