@@ -249,10 +249,12 @@ def mixed_documents(
     parts = parts.join(F.broadcast(numbers), "_source_no").select("_id", "_t", "_name", "_parts", "_all")
     text = whole_text(text_col)
     keys = [F.col(id_col).alias("_id2"), F.xxhash64(text).alias("_t2"), F.col(source_col).alias("_name2")]
-    once = docs.select(F.struct("*").alias("_doc"), *keys, text.alias("_text")).dropDuplicates(["_id2", "_t2", "_name2"])
+    once = docs.select(F.struct("*").alias("_doc"), *keys).dropDuplicates(["_id2", "_t2", "_name2"])
     same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_t") == F.col("_t2")) & F.col("_name").eqNullSafe(F.col("_name2"))
+    # A text is moved once, inside its row.
+    joined = once.join(parts.hint("merge"), same).withColumn("_text", F.coalesce(F.col("_doc").getField(text_col), F.lit("")))
     tokens = F.regexp_extract_all("_text", F.lit(f"{WORD}(?:{SPACE})?"), F.lit(0))
-    joined = once.join(parts.hint("merge"), same).withColumn("_tokens", F.when(~F.col("_all"), tokens))
+    joined = joined.withColumn("_tokens", F.when(~F.col("_all"), tokens))
     taken = F.transform("_parts", lambda p: F.array_join(F.slice("_tokens", p["first"] + 1, p["words"]), ""))
     joined = joined.withColumn("_taken", F.when(F.col("_all"), F.col("_text")).otherwise(F.array_join(taken, "")))
     new = {text_col: F.col("_taken")}
