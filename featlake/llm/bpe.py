@@ -26,7 +26,7 @@ from featlake.llm.common import kept_by_worker, whole_text
 from featlake.llm.words import Words, mixed, same_pieces
 
 #: Bytes of text worked on at once in a task, and distinct pieces remembered.
-AT_ONCE, REMEMBERED = 1 << 20, 600_000
+AT_ONCE, REMEMBERED = 1 << 20, 300_000
 #: Pieces that are given to the tokenizer at once.
 TOGETHER = 512
 # Before a blank or line feed that a visible character follows the pattern always splits: what
@@ -216,7 +216,10 @@ class TextEncoder:
 
 
 def in_parts(batches: Iterable[pa.RecordBatch], text: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each part have about ``most`` bytes; no text is cut."""
+    """The batches cut so that the texts of each part have about ``most`` bytes; no text is cut.
+
+    At the end the worker gives back the memory of its batches, since it stays for later tasks.
+    """
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes, dtype=np.int64) // most
@@ -224,6 +227,7 @@ def in_parts(batches: Iterable[pa.RecordBatch], text: int, most: int = AT_ONCE)
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def character_offsets(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
