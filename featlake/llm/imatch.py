@@ -92,71 +92,94 @@ def _packed(subset: Column, term: Column) -> Column:
     return F.shiftleft(subset.cast("long"), 56) + F.shiftrightunsigned(term, 8)
 
 
-def beyond_band(
-    rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame, counts: DataFrame, n: int
-) -> DataFrame:
-    """``whole, more``: what sets with few terms of the band are drawn from besides, a list of numbers."""
-    split = _versions(rows, texts, keys, F.lit(None))
-    listed = split.select(*keys, "v", "whole", F.explode_outer("terms").alias("t")).withColumn("term", F.xxhash64("t"))
-    banded = listed.join(words, "term", "left").groupBy(*keys, "v", "whole").agg(F.count("subsets").alias("band"))
-    few = bounded_broadcast(written(banded.where(F.col("band") < ENOUGH).select("whole").distinct(), "few-terms"))
-    # Each set once; frequent terms, which are a bounded number, by broadcast, so no key of the join is hot.
-    pairs = split.join(few, "whole", "left_semi").select("whole", F.explode("terms").alias("t"))
-    pairs = written(pairs.select("whole", F.xxhash64("t").alias("term")).distinct(), "terms-of-few")
-    often = bounded_broadcast(written(counts.where(F.col("df") > n * LOW), "often"))
-    known = pairs.join(often, "term")
-    rare = pairs.join(often, "term", "left_anti").join(counts.where(F.col("df") <= n * LOW), "term", "left")
-    nearest = Window.partitionBy("whole").orderBy("far", "term")
-    near = known.unionByName(rare).select("whole", "term", _far(n).alias("far")).withColumn("nth", F.row_number().over(nearest))
-    chosen = near.where((F.col("nth") <= FILL) & (F.col("far") > 0)).select("whole", "term", F.explode(_subsets(F.col("term"))).alias("subset"))
-    return chosen.groupBy("whole").agg(F.collect_list(_packed(F.col("subset"), F.col("term"))).alias("more"))
-
+def beyond_band(few: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """``whole, print`` of sets with few terms of the band, which are drawn from other terms besides.
 
-def fingerprints(
-    rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame, carry: tuple[str, ...] = (),
-    beyond: DataFrame | None = None,
-) -> DataFrame:
-    """``keys``, ``carry`` and a fingerprint per text column: ``texts`` maps names of fingerprints to columns.
-
-    ``keys`` identify a row, and columns in ``carry`` come along, so the texts are read once. If ``rows`` are partitioned by some of them, nothing is shuffled. A
-    fingerprint is the hash of all sorted terms in 16 digits, a colon, and for each subset four
-    digits, or four dots where the text has no term of the subset. Null counts as empty. ``beyond``
-    has further terms of some sets, see ``beyond_band``.
+    ``few``: ``whole, terms, l`` of each set once, see ``term_lists``. Terms beyond the upper end of
+    the band are a bounded number and meet each set as one list, so the members of a large group of
+    near copies do not list the terms that they share; only rarer terms, and the few of the band, do.
+    """
+    upper = counts.where(F.col("df") > n * HIGH).select(F.struct(_far(n).alias("far"), "term").alias("x"))
+    upper = upper.agg(F.array_sort(F.collect_list("x")).alias("upper"))
+    sets = few.crossJoin(F.broadcast(upper)).withColumns({"_far": F.col("upper.far"), "_term": F.col("upper.term")})
+    shared = F.slice(F.array_intersect("_term", "terms"), 1, FILL)
+    shared = F.transform(shared, lambda t: F.struct(F.element_at("_far", F.array_position("_term", t).cast("int")).alias("far"), t.alias("term")))
+    sets = written(sets.select("whole", "l", shared.alias("shared"), F.array_except("terms", "_term").alias("own")), "few-terms")
+    # Terms from the band on, which are a bounded number, by broadcast, so no key of the join is hot.
+    pairs = sets.select("whole", F.explode("own").alias("term"))
+    often = bounded_broadcast(written(counts.where(F.col("df").between(n * LOW, n * HIGH)), "often"))
+    rare = pairs.join(often, "term", "left_anti").join(counts.where(F.col("df") < n * LOW), "term", "left")
+    near = pairs.join(often, "term").unionByName(rare).groupBy("whole").agg(F.collect_list(F.struct(_far(n).alias("far"), "term")).alias("near"))
+    none = F.array().cast("array<struct<far: double, term: bigint>>")
+    nearest = F.slice(F.array_sort(F.concat("shared", F.coalesce("near", none))), 1, FILL)
+    chosen = F.filter(nearest, lambda x: x["far"] > 0)
+    more = F.flatten(F.transform(chosen, lambda x: F.transform(_subsets(x["term"]), lambda s: _packed(s, x["term"]))))
+    drawn = sets.join(near, "whole", "left").select("whole", F.concat("l", more).alias("l"))
+    return drawn.select("whole", _print(F.col("whole"), F.col("l")).alias("print"))
+
+
+def term_lists(rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each text column of each row: ``keys, v, facts, whole, terms, l``.
+
+    ``terms`` are all terms as hashes, ``l`` the numbers of the lexicon's terms in their subsets,
+    ``facts`` the columns in ``carry``, with the first text column only. If ``rows`` are partitioned
+    by some of ``keys``, nothing is shuffled.
     """
-    names = list(texts)
     split = _versions(rows, texts, keys, F.struct(F.lit(0), *carry))
-    # The empty term stands for the row itself, so texts without terms keep a row, too.
-    listed = split.select(
-        *keys, "facts", "v", "whole", F.explode(F.array_append("terms", "")).alias("t")
-    ).select(
-        *keys, "v", "whole", F.xxhash64("t").alias("term"), (F.col("t") == "").alias("own"),
-        F.when(F.col("t") == "", F.col("facts")).alias("facts"),
+    # The empty term stands for the row itself, so texts without terms keep a row, too. Terms are
+    # hashed before they are listed: what follows is compiled and copies no list for each term.
+    empty = F.xxhash64(F.lit(""))
+    own = F.col("term") == empty
+    hashed = split.withColumn("terms", F.transform("terms", lambda t: F.xxhash64(t)))
+    listed = hashed.select(*keys, "facts", "v", "whole", "terms", F.explode(F.array_append("terms", empty)).alias("term")).select(
+        *keys, "v", "whole", "term", own.alias("own"), F.when(own & (F.col("v") == 0), F.col("facts")).alias("facts"),
+        F.when(own, F.col("terms")).alias("terms"),
     )
     drawn = listed.join(words, "term", "left").where(F.col("own") | F.col("subsets").isNotNull())
-    spread = drawn.select(*keys, "v", "whole", "facts", "term", F.explode_outer("subsets").alias("subset"))
+    spread = drawn.select(*keys, "v", "whole", "facts", "terms", "term", F.explode_outer("subsets").alias("subset"))
     packed = _packed(F.col("subset"), F.col("term"))
-    lists = spread.select(*keys, "v", "whole", "facts", packed.alias("x")).groupBy(*keys, "v", "whole").agg(
-        F.first("facts", ignorenulls=True).alias("facts"), F.collect_list("x").alias("l")
+    return spread.select(*keys, "v", "whole", "facts", "terms", packed.alias("x")).groupBy(*keys, "v", "whole").agg(
+        F.first("facts", ignorenulls=True).alias("facts"), F.first("terms", ignorenulls=True).alias("terms"), F.collect_list("x").alias("l")
     )
-    if beyond is not None:
-        lists = lists.join(beyond, "whole", "left").withColumn("l", F.concat("l", F.coalesce("more", F.array().cast("array<long>"))))
-    lists = lists.withColumn("l", F.transform(F.array_sort("l"), lambda x: F.concat(F.lpad(F.hex(x), 16, "0"), F.lit(";"))))
+
+
+def _print(whole: Column, numbers: Column) -> Column:
+    """The fingerprint of a set of terms, from its hash and its list of numbers."""
+    spelled = F.transform(F.array_sort(numbers), lambda x: F.concat(F.lpad(F.hex(x), 16, "0"), F.lit(";")))
     # Sorted, the terms of a subset follow each other: each such run is hashed.
-    joined = F.array_join("l", "")
-    runs = F.regexp_extract_all(joined, F.lit(r"([0-9A-F]{2})[0-9A-F]+;(?:\1[0-9A-F]+;)*+"), F.lit(0))
+    runs = F.regexp_extract_all(F.array_join(spelled, ""), F.lit(r"([0-9A-F]{2})[0-9A-F]+;(?:\1[0-9A-F]+;)*+"), F.lit(0))
     hashed = F.transform(runs, lambda r: F.concat(F.left(r, F.lit(2)), F.left(F.md5(r.cast("binary")), F.lit(4))))
     # Every subset once more, empty; of two entries of a subset the one with digits comes second.
     empty = F.array(*[F.lit(f"{s:02X}{_NONE}") for s in range(SLOTS)])
     full = F.array_sort(F.concat(hashed, empty))
     text = F.regexp_replace(F.array_join(full, ";"), r"([0-9A-F]{2})\.\.\.\.;\1(?=[0-9a-f]{4})", "$1")
     digits = F.regexp_replace(text, r"(?:^|;)[0-9A-F]{2}", "")
-    prints = lists.select(*keys, "v", "facts", F.concat(F.lower(F.lpad(F.hex("whole"), 16, "0")), F.lit(":"), digits).alias("p"))
+    return F.concat(F.lower(F.lpad(F.hex(whole), 16, "0")), F.lit(":"), digits)
+
+
+def _side_by_side(prints: DataFrame, names: list[str], keys: list[str], carry: tuple[str, ...]) -> DataFrame:
+    """``keys``, ``carry`` and the fingerprint of each text column, from ``keys, v, facts, print``."""
     one = prints.groupBy(*keys).agg(
-        F.first("facts").alias("facts"), *[F.max(F.when(F.col("v") == i, F.col("p"))).alias(n) for i, n in enumerate(names)]
+        F.first("facts", ignorenulls=True).alias("facts"),
+        *[F.max(F.when(F.col("v") == i, F.col("print"))).alias(n) for i, n in enumerate(names)],
     )
     return one.select(*keys, *[F.col("facts")[c].alias(c) for c in carry], *names)
 
 
+def fingerprints(
+    rows: DataFrame, texts: dict[str, str], keys: list[str], words: DataFrame, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``keys``, ``carry`` and a fingerprint per text column: ``texts`` maps names of fingerprints to columns.
+
+    ``keys`` identify a row, and columns in ``carry`` come along, so the texts are read once. If
+    ``rows`` are partitioned by some of them, nothing is shuffled. A fingerprint is the hash of all
+    sorted terms in 16 digits, a colon, and for each subset four digits, or four dots where the text
+    has no term of the subset. Null counts as empty.
+    """
+    prints = term_lists(rows, texts, keys, words, carry).withColumn("print", _print(F.col("whole"), F.col("l")))
+    return _side_by_side(prints, list(texts), keys, carry)
+
+
 def with_likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
     """Add ``name``: the likeness of two fingerprints, from 0 to 1.
 
@@ -236,8 +259,20 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumns({"n_chars": F.length("_text").cast("long"), "edited_sha256": F.sha2("_edited", 256)})
     texts = {"fingerprint": "_text", "edited_fingerprint": "_edited"}
     keys = ["_bucket", "_nth"]
-    beyond = bounded_broadcast(written(beyond_band(rows, texts, keys, words, counts, n), "beyond-band"))
-    prints = fingerprints(rows, texts, keys, words, ("_guest", "_id", "n_chars", "edited_sha256"), beyond)
+    carry = ("_guest", "_id", "n_chars", "edited_sha256")
+    lists = term_lists(rows, texts, keys, words, carry)
+    # Each term of the band is in one subset of the first rate.
+    few = F.size(F.filter("l", lambda x: F.shiftrightunsigned(x, 56) < SUBSETS)) < ENOUGH
+    # Texts are taken apart once: fingerprints are stored, or what those of few terms are made from.
+    lists = written(lists.select(
+        *keys, "v", "facts", "whole", F.when(~few, _print(F.col("whole"), F.col("l"))).alias("done"),
+        F.when(few, F.col("terms")).alias("terms"), F.when(few, F.col("l")).alias("l"),
+    ), "term-lists")
+    beyond = lists.where("done IS NULL").select("whole", "terms", "l").dropDuplicates(["whole"])
+    beyond = bounded_broadcast(written(beyond_band(beyond, counts, n), "beyond-band"))
+    prints = lists.select(*keys, "v", "facts", "whole", "done").join(beyond, "whole", "left")
+    prints = prints.select(*keys, "v", "facts", F.coalesce("done", "print").alias("print")).repartition("_bucket")
+    prints = _side_by_side(prints, list(texts), keys, carry)
     order = Window.partitionBy("_bucket").orderBy("_nth")
     both = prints.withColumn("_next_print", F.lead("fingerprint").over(order)).where(~F.col("_guest"))
     both = both.withColumnRenamed("_id", id_col)

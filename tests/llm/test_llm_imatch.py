@@ -119,6 +119,30 @@ def test_large_groups_of_copies_keep_their_fingerprints(spark):
     assert [df[same[0]], df[same[1]], n] == [2, 700, 700 + 2 + 2 + len(set(frozenset(t.split()) for t in texts[1403:]))]
 
 
+def test_near_copies_do_not_list_shared_terms(spark, monkeypatch):
+    """No stored table has a row for each term of each member, and members list only their own terms."""
+    sizes, own = {}, []
+
+    def watched(df, purpose, *args):
+        out = store(df, purpose, *args)
+        sizes[purpose] = out.count()
+        if "own" in out.columns:
+            own.append(out.agg(F.max(F.size("own"))).first()[0])
+        return out
+
+    store = imatch.written
+    monkeypatch.setattr(imatch, "written", watched)
+    shared = " ".join(f"near{i}" for i in range(60))
+    texts = [f"{shared} only{i}" for i in range(400)] + [" ".join(f"w{(7 * i + j * j) % 900}" for j in range(20)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [r.fingerprint for r in imatch.fingerprint_edits(docs).orderBy("doc_id").collect()]
+    assert max(sizes.values()) <= 3 * len(texts), sizes
+    assert own and max(own) < 20, own
+    drawn = [[p[i : i + 4] for i in range(17, len(p), 4)] for p in prints[:400]]
+    assert all(sum(d != "...." for d in some) >= imatch.ENOUGH for some in drawn)
+    assert all(sum(x == y != "...." for x, y in zip(drawn[0], some)) >= imatch.ENOUGH for some in drawn)
+
+
 def test_empty_table_and_plan(empty, spark):
     assert imatch.fingerprint_edits(empty).count() == 0
     df = imatch.fingerprint_edits(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
