@@ -13,7 +13,9 @@ sets that remain are verified on their whole sets.
 
 Before that, each node is compared with the first of its block. Groups of near copies become
 components by this, so the traversal finds little left to do in them, and nothing lists all pairs
-of a group. Large blocks are dealt out in parts, and pairs of parts, to further tasks.
+of a group. A group whose members are not similar to the first still has very many pairs; so each
+member is verified with its likeliest few before the traversal is repeated, for all pairs that are
+then between components. Large blocks are dealt out in parts, and pairs of parts, to further tasks.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ BITS, LEAF, FAN = 2048, 32, 8
 CELLS = 1 << 22
 #: Members of a block that one task takes; a larger block is dealt out in parts.
 PART = 4096
-_HELD = 1 << 20  # tokens of a lot
+#: The likeliest pairs of a member of a block that are verified before all that are left.
+FEW = 4
+_HELD = 1 << 20  # tokens of a lot, or pairs of a block
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -326,6 +330,14 @@ class Tree:
         good[good] = most >= least_overlap(low[a], low[b], percent)
         return good
 
+    def likeness(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The share of common bits of members, from 0 to 1."""
+        bits, out = self.levels[0][0], np.empty(len(a))
+        for i in range(0, len(a), 4096):
+            x, y = bits[a[i : i + 4096]], bits[b[i : i + 4096]]
+            out[i : i + 4096] = ones(x & y) / np.maximum(ones(x | y), 1)
+        return out
+
     def pairs(self, percent: int, across: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Members that may be similar and are not connected; only pairs over ``across`` if that is given."""
         top = len(self.levels) - 1
@@ -349,19 +361,46 @@ class Tree:
                 todo.append((level - 1, x[keep], y[keep]))
 
 
-def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
+def likeliest(a: np.ndarray, b: np.ndarray, like: np.ndarray, few: int) -> np.ndarray:
+    """Which pairs are among the ``few`` likeliest of one of their members."""
+    end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, -like[pair], end))
+    cuts = _runs(end[order])
+    nth = np.arange(len(order)) - np.repeat(cuts[:-1], np.diff(cuts))
+    keep = np.zeros(len(a), bool)
+    keep[pair[order[nth < few]]] = True
+    return keep
+
+
+def tree_pairs(members: DataFrame, percent: int, few: int = 0) -> DataFrame:
     """Pairs of a block's members that may be similar and are in different components: ``a, b``.
 
     ``members``: ``head, i, j, side, node, n, comp, bits``, where a block is ``head, i, j``. Blocks
-    of two parts (``i < j``) look for pairs across their sides only.
+    of two parts (``i < j``) look for pairs across their sides only. With ``few`` only pairs that are
+    among so many likeliest of a member in a block; so every member that has a pair is in one.
     """
 
     def block(node, n, comp, bits, side) -> np.ndarray:
         split = int((side == 0).sum()) if len(side) and side.max() != side.min() else 0
         order = np.lexsort((n, comp, side))
         tree = Tree.leaves(n[order], comp[order], bits[order]).grown()
-        found = [np.stack([node[order][a], node[order][b]], axis=1) for a, b in tree.pairs(percent, split)]
-        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        a = b = np.empty(0, np.int64)
+        like, held, many = np.empty(0), [], 0
+
+        def reduced():
+            x, y = (np.concatenate([v, *(h[k] for h in held)]) for k, v in enumerate((a, b)))
+            z = np.concatenate([like, *(tree.likeness(*h) if few else np.zeros(len(h[0])) for h in held)])
+            keep = likeliest(x, y, z, few) if few else slice(None)
+            return x[keep], y[keep], z[keep]
+
+        for found in tree.pairs(percent, split):
+            held.append(found)
+            many += len(found[0])
+            if few and many > _HELD:
+                a, b, like = reduced()
+                held, many = [], 0
+        a, b, _ = reduced()
+        return np.stack([node[order][a], node[order][b]], axis=1)
 
     def work(batches: Iterable[pa.RecordBatch]):
         rest = None
@@ -397,7 +436,11 @@ def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             use = one_part[a] | (side[a] != side[b])
             a, b = a[use], b[use]
             good = leaf.open_pairs(0, a, b, percent)
-            found.append(np.stack([node[a[good]], node[b[good]]], axis=1))
+            a, b = a[good], b[good]
+            if few:
+                keep = likeliest(a, b, leaf.likeness(a, b), few)
+                a, b = a[keep], b[keep]
+            found.append(np.stack([node[a], node[b]], axis=1))
         for k in np.flatnonzero(sizes > LEAF).tolist():
             s = slice(int(cuts[k]), int(cuts[k + 1]))
             found.append(block(node[s], n[s], comp[s], bits[s], side[s]))
@@ -431,10 +474,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows with their set's key, the distinct sets, and links that connect what is similar.
+    """All rows with their set's key, the distinct sets, and the components of what is similar.
 
-    Returns ``_id, n, f1, f2`` per row; ``node, n, f1, f2, rep`` per set; and links ``a, b`` between
-    nodes. The links are similar pairs, and enough of them: similar sets are always connected.
+    Returns ``_id, n, f1, f2`` per row; ``node, n, f1, f2, rep`` per set; and ``node, label`` for sets
+    that are similar to another. Not all similar pairs are listed, but they are always connected.
     """
     rows = docs.select(whole_text(text_col).alias("_text"), F.col(id_col).alias("_id"))
     spark = docs.sparkSession
@@ -482,22 +525,33 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
     # Blocks with the same first member are one: what shares a token is there together, and once.
     # Those of one component are done; in the others, trees look for links between components.
     members = stars.select(F.col("a").alias("head"), F.col("b").alias("node")).union(stars.select("a", "a").distinct())
-    comp = members.join(labels, "node", "left").select("head", "node", F.coalesce("label", "node").alias("comp"))
-    comp = written(comp, "members")
-    blocks = comp.groupBy("head").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    open_blocks = blocks.where("low < high AND size > 2").select("head", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
-    # The first member has met all others already.
-    open_members = comp.where("head <> node").join(open_blocks, "head").join(shape.drop("wide"), "node")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = open_members.withColumn("p", part).withColumn("q", other).select(
-        "head", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"),
-        "node", "n", "comp", "bits",
-    )
-    again = written(close(tree_pairs(dealt, percent)), "pairs")
-    ends = again.select(F.col("a").alias("node")).union(again.select("b")).distinct()
-    second = verified(again, sets_of(rows, nodes, ends), percent)
-    return surveyed.where("cell IS NULL").select("_id", "n", "f1", "f2"), nodes, first.unionByName(second)
+
+    def still_open(labels: DataFrame) -> DataFrame:
+        """The members of blocks of several components, dealt out in parts and pairs of parts."""
+        comp = members.join(labels, "node", "left").select("head", "node", F.coalesce("label", "node").alias("comp"))
+        comp = written(comp, "members")
+        blocks = comp.groupBy("head").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+        open_blocks = blocks.where("low < high AND size > 2").select("head", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+        # The first member has met all others already.
+        open_members = comp.where("head <> node").join(open_blocks, "head").join(shape.drop("wide"), "node")
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        return open_members.withColumn("p", part).withColumn("q", other).select(
+            "head", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"),
+            "node", "n", "comp", "bits",
+        )
+
+    tried = written(tree_pairs(still_open(labels), percent, FEW), "tried")
+    # These are all nodes of pairs that trees find, now or later: components only grow.
+    ends = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
+    sets = sets_of(rows, nodes, ends)
+    links = first
+    for pairs in (lambda: tried, lambda: tree_pairs(still_open(labels), percent).join(tried, ["a", "b"], "left_anti")):
+        found = written(verified(close(pairs()), sets, percent), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = connected(links)
+    return surveyed.where("cell IS NULL").select("_id", "n", "f1", "f2"), nodes, labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -509,8 +563,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that is null or has no word has an empty set and is its own component. Rows that repeat an id
     are rows of their own. A null id takes the smallest id of its component, null if there is none.
     """
-    rows, nodes, links = similar_sets(docs, id_col, text_col, percent)
-    labels = connected(links)
+    rows, nodes, labels = similar_sets(docs, id_col, text_col, percent)
     reps = nodes.select("node", "n", "f1", "f2", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_set = written(reps.join(smallest, "label").select("n", "f1", "f2", "component_id"), "components")

@@ -86,6 +86,26 @@ def test_large_blocks_in_parts_and_deep_trees(spark, monkeypatch):
     check(corpus(spark, GROUPS, seed=3), percent=60)
 
 
+def test_pairs_to_verify_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    # Two of three members differ from one another by more than the threshold, and so do firsts of blocks from most.
+    rng, texts = random.Random(4), []
+    base = [f"w{i}" for i in range(200)]
+    for k in range(360):
+        own = list(base)
+        for at in rng.sample(range(0, 200, 10), (2, 4, 4)[k % 3]):
+            own[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    counts, verified = [], ngram_join.verified
+
+    def counted(pairs, sets, percent):
+        counts.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sum(counts) < 20 * len(texts)
+
+
 def test_given_rows(spark):
     check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
 
