@@ -64,15 +64,19 @@ def number_pages(df: DataFrame, key: str, size: int, slices: int | None = None)
         # Text keys have no percentiles: fix a range partitioning in shared storage instead.
         ranged = df.repartitionByRange(slices, key).withColumn("_slice", F.spark_partition_id())
         sliced = ranged.checkpoint()
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_rows"))
-    # One row per slice, so this window is over a bounded table.
-    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
     rank = F.row_number().over(Window.partitionBy("_slice").orderBy(key)) - 1
+    placed = sliced.withColumn("_rank", rank)
+    if slices < 2:
+        # Nothing is before a single slice; its number is a constant, which would make the join a cross join.
+        placed = placed.withColumn("_shift", F.lit(0))
+    else:
+        counts = sliced.groupBy("_slice").agg(F.count("*").alias("_rows"))
+        # One row per slice, so this window is over a bounded table.
+        before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        shifts = counts.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
+        placed = placed.join(shifts, "_slice")
     return (
-        sliced.withColumn("_rank", rank)
-        .join(shifts, "_slice")
-        .withColumn("position", (F.col("_rank") + F.col("_shift")).cast("bigint"))
+        placed.withColumn("position", (F.col("_rank") + F.col("_shift")).cast("bigint"))
         .withColumn("page_number", (F.floor(F.col("position") / size) + 1).cast("bigint"))
         .drop("_slice", "_rank", "_shift")
     )

@@ -58,6 +58,12 @@ def test_page_numbers_of_a_whole_table(spark, kind):
     assert [got[k] for k in ordered] == [(i, i // 40 + 1) for i in range(1500)]
 
 
+def test_page_numbers_of_a_single_slice_need_no_join(spark):
+    made = P.number_pages(spark.range(95).withColumnRenamed("id", "k"), "k", 20, slices=1)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.k, r.position, r.page_number) for r in made.orderBy("k").collect()] == [(i, i, i // 20 + 1) for i in range(95)]
+
+
 def test_keyset_pages_add_up(spark):
     df = spark.range(95).withColumnRenamed("id", "k")
     last, seen = None, []
