@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import kept_by_worker, whole_text
+from featlake.llm.common import giving_back, kept_by_worker, whole_text
 from featlake.llm.words import Words, mixed, same_pieces
 
 #: Bytes of text worked on at once in a task, and distinct pieces remembered.
@@ -240,9 +240,13 @@ def character_offsets(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray
     return leads[np.minimum(ends - lengths + 1, len(data))] - (lengths > 0), leads[ends]
 
 
+def _kept(tokenizer_file: str) -> tuple:
+    return "byte", tokenizer_file
+
+
 def _encoded(batches, tokenizer_file: str):
     """Per part of the batches, whose first column is text: the part, flat ids, ids per text, token table."""
-    encode = kept_by_worker(("byte", tokenizer_file), lambda: TextEncoder(tokenizer_file))
+    encode = kept_by_worker(_kept(tokenizer_file), lambda: TextEncoder(tokenizer_file))
     table = token_bytes(tokenizer_file)
     for part in in_parts(batches, 0):
         yield part, *encode(part.column(0)), table
@@ -271,7 +275,7 @@ def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", offsets
                 columns += [pa.ListArray.from_arrays(at, pa.array(np.concatenate(s).astype(np.int32))) for s in spans]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*part.schema.names[1:], *new])
 
-    return kept.mapInArrow(work, schema)
+    return kept.mapInArrow(giving_back(work, _kept(tokenizer_file)), schema)
 
 
 def decode(tokens: DataFrame, tokenizer_file: str, ids_col: str = "ids") -> DataFrame:
@@ -328,4 +332,4 @@ def round_trip(
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "i", "d", *["ids"] * with_ids])
 
     out = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return kept.mapInArrow(work, out + ", ids array<int>" * with_ids)
+    return kept.mapInArrow(giving_back(work, _kept(tokenizer_file)), out + ", ids array<int>" * with_ids)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +75,21 @@ def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def giving_back(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: tuple | None = None):
+    """``work`` for ``mapInArrow``, with the memory of the worker given back, since it stays for other tasks.
+
+    First what it kept for other operators goes, all but ``keep``; at the end what lies free in its allocators.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = vars(sys.modules.get("_featlake_worker", types.SimpleNamespace()))
+        for key in [k for k in store if isinstance(k, tuple) and k != keep]:
+            del store[key]
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featlake.llm.bpe import in_parts
-from featlake.llm.common import collected, crc32_of, whole_text
+from featlake.llm.common import collected, crc32_of, giving_back, whole_text
 
 #: The sample: so many labelled texts of a language, so many characters of each, so much in all.
 SAMPLE_TEXTS, SAMPLE_CHARACTERS, DICTIONARY_BYTES = 400, 1500, 160 * 1024
@@ -124,7 +124,7 @@ def identify(docs: DataFrame, dictionaries: Dictionaries, text_col: str = "text"
             columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*part.schema.names[1:], *names])
 
-    return kept.mapInArrow(work, ", ".join([*fields, new]))
+    return kept.mapInArrow(giving_back(work), ", ".join([*fields, new]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

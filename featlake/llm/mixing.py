@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.llm.common import SPACE, WORD, collected, whole_text, written
+from featlake.llm.common import SPACE, WORD, collected, giving_back, whole_text, written
 
 BLOCK, SHARDS, PARTS = 128, 64, 1024
 WEIGHTS = (3, 1, 2)
@@ -145,7 +145,7 @@ def slots(spark, plan: Plan, block: int = BLOCK, seed: int = 0) -> DataFrame:
             )
 
     return listed.select("shard", "source_no", "slot", "blocks").mapInArrow(
-        work, "shard int, source_no int, slot long, block long, round int"
+        giving_back(work), "shard int, source_no int, slot long, block long, round int"
     )
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlake.llm.bpe import in_parts
-from featlake.llm.common import bounded_broadcast, whole_text, written
+from featlake.llm.common import bounded_broadcast, giving_back, whole_text, written
 from featlake.llm.components import connected
 from featlake.llm.words import Words, mixed
 
@@ -165,7 +165,7 @@ def survey(rows: DataFrame) -> DataFrame:
         if held:
             yield from passed_on()
 
-    return rows.select("_text", "_id").mapInArrow(work, f"_id {id_type}, n long, f1 long, f2 long, cell int, hits long")
+    return rows.select("_text", "_id").mapInArrow(giving_back(work), f"_id {id_type}, n long, f1 long, f2 long, cell int, hits long")
 
 
 def frequency_classes(surveyed: DataFrame) -> np.ndarray:
@@ -203,7 +203,7 @@ def nodes_of(rows: DataFrame, classes, percent: int) -> DataFrame:
             batch = pa.RecordBatch.from_arrays(made, names=["_id", "n", "f1", "f2", "prefix", "bits", "wide"])
             yield batch.filter(pa.array(counts > 0))
 
-    made = rows.select("_text", "_id").mapInArrow(work, f"_id {id_type}, n long, f1 long, f2 long, prefix array<long>, bits binary, wide binary")
+    made = rows.select("_text", "_id").mapInArrow(giving_back(work), f"_id {id_type}, n long, f1 long, f2 long, prefix array<long>, bits binary, wide binary")
     one = made.groupBy("n", "f1", "f2").agg(
         F.min("_id").alias("rep"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"),
         F.any_value("wide").alias("wide"),
@@ -235,7 +235,7 @@ def sets_of(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
                 {"n": counts[which], "f1": f1[which], "f2": f2[which], "tokens": pa.array(data, pa.binary())}
             )
 
-    found = rows.select("_text", "_id").mapInArrow(work, "n long, f1 long, f2 long, tokens binary")
+    found = rows.select("_text", "_id").mapInArrow(giving_back(work), "n long, f1 long, f2 long, tokens binary")
     one = found.groupBy("n", "f1", "f2").agg(F.any_value("tokens").alias("tokens"))
     return written(one.join(chosen, ["n", "f1", "f2"]).select("node", "tokens"), "sets")
 
@@ -260,7 +260,7 @@ def members_of(nodes: DataFrame, classes, parted_only: bool = False) -> DataFram
             use = parts > 1 if parted_only else slice(None)
             yield pa.RecordBatch.from_pydict({"token": token[use], "part": part[use], "node": node[use]})
 
-    return nodes.select("node", "prefix").mapInArrow(work, "token long, part int, node long")
+    return nodes.select("node", "prefix").mapInArrow(giving_back(work), "token long, part int, node long")
 
 
 def first_of_blocks(members: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def first_of_blocks(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"token": t[~new], "a": heads[~new], "b": node[~new]})
 
     ordered = members.repartition("token", "part").sortWithinPartitions("token", "part", "node")
-    return ordered.mapInArrow(work, "token long, a long, b long")
+    return ordered.mapInArrow(giving_back(work), "token long, a long, b long")
 
 
 class Tree:
@@ -449,7 +449,7 @@ def tree_pairs(members: DataFrame, percent: int, few: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     ordered = members.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "side", "node")
-    return ordered.mapInArrow(work, "a long, b long").distinct()
+    return ordered.mapInArrow(giving_back(work), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -467,7 +467,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good[i] = 100 * common >= percent * (len(p) + len(q) - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(giving_back(work), "a long, b long")
 
 
 # --- The join -------------------------------------------------------------------------------------
@@ -515,7 +515,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str, percent: int = PER
                         good[i] = wide_overlap(x, y, int(n1[i]), int(n2[i])) >= least_overlap(int(n1[i]), int(n2[i]), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
-        return pairs.join(x, "a").join(y, "b").mapInArrow(work, "a long, b long")
+        return pairs.join(x, "a").join(y, "b").mapInArrow(giving_back(work), "a long, b long")
 
     near = written(close(stars), "pairs")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
