@@ -8,15 +8,16 @@ before it; the distribution of a state is smoothed with that of the next shorter
 uniform distribution.
 
 Tasks count grams, and the counts are summed by a shuffle. Contexts that share their last ``SHORT +
-1`` symbols are in one place, so the tree grows there level by level and never leaves the tasks;
+1`` symbols are in one bucket, so the tree grows there level by level and never leaves the tasks;
 its size has no bound but the corpus. A gram's probability is ``a + b * p``, where ``p`` is that of
-the levels up to ``SHORT``, the only ones that are broadcast. Texts meet the scores of their grams
-by a join, except for grams that are frequent in the corpus.
+the levels up to ``SHORT``, the only ones that are broadcast. Grams that are frequent in the corpus
+are scored from a broadcast; all others of a text go to the tree's buckets, which return sums by
+text. Grams are stored and shuffled in blocks: sorted, as differences, compressed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featlake.llm.bpe import in_parts
-from featlake.llm.common import crc32_of, whole_text, written
-from featlake.llm.words import Words
+from featlake.llm.common import crc32_of, giving_back, whole_text, written
+from featlake.llm.words import Words, mixed
 
 #: The longest context, so that a gram fits in one number, and the longest one that is broadcast.
 DEPTH, SHORT = 7, 2
@@ -36,8 +37,8 @@ DEPTH, SHORT = 7, 2
 #: occurrences), and the share of the corpus from which a word is broadcast, and a tenth of it for a gram: so many of each at most.
 RAREST, DIVERGENCE, FREQUENT = 0.0, 5.0, 1e-6
 BLANK, END, SYMBOLS = 32, 10, 257
-#: Distinct counts that a task holds before it passes them on, and grams that it takes at once.
-HELD, TAKEN = 6_000_000, 1_000_000
+#: Distinct counts or pairs that a task holds before it passes them on, and symbols of the corpus for each bucket of the tree.
+HELD, TAKEN = 6_000_000, 2_000_000
 _END_WORD = -1  # the key of the end in word counts; a word whose hash that is counts as an end
 
 
@@ -92,31 +93,20 @@ def _key(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
-def _counted(rows: DataFrame, lists: Callable[[Words], dict[int, np.ndarray]], others: bool) -> DataFrame:
-    """Sums by task of the lists of keys that ``lists`` makes of words: ``kind, key, n``.
-
-    Only rows with ``_train`` are counted; if ``others``, keys of the other rows are listed with 0.
-    """
+def _counted(rows: DataFrame, lists: Callable[[Words], dict[int, np.ndarray]], passed_on: Callable, schema: str) -> DataFrame:
+    """Sums by task of the lists of keys that ``lists`` makes of the words of training rows, as ``passed_on`` gives them."""
 
     def work(batches: Iterable[pa.RecordBatch]):
-        counters: dict[tuple[int, bool], Counter] = {}
-
-        def passed_on():
-            for (kind, train), c in counters.items():
-                n = c.counts if train else np.zeros(len(c.keys), np.int64)
-                yield pa.RecordBatch.from_pydict({"kind": np.full(len(n), kind, np.int32), "key": c.keys, "n": n})
-            counters.clear()
-
+        counters: dict[int, Counter] = {}
         for part in in_parts(batches, 0):
-            for train in (True, False)[: 1 + others]:
-                own = part.column(1) if train else pc.invert(part.column(1))
-                for kind, keys in lists(Words(part.column(0).filter(own))).items():
-                    counters.setdefault((kind, train), Counter()).add(keys)
+            for kind, keys in lists(Words(part.column(0).filter(part.column(1)))).items():
+                counters.setdefault(kind, Counter()).add(keys)
             if sum(len(c.keys) for c in counters.values()) > HELD:
-                yield from passed_on()
-        yield from passed_on()
+                yield from passed_on(counters)
+                counters.clear()
+        yield from passed_on(counters)
 
-    return rows.select("_text", "_train").mapInArrow(work, "kind int, key long, n long")
+    return rows.select("_text", "_train").mapInArrow(giving_back(work), schema)
 
 
 def count_corpus(rows: DataFrame) -> DataFrame:
@@ -126,7 +116,11 @@ def count_corpus(rows: DataFrame) -> DataFrame:
         low = grams(*symbol_stream(words))[0] & _mask(SHORT + 1)
         return {0: low, 1: np.concatenate([_key(words.hashes()), np.full(words.n, _END_WORD)])}
 
-    return _counted(rows, lists, False).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def passed_on(counters: dict[int, Counter]):
+        for kind, c in counters.items():
+            yield pa.RecordBatch.from_pydict({"kind": np.full(len(c.keys), kind, np.int32), "key": c.keys, "n": c.counts})
+
+    return _counted(rows, lists, passed_on, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _mask(k: int) -> np.uint64:
@@ -220,68 +214,142 @@ def through(levels: list[Level], first: int, codes: np.ndarray) -> tuple[np.ndar
     return a, b
 
 
-def gram_scores(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
-    """``key, n, score`` of every gram: the log10 probability of its last symbol; and the sum of all counts."""
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, the first one sorted, in compressed bytes: differences, by places of value."""
+    numbers = np.stack([np.diff(columns[0].astype("<u8"), prepend=np.uint64(0)), *[c.astype("<u8") for c in columns[1:]]])
+    places = np.ascontiguousarray(numbers.view(np.uint8).reshape(*numbers.shape, 8).transpose(0, 2, 1))
+    return numbers.shape[1].to_bytes(8, "little") + pa.compress(places.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(block: bytes, columns: int) -> np.ndarray:
+    n = int.from_bytes(block[:8], "little")
+    raw = pa.decompress(block[8:], decompressed_size=8 * columns * n, codec="zstd", asbytes=True)
+    out = np.array(np.frombuffer(raw, np.uint8).reshape(columns, 8, n).transpose(0, 2, 1), order="C").view("<u8")[..., 0]
+    out[0] = np.cumsum(out[0])
+    return out
+
+
+def _blocks(buckets: int, codes: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Grams with what belongs to each, in a block for each bucket that has some."""
+    bucket = mixed((codes >> np.uint64(8)) & _mask(SHORT + 1)) % np.uint64(buckets)
+    order = np.lexsort((codes, bucket))
+    bucket, columns = bucket[order], [c[order] for c in (codes, *others)]
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+    ends = np.append(heads[1:], len(bucket))
+    return bucket[heads].astype(np.int32), [packed(*[c[a:b] for c in columns]) for a, b in zip(heads, ends)]
+
+
+def _grown(keys: np.ndarray, n: np.ndarray, shorter: Level, least: float) -> list[Level]:
+    """The long levels of a bucket."""
+    levels = levels_of(keys, n, SHORT + 1, DEPTH)
+    retain(levels, SHORT + 1, shorter, least)
+    return levels
+
+
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """Blocks in the order of their buckets, those of each bucket together; the tree's are its only ones of kind 0."""
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)))
+
+
+@dataclass
+class Tree:
+    """Counts of grams as ``bucket, block, below, often, a, b``, short levels and what they are made with."""
+
+    table: DataFrame
+    buckets: int
+    short: list[Level]
+    least: float
+
+
+def grow(rows: DataFrame, counts: DataFrame) -> Tree:
+    """The tree; ``often`` are a bucket's grams that are frequent in the corpus, ``below`` the ends of its retained contexts."""
     spark = counts.sparkSession
     low = counts.where("kind = 0").select(F.col("key").alias("gram"), "n").toArrow()
     short = levels_of(low.column("gram").to_numpy().astype(np.uint64), low.column("n").to_numpy(), 0, SHORT)
     size = int(short[0].counts.sum())
-    least = RAREST * size
+    least, frequent, buckets = RAREST * size, FREQUENT / 10 * size, 1 + size // TAKEN
     retain(short, 0, None, least)
     shared = spark.sparkContext.broadcast(short[SHORT])
-    held = TAKEN
 
-    def grow(batches: Iterable[pa.RecordBatch]):
-        def done(rows: list[pa.RecordBatch]):
-            key, n = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in (1, 2))
-            order = np.argsort(key)
-            key, n = key[order], n[order]
+    def passed_on(counters: dict[int, Counter]):
+        for c in counters.values():
+            bucket, block = _blocks(buckets, c.keys.view(np.uint64), c.counts)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.binary())})
+
+    def work(batches: Iterable[pa.RecordBatch]):
+        def done(bucket: int, blocks: list[bytes]):
+            key, n = np.concatenate([unpacked(b, 2) for b in blocks], axis=1)
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order].astype(np.int64)
             heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, n = key[heads], np.add.reduceat(n, heads)
-            codes, train = key.view(np.uint64), n > 0
-            levels = levels_of(codes[train], n[train], SHORT + 1, DEPTH)
-            retain(levels, SHORT + 1, shared.value, least)
-            a, b = through(levels, SHORT + 1, codes)
-            return pa.RecordBatch.from_pydict({"key": key, "n": n, "a": a, "b": b})
-
-        rows, many = [], 0
-        for batch in batches:
-            rows.append(batch)
-            many += batch.num_rows
-            if many < held:
-                continue
-            # The last place may go on in the next batch; it stays.
-            place = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(place, place[-1]))
-            before = [r for r in rows[:-1] if r.num_rows]
-            if cut:
-                yield done([*before, batch.slice(0, cut)])
-                rows, many = [batch.slice(cut)], batch.num_rows - cut
-            elif before and before[-1].column(0)[-1].as_py() != place[-1]:
-                yield done(before)
-                rows, many = [batch], batch.num_rows
-        if rows:
-            yield done(rows)
-
-    place = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(int(_mask(SHORT + 1)))).alias("place")
-    listed = _counted(rows, lambda words: {0: grams(*symbol_stream(words))[0]}, True).select(place, "key", "n")
-    placed = listed.repartition("place").sortWithinPartitions("place")
-    grown = written(placed.mapInArrow(grow, "key long, n long, a double, b double"), "suffix-tree")
+            a, b = through(_grown(key, n, shared.value, least), SHORT + 1, key)
+            often = n >= frequent
+            below = np.unique((key[b < 1] >> np.uint64(8)) & _mask(SHORT)).view(np.int64)
+            lists = [below, key[often].view(np.int64), a[often], b[often]]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in zip(lists, types)]
+            columns = [pa.array([bucket], pa.int32()), pa.array([packed(key, n)], pa.binary()), *lists]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "below", "often", "a", "b"])
+
+        now, blocks = None, []
+        for bucket, block in _by_bucket(batches):
+            if bucket != now and blocks:
+                yield done(now, blocks)
+                blocks = []
+            now = bucket
+            blocks.append(block)
+        if blocks:
+            yield done(now, blocks)
+
+    listed = _counted(rows, lambda words: {0: grams(*symbol_stream(words))[0]}, passed_on, "bucket int, block binary")
+    placed = listed.repartition("bucket").sortWithinPartitions("bucket")
+    table = written(
+        placed.mapInArrow(giving_back(work), "bucket int, block binary, below array<long>, often array<long>, a array<double>, b array<double>"),
+        "suffix-tree",
+    )
     # With the longer contexts come their suffixes in the short levels.
-    last = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(int(_mask(SHORT)))).alias("c")
-    below = grown.where("b < 1").select(last).distinct().toArrow()
+    below = table.select(F.explode("below").alias("c")).distinct().toArrow()
     short[SHORT].keep(below.column("c").to_numpy().astype(np.uint64))
     for k in range(SHORT, 0, -1):
         short[k - 1].keep(short[k].contexts[short[k].kept] & _mask(k - 1))
-    tree = spark.sparkContext.broadcast(short)
+    return Tree(table, buckets, short, least)
+
+
+def _logs(short: list[Level], codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    p, q = through(short, 0, codes)
+    return np.log10(a + b * (p + q / SYMBOLS))
+
 
-    def finish(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            key, n, a, b = (batch.column(c).to_numpy() for c in range(4))
-            p, q = through(tree.value, 0, key.view(np.uint64))
-            yield pa.RecordBatch.from_pydict({"key": key, "n": n, "score": np.log10(a + b * (p + q / SYMBOLS))})
+def pair_scores(tree: Tree, pairs: DataFrame) -> DataFrame:
+    """``_row, _score``: sums, by bucket and block, of the scores of the grams in ``bucket, block`` (gram, row, times)."""
+    spark, least = pairs.sparkSession, tree.least
+    shared = spark.sparkContext.broadcast(tree.short)
 
-    return grown.mapInArrow(finish, "key long, n long, score double"), size
+    def work(batches: Iterable[pa.RecordBatch]):
+        short = shared.value
+        now, levels = None, []
+        key = score = None
+        for bucket, kind, block in _by_bucket(batches):
+            if bucket != now:
+                now, empty = bucket, np.empty(0, np.uint64)
+                key, n = unpacked(block, 2) if kind == 0 else (empty, empty)
+                levels = _grown(key, n.astype(np.int64), short[SHORT], least)
+                score = _logs(short, key, *through(levels, SHORT + 1, key))
+            if kind == 0:
+                continue
+            code, row, times = unpacked(block, 3)
+            i, found = _at(key, code) if len(key) else (None, np.zeros(len(code), bool))
+            log = np.empty(len(code))
+            log[found] = score[i[found]] if found.any() else 0
+            log[~found] = _logs(short, code[~found], *through(levels, SHORT + 1, code[~found]))
+            rows, back = np.unique(row, return_inverse=True)
+            sums = np.bincount(back, weights=log * times, minlength=len(rows))
+            yield pa.RecordBatch.from_pydict({"_row": rows.astype(np.int64), "_score": sums})
+
+    both = tree.table.select("bucket", F.lit(0).alias("kind"), "block").unionByName(pairs.select("bucket", F.lit(1).alias("kind"), "block"))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(giving_back(work), "_row long, _score double")
 
 
 def _once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,11 +376,12 @@ def score_texts(
     """
     rows = docs.select(whole_text(text_col).alias("_text"), F.col(id_col).alias("_id"), train.alias("_train"))
     counts = written(count_corpus(rows), "corpus-counts")
-    symbols, size = gram_scores(rows, counts)
-    often = (F.col("n") > 0) & (F.col("n") >= FREQUENT / 10 * size)
-    common = symbols.where(often).select("key", "score").toArrow()
-    order = np.argsort(codes := common.column("key").to_numpy())
-    common = codes[order], common.column("score").to_numpy()[order]
+    tree = grow(rows, counts)
+    common = tree.table.select(F.explode(F.arrays_zip("often", "a", "b")).alias("g")).select("g.often", "g.a", "g.b").toArrow()
+    codes, a, b = (common.column(c).to_numpy() for c in range(3))
+    order = np.argsort(codes)
+    common = codes[order], _logs(tree.short, codes[order].view(np.uint64), a[order], b[order])
+    buckets = tree.buckets
     words = counts.where("kind = 1")
     n_all, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rest = n_all + 0.5 * (vocabulary + 1)
@@ -327,6 +396,16 @@ def score_texts(
     def work(batches: Iterable[pa.RecordBatch]):
         (usual, logs), keys, counts = shared.value
         row = TaskContext.get().partitionId() << 33
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def passed_on():
+            bucket, block = _blocks(buckets, *map(np.concatenate, zip(*held)))
+            held.clear()
+            nulls = {n: pa.nulls(len(block), t) for n, t in types.items()}
+            yield pa.RecordBatch.from_pydict(nulls | {
+                "kind": np.ones(len(block), np.int32), "bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.binary()),
+            })
+
         for part in in_parts(batches, 0):
             words = Words(part.column(0))
             codes, own = grams(*symbol_stream(words))
@@ -334,7 +413,7 @@ def score_texts(
             i, found = _at(usual, codes) if len(usual) else (codes, np.zeros(len(codes), bool))
             score = np.bincount(of[found], weights=logs[i[found]], minlength=words.n).astype(float)  # empty sums are integers
             rare, rare_of, rare_times = _once(codes[~found], of[~found])
-            rare_at = np.concatenate([[0], np.cumsum(np.bincount(rare_of, minlength=words.n))]).astype(np.int32)
+            held.append((rare.view(np.uint64), row + rare_of, rare_times))
             # The words of each text, with the end, and how often.
             key = np.concatenate([_key(words.hashes()), np.full(words.n, _END_WORD)])
             doc = np.concatenate([words.doc, np.arange(words.n)])
@@ -345,19 +424,26 @@ def score_texts(
             sums = np.bincount(doc, weights=np.where(hit, share, 0), minlength=words.n)
             seen = np.bincount(doc, weights=np.where(hit, times, 0), minlength=words.n).astype(np.int64)
             at = np.concatenate([[0], np.cumsum(np.bincount(doc[~hit], minlength=words.n))]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({
+            made = pa.RecordBatch.from_pydict({
                 "_row": row + np.arange(words.n), "_id": part.column(1), "_train": part.column(2), "n_tokens": words.count + 1,
                 "_seen": seen, "_sum": sums, "score": score,
                 "_keys": pa.ListArray.from_arrays(at, pa.array(key[~hit])), "_times": pa.ListArray.from_arrays(at, pa.array(times[~hit])),
-                "_grams": pa.ListArray.from_arrays(rare_at, pa.array(rare)), "_gram_times": pa.ListArray.from_arrays(rare_at, pa.array(rare_times)),
+                "kind": np.zeros(words.n, np.int32), "bucket": pa.nulls(words.n, pa.int32()), "block": pa.nulls(words.n, pa.binary()),
             })
+            types = dict(zip(made.schema.names[:-3], made.schema.types))
+            yield made
             row += words.n
-
-    scored = written(rows.mapInArrow(
-        work, f"_row long, _id {id_type}, _train boolean, n_tokens long, _seen long, _sum double, score double, "
-        "_keys array<long>, _times array<long>, _grams array<long>, _gram_times array<long>",
-    ), "scored")
-    # What is left are rare words and grams: their counts and scores come by joins, without hot keys.
+            if sum(len(h[0]) for h in held) > HELD / 3:
+                yield from passed_on()
+        if held:
+            yield from passed_on()
+
+    stored = written(rows.mapInArrow(
+        giving_back(work), f"_row long, _id {id_type}, _train boolean, n_tokens long, _seen long, _sum double, score double, "
+        "_keys array<long>, _times array<long>, kind int, bucket int, block binary",
+    ), "scored", "kind")
+    scored = stored.where("kind = 0")
+    # What is left are rare words and grams: words get their counts by a join, without hot keys, grams meet the tree.
     def listed(keys: str, times: str) -> DataFrame:
         pairs = scored.select("_row", F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(times).alias("t"))).alias("w"))
         return pairs.select("_row", F.col("w.k").alias("key"), F.col("w.t").alias("times"))
@@ -367,8 +453,7 @@ def score_texts(
         "_row", (F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(rest))).alias("_base"),
         F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("_known"), F.lit(0.0).alias("_score"),
     )
-    priced = listed("_grams", "_gram_times").join(symbols.where(~often).select("key", F.col("score").alias("_log")), "key")
-    priced = priced.select("_row", F.lit(0.0).alias("_base"), F.lit(0).cast("long").alias("_known"), (F.col("times") * F.col("_log")).alias("_score"))
+    priced = pair_scores(tree, stored.where("kind = 1")).select("_row", F.lit(0.0).alias("_base"), F.lit(0).cast("long").alias("_known"), "_score")
     sums = found.unionByName(priced).groupBy("_row").agg(
         F.sum("_base").alias("_rare"), F.sum("_known").alias("_rare_seen"), F.sum("_score").alias("_rare_score")
     )
