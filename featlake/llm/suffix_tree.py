@@ -7,120 +7,106 @@ occurs is tested. A symbol is scored in the state of the longest retained suffix
 before it; the distribution of a state is smoothed with that of the next shorter one, down to the
 uniform distribution.
 
-Tasks count grams, and the counts are summed by a shuffle. Contexts that share their last ``SHORT +
-1`` symbols are in one bucket, so the tree grows there level by level and never leaves the tasks;
-its size has no bound but the corpus. A gram's probability is ``a + b * p``, where ``p`` is that of
-the levels up to ``SHORT``, the only ones that are broadcast. Grams that are frequent in the corpus
-are scored from a broadcast; all others of a text go to the tree's buckets, which return sums by
-text. Grams are stored and shuffled in blocks: sorted, as differences, compressed.
+Texts are read twice. First tasks count grams and words, and the counts are summed by a shuffle.
+Contexts that share their last ``SHORT + 1`` symbols are in one bucket, so the tree grows there level
+by level and never leaves the tasks; its size has no bound but the corpus. A gram's probability is
+``a + b * p``, where ``p`` is that of the levels up to ``SHORT``, the only ones that are broadcast.
+Then the most frequent grams and words, a bounded number of each, are scored from a broadcast; all
+others of a text go to the tree's buckets, which return sums by text. Grams are stored and shuffled
+in blocks: sorted, as differences, compressed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featlake.llm.bpe import in_parts
-from featlake.llm.common import crc32_of, giving_back, whole_text, written
+from featlake.llm.common import crc32_of, giving_back, kept_by_worker, whole_text, written
 from featlake.llm.words import Words, mixed
 
 #: The longest context, so that a gram fits in one number, and the longest one that is broadcast.
 DEPTH, SHORT = 7, 2
 #: The smallest share of the corpus of a candidate (none), the least divergence (in nats, summed over its
-#: occurrences), and the share of the corpus from which a word is broadcast, and a tenth of it for a gram: so many of each at most.
-RAREST, DIVERGENCE, FREQUENT = 0.0, 5.0, 1e-6
+#: occurrences), and the share of the corpus from which a word may be broadcast, and a fifth of it for a gram.
+RAREST, DIVERGENCE, FREQUENT = 0.0, 5.0, 1e-7
+#: The most grams and words that are broadcast.
+MOST_GRAMS, MOST_WORDS = 4_000_000, 1_000_000
 BLANK, END, SYMBOLS = 32, 10, 257
-#: Distinct counts or pairs that a task holds before it passes them on, and symbols of the corpus for each bucket of the tree.
-HELD, TAKEN = 6_000_000, 2_000_000
-_END_WORD = -1  # the key of the end in word counts; a word whose hash that is counts as an end
+#: Distinct counts that a task holds before it passes them on, keys that it gathers before it sums them up or
+#: passes them on, and bytes of training texts for each bucket of the tree.
+HELD, GATHERED, TAKEN = 6_000_000, 4_000_000, 2_000_000
+#: What a key or a block of them is: a gram or the hash of a word.
+GRAM, WORD = 0, 1
+_END_WORD = 2**64 - 1  # the key of the end in word counts; a word whose hash that is counts as an end
 
 
 def symbol_stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts, each after ``DEPTH`` ends, and where each text's own symbols start."""
-    lengths = words.end - words.start + 1  # with the blank or end after it
-    own = np.bincount(words.doc, weights=lengths, minlength=words.n).astype(np.int64)
-    own[words.count == 0] = 1
+    last = np.ones(len(words.start), bool)
+    last[:-1] = words.doc[1:] != words.doc[:-1]
+    kept = words.inside.copy()
+    kept[words.end[~last]] = True  # one blank between words
+    upto = np.concatenate([[0], np.cumsum(kept)])[words.offsets]
+    own = np.diff(upto) + 1
     first = np.cumsum(own + DEPTH) - own
     out = np.full(int((own + DEPTH).sum()), END, np.uint8)
-    # A word's place: its text's start and the words before it in the text.
-    upto = np.cumsum(lengths) - lengths
-    text_upto = np.concatenate([[0], np.cumsum(np.bincount(words.doc, weights=lengths, minlength=words.n))]).astype(np.int64)
-    place = first[words.doc] + upto - text_upto[words.doc]
-    word_of = np.cumsum(words.starts)[words.inside] - 1
-    at = np.flatnonzero(words.inside)
-    out[place[word_of] + at - words.start[word_of]] = words.data[at]
-    last = np.ones(len(lengths), bool)
-    last[:-1] = words.doc[1:] != words.doc[:-1]
-    out[(place + lengths - 1)[~last]] = BLANK
+    inner = np.ones(len(out), bool)
+    inner[(first[:, None] - np.arange(1, DEPTH + 1)).ravel()] = False
+    inner[first + own - 1] = False
+    out[inner] = np.where(words.inside, words.data, np.uint8(BLANK))[kept]
     return out, first
 
 
 def grams(stream: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each own symbol the gram that it ends, ``DEPTH + 1`` symbols in one number; counts per text."""
-    code = np.zeros(len(stream) - DEPTH if len(stream) else 0, np.uint64)
-    for j in range(DEPTH + 1):
-        code = (code << np.uint64(8)) | stream[j : len(stream) - DEPTH + j]
+    code = np.ndarray((max(len(stream) - DEPTH, 0),), ">u8", stream if len(stream) else np.zeros(8, np.uint8), strides=(1,))
     own = np.diff(np.append(first, len(stream) + DEPTH)) - DEPTH
     # Pads are the DEPTH symbols before each text; codes start at stream position DEPTH.
     keep = np.ones(len(stream), bool)
     keep[(first[:, None] - np.arange(1, DEPTH + 1)).ravel()] = False
-    return code[keep[DEPTH:]], own
+    return code[keep[DEPTH:]].astype(np.uint64), own
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, with the sums of their counts."""
+    order = np.argsort(keys, kind=kind)
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
 
 class Counter:
-    """Sums of counts by number, in sorted arrays."""
+    """Counts by number, in sorted arrays."""
 
     def __init__(self):
-        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.gathered: list[np.ndarray] = []
 
     def add(self, keys: np.ndarray) -> None:
-        new, n = np.unique(keys.astype(np.int64), return_counts=True)
-        both, n = np.concatenate([self.keys, new]), np.concatenate([self.counts, n])
-        order = np.argsort(both, kind="stable")
-        both, n = both[order], n[order]
-        heads = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else order
-        self.keys, self.counts = both[heads], np.add.reduceat(n, heads) if len(heads) else n
-
-
-def _key(hashes: np.ndarray) -> np.ndarray:
-    return hashes.view(np.int64)
-
-
-def _counted(rows: DataFrame, lists: Callable[[Words], dict[int, np.ndarray]], passed_on: Callable, schema: str) -> DataFrame:
-    """Sums by task of the lists of keys that ``lists`` makes of the words of training rows, as ``passed_on`` gives them."""
-
-    def work(batches: Iterable[pa.RecordBatch]):
-        counters: dict[int, Counter] = {}
-        for part in in_parts(batches, 0):
-            for kind, keys in lists(Words(part.column(0).filter(part.column(1)))).items():
-                counters.setdefault(kind, Counter()).add(keys)
-            if sum(len(c.keys) for c in counters.values()) > HELD:
-                yield from passed_on(counters)
-                counters.clear()
-        yield from passed_on(counters)
-
-    return rows.select("_text", "_train").mapInArrow(giving_back(work), schema)
-
+        self.gathered.append(keys)
+        if sum(map(len, self.gathered)) > GATHERED:
+            self.sum_up()
 
-def count_corpus(rows: DataFrame) -> DataFrame:
-    """Counts of grams of ``SHORT + 1`` symbols (kind 0) and of words (kind 1): ``kind, key, n``."""
+    def sum_up(self) -> None:
+        if self.gathered:
+            new, n = np.unique(np.concatenate(self.gathered), return_counts=True)
+            self.gathered.clear()
+            # Two sorted runs: a stable sort merges them.
+            self.keys, self.counts = _summed(np.concatenate([self.keys, new]), np.concatenate([self.counts, n]), "stable")
 
-    def lists(words: Words) -> dict[int, np.ndarray]:
-        low = grams(*symbol_stream(words))[0] & _mask(SHORT + 1)
-        return {0: low, 1: np.concatenate([_key(words.hashes()), np.full(words.n, _END_WORD)])}
 
-    def passed_on(counters: dict[int, Counter]):
-        for kind, c in counters.items():
-            yield pa.RecordBatch.from_pydict({"kind": np.full(len(c.keys), kind, np.int32), "key": c.keys, "n": c.counts})
-
-    return _counted(rows, lists, passed_on, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def word_keys(words: Words) -> np.ndarray:
+    """The hashes of all words, then an end for each text."""
+    return np.concatenate([words.hashes(), np.full(words.n, _END_WORD, np.uint64)])
 
 
 def _mask(k: int) -> np.uint64:
@@ -229,14 +215,63 @@ def unpacked(block: bytes, columns: int) -> np.ndarray:
     return out
 
 
-def _blocks(buckets: int, codes: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Grams with what belongs to each, in a block for each bucket that has some."""
-    bucket = mixed((codes >> np.uint64(8)) & _mask(SHORT + 1)) % np.uint64(buckets)
-    order = np.lexsort((codes, bucket))
-    bucket, columns = bucket[order], [c[order] for c in (codes, *others)]
+def _blocks(kind: int, buckets: int, keys: np.ndarray, *others: np.ndarray) -> dict[str, pa.Array]:
+    """Keys with what belongs to each, in a block for each bucket that has some: ``kind, bucket, block``."""
+    order = np.argsort(keys)
+    bucket = (mixed((keys >> np.uint64(8)) & _mask(SHORT + 1)) if kind == GRAM else keys)[order] % np.uint64(buckets)
+    # Few buckets fit in 16 bits, which are sorted faster.
+    order = order[(by := np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable"))]
+    bucket, columns = bucket[by], [c[order] for c in (keys, *others)]
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
     ends = np.append(heads[1:], len(bucket))
-    return bucket[heads].astype(np.int32), [packed(*[c[a:b] for c in columns]) for a, b in zip(heads, ends)]
+    made = [packed(*[c[a:b] for c in columns]) for a, b in zip(heads, ends)]
+    return {
+        "kind": pa.array(np.full(len(made), kind, np.int32)), "bucket": pa.array(bucket[heads].astype(np.int32)),
+        "block": pa.array(made, pa.binary()),
+    }
+
+
+def count_corpus(rows: DataFrame, buckets: int) -> DataFrame:
+    """Counts of the grams and words of training rows, by bucket and kind, in one block each.
+
+    ``total`` is the sum of the counts; ``low`` and ``low_n`` are the grams of ``SHORT + 1`` symbols.
+    """
+
+    def count(batches: Iterable[pa.RecordBatch]):
+        counters = {GRAM: Counter(), WORD: Counter()}
+
+        def passed_on():
+            for kind, c in counters.items():
+                c.sum_up()
+                yield pa.RecordBatch.from_pydict(_blocks(kind, buckets, c.keys, c.counts))
+                counters[kind] = Counter()
+
+        for part in in_parts(batches, 0):
+            words = Words(part.column(0))
+            counters[GRAM].add(grams(*symbol_stream(words))[0])
+            counters[WORD].add(word_keys(words))
+            if sum(len(c.keys) for c in counters.values()) > HELD:
+                yield from passed_on()
+        yield from passed_on()
+
+    def add_up(batches: Iterable[pa.RecordBatch]):
+        for (bucket, kind), blocks in groupby(_listed(batches), lambda row: row[:2]):
+            key, n = np.concatenate([unpacked(block, 2) for *_, block in blocks], axis=1)
+            key, n = _summed(key, n.astype(np.int64))
+            low, low_n = _summed(key & _mask(SHORT + 1), n) if kind == GRAM else (key[:0], n[:0])
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32()), "block": pa.array([packed(key, n)], pa.binary()),
+                "total": [int(n.sum())], "kinds": [len(key)], "low": _one_list(low.view(np.int64)), "low_n": _one_list(low_n),
+            })
+
+    listed = rows.where("_train").select("_text").mapInArrow(giving_back(count), "kind int, bucket int, block binary")
+    placed = listed.select("bucket", "kind", "block").repartition("bucket").sortWithinPartitions("bucket", "kind")
+    schema = "bucket int, kind int, block binary, total long, kinds long, low array<long>, low_n array<long>"
+    return written(placed.mapInArrow(giving_back(add_up), schema), "suffix-tree")
+
+
+def _one_list(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
 
 
 def _grown(keys: np.ndarray, n: np.ndarray, shorter: Level, least: float) -> list[Level]:
@@ -246,75 +281,75 @@ def _grown(keys: np.ndarray, n: np.ndarray, shorter: Level, least: float) -> lis
     return levels
 
 
-def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-    """Blocks in the order of their buckets, those of each bucket together; the tree's are its only ones of kind 0."""
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)))
 
 
 @dataclass
 class Tree:
-    """Counts of grams as ``bucket, block, below, often, a, b``, short levels and what they are made with."""
+    """Counts as ``count_corpus`` stores them, the number of buckets, short levels and what they are made with.
+
+    ``least_often`` has for each kind the steps of counts from which its keys are broadcast.
+    """
 
     table: DataFrame
     buckets: int
     short: list[Level]
     least: float
+    least_often: dict[int, int]
 
 
-def grow(rows: DataFrame, counts: DataFrame) -> Tree:
-    """The tree; ``often`` are a bucket's grams that are frequent in the corpus, ``below`` the ends of its retained contexts."""
-    spark = counts.sparkSession
-    low = counts.where("kind = 0").select(F.col("key").alias("gram"), "n").toArrow()
-    short = levels_of(low.column("gram").to_numpy().astype(np.uint64), low.column("n").to_numpy(), 0, SHORT)
+def _step(n: np.ndarray | float) -> np.ndarray:
+    """Counts in steps of a quarter of a power of two."""
+    return np.floor(4 * np.log2(n)).astype(np.int64)
+
+
+def grow(rows: DataFrame) -> Tree:
+    """The tree of training rows."""
+    spark = rows.sparkSession
+    size = rows.where("_train").agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    buckets = 1 + size // TAKEN
+    table = count_corpus(rows, buckets)
+    low = table.where(f"kind = {GRAM}").select(F.explode(F.arrays_zip("low", "low_n")).alias("g"))
+    low = low.groupBy("g.low").agg(F.sum("g.low_n").alias("n")).toArrow()
+    short = levels_of(low.column("low").to_numpy().astype(np.uint64), low.column("n").to_numpy(), 0, SHORT)
     size = int(short[0].counts.sum())
-    least, frequent, buckets = RAREST * size, FREQUENT / 10 * size, 1 + size // TAKEN
+    least = RAREST * size
     retain(short, 0, None, least)
     shared = spark.sparkContext.broadcast(short[SHORT])
 
-    def passed_on(counters: dict[int, Counter]):
-        for c in counters.values():
-            bucket, block = _blocks(buckets, c.keys.view(np.uint64), c.counts)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.binary())})
+    # The ends of retained contexts (kind -1), and how many keys of each kind there are at each step of counts.
+    def survey(batches: Iterable[pa.RecordBatch]):
+        for kind, block in _listed(batches):
+            key, n = unpacked(block, 2)
+            n = n.astype(np.int64)
+            step, many = np.unique(_step(n), return_counts=True)
+            below = np.empty(0, np.int64)
+            if kind == GRAM:
+                levels = _grown(key, n, shared.value, least)
+                below = np.unique(levels[0].contexts[levels[0].kept] & _mask(SHORT)).view(np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "kind": np.repeat(np.array([-1, kind], np.int32), [len(below), len(step)]),
+                "value": np.concatenate([below, step]), "n": np.concatenate([np.zeros(len(below), np.int64), many]),
+            })
 
-    def work(batches: Iterable[pa.RecordBatch]):
-        def done(bucket: int, blocks: list[bytes]):
-            key, n = np.concatenate([unpacked(b, 2) for b in blocks], axis=1)
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order].astype(np.int64)
-            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, n = key[heads], np.add.reduceat(n, heads)
-            a, b = through(_grown(key, n, shared.value, least), SHORT + 1, key)
-            often = n >= frequent
-            below = np.unique((key[b < 1] >> np.uint64(8)) & _mask(SHORT)).view(np.int64)
-            lists = [below, key[often].view(np.int64), a[often], b[often]]
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in zip(lists, types)]
-            columns = [pa.array([bucket], pa.int32()), pa.array([packed(key, n)], pa.binary()), *lists]
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "below", "often", "a", "b"])
-
-        now, blocks = None, []
-        for bucket, block in _by_bucket(batches):
-            if bucket != now and blocks:
-                yield done(now, blocks)
-                blocks = []
-            now = bucket
-            blocks.append(block)
-        if blocks:
-            yield done(now, blocks)
-
-    listed = _counted(rows, lambda words: {0: grams(*symbol_stream(words))[0]}, passed_on, "bucket int, block binary")
-    placed = listed.repartition("bucket").sortWithinPartitions("bucket")
-    table = written(
-        placed.mapInArrow(giving_back(work), "bucket int, block binary, below array<long>, often array<long>, a array<double>, b array<double>"),
-        "suffix-tree",
-    )
+    found = table.select("kind", "block").mapInArrow(giving_back(survey), "kind int, value long, n long")
+    found = found.groupBy("kind", "value").agg(F.sum("n").alias("n")).toArrow()
+    kind, value, n = (found.column(c).to_numpy() for c in range(3))
     # With the longer contexts come their suffixes in the short levels.
-    below = table.select(F.explode("below").alias("c")).distinct().toArrow()
-    short[SHORT].keep(below.column("c").to_numpy().astype(np.uint64))
+    short[SHORT].keep(value[kind == -1].astype(np.uint64))
     for k in range(SHORT, 0, -1):
         short[k - 1].keep(short[k].contexts[short[k].kept] & _mask(k - 1))
-    return Tree(table, buckets, short, least)
+    n_all = table.where(f"kind = {WORD}").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    least_often = {}
+    for a_kind, bar, most in ((GRAM, FREQUENT / 5 * size, MOST_GRAMS), (WORD, FREQUENT * n_all, MOST_WORDS)):
+        steps, many = value[kind == a_kind], n[kind == a_kind]
+        order = np.argsort(-steps)
+        fits = steps[order][np.cumsum(many[order]) <= most]
+        fits = fits[fits >= _step(max(bar, 1.0))]
+        least_often[a_kind] = int(fits.min()) if len(fits) else 1 << 30
+    return Tree(table, buckets, short, least, least_often)
 
 
 def _logs(short: list[Level], codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -322,42 +357,113 @@ def _logs(short: list[Level], codes: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return np.log10(a + b * (p + q / SYMBOLS))
 
 
-def pair_scores(tree: Tree, pairs: DataFrame) -> DataFrame:
-    """``_row, _score``: sums, by bucket and block, of the scores of the grams in ``bucket, block`` (gram, row, times)."""
-    spark, least = pairs.sparkSession, tree.least
-    shared = spark.sparkContext.broadcast(tree.short)
+def usual_keys(tree: Tree, rest: float) -> list[tuple[int, bytes, bytes]]:
+    """For each bucket the kind of its most frequent keys, these in a block, and the logarithms of their probabilities."""
+    shared = tree.table.sparkSession.sparkContext.broadcast(tree.short)
+    least, least_often = tree.least, tree.least_often
 
     def work(batches: Iterable[pa.RecordBatch]):
-        short = shared.value
-        now, levels = None, []
-        key = score = None
-        for bucket, kind, block in _by_bucket(batches):
-            if bucket != now:
-                now, empty = bucket, np.empty(0, np.uint64)
-                key, n = unpacked(block, 2) if kind == 0 else (empty, empty)
-                levels = _grown(key, n.astype(np.int64), short[SHORT], least)
-                score = _logs(short, key, *through(levels, SHORT + 1, key))
-            if kind == 0:
+        for kind, block in _listed(batches):
+            key, n = unpacked(block, 2)
+            n = n.astype(np.int64)
+            often = _step(n) >= least_often[kind]
+            if not often.any():
                 continue
-            code, row, times = unpacked(block, 3)
-            i, found = _at(key, code) if len(key) else (None, np.zeros(len(code), bool))
-            log = np.empty(len(code))
-            log[found] = score[i[found]] if found.any() else 0
-            log[~found] = _logs(short, code[~found], *through(levels, SHORT + 1, code[~found]))
-            rows, back = np.unique(row, return_inverse=True)
-            sums = np.bincount(back, weights=log * times, minlength=len(rows))
-            yield pa.RecordBatch.from_pydict({"_row": rows.astype(np.int64), "_score": sums})
-
-    both = tree.table.select("bucket", F.lit(0).alias("kind"), "block").unionByName(pairs.select("bucket", F.lit(1).alias("kind"), "block"))
-    return both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(giving_back(work), "_row long, _score double")
+            usual = key[often]
+            if kind == GRAM:
+                logs = _logs(shared.value, usual, *through(_grown(key, n, shared.value[SHORT], least), SHORT + 1, usual))
+            else:
+                logs = np.log10((n[often] + 0.5) / rest)
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array([kind], pa.int32()), "block": pa.array([packed(usual)], pa.binary()), "logs": pa.array([logs.tobytes()], pa.binary()),
+            })
 
+    made = tree.table.select("kind", "block").mapInArrow(giving_back(work), "kind int, block binary, logs binary").toArrow()
+    return list(zip(*(made.column(c).to_pylist() for c in range(3))))
+
+
+class Logs:
+    """Logarithms by key, found by the first bits of a mixed key."""
+
+    def __init__(self, blocks: list[tuple[bytes, bytes]]):
+        keys = np.concatenate([np.empty(0, np.uint64), *[unpacked(block, 1)[0] for block, _ in blocks]])
+        logs = np.concatenate([np.empty(0), *[np.frombuffer(log) for _, log in blocks]])
+        bits = max(len(keys).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        keys = mixed(keys)
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], logs[order]
+        many = np.bincount((self.keys >> self.shift).view(np.int64), minlength=1 << bits)
+        self.first = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of each key, zero if it has none, and whether it has one."""
+        out, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        if not len(self.keys):
+            return out, found
+        keys = mixed(keys)
+        slot = (keys >> self.shift).view(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        found = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        out[found] = self.logs[at[found]]
+        left = np.flatnonzero(~found & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = self.keys[at[left]] == keys[left]
+            out[left[hit]] = self.logs[at[left[hit]]]
+            found[left[hit]] = True
+            left = left[~hit]
+            left = left[at[left] + 1 < end[left]]
+        return out, found
+
+
+def pair_scores(tree: Tree, pairs: DataFrame, rest: float) -> DataFrame:
+    """``_row, _rare, _rare_seen, _rare_score``: sums, by bucket, over the words and grams in ``bucket, kind, block`` (key, row)."""
+    least = tree.least
+    shared = pairs.sparkSession.sparkContext.broadcast(tree.short)
+
+    def priced(kind: int, key: np.ndarray, n: np.ndarray, held: list[np.ndarray], levels: list[Level] | None) -> pa.RecordBatch:
+        code, row = np.concatenate(held, axis=1)
+        code, of_code = np.unique(code, return_inverse=True)
+        seen = np.zeros(len(code), bool)
+        if kind == GRAM:
+            log = _logs(shared.value, code, *through(levels, SHORT + 1, code))
+        else:
+            times = np.zeros(len(code))
+            if len(key):
+                i, seen = _at(key, code)
+                times[seen] = n[i[seen]]
+            log = np.log10((times + 0.5) / rest)
+        rows, of_row = np.unique(row, return_inverse=True)
+        sums = np.bincount(of_row, weights=log[of_code], minlength=len(rows))
+        return pa.RecordBatch.from_pydict({
+            "_row": rows.astype(np.int64), "_rare": sums * (kind == WORD),
+            "_rare_seen": np.bincount(of_row[seen[of_code]], minlength=len(rows)).astype(np.int64), "_rare_score": sums * (kind == GRAM),
+        })
 
-def _once(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of each text, their texts, and how often."""
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])[: len(key)])
-    return key[heads], doc[heads], np.diff(np.append(heads, len(key)))
+    def work(batches: Iterable[pa.RecordBatch]):
+        for (_, kind), blocks in groupby(_listed(batches), lambda row: row[:2]):
+            key, n, levels = np.empty(0, np.uint64), np.empty(0, np.int64), None
+            held, many = [], 0
+            for _, _, of_text, block in blocks:
+                if not of_text:
+                    key, n = unpacked(block, 2)
+                    n = n.astype(np.int64)
+                    continue
+                if kind == GRAM and levels is None:
+                    levels = _grown(key, n, shared.value[SHORT], least)
+                held.append(unpacked(block, 2))
+                many += held[-1].shape[1]
+                if many > GATHERED:
+                    yield priced(kind, key, n, held, levels)
+                    held, many = [], 0
+            if held:
+                yield priced(kind, key, n, held, levels)
+
+    both = tree.table.select("bucket", "kind", F.lit(0).alias("of_text"), "block")
+    both = both.unionByName(pairs.select("bucket", "kind", F.lit(1).alias("of_text"), "block")).repartition("bucket")
+    schema = "_row long, _rare double, _rare_seen long, _rare_score double"
+    return both.sortWithinPartitions("bucket", "kind", "of_text").mapInArrow(giving_back(work), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -375,90 +481,64 @@ def score_texts(
     word and the end have the probability one in ``base_score``, and symbols are equally likely.
     """
     rows = docs.select(whole_text(text_col).alias("_text"), F.col(id_col).alias("_id"), train.alias("_train"))
-    counts = written(count_corpus(rows), "corpus-counts")
-    tree = grow(rows, counts)
-    common = tree.table.select(F.explode(F.arrays_zip("often", "a", "b")).alias("g")).select("g.often", "g.a", "g.b").toArrow()
-    codes, a, b = (common.column(c).to_numpy() for c in range(3))
-    order = np.argsort(codes)
-    common = codes[order], _logs(tree.short, codes[order].view(np.uint64), a[order], b[order])
+    tree = grow(rows)
     buckets = tree.buckets
-    words = counts.where("kind = 1")
-    n_all, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counted = tree.table.where(f"kind = {WORD}").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)))
+    n_all, vocabulary = counted.first()
     rest = n_all + 0.5 * (vocabulary + 1)
-    # At most 1 / FREQUENT words are that frequent; they are most of all tokens.
-    frequent = F.col("n") >= FREQUENT * n_all
-    known = words.where(frequent).select("key", "n").toArrow()
-    order = np.argsort(keys := known.column("key").to_numpy())
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((common, keys[order], known.column("n").to_numpy()[order]))
+    shared = docs.sparkSession.sparkContext.broadcast(usual_keys(tree, rest))
     id_type = rows.schema["_id"].dataType.simpleString()
+    kept = ("suffix-tree", uuid.uuid4().hex)
 
     def work(batches: Iterable[pa.RecordBatch]):
-        (usual, logs), keys, counts = shared.value
+        def logs():
+            return [Logs([(block, log) for k, block, log in shared.value if k == kind]) for kind in (GRAM, WORD)]
+
+        gram_logs, word_logs = kept_by_worker(kept, logs)
         row = TaskContext.get().partitionId() << 33
-        held: list[tuple[np.ndarray, ...]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
 
         def passed_on():
-            bucket, block = _blocks(buckets, *map(np.concatenate, zip(*held)))
-            held.clear()
-            nulls = {n: pa.nulls(len(block), t) for n, t in types.items()}
-            yield pa.RecordBatch.from_pydict(nulls | {
-                "kind": np.ones(len(block), np.int32), "bucket": pa.array(bucket, pa.int32()), "block": pa.array(block, pa.binary()),
-            })
+            for kind, some in held.items():
+                if some:
+                    made = _blocks(kind, buckets, *map(np.concatenate, zip(*some)))
+                    made["kind"] = pa.array(np.full(len(made["block"]), 1 + kind, np.int32))
+                    yield pa.RecordBatch.from_pydict({n: pa.nulls(len(made["block"]), t) for n, t in types.items()} | made)
+                    some.clear()
+
+        def scored(kind: int, usual: Logs, keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Sums and numbers, by text, of the keys that are broadcast; the others are held."""
+            log, found = usual(keys)
+            held[kind].append((keys[~found], (row + of[~found]).astype(np.uint64)))
+            return np.bincount(of, weights=log, minlength=n).astype(float), np.bincount(of[found], minlength=n)
 
         for part in in_parts(batches, 0):
             words = Words(part.column(0))
+            n = words.n
             codes, own = grams(*symbol_stream(words))
-            codes, of = codes.view(np.int64), np.repeat(np.arange(words.n), own)
-            i, found = _at(usual, codes) if len(usual) else (codes, np.zeros(len(codes), bool))
-            score = np.bincount(of[found], weights=logs[i[found]], minlength=words.n).astype(float)  # empty sums are integers
-            rare, rare_of, rare_times = _once(codes[~found], of[~found])
-            held.append((rare.view(np.uint64), row + rare_of, rare_times))
-            # The words of each text, with the end, and how often.
-            key = np.concatenate([_key(words.hashes()), np.full(words.n, _END_WORD)])
-            doc = np.concatenate([words.doc, np.arange(words.n)])
-            key, doc, times = _once(key, doc)
-            i = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            hit = keys[i] == key if len(keys) else np.zeros(len(key), bool)
-            share = np.log10((counts[i] + 0.5) / rest) * times if len(keys) else np.zeros(len(key))
-            sums = np.bincount(doc, weights=np.where(hit, share, 0), minlength=words.n)
-            seen = np.bincount(doc, weights=np.where(hit, times, 0), minlength=words.n).astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(np.bincount(doc[~hit], minlength=words.n))]).astype(np.int32)
+            score, _ = scored(GRAM, gram_logs, codes, np.repeat(np.arange(n), own))
+            base, seen = scored(WORD, word_logs, word_keys(words), np.concatenate([words.doc, np.arange(n)]))
             made = pa.RecordBatch.from_pydict({
-                "_row": row + np.arange(words.n), "_id": part.column(1), "_train": part.column(2), "n_tokens": words.count + 1,
-                "_seen": seen, "_sum": sums, "score": score,
-                "_keys": pa.ListArray.from_arrays(at, pa.array(key[~hit])), "_times": pa.ListArray.from_arrays(at, pa.array(times[~hit])),
-                "kind": np.zeros(words.n, np.int32), "bucket": pa.nulls(words.n, pa.int32()), "block": pa.nulls(words.n, pa.binary()),
+                "_row": row + np.arange(n), "_id": part.column(1), "_train": part.column(2), "n_tokens": words.count + 1,
+                "_seen": seen, "_sum": base, "score": score,
+                "kind": np.zeros(n, np.int32), "bucket": pa.nulls(n, pa.int32()), "block": pa.nulls(n, pa.binary()),
             })
             types = dict(zip(made.schema.names[:-3], made.schema.types))
             yield made
-            row += words.n
-            if sum(len(h[0]) for h in held) > HELD / 3:
+            row += n
+            if sum(len(keys) for some in held.values() for keys, _ in some) > GATHERED:
                 yield from passed_on()
-        if held:
-            yield from passed_on()
+        yield from passed_on()
 
+    # Rows are of kind 0, blocks of grams and words of kinds 1 and 2.
     stored = written(rows.mapInArrow(
-        giving_back(work), f"_row long, _id {id_type}, _train boolean, n_tokens long, _seen long, _sum double, score double, "
-        "_keys array<long>, _times array<long>, kind int, bucket int, block binary",
+        giving_back(work, kept), f"_row long, _id {id_type}, _train boolean, n_tokens long, _seen long, _sum double, score double, "
+        "kind int, bucket int, block binary",
     ), "scored", "kind")
-    scored = stored.where("kind = 0")
-    # What is left are rare words and grams: words get their counts by a join, without hot keys, grams meet the tree.
-    def listed(keys: str, times: str) -> DataFrame:
-        pairs = scored.select("_row", F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(times).alias("t"))).alias("w"))
-        return pairs.select("_row", F.col("w.k").alias("key"), F.col("w.t").alias("times"))
-
-    found = listed("_keys", "_times").join(words.where(~frequent).select("key", "n"), "key", "left")
-    found = found.withColumn("n", F.coalesce("n", F.lit(0))).select(
-        "_row", (F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(rest))).alias("_base"),
-        F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("_known"), F.lit(0.0).alias("_score"),
-    )
-    priced = pair_scores(tree, stored.where("kind = 1")).select("_row", F.lit(0.0).alias("_base"), F.lit(0).cast("long").alias("_known"), "_score")
-    sums = found.unionByName(priced).groupBy("_row").agg(
-        F.sum("_base").alias("_rare"), F.sum("_known").alias("_rare_seen"), F.sum("_score").alias("_rare_score")
-    )
+    rare = pair_scores(tree, stored.where("kind > 0").select("bucket", (F.col("kind") - 1).alias("kind"), "block"), rest)
+    sums = rare.groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("_rare", "_rare_seen", "_rare_score")])
     zero = F.lit(0)
-    return scored.join(sums, "_row", "left").select(
+    return stored.where("kind = 0").join(sums, "_row", "left").select(
         F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), "n_tokens",
         (F.col("_seen") + F.coalesce("_rare_seen", zero)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("_sum") + F.coalesce("_rare", F.lit(0.0))).alias("base_score"),

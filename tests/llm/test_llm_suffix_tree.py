@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,45 @@ def test_packed_columns_are_read_back():
     for codes in ([7], [0, 1, 2**63, 2**64 - 1]):
         columns = np.array([codes, [2**33 + 5 - i for i in range(len(codes))]], np.uint64)
         assert (suffix_tree.unpacked(suffix_tree.packed(*columns), 2) == columns).all()
+
+
+def test_scores_of_grams_are_not_stored(spark, monkeypatch):
+    # Tables for these texts took 18 MB when the tree's had the scores of frequent grams beside the counts, now 3 MB.
+    made, real = {}, suffix_tree.written
+
+    def written(df, purpose, *by):
+        made[purpose] = real(df, purpose, *by)
+        return made[purpose]
+
+    monkeypatch.setattr(suffix_tree, "written", written)
+    queries.op2_suffix_tree(spark, "/root/testdata/sf0.01")
+    assert sum(os.path.getsize(f.removeprefix("file://")) for df in made.values() for f in df.inputFiles()) < 6e6
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_what_is_not_broadcast_is_scored_in_its_bucket(spark, monkeypatch, most):
+    # Few keys are broadcast, counters are passed on and pairs are scored in many parts.
+    for name, value in {"MOST_GRAMS": most, "MOST_WORDS": most // 10, "HELD": 500, "GATHERED": 100, "TAKEN": 3000}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where(F.length("text") < 3000)
+    got = suffix_tree.score_texts(docs, ~suffix_tree.held_out()).collect()
+    check([(r.doc_id, r.text) for r in docs.collect()], got, train_id)
+
+
+def test_logs_are_found_by_key():
+    keys = np.array([0, 1, 2, 2**63, 2**64 - 1, *range(1000, 3000)], np.uint64)
+    logs = suffix_tree.Logs([(suffix_tree.packed(k), (-k.astype(float)).tobytes()) for k in (np.sort(keys[::2]), np.sort(keys[1::2]))])
+    asked = np.concatenate([keys, np.arange(5000, 9000, dtype=np.uint64)])
+    log, found = logs(asked)
+    assert found.sum() == len(keys) and found[: len(keys)].all() and (log[: len(keys)] == -keys.astype(float)).all()
+    assert not suffix_tree.Logs([])(asked)[1].any()
+
+
+def test_symbols_of_crooked_spacing():
+    words = suffix_tree.Words(pa.array(["  A\tb \n", "", " ", "c", "\n\nd  e"]))
+    stream, first = suffix_tree.symbol_stream(words)
+    ends = b"\n" * suffix_tree.DEPTH
+    assert bytes(stream) == b"".join(ends + t for t in (b"a b\n", b"\n", b"\n", b"c\n", b"d e\n"))
+    codes, own = suffix_tree.grams(stream, first)
+    assert own.tolist() == [4, 1, 1, 2, 4] and codes[3] == int.from_bytes(b"\n" * 4 + b"a b\n")
