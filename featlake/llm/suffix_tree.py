@@ -76,9 +76,9 @@ def grams(stream: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code[keep[DEPTH:]].astype(np.uint64), own
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, with the sums of their counts."""
-    order = np.argsort(keys, kind=kind)
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
     return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
@@ -100,8 +100,12 @@ class Counter:
         if self.gathered:
             new, n = np.unique(np.concatenate(self.gathered), return_counts=True)
             self.gathered.clear()
-            # Two sorted runs: a stable sort merges them.
-            self.keys, self.counts = _summed(np.concatenate([self.keys, new]), np.concatenate([self.counts, n]), "stable")
+            # Both are sorted: what is there is added to, the rest is put in its place, with less memory than a sort takes.
+            at = np.searchsorted(self.keys, new)
+            there = self.keys[np.minimum(at, len(self.keys) - 1)] == new if len(self.keys) else np.zeros(len(new), bool)
+            self.counts[at[there]] += n[there]
+            at, new, n = at[~there], new[~there], n[~there]
+            self.keys, self.counts = np.insert(self.keys, at, new), np.insert(self.counts, at, n)
 
 
 def word_keys(words: Words) -> np.ndarray:
@@ -392,29 +396,29 @@ class Logs:
         self.shift = np.uint64(64 - bits)
         keys = mixed(keys)
         order = np.argsort(keys)
+        # One more for keys beyond the last: it equals none of them, since its first bits are others.
+        order = np.append(order, order[-1:])
         self.keys, self.logs = keys[order], logs[order]
-        many = np.bincount((self.keys >> self.shift).view(np.int64), minlength=1 << bits)
+        many = np.bincount((self.keys[: len(keys)] >> self.shift).view(np.int64), minlength=1 << bits)
         self.first = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The logarithm of each key, zero if it has none, and whether it has one."""
-        out, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
         if not len(self.keys):
-            return out, found
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
         keys = mixed(keys)
         slot = (keys >> self.shift).view(np.int64)
-        at, end = self.first[slot], self.first[slot + 1]
-        found = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        out[found] = self.logs[at[found]]
-        left = np.flatnonzero(~found & (at + 1 < end))
+        at = self.first[slot]
+        found = self.keys[at] == keys
+        left = np.flatnonzero(~found)
+        end = self.first[slot[left] + 1]
         while len(left):
             at[left] += 1
-            hit = self.keys[at[left]] == keys[left]
-            out[left[hit]] = self.logs[at[left[hit]]]
-            found[left[hit]] = True
-            left = left[~hit]
-            left = left[at[left] + 1 < end[left]]
-        return out, found
+            found[left] = hit = (at[left] < end) & (self.keys[np.minimum(at[left], len(self.keys) - 1)] == keys[left])
+            more = ~hit & (at[left] < end)
+            left, end = left[more], end[more]
+        # Where nothing was found, the place is past the end of the slot.
+        return np.where(found, self.logs[np.minimum(at, len(self.keys) - 1)], 0.0), found
 
 
 def pair_scores(tree: Tree, pairs: DataFrame, rest: float) -> DataFrame:
