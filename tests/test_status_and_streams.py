@@ -296,6 +296,68 @@ def test_recipients_of_job_events(spark):
     assert got == sorted(expected, key=str)
 
 
+_CARRIED = "key string, job_identifier string, event_type string, audience struct<is_public:boolean,user_ids:array<string>>"
+_JOBS = "identifier string, process_identifier string, owner_id string, is_public boolean"
+
+
+def _shuffled(node) -> int:
+    """Rows written to shuffles below a plan that has run; those of a reused one count once."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled(node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_events_meet_members_without_a_list_per_job(spark):
+    """Sixty jobs of one process with 500 members: 30,000 messages, but no list of 30,000 rows is shuffled."""
+    from featlake.operators import access as A
+
+    users = spark.range(500).select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("id"), F.lit(True).alias("is_active"), F.array(F.lit("process-p1:viewer")).alias("scopes")
+    )
+    processes = spark.createDataFrame([("p1", "u1", False)], "identifier string, owner_id string, is_public boolean")
+    jobs = spark.range(60).select(
+        F.concat(F.lit("j"), F.col("id").cast("string")).alias("identifier"), F.lit("p1").alias("process_identifier"),
+        F.lit("u2").alias("owner_id"), F.lit(False).alias("is_public"),
+    )
+    events = jobs.select(F.col("identifier").alias("key"), F.col("identifier").alias("job_identifier"), F.lit("created").alias("event_type"),
+                         F.lit(None).cast("struct<is_public:boolean,user_ids:array<string>>").alias("audience"))
+    told = A.job_event_audience(events, jobs, processes, users).select("key", "user_id")
+    got = told.collect()
+    assert len(got) == len(set(got)) == 30_000
+    assert _shuffled(told._jdf.queryExecution().executedPlan()) < 15_000
+
+
+@pytest.mark.parametrize("messages", [1, 1 << 30])
+def test_recipients_of_jobs_that_come_more_than_once(spark, monkeypatch, messages):
+    """Each row of a job repeats its messages; who is told is told by all private rows of the identifier."""
+    from featlake.operators import access as A
+
+    monkeypatch.setattr(A, "_TASK_MESSAGES", messages)
+    users = spark.createDataFrame(
+        [("ann", True, ["job-j1:viewer", "process-p1:viewer"]), ("bob", True, ["process-p2:viewer"]), ("cat", True, ["process-p1:editor"]),
+         ("dan", False, ["process-p1:viewer"]), ("eve", True, ["job-j4:viewer"]), ("eve", True, [None])],
+        "id string, is_active boolean, scopes array<string>",
+    )
+    processes = spark.createDataFrame([("p1", "bob", True), ("p2", None, False), ("p2", "eve", True)], "identifier string, owner_id string, is_public boolean")
+    jobs = spark.createDataFrame(
+        [("j1", "p1", "ann", False), ("j1", "p2", "dan", False), ("j1", None, None, True), ("j2", "p1", None, False), ("j2", "p1", None, False),
+         ("j3", None, "cat", False), ("j4", "gone", "x", None), ("j4", "gone", "x", False), (None, "p1", "ann", False)], _JOBS)
+    rows = [("e1", "j1", "created", None), ("e2", "j2", "created", None), ("e3", "j3", "created", None), ("e4", "j4", "created", None),
+            ("e5", "j1", "deleted", (False, ["x", None])), ("e6", None, "created", None), ("e7", "j1", None, None), ("e3", "j3", "created", None),
+            ("e8", "j1", "deleted", (False, None)), ("e9", None, "deleted", (True, []))]
+    got = [(r.key, r.user_id) for r in A.job_event_audience(spark.createDataFrame(rows, _CARRIED), jobs, processes, users).collect()]
+    expected = [("e1", None)] + [("e1", u) for u in ("ann", "bob", "cat", "eve")] * 2 + [("e2", u) for u in ("ann", "bob", "cat")] * 2
+    expected += [("e3", "cat")] * 2 + [("e4", "eve")] + [("e5", u) for u in ("x", None)] * 3 + [("e9", None)]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    told = [(r.identifier, r.user_id) for r in A.job_audience(jobs, processes, users).collect()]
+    expected = [("j1", u) for u in ("ann", "bob", "cat", "eve")] + [(j, u) for j in ("j2", None) for u in ("ann", "bob", "cat")] + [("j3", "cat"), ("j4", "eve")]
+    assert sorted(told, key=str) == sorted(expected, key=str)
+
+
 def _event(**kw):
     base = {"event_type": "created", "process_identifier": "p1", "initiated_by": "u", "timestamp": "2024-01-01T00:00:00Z",
             "correlation_id": "c"}
