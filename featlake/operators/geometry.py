@@ -469,7 +469,7 @@ def _inside(part_: Column, x: Column, y: Column) -> Column:
     return (part_["dim"] == 2) & F.aggregate(part_["rings"], F.lit(False), lambda acc, r: acc != odd(r))
 
 
-def _edge_meets_box(p: Column, q: Column, b: dict[str, Column]) -> Column:
+def _edge_meets_box(p: Column | dict[str, Column], q: Column | dict[str, Column], b: dict[str, Column]) -> Column:
     """Separating axes: the extents overlap and the box corners are not all on one side."""
     dx, dy = q["x"] - p["x"], q["y"] - p["y"]
     sides = [
@@ -509,6 +509,30 @@ def meets_box(geom: Column, own: dict[str, Column], b: dict[str, Column]) -> Col
     return bounds_overlap(own, b) & (inside | (geom["type"] == "Point") | exact)
 
 
+def bounds_form(geom: Column, own: dict[str, Column]) -> Column:
+    """How the bounds of a geometry alone decide whether it meets a box; null if they do not.
+
+    0: it is a point or fills its bounds. 1 or 2: it is the segment between two corners of them, to
+    the upper or to the lower right.
+    """
+    x1, y1, x2, y2 = (own[n] for n in BOUNDS)
+    parts = geom["parts"]
+    return (
+        F.when((geom["type"] == "Point") | (parts == box(x1, y1, x2, y2)["parts"]), 0)
+        .when(parts == segment(x1, y1, x2, y2)["parts"], 1)
+        .when(parts == segment(x1, y2, x2, y1)["parts"], 2)
+        .cast("tinyint")
+    )
+
+
+def bounds_meet_box(form: Column, own: dict[str, Column], b: dict[str, Column]) -> Column:
+    """The test of ``meets_box`` for geometries with a ``bounds_form``, without their vertices."""
+    x1, y1, x2, y2 = (own[n] for n in BOUNDS)
+    rising = _edge_meets_box({"x": x1, "y": y1}, {"x": x2, "y": y2}, b)
+    falling = _edge_meets_box({"x": x1, "y": y2}, {"x": x2, "y": y1}, b)
+    return bounds_overlap(own, b) & F.when(form == 0, True).when(form == 1, rising).when(form == 2, falling)
+
+
 def _edges_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
     def turn(p: Column, q: Column, r: Column) -> Column:
         return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])

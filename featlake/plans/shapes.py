@@ -220,11 +220,16 @@ def batch_bbox(t: Tables) -> DataFrame:
     uses=("parcels", "boxes"),
 )
 def batch_bbox_shapes(t: Tables) -> DataFrame:
-    """The same for shapes, tested exactly."""
+    """The same for shapes, tested exactly; those that their bounds decide are joined without geometries."""
     own, asked = ({b: F.col(f"{p}{b}") for b in G.BOUNDS} for p in ("", "q_"))
+    rows = t.parcels.select("id", "geom_type", *G.BOUNDS, parcel_geometry().alias("geom"))
+    # As a row of its own: the optimizer would move filters by a plain column below it, and make each shape many times.
+    rows = rows.withColumn("form", F.explode(F.array(G.bounds_form(F.col("geom"), own)))).drop("geom")
+    plain = rows.where("form IS NOT NULL").drop("geom_type")
+    decided = S.join_boxes(plain, t.boxes, G.bounds_meet_box(F.col("form"), own, asked))
     exact = G.meets_box(parcel_geometry(), own, asked)
-    rows = t.parcels.select("id", "geom_type", *G.BOUNDS)
-    return S.join_boxes(rows, t.boxes, exact).select("request_id", "id")
+    others = S.join_boxes(rows.where("form IS NULL").drop("form"), t.boxes, exact)
+    return decided.select("request_id", "id").unionByName(others.select("request_id", "id"))
 
 
 @query(

@@ -11,6 +11,7 @@ from featlake.operators import geometry as G
 from featlake.operators import paging as P
 from featlake.operators import spatial_join as S
 from featlake.operators.positions import write_positions
+from featlake.plans.registry import Tables
 
 
 def _boxes(rng, n, sizes):
@@ -48,6 +49,69 @@ def test_grid_join_skips_missing_bounds(spark):
     assert [(r.request_id, r.id) for r in S.join_boxes(f, q).collect()] == [(1, 2)]
 
 
+def test_grid_join_of_requests_over_many_cells(spark):
+    """Requests of any shape, on and across cell edges, bounds the wrong way round and rows that come twice."""
+    rng = random.Random(8)
+    edge = 360 / 4**3
+    at = lambda: rng.choice((0.0, edge, -edge, edge / 4, 3 * edge / 4)) + rng.choice((0.0, 0.0, rng.uniform(-30, 30)))
+    boxes = [(i, x := at(), y := at(), x + rng.choice((0, edge / 8, edge, 4 * edge, 30)), y + rng.choice((0, edge / 64, edge, 5))) for i in range(150)]
+    features = [(i, x := at(), y := at(), x + rng.choice((0, 0, edge / 2, edge, 20)), y + rng.choice((0, edge, 3))) for i in range(300)]
+    features += [(1000 + i, 5.0 + i, 3.0, 5.0, 3.0 - i) for i in range(20)]
+    f = spark.createDataFrame(features * 2, "id int, xmin double, ymin double, xmax double, ymax double")
+    q = spark.createDataFrame(boxes, "request_id int, q_xmin double, q_ymin double, q_xmax double, q_ymax double")
+    got = [(r.request_id, r.id) for r in S.join_boxes(f, q).collect()]
+    meets = lambda a, b: a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2]
+    assert sorted(g for g in got if g[1] < 1000) == sorted((b[0], a[0]) for a in features[:300] * 2 for b in boxes if meets(a, b))
+    turned = [g for g in got if g[1] >= 1000]
+    assert len(turned) == 2 * len(set(turned)) and set(turned) <= {(b[0], a[0]) for a in features[300:] for b in boxes if meets(a, b)}
+
+
+@pytest.mark.parametrize(("requests", "join"), [(1000, "BroadcastHashJoin"), (1_000_000, "SortMergeJoin")])
+def test_requests_are_broadcast_while_their_listing_is_small(spark, requests, join):
+    """A million numbers are below the size that Spark broadcasts, a million boxes in a dozen cells each are not."""
+    n = F.col("id").cast("double")
+    q = spark.range(requests).select(F.col("id").alias("request_id"), *[(n / 1e4 + i).alias(f"q_{b}") for i, b in enumerate(G.BOUNDS)])
+    f = spark.range(10**7).select("id", *[(n / 1e5).alias(b) for b in G.BOUNDS])
+    assert join in S.join_boxes(f, q)._jdf.queryExecution().executedPlan().toString()
+
+
+_SHAPES = [
+    "POINT (1 1)", "POINT (2 2.5)", "POLYGON ((1 1, 4 1, 4 3, 1 3, 1 1))", "LINESTRING (0 0, 4 3)", "LINESTRING (0 3, 4 0)", "LINESTRING (2 2, 2 2)",
+    "LINESTRING (4 3, 0 0)", "LINESTRING (0 0, 0 3, 4 3)", "POLYGON ((0 0, 4 0, 4 4, 0 0))", "MULTIPOINT ((0 0), (4 4))", "POLYGON ((1 1, 4 1, 4 3, 1 1))",
+    "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))", "LINESTRING (1 1, 5 1)", "POLYGON ((2 2, 2 2, 2 2, 2 2, 2 2))", "POINT EMPTY", "nothing",
+]
+
+
+def test_shapes_that_their_bounds_decide(spark):
+    shapes = spark.createDataFrame(list(enumerate(_SHAPES)), "id int, text string").select("id", G.from_wkt(F.col("text")).alias("geom"))
+    shapes = G.with_bounds(shapes)
+    own, asked = ({b: F.col(f"{p}{b}") for b in G.BOUNDS} for p in ("", "q_"))
+    shapes = shapes.withColumn("form", G.bounds_form(F.col("geom"), own))
+    forms = {r.id: r.form for r in shapes.collect()}
+    assert [forms[i] for i in range(len(_SHAPES))] == [0, 0, 0, 1, 2, 1, None, None, None, None, None, None, 1, 0, 0, None]
+    sides = [(x / 2, y / 2, (x + w) / 2, (y + h) / 2) for x in range(-1, 9) for y in range(-1, 9) for w in (0, 1, 3) for h in (0, 1, 3)]
+    boxes = spark.createDataFrame(sides, "q_xmin double, q_ymin double, q_xmax double, q_ymax double")
+    pairs = shapes.where("form IS NOT NULL").crossJoin(boxes)
+    told = pairs.select(G.bounds_meet_box(F.col("form"), own, asked).alias("quick"), G.meets_box(F.col("geom"), own, asked).alias("exact"))
+    counts = {(r.quick, r.exact): r["count"] for r in told.groupBy("quick", "exact").count().collect()}
+    assert set(counts) == {(True, True), (False, False), (None, None)} and counts[(None, None)] == len(sides)
+
+
+def test_plain_shapes_are_joined_without_lambdas(spark, tmp_path):
+    """A lambda in the condition of the join takes microseconds for each pair of a cell."""
+    spark.range(300).selectExpr("id AS o_orderkey", "timestamp_ntz'2024-01-01' AS o_orderdate", "'O' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(40).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    from featlake.plans.shapes import batch_bbox_shapes, parcel_geometry
+
+    tables = Tables(spark, str(tmp_path))
+    found = batch_bbox_shapes(tables)
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert joins and any("lambda" not in x for x in joins)
+    own, asked = ({b: F.col(f"{p}{b}") for b in G.BOUNDS} for p in ("", "q_"))
+    expected = tables.parcels.crossJoin(tables.boxes).where(G.meets_box(parcel_geometry(), own, asked))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.select("request_id", "id").collect()))
+
+
 @pytest.mark.parametrize("kind", ["bigint", "string"])
 def test_page_numbers_of_a_whole_table(spark, kind):
     keys = random.Random(3).sample(range(10**6), 1500)
